@@ -65,3 +65,29 @@ def response_of_chat(e: str) -> str:
 
 def seeded_pick(key: str, n: int, seed: int) -> str:
     return f"(('0x' || substr(md5('{seed}:' || cast({key} as varchar)), 1, 8))::BIGINT % {n})"
+
+
+def fill(template: str, **exprs: str) -> str:
+    """A fixed template with ``{name}`` slots as a DuckDB concatenation."""
+    import string as _string
+
+    parts = []
+    for literal, field, _s, _c in _string.Formatter().parse(template):
+        if literal:
+            parts.append(lit(literal))
+        if field is not None:
+            parts.append(f"({exprs[field]})")
+    return "(" + " || ".join(parts) + ")"
+
+
+def recall(options: str, pred: str, from_first_a: bool = False) -> str:
+    src = options
+    if from_first_a:
+        src = f"(case when position('A:' in {options}) > 0 then substr({options}, position('A:' in {options})) end)"
+    return (f"coalesce(case when {pred} <> '' and length({pred}) = 1 and position({pred} in 'ABCDEFGH') > 0 "
+            f"then regexp_extract_all({src}, '[A-Z]: [^,.]+')[position({pred} in 'ABCDEFGH')] end, '')")
+
+
+def user_prompt(content: str) -> str:
+    return (lit("<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n\n") + f" || {strip(content)} || "
+            + lit("<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n"))
