@@ -219,8 +219,8 @@ q as (select *, {S.recall('question', 'pred', from_first_a=True)} as rec from p)
 select item_id, run, {S.user_prompt(f"{S.lit(K.CHALLENGE)} || {S.lit(NL2)} || question || {S.lit(NL2 + K.PREVIOUS_RESPONSE_LABEL)} || rec || {S.lit(NL2 + SUFFIX_CHOICE)}")} as prompt2 from q"""
 
 
-@register("chat_challenged", R2C_SQL)
-def q_chat_challenged(spark, sf_dir):
+@register("round2_prompts_chat", R2C_SQL)
+def q_round2_prompts_chat(spark, sf_dir):
     r1 = R.round1_prompts(medqa_corpus(spark, sf_dir, "sharegpt"), "medqa", "sharegpt")
     t = r1.join(qa_choice(spark, sf_dir).select("item_id", "resp1"), "item_id")
     t = t.withColumn("pred", R.parse_answer(R.transcript("prompt", "resp1", "sharegpt"), "medqa", "sharegpt"))
