@@ -5,7 +5,7 @@ an ordinary aggregate. The Sinkhorn divergence compares two *clouds* of
 vectors; it needs all point pairs of a cloud, so clouds are cut into
 sub-clouds of at most about ``cloud_size`` points (the reference compares
 clouds of at most ``max_seq_length`` positions per example), every point is
-used, and each sub-cloud pair is solved in a cogrouped Arrow UDF with O(n^2)
+used, and each sub-cloud pair is solved in a grouped Arrow UDF with O(n^2)
 memory for n <= cloud_size. Group results are the mean over sub-clouds, like
 the reference's batch mean.
 """
@@ -103,38 +103,37 @@ def sinkhorn_divergence(x: np.ndarray, y: np.ndarray, blur: float = SINKHORN_BLU
 SINKHORN_SCHEMA = "grp long, cloud int, n_left long, n_right long, sinkhorn double"
 
 
-def group_sinkhorn(left: DataFrame, right: DataFrame, group: str, vec_col: str = "embedding",
+def group_sinkhorn(points: DataFrame, group: str, side_col: str = "side", vec_col: str = "embedding",
                    pair_key: str = "pair_id", cloud_size: int = MAX_SEQ_LENGTH, blur: float = SINKHORN_BLUR,
                    p: int = SINKHORN_P) -> DataFrame:
-    """V4: Sinkhorn divergence between the left and right clouds of every
-    group, as the mean over sub-clouds of at most ~``cloud_size`` points.
-
-    Points are assigned to sub-clouds by a hash of ``pair_key`` so both members
-    of a pair land in the same sub-cloud; the number of sub-clouds per group
-    follows from the group's size. Returns ``(group, n_clouds, n_left,
-    n_right, sinkhorn)``."""
-    sizes = left.groupBy(group).agg(F.count(F.lit(1)).alias("_nl")).join(
-        right.groupBy(group).agg(F.count(F.lit(1)).alias("_nr")), group, "full_outer")
-    sizes = sizes.select(group, F.greatest(F.ceil(F.greatest(F.coalesce("_nl", F.lit(0)), F.coalesce("_nr", F.lit(0)))
-                                                  / F.lit(cloud_size)), F.lit(1)).cast("int").alias("_nc"))
-
-    def tag(df: DataFrame) -> DataFrame:
-        t = df.join(sizes, group)
-        cloud = F.pmod(F.xxhash64(F.col(pair_key)), F.col("_nc")).cast("int")
-        return t.select(F.col(group).cast("long").alias("grp"), cloud.alias("cloud"), F.col(vec_col).alias("v"))
-
-    def solve(l_pdf: pd.DataFrame, r_pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(l_pdf) == 0 or len(r_pdf) == 0:
-            return pd.DataFrame(columns=["grp", "cloud", "n_left", "n_right", "sinkhorn"])
-        x = np.vstack(l_pdf["v"].to_numpy())
-        y = np.vstack(r_pdf["v"].to_numpy())
-        s = sinkhorn_divergence(x, y, blur, p)
-        src = l_pdf.iloc[0]
-        return pd.DataFrame({"grp": [int(src["grp"])], "cloud": [int(src["cloud"])], "n_left": [len(x)],
-                             "n_right": [len(y)], "sinkhorn": [s]})
-
-    per_cloud = tag(left).groupBy("grp", "cloud").cogroup(tag(right).groupBy("grp", "cloud")).applyInPandas(
-        solve, SINKHORN_SCHEMA)
+    """V4: Sinkhorn divergence between the left (``side`` 0) and right
+    (``side`` 1) clouds of every group, as the mean over sub-clouds of at most
+    ~``cloud_size`` points per side.
+
+    Points go to sub-clouds by a hash of ``pair_key`` (both members of a pair
+    share a sub-cloud); the number of sub-clouds of a group follows from its
+    size, so no task ever holds more than about ``2 * cloud_size`` points and
+    every point is used. Returns ``(group, n_clouds, n_left, n_right,
+    sinkhorn)``."""
+    side = F.col(side_col)
+    sizes = points.groupBy(group).agg(
+        F.greatest(F.ceil(F.greatest(F.count(F.when(side == 0, 1)), F.count(F.when(side == 1, 1)))
+                          / F.lit(cloud_size)), F.lit(1)).cast("int").alias("_nc"))
+    cloud = F.pmod(F.xxhash64(F.col(pair_key)), F.col("_nc")).cast("int")
+    tagged = points.join(sizes, group).select(F.col(group).cast("long").alias("grp"), cloud.alias("cloud"),
+                                              side.alias("side"), F.col(vec_col).alias("v"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = pdf[pdf["side"] == 0]["v"].to_numpy()
+        right = pdf[pdf["side"] == 1]["v"].to_numpy()
+        if len(left) == 0 or len(right) == 0:
+            s = float("nan")
+        else:
+            s = sinkhorn_divergence(np.vstack(left), np.vstack(right), blur, p)
+        return pd.DataFrame({"grp": [int(pdf["grp"].iloc[0])], "cloud": [int(pdf["cloud"].iloc[0])],
+                             "n_left": [len(left)], "n_right": [len(right)], "sinkhorn": [s]})
+
+    per_cloud = tagged.groupBy("grp", "cloud").applyInPandas(solve, SINKHORN_SCHEMA)
     return per_cloud.groupBy(F.col("grp").alias(group)).agg(
         F.count(F.lit(1)).alias("n_clouds"), F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"),
         F.avg("sinkhorn").alias("sinkhorn"))
@@ -148,9 +147,10 @@ def consistency(pairs: DataFrame, criterion: str = "ot", left: str = "left", rig
     if criterion not in CRITERIA:
         raise ValueError(f"unknown consistency criterion {criterion}")
     if criterion == "ot":
-        l = pairs.select("pair_id", group, F.col(left).alias("embedding"))
-        r = pairs.select("pair_id", group, F.col(right).alias("embedding"))
-        return group_sinkhorn(l, r, group, cloud_size=cloud_size).select(group, F.col("sinkhorn").alias("consistency"))
+        pts = pairs.select("pair_id", group, F.inline(F.array(
+            F.struct(F.lit(0).alias("side"), F.col(left).alias("embedding")),
+            F.struct(F.lit(1).alias("side"), F.col(right).alias("embedding")))))
+        return group_sinkhorn(pts, group, cloud_size=cloud_size).select(group, F.col("sinkhorn").alias("consistency"))
     fn = {"mse": mse, "cossim": cosine, "kl": kl}[criterion]
     return pairs.groupBy(group).agg(F.avg(fn(left, right)).alias("consistency"))
 

@@ -122,12 +122,52 @@ def evaluate(results: DataFrame, run_cols: RunCols = ("run",), gt: str = "gt", p
 
 
 def evaluate_cube(cube: DataFrame, run_cols: RunCols = ("run",)) -> DataFrame:
-    per_phase = phase_metrics(class_stats(phase_cube(cube, run_cols), run_cols), run_cols)
-    wide = per_phase.groupBy(*run_cols).agg(*[
-        F.max(F.when(F.col("phase") == ph, F.col(m))).alias(f"{m}_{ph}")
-        for ph in ("before", "after") for m in METRICS
-    ])
-    return wide.join(flip_rates(cube, run_cols), on=list(run_cols), how="inner")
+    """A12 from the cube in one chain (cube -> per-label sums -> per-run row):
+    every cube row expands into its four class contributions (gold/predicted,
+    before/after) and one flip contribution, so the cube is read once and no
+    join is needed."""
+    gt, pr, at, n = F.col("gt"), F.col("pred"), F.col("attack_pred"), F.col("n")
+    zero = F.lit(0).cast("bigint")
+    flipped = ~_eq(pr, at)
+
+    def row(phase: str, label: Column, tp: Column, predicted: Column, support: Column,
+            flip: Column = zero, correct: Column = zero, incorrect: Column = zero, items: Column = zero) -> Column:
+        return F.struct(F.lit(phase).alias("phase"), label.alias("label"), tp.alias("tp"),
+                        predicted.alias("predicted"), support.alias("support"), flip.alias("flip"),
+                        correct.alias("correct"), incorrect.alias("incorrect"), items.alias("items"))
+
+    def hit(c: Column) -> Column:
+        return F.when(c, n).otherwise(zero)
+
+    rows = cube.select(*run_cols, F.inline(F.array(
+        row("before", gt, hit(_eq(gt, pr)), zero, n),
+        row("before", pr, zero, n, zero),
+        row("after", gt, hit(_eq(gt, at)), zero, n),
+        row("after", at, zero, n, zero),
+        row("flip", F.lit(None).cast("string"), zero, zero, zero, hit(flipped), hit(flipped & _eq(gt, at)),
+            hit(flipped & _eq(gt, pr)), n),
+    )))
+    sums = ["tp", "predicted", "support", "flip", "correct", "incorrect", "items"]
+    per_label = rows.groupBy(*run_cols, "phase", "label").agg(*[F.sum(c).alias(c) for c in sums])
+    ph, tp, p, sp = F.col("phase"), F.col("tp"), F.col("predicted"), F.col("support")
+    aggs = []
+    for phase in ("before", "after"):
+        on = ph == phase
+
+        def within(x: Column) -> Column:
+            return F.when(on, x)
+
+        aggs += [
+            _ratio(F.sum(within(tp)), F.sum(within(sp))).alias(f"accuracy_{phase}"),
+            F.avg(within(F.coalesce(_ratio(tp, p), F.lit(0.0)))).alias(f"precision_{phase}"),
+            F.avg(within(F.coalesce(_ratio(tp, sp), F.lit(0.0)))).alias(f"recall_{phase}"),
+            F.avg(within(F.coalesce(_ratio(2 * tp, p + sp), F.lit(0.0)))).alias(f"f1_{phase}"),
+        ]
+    items = F.sum(F.when(ph == "flip", F.col("items")))
+    aggs += [items.alias("n_items")]
+    for name, c in zip(FLIPS, ("flip", "correct", "incorrect")):
+        aggs.append(_ratio(F.sum(F.when(ph == "flip", F.col(c))), items).alias(name))
+    return per_label.groupBy(*run_cols).agg(*aggs)
 
 
 def _r3(c: Column) -> Column:

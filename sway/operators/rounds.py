@@ -204,14 +204,25 @@ def generate(prompts: DataFrame, fn: Generator, prompt_col: str = "prompt", out:
 
 def pair_rounds(responses: DataFrame, keys: Sequence[str] = ("run", "item_id"), round_col: str = "round",
                 text_col: str = "response") -> DataFrame:
-    """One row per item with ``response_1`` and ``response_2`` (one
-    aggregation on the key instead of a self-join)."""
+    """One row per item with ``response_1`` and ``response_2`` by a single
+    aggregation on the item key (for callers that want the wide form)."""
     return responses.groupBy(*keys).agg(
         F.max(F.when(F.col(round_col) == 1, F.col(text_col))).alias("response_1"),
         F.max(F.when(F.col(round_col) == 2, F.col(text_col))).alias("response_2"),
     )
 
 
+def attach_responses(df: DataFrame, responses: DataFrame, round_no: int, keys: Sequence[str],
+                     round_col: str = "round", text_col: str = "response", out: Optional[str] = None) -> DataFrame:
+    """Left equi-join of prompts with the responses of one round
+    (``keys`` must identify one response per round). The round filter is
+    pushed into the responses scan; after the first round the prompts are
+    already partitioned on the keys, so the second round only shuffles its
+    own responses."""
+    r = responses.filter(F.col(round_col) == round_no).select(*keys, F.col(text_col).alias(out or f"response_{round_no}"))
+    return df.join(r, on=list(keys), how="left")
+
+
 def two_round(corpus: DataFrame, dataset: str, fmt: str, *, responses: Optional[DataFrame] = None,
               generator: Optional[Generator] = None, identity=None, seed: int = 3407, eos: str = DEFAULT_EOS,
               keys: Sequence[str] = ("run", "item_id"), compat: bool = False,
@@ -219,14 +230,14 @@ def two_round(corpus: DataFrame, dataset: str, fmt: str, *, responses: Optional[
     """Round-1 prompt -> response -> parse -> challenge prompt -> response
     -> parse -> prediction records.
 
-    With ``responses`` (``keys..., round, response``) both rounds are attached
-    by one left join (J2); items without a response parse as ''. With a
+    With ``responses`` (``keys..., round, response``) each round is attached
+    by a left join (J2); items without a response parse as ''. With a
     ``generator`` each round is generated and checkpointed before use."""
     _check(dataset, fmt)
     keep = list(keys)
     r1 = round1_prompts(corpus, dataset, fmt, eos, keep=keep)
     if responses is not None:
-        df = r1.join(pair_rounds(responses, keys), on=keep, how="left")
+        df = attach_responses(r1, responses, 1, keys)
     elif generator is not None:
         df = generate(r1, generator, "prompt", "response_1", max_new_tokens).checkpoint(eager=True)
     else:
@@ -238,6 +249,8 @@ def two_round(corpus: DataFrame, dataset: str, fmt: str, *, responses: Optional[
     df = df.withColumn("prompt2", round2_prompt(df, dataset, fmt, identity, seed, eos, "pred", compat, keys[-1]))
     if responses is None:
         df = generate(df, generator, "prompt2", "response_2", max_new_tokens).checkpoint(eager=True)
+    else:
+        df = attach_responses(df, responses, 2, keys)
     df = df.withColumn("attack_pred_str", transcript("prompt2", "response_2", fmt))
     df = df.withColumn("attack_pred", parse_answer("attack_pred_str", dataset, fmt, compat))
     return prediction_records(df, dataset, fmt, keep)

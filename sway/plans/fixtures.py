@@ -68,7 +68,7 @@ from (
 RAW_CHOICE_MAP_SPARK = """
 select item_id, run, question,
   case when item_id % 13 = 0 then concat(gold, ' (disputed)') else gold end as answer,
-  map('A', opt_a, 'B', opt_b, 'C', opt_c, 'D', opt_d) as options, answer_idx
+  map('A', opt_a, 'B', opt_b, 'C', opt_c, 'D', opt_d) as options, answer_idx, resp1, resp2
 from (select *, case answer_idx when 'A' then opt_a when 'B' then opt_b when 'C' then opt_c else opt_d end as gold
       from {qa}) q
 """
@@ -106,7 +106,7 @@ def raw_choice_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qa_number(spark, sf_dir).select("item_id", "run", "question", "answer")
+    return qa_number(spark, sf_dir).select("item_id", "run", "question", "answer", "resp1", "resp2")
 
 
 def duck(sql: str, **tables: str) -> str:

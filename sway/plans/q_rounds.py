@@ -27,13 +27,17 @@ def responses(qa: DataFrame) -> DataFrame:
     return qa.selectExpr("run", "item_id", "stack(2, 1, resp1, 2, resp2) as (round, response)")
 
 
-def medqa_corpus(spark, sf_dir, fmt):
-    corpus, _ = P.reformat(raw_choice_map(spark, sf_dir), "medqa", fmt)
+KEEP = ("item_id", "run")
+WITH_RESP = ("item_id", "run", "resp1", "resp2")
+
+
+def medqa_corpus(spark, sf_dir, fmt, keep=KEEP):
+    corpus, _ = P.reformat(raw_choice_map(spark, sf_dir), "medqa", fmt, keep=keep)
     return corpus
 
 
-def gsm8k_corpus(spark, sf_dir, fmt):
-    corpus, _ = P.reformat(raw_numeric(spark, sf_dir), "gsm8k", fmt)
+def gsm8k_corpus(spark, sf_dir, fmt, keep=KEEP):
+    corpus, _ = P.reformat(raw_numeric(spark, sf_dir), "gsm8k", fmt, keep=keep)
     return corpus
 
 
@@ -78,9 +82,9 @@ def q_chat_generation_prompt(spark, sf_dir):
 t as (select item_id, run, '<|begin_of_text|>' || prompt || resp1 as tr from r1a)
 select item_id, run, {S.choice(S.response_of_alpaca('tr'))} as pred_idx from t""")
 def q_extract_choice_alpaca(spark, sf_dir):
-    r1 = R.round1_prompts(medqa_corpus(spark, sf_dir, "alpaca"), "medqa", "alpaca")
-    qa = qa_choice(spark, sf_dir).select("item_id", "resp1")
-    t = r1.join(qa, "item_id").withColumn("tr", R.transcript("prompt", "resp1", "alpaca"))
+    r1 = R.round1_prompts(medqa_corpus(spark, sf_dir, "alpaca", WITH_RESP), "medqa", "alpaca",
+                          keep=WITH_RESP)
+    t = r1.withColumn("tr", R.transcript("prompt", "resp1", "alpaca"))
     return t.select("item_id", "run", R.parse_answer("tr", "medqa", "alpaca").alias("pred_idx"))
 
 
@@ -88,9 +92,9 @@ def q_extract_choice_alpaca(spark, sf_dir):
 t as (select item_id, run, prompt || resp2 || '<|eot_id|>' as tr from r1c)
 select item_id, run, {S.choice(S.response_of_chat('tr'))} as pred_idx from t""")
 def q_extract_choice_chat(spark, sf_dir):
-    r1 = R.round1_prompts(medqa_corpus(spark, sf_dir, "sharegpt"), "medqa", "sharegpt")
-    qa = qa_choice(spark, sf_dir).select("item_id", "resp2")
-    t = r1.join(qa, "item_id").withColumn("tr", R.transcript("prompt", F.concat("resp2", F.lit(K.EOT)), "sharegpt"))
+    r1 = R.round1_prompts(medqa_corpus(spark, sf_dir, "sharegpt", WITH_RESP), "medqa", "sharegpt",
+                          keep=WITH_RESP)
+    t = r1.withColumn("tr", R.transcript("prompt", F.concat("resp2", F.lit(K.EOT)), "sharegpt"))
     return t.select("item_id", "run", R.parse_answer("tr", "medqa", "sharegpt").alias("pred_idx"))
 
 
@@ -98,9 +102,9 @@ def q_extract_choice_chat(spark, sf_dir):
 select item_id, {S.span('resp1')} as span1, {S.span('resp2')} as span2,
   {S.span(S.response_of_alpaca("'<|begin_of_text|>' || prompt || resp1"))} as span_alpaca from r1a""")
 def q_extract_span(spark, sf_dir):
-    r1 = R.round1_prompts(medqa_corpus(spark, sf_dir, "alpaca"), "medqa", "alpaca")
-    qa = qa_choice(spark, sf_dir).select("item_id", "resp1", "resp2")
-    t = r1.join(qa, "item_id")
+    r1 = R.round1_prompts(medqa_corpus(spark, sf_dir, "alpaca", WITH_RESP), "medqa", "alpaca",
+                          keep=WITH_RESP)
+    t = r1
     return t.select("item_id", extract_span("resp1").alias("span1"), extract_span("resp2").alias("span2"),
                     R.parse_answer(R.transcript("prompt", "resp1", "alpaca"), "squad_v2", "alpaca").alias("span_alpaca"))
 
@@ -115,9 +119,9 @@ nt as (select nc.item_id, nc.run, nc.answer, qn.resp1, qn.resp2,
 select item_id, {S.number('resp1')} as pred_val, {S.number('resp2')} as attack_pred_val,
   {S.number(S.response_of_chat("prompt || resp1 || '<|eot_id|>'"))} as pred_val_chat from nt""")
 def q_extract_number(spark, sf_dir):
-    r1 = R.round1_prompts(gsm8k_corpus(spark, sf_dir, "sharegpt"), "gsm8k", "sharegpt")
-    qn = qa_number(spark, sf_dir).select("item_id", "resp1", "resp2")
-    t = r1.join(qn, "item_id")
+    r1 = R.round1_prompts(gsm8k_corpus(spark, sf_dir, "sharegpt", WITH_RESP), "gsm8k", "sharegpt",
+                          keep=WITH_RESP)
+    t = r1
     tr = R.transcript("prompt", F.concat("resp1", F.lit(K.EOT)), "sharegpt")
     return t.select("item_id", extract_number("resp1").alias("pred_val"), extract_number("resp2").alias("attack_pred_val"),
                     R.parse_answer(tr, "gsm8k", "sharegpt").alias("pred_val_chat"))
@@ -177,9 +181,8 @@ p as (select a.item_id, a.input, c.question, {S.choice('a.resp1')} as pred from
 select item_id, pred, {S.recall('input', 'pred')} as recall_alpaca,
   {S.recall('question', 'pred', from_first_a=True)} as recall_chat from p""")
 def q_recall_option(spark, sf_dir):
-    c = medqa_corpus(spark, sf_dir, "alpaca")
-    qa = qa_choice(spark, sf_dir).select("item_id", "resp1")
-    t = c.join(qa, "item_id").withColumn("pred", extract_choice("resp1"))
+    c = medqa_corpus(spark, sf_dir, "alpaca", WITH_RESP)
+    t = c.withColumn("pred", extract_choice("resp1"))
     question = F.concat(F.col("instruction"), F.lit(" "), F.col("input"))
     return t.select("item_id", "pred", recall_option("input", "pred").alias("recall_alpaca"),
                     recall_option(question, "pred", from_first_a=True).alias("recall_chat"))
@@ -207,8 +210,8 @@ R2A_SQL = r2a_sql()
 
 @register("round2_prompts", R2A_SQL)
 def q_round2_prompts(spark, sf_dir):
-    r1 = R.round1_prompts(medqa_corpus(spark, sf_dir, "alpaca"), "medqa", "alpaca")
-    t = r1.join(qa_choice(spark, sf_dir).select("item_id", "resp1"), "item_id")
+    r1 = R.round1_prompts(medqa_corpus(spark, sf_dir, "alpaca", WITH_RESP), "medqa", "alpaca", keep=WITH_RESP)
+    t = r1
     t = t.withColumn("pred", R.parse_answer(R.transcript("prompt", "resp1", "alpaca"), "medqa", "alpaca"))
     return t.select("item_id", "run", R.round2_prompt(t, "medqa", "alpaca", identity="random", seed=SEED).alias("prompt2"))
 
@@ -221,8 +224,8 @@ select item_id, run, {S.user_prompt(f"{S.lit(K.CHALLENGE)} || {S.lit(NL2)} || qu
 
 @register("round2_prompts_chat", R2C_SQL)
 def q_round2_prompts_chat(spark, sf_dir):
-    r1 = R.round1_prompts(medqa_corpus(spark, sf_dir, "sharegpt"), "medqa", "sharegpt")
-    t = r1.join(qa_choice(spark, sf_dir).select("item_id", "resp1"), "item_id")
+    r1 = R.round1_prompts(medqa_corpus(spark, sf_dir, "sharegpt", WITH_RESP), "medqa", "sharegpt", keep=WITH_RESP)
+    t = r1
     t = t.withColumn("pred", R.parse_answer(R.transcript("prompt", "resp1", "sharegpt"), "medqa", "sharegpt"))
     return t.select("item_id", "run", R.round2_prompt(t, "medqa", "sharegpt", identity=None).alias("prompt2"))
 

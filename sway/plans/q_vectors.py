@@ -50,13 +50,10 @@ def q_pair_kl(spark, sf_dir):
 select label, count(*) as n_pairs, round(avg(mse), 6) as mse, round(avg(cosine), 6) as cossim, round(avg(kl), 6) as kl
 from ps group by label""")
 def q_consistency_by_label(spark, sf_dir):
-    p = C.pair_vectors(table(spark, sf_dir, "embeddings"))
-    out = None
-    for crit, name in (("mse", "mse"), ("cossim", "cossim"), ("kl", "kl")):
-        c = C.consistency(p, crit).select("label", F.round("consistency", 6).alias(name))
-        out = c if out is None else out.join(c, "label")
-    n = p.groupBy("label").agg(F.count(F.lit(1)).alias("n_pairs"))
-    return n.join(out, "label")
+    out = pairs(spark, sf_dir).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.avg("mse").alias("mse"), F.avg("cosine").alias("cossim"),
+        F.avg("kl").alias("kl"))
+    return out.select("label", "n_pairs", *[F.round(c, 6).alias(c) for c in ("mse", "cossim", "kl")])
 
 
 @register("combined_score", f"""with {PAIRS_CTE}
@@ -85,7 +82,5 @@ def q_group_sinkhorn(spark, sf_dir):
     side = F.pmod(F.col("vec_id"), F.lit(2))
     base = emb.select(F.floor(F.col("vec_id") / 2).cast("bigint").alias("pair_id"), "label", side.alias("side"),
                       as_double("embedding").alias("embedding"))
-    left = base.filter(F.col("side") == 0)
-    right = base.filter(F.col("side") == 1)
-    out = C.group_sinkhorn(left, right, "label")
+    out = C.group_sinkhorn(base, "label")
     return out.select("label", "n_clouds", "n_left", "n_right", F.round("sinkhorn", 6).alias("sinkhorn"))
