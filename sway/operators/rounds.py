@@ -15,6 +15,7 @@ from typing import Optional
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sway.functions.constants import BOS, DEFAULT_EOS, MAX_NEW_TOKENS, NUMBER_PATTERN, PREVIOUS_RESPONSE_LABEL
 from sway.functions.extract import (
@@ -183,7 +184,8 @@ def generate(prompts: DataFrame, fn: Generator, prompt_col: str = "prompt", out:
     """Run a caller-supplied generator over the prompt column, batch-wise
     in Python workers (Arrow transfer). ``fn(list_of_prompts, max_new_tokens)``
     or ``fn(list_of_prompts)`` returns the generated texts."""
-    schema = prompts.schema.add(out, "string")
+    # a new StructType: DataFrame.schema is cached and .add() would mutate it
+    schema = T.StructType([*prompts.schema.fields, T.StructField(out, T.StringType())])
 
     def call(batch: list[str]) -> list[str]:
         try:
