@@ -45,8 +45,7 @@ def response_of_chat(transcript: ColumnOrName) -> Column:
     """F16: the third ``<|start_header_id|>`` part, stripped, from just after
     its first blank line to the end. Anything missing gives ''."""
     part = py_strip(F.get(F.split(col(transcript), quote_regex(START_HEADER), -1), 2))
-    pos = F.instr(part, "\n\n")
-    return F.coalesce(F.when(pos > 0, F.substring(part, pos + 2, 1 << 30)), F.lit(""))
+    return F.coalesce(F.regexp_extract(part, r"(?s)\n\n(.*)", 1), F.lit(""))
 
 
 def response_of(transcript: ColumnOrName, fmt: str) -> Column:

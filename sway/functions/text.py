@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Union[Column, str]
 
-# Python's str.strip() removes Unicode whitespace; Spark's trim() only spaces.
-_STRIP_RE = r"(?U)^\s+|\s+\z"
+# Python's str.strip() removes every character for which str.isspace() is
+# true; Spark's one-argument trim() removes spaces only. The set below is that
+# Python definition (control separators, NEL, NBSP and the Unicode spaces).
+PY_WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
 
 def col(c: ColumnOrName) -> Column:
@@ -24,20 +26,20 @@ def col(c: ColumnOrName) -> Column:
 
 
 def py_strip(c: ColumnOrName) -> Column:
-    """Strip leading/trailing Unicode whitespace, like Python ``str.strip()``."""
-    return F.regexp_replace(col(c), _STRIP_RE, "")
+    """Strip leading/trailing whitespace exactly like Python ``str.strip()``
+    (a linear scan from both ends, no regex)."""
+    return F.btrim(col(c), F.lit(PY_WHITESPACE))
 
 
 def format_sent(c: ColumnOrName, end: str = ".") -> Column:
     """strip, upper-case the first character only, append ``end`` unless
     the text already ends in ``.``, ``!`` or ``?``. Empty stays empty."""
     s = py_strip(c)
+    # every use of ``s`` sits in an always-evaluated position, so the strip is
+    # computed once per row (subexpression elimination skips lazy branches)
     capped = F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))
-    return (
-        F.when(F.length(s) == 0, s)
-        .when(F.substring(s, -1, 1).isin(".", "!", "?"), capped)
-        .otherwise(F.concat(capped, F.lit(end)))
-    )
+    needs_end = (F.length(s) > 0) & ~F.substring(s, -1, 1).isin(".", "!", "?")
+    return F.concat(capped, F.when(needs_end, F.lit(end)).otherwise(F.lit("")))
 
 
 def join_options(options: ColumnOrName) -> Column:

@@ -107,17 +107,32 @@ def _c(x: ColumnLike) -> Column:
 
 
 def parse_answer(text: ColumnLike, dataset: str, fmt: str, compat: bool = False) -> Column:
-    """Parse a decoded transcript into the dataset's prediction."""
-    resp = response_of(text, fmt)
+    """Parse a decoded transcript into the dataset's prediction (Column
+    form; ``with_parsed`` is the cheaper DataFrame form for wide tables)."""
+    return extractor(dataset, fmt, compat)(response_of(text, fmt))
+
+
+def extractor(dataset: str, fmt: str, compat: bool = False):
+    """The extraction function (response Column -> prediction) of a dataset."""
     if dataset in CHOICE_DATASETS:
-        return extract_choice(resp)
+        return extract_choice
     if dataset == "gsm8k":
-        return extract_number(resp, NUMBER_PATTERN, dot_only_fallback=(compat and fmt == "sharegpt"))
+        return lambda r: extract_number(r, NUMBER_PATTERN, dot_only_fallback=(compat and fmt == "sharegpt"))
     if dataset == "squad_v2":
-        return extract_span(resp)
+        return extract_span
     raise ValueError(f"Dataset {dataset} not supported.")
 
 
+def with_parsed(df: DataFrame, text_col: str, dataset: str, fmt: str, out: str, compat: bool = False) -> DataFrame:
+    """R5 as a DataFrame step: the response section is materialised in its own
+    projection first (Spark keeps a non-trivial expression that is read several
+    times in a separate projection), so it is computed once per row although
+    the extraction cascade reads it up to four times."""
+    tmp = f"_{out}_response"
+    return (df.withColumn(tmp, response_of(text_col, fmt))
+            .withColumn(out, extractor(dataset, fmt, compat)(F.col(tmp))).drop(tmp))
+
+
 # ------------------------------------------------------------- round two
 def previous_response(df: DataFrame, dataset: str, fmt: str, pred: str = "pred", compat: bool = False) -> Column:
     """The "previous response" text quoted back in the challenge."""
@@ -245,7 +260,7 @@ def two_round(corpus: DataFrame, dataset: str, fmt: str, *, responses: Optional[
     else:
         raise ValueError("two_round needs recorded responses or a generator")
     df = df.withColumn("pred_str", transcript("prompt", "response_1", fmt))
-    df = df.withColumn("pred", parse_answer("pred_str", dataset, fmt, compat))
+    df = with_parsed(df, "pred_str", dataset, fmt, "pred", compat)
     if dataset == "squad_v2":
         return span_records(df, fmt, keep)
     df = df.withColumn("prompt2", round2_prompt(df, dataset, fmt, identity, seed, eos, "pred", compat, keys[-1]))
@@ -254,7 +269,7 @@ def two_round(corpus: DataFrame, dataset: str, fmt: str, *, responses: Optional[
     else:
         df = attach_responses(df, responses, 2, keys)
     df = df.withColumn("attack_pred_str", transcript("prompt2", "response_2", fmt))
-    df = df.withColumn("attack_pred", parse_answer("attack_pred_str", dataset, fmt, compat))
+    df = with_parsed(df, "attack_pred_str", dataset, fmt, "attack_pred", compat)
     return prediction_records(df, dataset, fmt, keep)
 
 

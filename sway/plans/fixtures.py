@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sway.session import spread
+
 QA_CHOICE_SQL = """
 select item_id, run, question, opt_a, opt_b, opt_c, opt_d, answer_idx,
   case v1 when 0 then concat('Let us think. The correct answer is ', l1, ': nation.')
@@ -89,12 +91,18 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet")
 
 
+def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order keys, spread over the cores when the scan is too coarse
+    (everything downstream is per-row string work)."""
+    return spread(orders(spark, sf_dir).select("o_orderkey"))
+
+
 def qa_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(QA_CHOICE_SQL, orders=orders(spark, sf_dir).select("o_orderkey"))
+    return spark.sql(QA_CHOICE_SQL, orders=order_keys(spark, sf_dir))
 
 
 def qa_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(QA_NUMBER_SQL, orders=orders(spark, sf_dir).select("o_orderkey"))
+    return spark.sql(QA_NUMBER_SQL, orders=order_keys(spark, sf_dir))
 
 
 def raw_choice_map(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,8 @@ def md5_join(arr) -> F.Column:
 select doc_id, len(ids)::INTEGER as n_tokens, len(ids)::BIGINT as mask_sum, md5(array_to_string(ids, ' ')) as ids_md5
 from d""")
 def q_tokenize_truncate(spark, sf_dir):
-    docs = PK.tokenize(table(spark, sf_dir, "documents"), "text", max_len=K.MAX_SEQ_LENGTH)
+    docs = PK.tokenize(table(spark, sf_dir, "documents", ["doc_id", "text"], spread_rows=True), "text",
+                       max_len=K.MAX_SEQ_LENGTH)
     return docs.select("doc_id", F.size("input_ids").alias("n_tokens"),
                        F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_sum"),
                        md5_join("input_ids").alias("ids_md5"))
@@ -64,7 +65,7 @@ c{sfx} as (select shard, (off + i - 1) // {L} as chunk_id, count(*) as n,
 @register("pack_chunks", f"""with {_pack_sql('documents', 'doc_id', 'text', PACK_L, PACK_NSEQ, 'text')}
 select shard, chunk_id, n::INTEGER as n_tokens, chunk_md5 from c where n = {PACK_L}""")
 def q_pack_chunks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"], spread_rows=True)
     shards = PK.shard_count(docs, "text", PACK_L, PACK_NSEQ)
     toks = PK.tokenize(docs, "text", max_len=None)
     packed = PK.pack(toks, "doc_id", "input_ids", PACK_L, EOS, shards, SEED)

@@ -85,7 +85,7 @@ def q_extract_choice_alpaca(spark, sf_dir):
     r1 = R.round1_prompts(medqa_corpus(spark, sf_dir, "alpaca", WITH_RESP), "medqa", "alpaca",
                           keep=WITH_RESP)
     t = r1.withColumn("tr", R.transcript("prompt", "resp1", "alpaca"))
-    return t.select("item_id", "run", R.parse_answer("tr", "medqa", "alpaca").alias("pred_idx"))
+    return R.with_parsed(t, "tr", "medqa", "alpaca", "pred_idx").select("item_id", "run", "pred_idx")
 
 
 @register("extract_choice_chat", f"""with {CORPUS_CTE},
@@ -95,7 +95,7 @@ def q_extract_choice_chat(spark, sf_dir):
     r1 = R.round1_prompts(medqa_corpus(spark, sf_dir, "sharegpt", WITH_RESP), "medqa", "sharegpt",
                           keep=WITH_RESP)
     t = r1.withColumn("tr", R.transcript("prompt", F.concat("resp2", F.lit(K.EOT)), "sharegpt"))
-    return t.select("item_id", "run", R.parse_answer("tr", "medqa", "sharegpt").alias("pred_idx"))
+    return R.with_parsed(t, "tr", "medqa", "sharegpt", "pred_idx").select("item_id", "run", "pred_idx")
 
 
 @register("extract_span", f"""with {CORPUS_CTE}
@@ -105,8 +105,10 @@ def q_extract_span(spark, sf_dir):
     r1 = R.round1_prompts(medqa_corpus(spark, sf_dir, "alpaca", WITH_RESP), "medqa", "alpaca",
                           keep=WITH_RESP)
     t = r1
+    t = R.with_parsed(t.withColumn("tr", R.transcript("prompt", "resp1", "alpaca")), "tr", "squad_v2", "alpaca",
+                      "span_alpaca")
     return t.select("item_id", extract_span("resp1").alias("span1"), extract_span("resp2").alias("span2"),
-                    R.parse_answer(R.transcript("prompt", "resp1", "alpaca"), "squad_v2", "alpaca").alias("span_alpaca"))
+                    "span_alpaca")
 
 
 NUM_CTE = f"""qn as ({duck(QA_NUMBER_SQL, orders='orders')}),
@@ -122,9 +124,10 @@ def q_extract_number(spark, sf_dir):
     r1 = R.round1_prompts(gsm8k_corpus(spark, sf_dir, "sharegpt", WITH_RESP), "gsm8k", "sharegpt",
                           keep=WITH_RESP)
     t = r1
-    tr = R.transcript("prompt", F.concat("resp1", F.lit(K.EOT)), "sharegpt")
+    t = t.withColumn("tr", R.transcript("prompt", F.concat("resp1", F.lit(K.EOT)), "sharegpt"))
+    t = R.with_parsed(t, "tr", "gsm8k", "sharegpt", "pred_val_chat")
     return t.select("item_id", extract_number("resp1").alias("pred_val"), extract_number("resp2").alias("attack_pred_val"),
-                    R.parse_answer(tr, "gsm8k", "sharegpt").alias("pred_val_chat"))
+                    "pred_val_chat")
 
 
 def _norm_sql(a: str, p: str, q: str) -> str:
@@ -212,7 +215,7 @@ R2A_SQL = r2a_sql()
 def q_round2_prompts(spark, sf_dir):
     r1 = R.round1_prompts(medqa_corpus(spark, sf_dir, "alpaca", WITH_RESP), "medqa", "alpaca", keep=WITH_RESP)
     t = r1
-    t = t.withColumn("pred", R.parse_answer(R.transcript("prompt", "resp1", "alpaca"), "medqa", "alpaca"))
+    t = R.with_parsed(t.withColumn("tr", R.transcript("prompt", "resp1", "alpaca")), "tr", "medqa", "alpaca", "pred")
     return t.select("item_id", "run", R.round2_prompt(t, "medqa", "alpaca", identity="random", seed=SEED).alias("prompt2"))
 
 
@@ -226,7 +229,8 @@ select item_id, run, {S.user_prompt(f"{S.lit(K.CHALLENGE)} || {S.lit(NL2)} || qu
 def q_round2_prompts_chat(spark, sf_dir):
     r1 = R.round1_prompts(medqa_corpus(spark, sf_dir, "sharegpt", WITH_RESP), "medqa", "sharegpt", keep=WITH_RESP)
     t = r1
-    t = t.withColumn("pred", R.parse_answer(R.transcript("prompt", "resp1", "sharegpt"), "medqa", "sharegpt"))
+    t = R.with_parsed(t.withColumn("tr", R.transcript("prompt", "resp1", "sharegpt")), "tr", "medqa", "sharegpt",
+                      "pred")
     return t.select("item_id", "run", R.round2_prompt(t, "medqa", "sharegpt", identity=None).alias("prompt2"))
 
 

@@ -56,3 +56,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     must survive executor loss."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}" if "://" in base else os.path.join(base, name)
+
+
+def spread(df, min_partitions: Optional[int] = None):
+    """Give row-wise CPU work (regex, rendering, tokenising) one partition per
+    core at least. When a scan yields fewer partitions than the default
+    parallelism (a small file, one row group, an unsplittable file) the rows
+    are spread round-robin; a large input already has more partitions than
+    cores and is returned untouched, so this never adds a shuffle at scale."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
