@@ -142,6 +142,7 @@ def normalise_numbers(gt: ColumnOrName, pred: ColumnOrName, attack: ColumnOrName
     with the largest number of decimals among them; otherwise the comma-free
     strings are kept. Exotic float spellings (``1e5``, ``inf``, ``1_0``) count
     as non-numeric."""
+    # (inputs should be plain columns: each is read several times below)
     a, p, q = (F.replace(col(c), F.lit(","), F.lit("")) for c in (gt, pred, attack))
     ok = a.rlike(_DECIMAL_RE) & p.rlike(_DECIMAL_RE) & q.rlike(_DECIMAL_RE)
     fmt = F.concat(F.lit("%."), F.greatest(_decimals(a), _decimals(p), _decimals(q)).cast("string"), F.lit("f"))

@@ -28,12 +28,19 @@ def dataset_of(path: ColumnOrName) -> Column:
             .otherwise(F.lit("unknown")))
 
 
+_SEP = "\u0001"
+
+
 def run_dimensions(path: ColumnOrName) -> Column:
-    """struct of run dimensions parsed from a result-file path."""
+    """struct of run dimensions parsed from a result-file path. The
+    layout regex runs once per row: a whole-string replacement lays the
+    groups out separated by \\u0001 and a split picks them up."""
     p = col(path)
+    laid = F.regexp_replace(p, r"^(?:.*?)" + INFER_RE, _SEP + _SEP.join(f"${i}" for i in range(1, 10)))
+    parts = F.when(F.startswith(laid, F.lit(_SEP)), F.split(F.substring(laid, 2, 1 << 30), _SEP, -1))
 
     def g(i: int) -> Column:
-        return F.nullif(F.regexp_extract(p, INFER_RE, i), F.lit(""))
+        return F.nullif(F.get(parts, i - 1), F.lit(""))
 
     return F.struct(
         dataset_of(p).alias("dataset"),

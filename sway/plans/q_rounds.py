@@ -151,8 +151,12 @@ nn as (select item_id, run, {_norm_sql('answer_val', 'pred_val', 'attack_pred_va
 
 def numeric_results(spark, sf_dir) -> DataFrame:
     qn = qa_number(spark, sf_dir)
-    g, p, a = normalise_numbers(gold_number("answer"), extract_number("resp1"), extract_number("resp2"))
-    return qn.select("item_id", "run", g.alias("gt"), p.alias("pred"), a.alias("attack_pred"))
+    # extracted values first, in their own projection: the canonicalisation
+    # reads each of them several times
+    vals = qn.select("item_id", "run", gold_number("answer").alias("answer_val"),
+                     extract_number("resp1").alias("pred_val"), extract_number("resp2").alias("attack_pred_val"))
+    g, p, a = normalise_numbers("answer_val", "pred_val", "attack_pred_val")
+    return vals.select("item_id", "run", g.alias("gt"), p.alias("pred"), a.alias("attack_pred"))
 
 
 @register("normalise_numbers", f"with {NUMRES_CTE} select item_id, run, gt, pred, attack_pred from nn")
