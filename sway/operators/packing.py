@@ -213,6 +213,15 @@ def pack_paired(df: DataFrame, key: str, text_col: str = "text", seq_length: int
     return a.join(b, ["shard", "chunk_id"], "inner")
 
 
+def chunk_order(packed: DataFrame, seed: int = DEFAULT_SEED, rank: bool = True) -> DataFrame:
+    """O2: the second, seeded shuffle of finished chunks: an order key per
+    chunk and (optionally) its global position in that order."""
+    keyed = packed.withColumn("chunk_key", F.concat_ws(":", F.col("shard").cast("string"),
+                                                       F.col("chunk_id").cast("string")))
+    keyed = keyed.withColumn("order_key", order_key("chunk_key", seed))
+    return global_rank(keyed, "chunk_key", seed) if rank else keyed
+
+
 def require_nonempty(packed: DataFrame) -> DataFrame:
     """K5: fail like the reference when not a single chunk results."""
     if packed.isEmpty():

@@ -273,6 +273,13 @@ def two_round(corpus: DataFrame, dataset: str, fmt: str, *, responses: Optional[
     return prediction_records(df, dataset, fmt, keep)
 
 
+def attach_gold(preds: DataFrame, items: DataFrame, keys: Sequence[str] = ("run", "item_id"),
+                gold: str = "answer_idx") -> DataFrame:
+    """Predictions joined 1:1 with the gold of their item (inner equi-join
+    on the item key; AQE picks broadcast or sort-merge at run time)."""
+    return preds.join(items.select(*keys, F.col(gold).alias("gt")), on=list(keys), how="inner")
+
+
 def assert_aligned(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys present on only one side, as ``(keys..., side)`` rows."""
     k = list(keys)
