@@ -28,10 +28,10 @@ def _round(df: DataFrame, cols) -> DataFrame:
 
 
 # ---------------------------------------------------------------- oracle CTEs
-RES_CTE = f"""
-qa as ({duck(QA_CHOICE_SQL, orders='orders')}),
-res as (select item_id, run, answer_idx as gt, {S.choice('resp1')} as pred, {S.choice('resp2')} as attack_pred from qa),
-cube as (select run, gt, pred, attack_pred, count(*) as n from res group by run, gt, pred, attack_pred),
+def metrics_ctes(res: str = "res") -> str:
+    """DuckDB CTEs computing every metric from a results CTE ``res(run, gt,
+    pred, attack_pred)``: cube, ph, ph2, cls, pm, fl, ev."""
+    return f"""cube as (select run, gt, pred, attack_pred, count(*) as n from {res} group by run, gt, pred, attack_pred),
 ph as (select run, 'before' as phase, gt, pred, n from cube
        union all select run, 'after' as phase, gt, attack_pred as pred, n from cube),
 ph2 as (select run, phase, gt, pred, sum(n) as n from ph group by run, phase, gt, pred),
@@ -56,7 +56,13 @@ ev as (select pm_b.run,
          pm_a.accuracy as accuracy_after, pm_a.precision as precision_after, pm_a.recall as recall_after, pm_a.f1 as f1_after,
          fl.n_items, fl.overall_flipping_rate, fl.correct_flipping_rate, fl.incorrect_flipping_rate
        from pm pm_b join pm pm_a on pm_b.run = pm_a.run and pm_b.phase = 'before' and pm_a.phase = 'after'
-       join fl on fl.run = pm_b.run)
+       join fl on fl.run = pm_b.run)"""
+
+
+RES_CTE = f"""
+qa as ({duck(QA_CHOICE_SQL, orders='orders')}),
+res as (select item_id, run, answer_idx as gt, {S.choice('resp1')} as pred, {S.choice('resp2')} as attack_pred from qa),
+{metrics_ctes('res')}
 """
 
 EVAL_COLS = [f"{m}_{p}" for p in ("before", "after") for m in M.METRICS] + list(M.FLIPS)

@@ -15,6 +15,7 @@ from sway.operators import rounds as R
 from sway.plans import sqlgen as S
 from sway.plans.fixtures import QA_CHOICE_SQL, QA_NUMBER_SQL, duck, qa_choice, qa_number, raw_choice_map, raw_numeric
 from sway.plans.q_format import MAP_CTE
+from sway.plans.q_metrics import metrics_ctes
 from sway.plans.registry import register
 
 EOS = K.DEFAULT_EOS
@@ -271,9 +272,26 @@ def q_prediction_records(spark, sf_dir):
                       "attack_pred_val")
 
 
-@register("two_round_metrics")
+def _two_round_metrics_sql() -> str:
+    lb = ", ".join(f"round({c}, 6) as {c}" for c in ("accuracy_before", "accuracy_after", "f1_before", "f1_after",
+                                                     "overall_flipping_rate"))
+    content = (f"{S.lit(K.CHALLENGE)} || {S.lit(NL2)} || question || {S.lit(NL2 + K.PREVIOUS_RESPONSE_LABEL)} || rec"
+               f" || {S.lit(NL2 + SUFFIX_CHOICE)}")
+    return f"""with {CORPUS_CTE},
+p as (select *, {S.choice(S.response_of_chat('prompt || resp1'))} as pred from r1c),
+q as (select *, {S.recall('question', 'pred', from_first_a=True)} as rec from p),
+r2 as (select run, gold, pred, resp2, {S.user_prompt(content)} as prompt2 from q),
+res as (select run, {S.strip("split_part(gold, ':', 1)")} as gt, pred,
+          {S.choice(S.response_of_chat('prompt2 || resp2'))} as attack_pred from r2),
+{metrics_ctes('res')}
+select run, n_items, {lb} from ev"""
+
+
+@register("two_round_metrics", _two_round_metrics_sql())
 def q_two_round_metrics(spark, sf_dir):
     """Two-round job on chat prompts, then the leaderboard of its records."""
     qa = qa_choice(spark, sf_dir)
     rec = R.two_round(medqa_corpus(spark, sf_dir, "sharegpt"), "medqa", "sharegpt", responses=responses(qa))
-    return M.leaderboard(R.choice_results(rec))
+    cols = ["accuracy_before", "accuracy_after", "f1_before", "f1_after", "overall_flipping_rate"]
+    ev = M.evaluate(R.choice_results(rec))
+    return ev.select("run", "n_items", *[F.round(c, 6).alias(c) for c in cols])
