@@ -281,11 +281,13 @@ def attach_gold(preds: DataFrame, items: DataFrame, keys: Sequence[str] = ("run"
 
 
 def assert_aligned(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys present on only one side, as ``(keys..., side)`` rows."""
+    """Keys present on only one side, as ``(keys..., side)`` rows — one
+    full outer join (each side scanned and shuffled once)."""
     k = list(keys)
-    a = left.select(*k).join(right.select(*k), on=k, how="left_anti").withColumn("side", F.lit("left_only"))
-    b = right.select(*k).join(left.select(*k), on=k, how="left_anti").withColumn("side", F.lit("right_only"))
-    return a.unionByName(b)
+    both = left.select(*k, F.lit(True).alias("_l")).join(right.select(*k, F.lit(True).alias("_r")), on=k,
+                                                          how="full_outer")
+    side = F.when(F.col("_r").isNull(), F.lit("left_only")).when(F.col("_l").isNull(), F.lit("right_only"))
+    return both.select(*k, side.alias("side")).filter(F.col("side").isNotNull())
 
 
 def choice_results(records: DataFrame, run_col: str = "run") -> DataFrame:

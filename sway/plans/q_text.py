@@ -107,3 +107,16 @@ select item_id, '<|begin_of_text|>' || {_piece("'user'", 'human')} || {_piece("'
 from corpus""")
 def q_training_text_chat(spark, sf_dir):
     return R.training_text(medqa_corpus(spark, sf_dir, "sharegpt"), "sharegpt").select("item_id", "text")
+
+
+@register("conversation_prompts", f"""with {CONV_CTE},
+last as (select conv_id, max_by(role, turn) as last_role from conversations group by conv_id)
+select t.conv_id, '<|begin_of_text|>' || string_agg({_piece('role', 'text')}, '' order by turn)
+  || '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) as prompt
+from t join last on t.conv_id = last.conv_id where last.last_role = 'user' group by t.conv_id""")
+def q_conversation_prompts(spark, sf_dir):
+    """F10 with the generation prompt: conversations that end on a user turn,
+    rendered for the assistant's next reply."""
+    conv = conversations(spark, sf_dir)
+    waiting = conv.filter(F.element_at("conversations", -1)["from"] == F.lit("human"))
+    return waiting.select("conv_id", render_chat("conversations", add_generation_prompt=True).alias("prompt"))

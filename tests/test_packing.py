@@ -89,3 +89,15 @@ def test_pack_paired_zips_by_chunk(spark):
     assert out and all(len(r.input_ids) == 16 and len(r.input_ids_followup) == 16 for r in out)
     plain = PK.pack(PK.tokenize(df, "text", max_len=None), "k", "input_ids", 16, "<|eot_id|>", 2).count()
     assert len(out) <= plain
+
+
+def test_require_nonempty_and_formatting_func(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, "a b", "c")], "k long, x string, y string")
+    tok = PK.tokenize(df, formatting_func=lambda d: F.concat_ws(" ", "x", "y"), max_len=None)
+    assert tok.first().input_ids == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        PK.require_nonempty(PK.pack(tok, "k", "input_ids", seq_length=100, sep="E"))
+    with pytest.raises(ValueError):
+        PK.prepare(df.select("k"))

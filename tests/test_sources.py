@@ -62,3 +62,20 @@ def test_turns_to_sharegpt_orders_and_maps_roles(spark):
                                   "conv_id long, turn long, role string, text string")
     conv = io.turns_to_sharegpt(turns).first().conversations
     assert [(m["from"], m["value"]) for m in conv] == [("system", "a"), ("gpt", "b"), ("human", "c")]
+
+
+def test_reformat_dispatch_errors_and_strict(spark):
+    import pytest
+
+    from sway.operators.formatting import IntegrityError
+    from sway.plans.fixtures import raw_choice_map
+
+    raw = raw_choice_map(spark, "/root/testdata/sf0.001")
+    with pytest.raises(ValueError):
+        reformat(raw, "unknown", "alpaca")
+    with pytest.raises(NotImplementedError):
+        reformat(raw, "medqa", "xml")
+    with pytest.raises(IntegrityError):
+        reformat(raw, "medqa", "alpaca", strict=True)
+    corpus, rejects = reformat(raw, "medqa", "alpaca")
+    assert corpus.count() + rejects.count() == raw.count()
