@@ -58,7 +58,7 @@ d2{sfx} as (select {key} as k, (('0x' || substr(md5('{SEED}:shard:' || cast({key
 d3{sfx} as (select *, sum(len(ids)) over (partition by shard order by okey, k rows between unbounded preceding and current row)
                  - len(ids) as off from d2{sfx}),
 u{sfx} as (select shard, off, unnest(ids) as tok, generate_subscripts(ids, 1) as i from d3{sfx}),
-c{sfx} as (select shard, (off + i - 1) // {L} as chunk_id, count(*) as n,
+c{sfx} as (select shard, ((off + i - 1) // {L})::BIGINT as chunk_id, count(*) as n,
         md5(string_agg(tok, ' ' order by off + i)) as chunk_md5 from u{sfx} group by shard, chunk_id)"""
 
 
