@@ -42,10 +42,10 @@ def read_corpus(spark: SparkSession, root: str, split: str, fmt: str) -> DataFra
     return spark.read.schema(SC.CORPUS[fmt]).json(corpus_path(root, split, fmt))
 
 
-def read_results(spark: SparkSession, root: str, schema=SC.PREDICTION) -> DataFrame:
-    """SRC5: every ``*.jsonl`` result file under ``root`` in one scan, with
-    its path as ``path`` (provenance for the run dimensions)."""
-    df = (spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+def read_results(spark: SparkSession, root: str, schema=SC.PREDICTION, glob: str = "*.jsonl") -> DataFrame:
+    """SRC5: every result file under ``root`` (``*.jsonl`` by default) in one
+    scan, with its path as ``path`` (provenance for the run dimensions)."""
+    df = (spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
           .json(root))
     return df.select("*", F.col("_metadata.file_path").alias("path"))
 
@@ -82,15 +82,19 @@ def write_predictions(df: DataFrame, path: str, partition_by: Sequence[str] = ("
 
 
 def render_report(report: DataFrame, run_cols: Sequence[str] = ("run",)) -> DataFrame:
-    """SNK3: report text lines ``(run, ordinal, line)``: section headers,
-    ``key: value`` lines, blank separators — same layout as the reference."""
+    """SNK3: report text lines ``(run, ordinal, line)`` in the reference's
+    layout: ``"{section}:\\n\\n"`` before a section's first entry, one
+    ``"key: value"`` line per entry, ``"\\n\\n"`` after its last entry.
+    Numbers use Spark's double-to-string (shortest round-trip digits)."""
     value_text = F.coalesce(F.col("text"), F.col("value").cast("string"))
     line = F.concat(F.col("key"), F.lit(": "), value_text)
-    first = F.min("ordinal").over(Window.partitionBy(*run_cols, "section"))
-    body = report.select(*run_cols, "section", "ordinal", line.alias("line"), (F.col("ordinal") == first).alias("_h"))
-    rows = body.select(*run_cols, "ordinal", F.when(F.col("_h"), F.concat(F.col("section"), F.lit(":\n\n"), F.col("line")))
-                       .otherwise(F.col("line")).alias("line"))
-    return rows
+    w = Window.partitionBy(*run_cols, "section")
+    first, last = F.min("ordinal").over(w), F.max("ordinal").over(w)
+    body = report.select(*run_cols, "section", "ordinal", line.alias("line"), (F.col("ordinal") == first).alias("_h"),
+                         (F.col("ordinal") == last).alias("_t"))
+    text = F.concat(F.when(F.col("_h"), F.concat(F.col("section"), F.lit(":\n\n"))).otherwise(F.lit("")),
+                    F.col("line"), F.when(F.col("_t"), F.lit("\n\n")).otherwise(F.lit("")))
+    return body.select(*run_cols, "ordinal", text.alias("line"))
 
 
 def write_report(report: DataFrame, path: str, run_cols: Sequence[str] = ("run",), mode: str = "overwrite") -> None:
