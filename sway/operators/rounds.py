@@ -256,6 +256,9 @@ def two_round(corpus: DataFrame, dataset: str, fmt: str, *, responses: Optional[
     if responses is not None:
         df = attach_responses(r1, responses, 1, keys)
     elif generator is not None:
+        from sway.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(corpus.sparkSession)  # reliable checkpoints go to the shared folder
         df = generate(r1, generator, "prompt", "response_1", max_new_tokens).checkpoint(eager=True)
     else:
         raise ValueError("two_round needs recorded responses or a generator")

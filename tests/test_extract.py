@@ -114,3 +114,31 @@ def test_recall_option_quirks(spark):
     assert compat[1] == "A: nation 1"  # an empty prediction recalls option A in the reference
     chat = [r.r for r in df.select(recall_option("o", "p", from_first_a=True).alias("r")).collect()]
     assert chat[4] == "A: x"  # the scan starts inside "DNA:" as in the reference
+
+
+def py_normalise(a, p, q):
+    """Python statement of the joint canonicalisation for plain decimals."""
+    a, p, q = (x.replace(",", "") for x in (a, p, q))
+    if a and p and q:
+        try:
+            fa, fp, fq = float(a), float(p), float(q)
+        except ValueError:
+            return a, p, q
+        n = max(len(x.split(".")[1]) if "." in x else 0 for x in (a, p, q))
+        return f"{fa:.{n}f}", f"{fp:.{n}f}", f"{fq:.{n}f}"
+    return a, p, q
+
+
+decimal = st.from_regex(r"\A[+-]?([0-9]{1,7}(\.[0-9]{0,4})?|\.[0-9]{1,4})\Z").map(lambda s: s)
+with_commas = st.from_regex(r"\A[0-9]{1,3}(,[0-9]{3}){0,2}(\.[0-9]{1,3})?\Z")
+junk = st.sampled_from(["", "abc", "1.2.3", "-", ".", "12a"])
+number_text = st.one_of(decimal, with_commas, junk)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(number_text, number_text, number_text), min_size=1, max_size=25))
+def test_normalise_numbers_matches_python(spark, triples):
+    df = spark.createDataFrame(triples, "g string, p string, a string")
+    g, p, a = normalise_numbers("g", "p", "a")
+    got = [tuple(r) for r in df.select(g, p, a).collect()]
+    assert got == [py_normalise(*t) for t in triples]

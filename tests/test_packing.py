@@ -101,3 +101,22 @@ def test_require_nonempty_and_formatting_func(spark):
         PK.require_nonempty(PK.pack(tok, "k", "input_ids", seq_length=100, sep="E"))
     with pytest.raises(ValueError):
         PK.prepare(df.select("k"))
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=40), st.integers(1, 12), st.integers(1, 4),
+       st.integers(0, 1000))
+def test_pack_random_matches_naive(spark, lengths, L, shards, seed):
+    docs = {k: [f"{k}.{i}" for i in range(n)] for k, n in enumerate(lengths)}
+    df = _tok_df(spark, docs)
+    got = PK.pack(df, "k", "ids", seq_length=L, sep="|", shards=shards, seed=seed).collect()
+    tags = df.select("k", PK.shard_of("k", shards, seed).alias("s"), PK.order_key("k", seed).alias("o")).collect()
+    expected = []
+    for s in range(shards):
+        order = [t.k for t in sorted((t for t in tags if t.s == s), key=lambda t: (t.o, t.k))]
+        expected += [(s, tuple(c)) for c in naive_pack(docs, L, "|", order)]
+    assert sorted((r.shard, tuple(r.input_ids)) for r in got) == sorted(expected)
