@@ -116,9 +116,10 @@ def analyze_job(spark: SparkSession, results_root: str, output: str, glob: str =
     out = output.rstrip("/")
     paths = {"metrics": f"{out}/metrics", "confusion": f"{out}/confusion", "report": f"{out}/report"}
     board.write.mode("overwrite").parquet(paths["metrics"])
-    M.confusion_long(M.phase_cube(cube, ("run", "dataset")), ("run", "dataset")).write.mode("overwrite").parquet(
-        paths["confusion"])
-    io.write_report(M.report_long(board, ("run",)), paths["report"])
+    pcube = M.phase_cube(cube, ("run", "dataset"))
+    M.confusion_long(pcube, ("run", "dataset")).write.mode("overwrite").parquet(paths["confusion"])
+    confusion = M.confusion_text(pcube, ("run", "dataset")).drop("dataset", "n_labels")
+    io.write_report(M.report_long(board, ("run",), confusion), paths["report"])
     cube.unpersist()
     return paths
 

@@ -193,27 +193,49 @@ def leaderboard(results: DataFrame, run_cols: RunCols = ("run",), **cols) -> Dat
 
 
 REPORT_SECTIONS = (
-    ("Before questioning", [(m, f"{m}_before") for m in METRICS]),
-    ("After questioning", [(m, f"{m}_after") for m in METRICS]),
+    ("Before questioning", [(m, f"{m}_before") for m in METRICS] + [("confusion_matrix", "@before")]),
+    ("After questioning", [(m, f"{m}_after") for m in METRICS] + [("confusion_matrix", "@after")]),
     ("Flipping", [(m, m) for m in FLIPS]),
+    ("Latex table", [("latex", "@latex")]),
 )
 
 
-def report_long(board: DataFrame, run_cols: RunCols = ("run",)) -> DataFrame:
+def report_entries() -> list[tuple[str, int, str, str]]:
+    """``(section, ordinal, key, source)`` in report order; ``source`` is a
+    board column, ``@before``/``@after`` (confusion text) or ``@latex``."""
+    out, o = [], 0
+    for section, items in REPORT_SECTIONS:
+        for key, src in items:
+            out.append((section, o, key, src))
+            o += 1
+    return out
+
+
+def report_long(board: DataFrame, run_cols: RunCols = ("run",), confusion: DataFrame | None = None) -> DataFrame:
     """SNK3 content: ``(run, section, ordinal, key, value, text)`` rows — the
-    report as a long table (value for numbers, text for the LaTeX row)."""
+    report as a long table (value for numbers, text for the LaTeX row and, if
+    ``confusion`` (from ``confusion_text``) is given, the matrices)."""
     entries = []
-    ordinal = 0
-    for section, items in REPORT_SECTIONS:
-        for key, colname in items:
-            entries.append(F.struct(F.lit(section).alias("section"), F.lit(ordinal).alias("ordinal"),
-                                    F.lit(key).alias("key"), F.col(colname).cast("double").alias("value"),
-                                    F.lit(None).cast("string").alias("text")))
-            ordinal += 1
-    entries.append(F.struct(F.lit("Latex table").alias("section"), F.lit(ordinal).alias("ordinal"),
-                            F.lit("latex").alias("key"), F.lit(None).cast("double").alias("value"),
-                            F.col("latex").alias("text")))
-    return board.select(*run_cols, F.inline(F.array(*entries)))
+    for section, o, key, src in report_entries():
+        if src == "@latex":
+            value, text = F.lit(None).cast("double"), F.col("latex")
+        elif src.startswith("@"):
+            continue
+        else:
+            value, text = F.col(src).cast("double"), F.lit(None).cast("string")
+        entries.append(F.struct(F.lit(section).alias("section"), F.lit(o).alias("ordinal"), F.lit(key).alias("key"),
+                                value.alias("value"), text.alias("text")))
+    rows = board.select(*run_cols, F.inline(F.array(*entries)))
+    if confusion is None:
+        return rows
+    where = {src[1:]: (section, o) for section, o, key, src in report_entries() if src in ("@before", "@after")}
+    ph = F.col("phase")
+    cm = confusion.join(board.select(*run_cols), list(run_cols), "left_semi").select(
+        *run_cols,
+        F.when(ph == "before", F.lit(where["before"][0])).otherwise(F.lit(where["after"][0])).alias("section"),
+        F.when(ph == "before", F.lit(where["before"][1])).otherwise(F.lit(where["after"][1])).alias("ordinal"),
+        F.lit("confusion_matrix").alias("key"), F.lit(None).cast("double").alias("value"), F.col("text"))
+    return rows.unionByName(cm)
 
 
 def label_results(df: DataFrame, gt: Column, pred: Column, attack_pred: Column, run: Column) -> DataFrame:
@@ -226,3 +248,57 @@ def step_budget(df: DataFrame, epochs: int, batch_size: int) -> DataFrame:
     """Corpus size and the training step budget ``epochs * ceil(n / batch)``."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
         "n_rows", (F.lit(epochs) * F.ceil(F.col("n_rows") / F.lit(batch_size))).cast("bigint").alias("total_steps"))
+
+
+# numpy's default print width for ``array2string`` (fixed value): rows of a
+# 2-D matrix wrap once a line would pass 75 - 2 characters.
+NUMPY_LINE_WIDTH = 75
+
+
+def _numpy_row(vals: Column, width: Column, n: Column) -> Column:
+    """One matrix row as numpy prints it: right-aligned cells, ', ' between
+    them, continuation lines indented by two spaces."""
+    limit = NUMPY_LINE_WIDTH - 2
+    words = F.transform(vals, lambda v, i: F.concat(F.lpad(v.cast("string"), width, " "),
+                                                    F.when(i < n - 1, F.lit(", ")).otherwise(F.lit(""))))
+    init = F.struct(F.lit("").alias("text"), F.lit(2).alias("len"))
+
+    def step(acc, w):
+        core = F.rtrim(w)  # the word without the trailing separator space
+        wrap = (acc["len"] + F.length(core) > limit) & (acc["len"] > 2)
+        text = F.when(wrap, F.concat(F.rtrim(acc["text"]), F.lit("\n  "), w)).otherwise(F.concat(acc["text"], w))
+        length = F.when(wrap, F.lit(2) + F.length(w)).otherwise(acc["len"] + F.length(w))
+        return F.struct(text.alias("text"), length.alias("len"))
+
+    return F.concat(F.lit("["), F.aggregate(words, init, step, lambda acc: acc["text"]), F.lit("]"))
+
+
+def confusion_text(pcube: DataFrame, run_cols: RunCols = ("run",), max_labels: int = 64) -> DataFrame:
+    """The confusion matrix of every ``(run, phase)`` as numpy prints it
+    (``np.array2string(cm, separator=', ')``), rows and columns = predicted
+    labels in sorted order. Only groups with at most ``max_labels`` labels are
+    expanded (a proven bound of ``max_labels**2`` cells); larger ones get a
+    pointer to the long confusion table instead."""
+    keys = [*run_cols, "phase"]
+    labels = predicted_labels(pcube, run_cols)
+    sizes = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_labels"))
+    cells = confusion_long(pcube, run_cols)
+    gi = labels.select(*keys, F.col("label").alias("gt"), F.col("idx").alias("gi"))
+    pj = labels.select(*keys, F.col("label").alias("pred"), F.col("idx").alias("pj"))
+    indexed = cells.join(gi, [*keys, "gt"]).join(pj, [*keys, "pred"])
+    per_row = indexed.groupBy(*keys, "gi").agg(F.map_from_entries(F.collect_list(F.struct("pj", "n"))).alias("m"))
+    small = sizes.filter(F.col("n_labels") <= max_labels)
+    rows = gi.join(small, keys).join(per_row, [*keys, "gi"], "left").select(
+        *keys, "gi", "n_labels",
+        F.transform(F.sequence(F.lit(0), F.col("n_labels") - 1),
+                    lambda j: F.coalesce(F.col("m")[j], F.lit(0).cast("bigint"))).alias("vals"))
+    mats = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("gi", "vals"))).alias("rows"),
+                                   F.first("n_labels").alias("n_labels"),
+                                   F.max(F.array_max(F.transform("vals", lambda v: F.length(v.cast("string")))))
+                                   .alias("width"))
+    text = F.concat(F.lit("["), F.array_join(
+        F.transform("rows", lambda r: _numpy_row(r["vals"], F.col("width"), F.col("n_labels"))), ",\n "), F.lit("]"))
+    expanded = mats.select(*keys, "n_labels", text.alias("text"))
+    big = sizes.filter(F.col("n_labels") > max_labels).select(
+        *keys, "n_labels", F.format_string("(%d labels: see the confusion table)", F.col("n_labels")).alias("text"))
+    return expanded.unionByName(big)

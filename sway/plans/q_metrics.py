@@ -146,14 +146,13 @@ def q_leaderboard(spark, sf_dir):
 
 def _report_sql() -> str:
     rows = []
-    o = 0
-    for section, items in M.REPORT_SECTIONS:
-        for key, c in items:
+    for section, o, key, src in M.report_entries():
+        if src == "@latex":
+            rows.append(f"select run, '{section}' as section, {o} as ordinal, 'latex' as key, null::double as value, "
+                        f"{_latex_sql()} as text from ev")
+        elif not src.startswith("@"):
             rows.append(f"select run, '{section}' as section, {o} as ordinal, '{key}' as key, "
-                        f"round({c}, 6) as value, null::varchar as text from ev")
-            o += 1
-    rows.append(f"select run, 'Latex table' as section, {o} as ordinal, 'latex' as key, null::double as value, "
-                f"{_latex_sql()} as text from ev")
+                        f"round({src}, 6) as value, null::varchar as text from ev")
     return f"with {RES_CTE} " + " union all ".join(rows)
 
 

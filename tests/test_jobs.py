@@ -49,7 +49,6 @@ def test_format_infer_analyze(spark):
     assert board[0].accuracy_after == direct.accuracy_after
     assert board[0].dims.dataset == "medqa"
     lines = [r.value for r in spark.read.text(paths["report"]).collect()]
-    expected = "".join(f"{sec}:\n\n" + "".join(f"{k}: x\n" for k, _ in items) + "\n\n"
-                       for sec, items in M.REPORT_SECTIONS + (("Latex table", [("latex", "")]),))
-    assert len(lines) == expected.count("\n")
     assert lines[0] == "Before questioning:" and lines[1] == "" and lines[2].startswith("accuracy: ")
+    assert lines[6].startswith("confusion_matrix: [[") and "Latex table:" in lines
+    assert lines[-3].startswith("latex:  ") and lines[-2:] == ["", ""]

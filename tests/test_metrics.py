@@ -99,3 +99,24 @@ def test_latex_row_format(spark):
 def test_empty_input_gives_no_division_error(spark):
     empty = _results(spark, [("A", "A", "A")]).filter("false")
     assert M.evaluate(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed,n_labels,n_rows", [(1, 2, 30), (2, 5, 200), (3, 16, 2000), (4, 22, 3000)])
+def test_confusion_text_matches_numpy(spark, seed, n_labels, n_rows):
+    import numpy as np
+
+    rnd = random.Random(seed)
+    labs = [f"L{i:02d}" for i in range(n_labels)]
+    triples = [(rnd.choice(labs + ["X"]), rnd.choice(labs), rnd.choice(labs)) for _ in range(n_rows)]
+    res = _results(spark, triples)
+    got = {r.phase: r.text for r in M.confusion_text(M.phase_cube(M.outcome_cube(res))).collect()}
+    gt = [t[0] for t in triples]
+    for phase, col in (("before", 1), ("after", 2)):
+        pred = [t[col] for t in triples]
+        labels = sorted(set(pred))
+        cm = np.zeros((len(labels), len(labels)), dtype=np.int64)
+        pos = {lab: i for i, lab in enumerate(labels)}
+        for g, p in zip(gt, pred):
+            if g in pos:
+                cm[pos[g], pos[p]] += 1
+        assert got[phase] == np.array2string(cm, separator=", ")
