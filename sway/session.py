@@ -38,14 +38,17 @@ def get_spark(master: Optional[str] = None, app: str = "sway", shuffle_partition
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``. Only when it is unset (local tests) a private
-    folder is created and registered."""
+    ``spark.checkpoint.dir``. Only when it is unset on a local master (tests,
+    a laptop) a private folder is created; on a cluster a machine-local
+    folder would not survive executor loss, so an unset setting is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS / object storage)")
     path = tempfile.mkdtemp(prefix="sway-ckpt-")
     sc.setCheckpointDir(path)
     return path
