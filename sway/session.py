@@ -31,9 +31,9 @@ def get_spark(master: Optional[str] = None, app: str = "sway", shuffle_partition
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
-    spark = builder.getOrCreate()
-    ensure_checkpoint_dir(spark)
-    return spark
+    # the checkpoint folder is resolved lazily, by the operators that cut
+    # lineage (ensure_checkpoint_dir)
+    return builder.getOrCreate()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
