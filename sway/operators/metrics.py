@@ -103,14 +103,19 @@ def confusion_long(pcube: DataFrame, run_cols: RunCols = ("run",)) -> DataFrame:
     return pcube.join(labels, on=[*keys, "gt"], how="left_semi").select(*keys, "gt", "pred", "n")
 
 
-def predicted_labels(pcube: DataFrame, run_cols: RunCols = ("run",)) -> DataFrame:
+def predicted_labels(pcube: DataFrame, run_cols: RunCols = ("run",), max_labels: int = 4096) -> DataFrame:
     """Distinct predicted labels per ``(run, phase)`` with their matrix index
-    (code-point order, as numpy sorts strings)."""
-    keys = [*run_cols, "phase"]
+    (code-point order, as numpy sorts strings) and the label count. Indices
+    exist to print dense matrices, so they are assigned only where a group has
+    at most ``max_labels`` labels: the numbering window then never holds more
+    than that many rows, however large a numeric run's label set grows."""
     from pyspark.sql import Window
 
+    keys = [*run_cols, "phase"]
     labels = pcube.select(*keys, F.col("pred").alias("label")).distinct()
-    return labels.withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("label")) - 1)
+    sizes = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_labels")).filter(F.col("n_labels") <= max_labels)
+    bounded = labels.join(sizes, keys)
+    return bounded.withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("label")) - 1)
 
 
 def evaluate(results: DataFrame, run_cols: RunCols = ("run",), gt: str = "gt", pred: str = "pred",
@@ -280,14 +285,18 @@ def confusion_text(pcube: DataFrame, run_cols: RunCols = ("run",), max_labels: i
     expanded (a proven bound of ``max_labels**2`` cells); larger ones get a
     pointer to the long confusion table instead."""
     keys = [*run_cols, "phase"]
-    labels = predicted_labels(pcube, run_cols)
-    sizes = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_labels"))
-    cells = confusion_long(pcube, run_cols)
+    all_sizes = pcube.select(*keys, F.col("pred").alias("label")).distinct().groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_labels"))
+    # the bound is applied before anything is gathered or numbered: only groups
+    # with at most max_labels labels reach the window and the per-row collect
+    labels = predicted_labels(pcube, run_cols, max_labels)
+    small = labels.select(*keys, "n_labels").distinct()
+    sizes = all_sizes
+    cells = confusion_long(pcube, run_cols).join(small.select(*keys), keys, "left_semi")
     gi = labels.select(*keys, F.col("label").alias("gt"), F.col("idx").alias("gi"))
     pj = labels.select(*keys, F.col("label").alias("pred"), F.col("idx").alias("pj"))
     indexed = cells.join(gi, [*keys, "gt"]).join(pj, [*keys, "pred"])
     per_row = indexed.groupBy(*keys, "gi").agg(F.map_from_entries(F.collect_list(F.struct("pj", "n"))).alias("m"))
-    small = sizes.filter(F.col("n_labels") <= max_labels)
     rows = gi.join(small, keys).join(per_row, [*keys, "gi"], "left").select(
         *keys, "gi", "n_labels",
         F.transform(F.sequence(F.lit(0), F.col("n_labels") - 1),

@@ -50,7 +50,8 @@ def q_alignment_check(spark, sf_dir):
 select run, phase, label, (row_number() over (partition by run, phase order by label) - 1)::INTEGER as idx
 from (select distinct run, phase, pred as label from ph2) d""")
 def q_predicted_labels(spark, sf_dir):
-    return M.predicted_labels(M.phase_cube(M.outcome_cube(choice_results(spark, sf_dir))))
+    pl = M.predicted_labels(M.phase_cube(M.outcome_cube(choice_results(spark, sf_dir))))
+    return pl.select("run", "phase", "label", "idx")
 
 
 @register("chunk_order", f"""with {_pack_sql('documents', 'doc_id', 'text', PACK_L, PACK_NSEQ, 'text')},
