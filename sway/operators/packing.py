@@ -81,14 +81,27 @@ def tokenize(df: DataFrame, text_col: str = "text", max_len: Optional[int] = MAX
     return df.withColumn(out, ids).withColumn("attention_mask", F.array_repeat(F.lit(1), F.size(F.col(out))))
 
 
-def prepare(df: DataFrame, text_col: Optional[str] = None, formatting_func=None, **kw) -> DataFrame:
-    """Pass already-tokenised data through; otherwise tokenise. A text
-    column or a formatting function is required."""
+def prepare(df: DataFrame, text_col: Optional[str] = None, formatting_func=None, packing: bool = False,
+            key: Optional[str] = None, seq_length: int = PACK_SEQ_LENGTH, sep=DEFAULT_EOS,
+            num_of_sequences: int = PACK_NUM_SEQUENCES, chars_per_token: float = PACK_CHARS_PER_TOKEN,
+            seed: int = DEFAULT_SEED, **kw) -> DataFrame:
+    """Pass already-tokenised data through; otherwise tokenise (truncated,
+    non-packed) or, with ``packing``, tokenise untruncated and pack into
+    constant-length chunks keyed by ``key``. A text column or a formatting
+    function is required."""
     if "input_ids" in df.columns:
         return df
     if text_col is None and formatting_func is None:
         raise ValueError("You need to pass a text column or a formatting function to tokenise the dataset.")
-    return tokenize(df, text_col or "text", formatting_func=formatting_func, **kw)
+    if not packing:
+        return tokenize(df, text_col or "text", formatting_func=formatting_func, **kw)
+    if key is None:
+        raise ValueError("packing needs a key column that orders the samples")
+    text = formatting_func(df) if formatting_func is not None else F.col(text_col)
+    src = df.select(F.col(key), text.alias("_text"))
+    shards = shard_count(src, "_text", seq_length, num_of_sequences, chars_per_token)
+    toks = tokenize(src, "_text", max_len=None, tokenizer=kw.get("tokenizer"))
+    return require_nonempty(pack(toks, key, "input_ids", seq_length, sep, shards, seed))
 
 
 # ------------------------------------------------------------------- order

@@ -120,3 +120,11 @@ def test_pack_random_matches_naive(spark, lengths, L, shards, seed):
         order = [t.k for t in sorted((t for t in tags if t.s == s), key=lambda t: (t.o, t.k))]
         expected += [(s, tuple(c)) for c in naive_pack(docs, L, "|", order)]
     assert sorted((r.shard, tuple(r.input_ids)) for r in got) == sorted(expected)
+
+
+def test_prepare_packing_switch(spark):
+    df = spark.createDataFrame([(k, " ".join(f"w{k}_{i}" for i in range(50))) for k in range(10)], "k long, text string")
+    packed = PK.prepare(df, "text", packing=True, key="k", seq_length=32)
+    assert packed.count() > 0 and all(len(r.input_ids) == 32 for r in packed.collect())
+    plain = PK.prepare(df, "text", max_len=8)
+    assert all(len(r.input_ids) == 8 for r in plain.collect())
