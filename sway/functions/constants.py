@@ -26,6 +26,22 @@ ANSWER_PATTERN = "The correct answer is"
 NUMBER_PATTERN = "####"
 RECALL_LETTERS = "ABCDEFGH"
 
+# --- fixed values: answer-extraction patterns (Python regex syntax) ----------
+# text after the answer marker: an optional colon, whitespace, one capital letter
+CHOICE_AFTER_MARKER = r":?\s+([A-Z]):?"
+# a response that opens with "X:"
+LEADING_CHOICE = r"^([A-Z]):"
+# a free span after the marker, up to the first period or the end
+SPAN_AFTER_MARKER = r"(?:[^A-Za-z0-9]+)?\s*(.+?)(?:\.|$)"
+# the first number after the marker (one separator group at most)
+NUMBER_AFTER_MARKER = r".*?([+-]?\d+(?:[,\.]\d+)?|\.\d+)"
+# the chat parser's fallback, which accepts only "." as separator
+NUMBER_AFTER_MARKER_DOT_ONLY = r".*?([+-]?\d+(?:[.\.]\d+)?|\.\d+)"
+# options quoted back in the challenge: "X: text" up to a comma or period
+OPTION_HIT = r"[A-Z]: [^,.]+"
+# alpha of a consistency-training run, in a folder name
+ALPHA_DIR = r"alpha_([0-9]+\.[0-9]+|[0-9]+)"
+
 # --- fixed values: task suffix appended to every question, per dataset ------
 # (the spelling "Sovle" is part of the prompts that were used)
 TASK_SUFFIX = {

@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 from sway.functions.constants import (
     ALPACA_RESPONSE_MARKER,
     ANSWER_PATTERN,
+    CHOICE_AFTER_MARKER,
+    LEADING_CHOICE,
+    NUMBER_AFTER_MARKER,
+    NUMBER_AFTER_MARKER_DOT_ONLY,
     NUMBER_PATTERN,
+    OPTION_HIT,
     RECALL_LETTERS,
+    SPAN_AFTER_MARKER,
     START_HEADER,
 )
 from sway.functions.text import ColumnOrName, col, py_strip, quote_regex
@@ -63,12 +69,12 @@ def extract_choice(response: ColumnOrName, pattern: str = ANSWER_PATTERN) -> Col
     r = col(response)
 
     def attempt(p: str) -> Column:
-        return F.regexp_extract(tail_from_last(r, p), "(?U)" + p + r":?\s+([A-Z]):?", 1)
+        return F.regexp_extract(tail_from_last(r, p), "(?U)" + p + CHOICE_AFTER_MARKER, 1)
 
     return F.coalesce(
         _nz(attempt(pattern)),
         _nz(attempt(pattern.lower())),
-        _nz(F.regexp_extract(r, r"^([A-Z]):", 1)),
+        _nz(F.regexp_extract(r, LEADING_CHOICE, 1)),
         F.lit(""),
     )
 
@@ -79,22 +85,18 @@ def extract_span(response: ColumnOrName, pattern: str = ANSWER_PATTERN) -> Colum
     r = col(response)
 
     def attempt(p: str) -> Column:
-        return F.regexp_extract(tail_from_last(r, p), "(?dU)" + p + r"(?:[^A-Za-z0-9]+)?\s*(.+?)(?:\.|$)", 1)
+        return F.regexp_extract(tail_from_last(r, p), "(?dU)" + p + SPAN_AFTER_MARKER, 1)
 
     return F.coalesce(_nz(py_strip(attempt(pattern))), _nz(py_strip(attempt(pattern.lower()))), F.lit(""))
 
 
-_NUMBER = r"([+-]?\d+(?:[,\.]\d+)?|\.\d+)"
-_NUMBER_DOT_ONLY = r"([+-]?\d+(?:[.\.]\d+)?|\.\d+)"
-
-
 def extract_number(response: ColumnOrName, pattern: str = NUMBER_PATTERN, *, dot_only_fallback: bool = False) -> Column:
     """number after the marker on the same line; the last marker first,
     else the first marker followed by a number anywhere. ``dot_only_fallback``
     reproduces the chat parser, whose fallback accepts only ``.`` separators."""
     r = col(response)
-    main = "(?dU)" + pattern + ".*?" + _NUMBER
-    fallback = "(?dU)" + pattern + ".*?" + (_NUMBER_DOT_ONLY if dot_only_fallback else _NUMBER)
+    main = "(?dU)" + pattern + NUMBER_AFTER_MARKER
+    fallback = "(?dU)" + pattern + (NUMBER_AFTER_MARKER_DOT_ONLY if dot_only_fallback else NUMBER_AFTER_MARKER)
     return F.coalesce(
         _nz(F.regexp_extract(tail_from_last(r, pattern), main, 1)),
         _nz(F.regexp_extract(r, fallback, 1)),
@@ -104,7 +106,7 @@ def extract_number(response: ColumnOrName, pattern: str = NUMBER_PATTERN, *, dot
 
 def option_texts(options_text: ColumnOrName) -> Column:
     """All ``X: text`` hits of an options string; text stops at ``,`` or ``.``."""
-    return F.regexp_extract_all(col(options_text), F.lit(r"[A-Z]: [^,.]+"), 0)
+    return F.regexp_extract_all(col(options_text), F.lit(OPTION_HIT), 0)
 
 
 def recall_option(options_text: ColumnOrName, pred_idx: ColumnOrName, *, from_first_a: bool = False,

@@ -3,7 +3,7 @@
 Inference results live at
 ``{root}/{output_dir}/{dataset}/[4bit/]{identity}/{format}/{model_str}/{model}[/alpha_{alpha}]/{split}.jsonl``;
 training outputs at
-``{root}/outputs/{dataset}[/4bit]/consistentLLMs/{format}/{model}/{criterion}[_{lr}_{batch}]``.
+``{root}/outputs/{dataset}[/4bit]/{method_dir}/{format}/{model}/{criterion}[_{lr}_{batch}]``.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sway.functions.constants import ALPHA_DIR
 from sway.functions.text import ColumnOrName, col, slug
 
-ALPHA_RE = r"alpha_([0-9]+\.[0-9]+|[0-9]+)"
+ALPHA_RE = ALPHA_DIR
 INFER_RE = (r"(?:^|/)([^/]+)/(medqa|medaq|openbookqa|gsm8k|squad_v2)/(?:(4bit)/)?([^/]+)/(alpaca|sharegpt)/"
             r"([^/]+)/(.+?)/(?:" + ALPHA_RE + r"/)?([^/]+)\.jsonl$")
 
@@ -66,11 +67,13 @@ def infer_path(root: ColumnOrName, dataset: ColumnOrName, model: ColumnOrName, m
 
 
 def train_path(root: ColumnOrName, dataset: ColumnOrName, model: ColumnOrName, fmt: ColumnOrName,
-               criterion: ColumnOrName, lr: ColumnOrName, batch_size: ColumnOrName) -> Column:
-    """F23 (training): checkpoint folder of a consistency-training run."""
+               criterion: ColumnOrName, lr: ColumnOrName, batch_size: ColumnOrName,
+               method_dir: str = "consistency_sft") -> Column:
+    """F23 (training): checkpoint folder of a consistency-training run
+    (``method_dir`` names the training method's folder)."""
     m = col(model)
     q = m.contains("4bit")
     tail = F.when(q, F.concat_ws("_", col(criterion), col(lr).cast("string"), col(batch_size).cast("string"))) \
         .otherwise(col(criterion))
-    return F.concat_ws("/", col(root), F.lit("outputs"), col(dataset), F.when(q, F.lit("4bit")), F.lit("consistentLLMs"),
+    return F.concat_ws("/", col(root), F.lit("outputs"), col(dataset), F.when(q, F.lit("4bit")), F.lit(method_dir),
                        col(fmt), m, tail)

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sway.functions.paths import infer_path, run_dimensions, train_path
+from sway.functions.constants import ALPHA_DIR
+from sway.functions.paths import INFER_RE, infer_path, run_dimensions, train_path
 from sway.plans.registry import register, table
 
 RUNS_SQL = """
@@ -23,9 +24,8 @@ select o_orderkey as k,
 from {orders}
 """
 
-_ALPHA = r"alpha_([0-9]+\.[0-9]+|[0-9]+)"
-_INFER = (r"(?:^|/)([^/]+)/(medqa|medaq|openbookqa|gsm8k|squad_v2)/(?:(4bit)/)?([^/]+)/(alpaca|sharegpt)/"
-          r"([^/]+)/(.+?)/(?:" + _ALPHA + r"/)?([^/]+)\.jsonl$")
+_ALPHA = ALPHA_DIR
+_INFER = INFER_RE
 
 
 def _paths_sql() -> str:
@@ -55,7 +55,7 @@ def q_run_dimensions(spark, sf_dir):
 
 
 @register("run_path", f"""with runs as ({RUNS_SQL.format(orders='orders')})
-select k, concat_ws('/', '.', 'outputs', dataset, case when model like '%4bit%' then '4bit' end, 'consistentLLMs', fmt, model,
+select k, concat_ws('/', '.', 'outputs', dataset, case when model like '%4bit%' then '4bit' end, 'consistency_sft', fmt, model,
   case when model like '%4bit%' then 'ot_0.0001_8' else 'ot' end) as train_path from runs""")
 def q_run_path(spark, sf_dir):
     runs = spark.sql(RUNS_SQL, orders=table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))

@@ -8,7 +8,15 @@ Only the fixed strings are shared.
 
 from __future__ import annotations
 
-from sway.functions.constants import ANSWER_PATTERN, NUMBER_PATTERN
+from sway.functions.constants import (
+    ANSWER_PATTERN,
+    CHOICE_AFTER_MARKER,
+    LEADING_CHOICE,
+    NUMBER_AFTER_MARKER,
+    NUMBER_PATTERN,
+    OPTION_HIT,
+    SPAN_AFTER_MARKER,
+)
 
 
 def lit(s: str) -> str:
@@ -33,23 +41,20 @@ def tail(e: str, p: str) -> str:
 
 def choice(e: str, p: str = ANSWER_PATTERN) -> str:
     def attempt(q: str) -> str:
-        return f"nullif(regexp_extract({tail(e, q)}, {lit(q + ':?\\s+([A-Z]):?')}, 1), '')"
+        return f"nullif(regexp_extract({tail(e, q)}, {lit(q + CHOICE_AFTER_MARKER)}, 1), '')"
 
-    return f"coalesce({attempt(p)}, {attempt(p.lower())}, nullif(regexp_extract({e}, '^([A-Z]):', 1), ''), '')"
+    return f"coalesce({attempt(p)}, {attempt(p.lower())}, nullif(regexp_extract({e}, {lit(LEADING_CHOICE)}, 1), ''), '')"
 
 
 def span(e: str, p: str = ANSWER_PATTERN) -> str:
     def attempt(q: str) -> str:
-        return (f"nullif({strip(f'regexp_extract({tail(e, q)}, {lit(q + "(?:[^A-Za-z0-9]+)?\\s*(.+?)(?:\\.|$)")}, 1)')}, '')")
+        return f"nullif({strip(f'regexp_extract({tail(e, q)}, {lit(q + SPAN_AFTER_MARKER)}, 1)')}, '')"
 
     return f"coalesce({attempt(p)}, {attempt(p.lower())}, '')"
 
 
-NUMBER_RE = "([+-]?\\d+(?:[,.]\\d+)?|\\.\\d+)"
-
-
 def number(e: str, p: str = NUMBER_PATTERN) -> str:
-    rx = lit(p + ".*?" + NUMBER_RE)
+    rx = lit(p + NUMBER_AFTER_MARKER)
     return f"coalesce(nullif(regexp_extract({tail(e, p)}, {rx}, 1), ''), nullif(regexp_extract({e}, {rx}, 1), ''), '')"
 
 
@@ -85,7 +90,7 @@ def recall(options: str, pred: str, from_first_a: bool = False) -> str:
     if from_first_a:
         src = f"(case when position('A:' in {options}) > 0 then substr({options}, position('A:' in {options})) end)"
     return (f"coalesce(case when {pred} <> '' and length({pred}) = 1 and position({pred} in 'ABCDEFGH') > 0 "
-            f"then regexp_extract_all({src}, '[A-Z]: [^,.]+')[position({pred} in 'ABCDEFGH')] end, '')")
+            f"then regexp_extract_all({src}, {lit(OPTION_HIT)})[position({pred} in 'ABCDEFGH')] end, '')")
 
 
 def user_prompt(content: str) -> str:
