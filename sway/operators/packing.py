@@ -204,6 +204,49 @@ def pack(df: DataFrame, key: str, ids_col: str = "input_ids", seq_length: int =
     return packed.withColumn("labels", F.col("input_ids"))
 
 
+def pack_local(df: DataFrame, key: str, ids_col: str = "input_ids", seq_length: int = PACK_SEQ_LENGTH, sep=None,
+               seed: int = DEFAULT_SEED, append_concat_token: bool = True) -> DataFrame:
+    """K1 without any shuffle: every input partition is one packing buffer.
+
+    Rows are sorted inside their partition by the seeded order key
+    (``sortWithinPartitions``, no exchange) and streamed through an Arrow
+    packer that carries the unfinished chunk from batch to batch, so memory
+    stays at one batch plus one chunk. Each partition's incomplete tail is
+    dropped, like a buffer's in the reference. Chunk boundaries depend on the
+    input split layout (files, ``spark.sql.files.maxPartitionBytes``), which
+    is fixed for a given input and configuration; use ``pack`` when shards
+    must not depend on it. Returns ``(shard, chunk_id, input_ids, labels)``
+    with ``shard`` = input partition."""
+    etype = df.schema[ids_col].dataType
+    out_schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("chunk_id", T.LongType()),
+                               T.StructField("input_ids", etype), T.StructField("labels", etype)])
+    src = df.select(F.spark_partition_id().alias("_part"), order_key(key, seed).alias("_okey"), F.col(key).alias("_key"),
+                    F.col(ids_col).alias("_ids")).sortWithinPartitions("_okey", "_key")
+
+    def run(batches):
+        carry: list = []
+        part, chunk = None, 0
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            part = int(pdf["_part"].iloc[0])
+            shards, ids, stream = [], [], carry
+            for toks in pdf["_ids"]:
+                stream.extend(list(toks) if toks is not None else [])
+                if append_concat_token:
+                    stream.append(sep)
+                while len(stream) >= seq_length:
+                    ids.append(stream[:seq_length])
+                    shards.append(chunk)
+                    chunk += 1
+                    stream = stream[seq_length:]
+            carry = stream
+            if ids:
+                yield pd.DataFrame({"shard": part, "chunk_id": shards, "input_ids": ids, "labels": ids})
+
+    return src.mapInPandas(run, out_schema)
+
+
 def pack_paired(df: DataFrame, key: str, text_col: str = "text", seq_length: int = PACK_SEQ_LENGTH, sep=DEFAULT_EOS,
                 shards: Optional[int] = None, seed: int = DEFAULT_SEED, feedback: Optional[str] = None,
                 marker: str = USER_MARKER, num_of_sequences: int = PACK_NUM_SEQUENCES,

@@ -128,3 +128,23 @@ def test_prepare_packing_switch(spark):
     assert packed.count() > 0 and all(len(r.input_ids) == 32 for r in packed.collect())
     plain = PK.prepare(df, "text", max_len=8)
     assert all(len(r.input_ids) == 8 for r in plain.collect())
+
+
+def test_pack_local_is_per_partition_and_shuffle_free(spark):
+    rnd = random.Random(3)
+    docs = {k: [f"t{k}_{i}" for i in range(rnd.randint(0, 25))] for k in range(80)}
+    # hash partitioning: the assignment does not depend on which columns a
+    # query keeps (round-robin order does, as rows are sorted before dealing)
+    df = _tok_df(spark, docs).repartition(3, "k")
+    packed = PK.pack_local(df, "k", "ids", seq_length=10, sep="<s>", seed=9)
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(packed._jdf.queryExecution(), "simple")
+    assert plan.count("Exchange") == 1  # only the test's own repartition
+    parts = df.select(F.spark_partition_id().alias("p"), "k").collect()
+    okeys = {r.k: r.o for r in df.select("k", PK.order_key("k", 9).alias("o")).collect()}
+    expected = []
+    for p in {r.p for r in parts}:
+        order = sorted((r.k for r in parts if r.p == p), key=lambda k: (okeys[k], k))
+        expected += [(p, tuple(c)) for c in naive_pack(docs, 10, "<s>", order)]
+    got = packed.collect()
+    assert sorted((r.shard, tuple(r.input_ids)) for r in got) == sorted(expected)
+    assert all(r.labels == r.input_ids for r in got)
