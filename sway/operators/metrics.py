@@ -47,18 +47,26 @@ def phase_cube(cube: DataFrame, run_cols: RunCols = ("run",)) -> DataFrame:
     return long.groupBy(*run_cols, "phase", "gt", F.col("label_pred").alias("pred")).agg(F.sum("n").alias("n"))
 
 
-def class_stats(pcube: DataFrame, run_cols: RunCols = ("run",)) -> DataFrame:
+def class_stats(cube: DataFrame, run_cols: RunCols = ("run",)) -> DataFrame:
     """A3: per ``(run, phase, label)``: tp, predicted, support over the union of
-    gold and predicted labels (the empty string is a label)."""
-    rows = pcube.select(
-        *run_cols, "phase",
-        F.inline(F.array(
-            F.struct(F.col("gt").alias("label"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted"),
-                     F.when(_eq(F.col("gt"), F.col("pred")), F.col("n")).otherwise(F.lit(0)).cast("bigint").alias("tp")),
-            F.struct(F.col("pred").alias("label"), F.lit(0).cast("bigint").alias("support"),
-                     F.col("n").alias("predicted"), F.lit(0).cast("bigint").alias("tp")),
-        )),
-    )
+    gold and predicted labels (the empty string is a label). Takes the outcome
+    cube (``gt, pred, attack_pred, n``: both phases, read directly with no
+    intermediate aggregation) or a phase cube (``phase, gt, pred, n``)."""
+    gt, n, zero = F.col("gt"), F.col("n"), F.lit(0).cast("bigint")
+
+    def both(phase, pred: Column) -> list[Column]:
+        return [
+            F.struct(phase.alias("phase"), gt.alias("label"), n.alias("support"), zero.alias("predicted"),
+                     F.when(_eq(gt, pred), n).otherwise(zero).alias("tp")),
+            F.struct(phase.alias("phase"), pred.alias("label"), zero.alias("support"), n.alias("predicted"),
+                     zero.alias("tp")),
+        ]
+
+    if "attack_pred" in cube.columns:
+        parts = both(F.lit("before"), F.col("pred")) + both(F.lit("after"), F.col("attack_pred"))
+    else:
+        parts = both(F.col("phase"), F.col("pred"))
+    rows = cube.select(*run_cols, F.inline(F.array(*parts)))
     return rows.groupBy(*run_cols, "phase", "label").agg(
         F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"), F.sum("support").alias("support"))
 

@@ -86,7 +86,7 @@ def q_flip_rates(spark, sf_dir):
 @register("accuracy", f"with {RES_CTE} select run, phase, round(accuracy, 6) as accuracy from pm")
 def q_accuracy(spark, sf_dir):
     cube = M.outcome_cube(choice_results(spark, sf_dir))
-    pm = M.phase_metrics(M.class_stats(M.phase_cube(cube)))
+    pm = M.phase_metrics(M.class_stats(cube))
     return pm.select("run", "phase", F.round("accuracy", D6).alias("accuracy"))
 
 
@@ -94,14 +94,14 @@ def q_accuracy(spark, sf_dir):
                          f"predicted::BIGINT as predicted, support::BIGINT as support from cls")
 def q_class_stats(spark, sf_dir):
     cube = M.outcome_cube(choice_results(spark, sf_dir))
-    return M.class_stats(M.phase_cube(cube))
+    return M.class_stats(cube)
 
 
 @register("macro_prf", f"with {RES_CTE} select run, phase, {_r('precision')}, {_r('recall')}, {_r('f1')}, "
                        f"n_labels from pm")
 def q_macro_prf(spark, sf_dir):
     cube = M.outcome_cube(choice_results(spark, sf_dir))
-    pm = M.phase_metrics(M.class_stats(M.phase_cube(cube)))
+    pm = M.phase_metrics(M.class_stats(cube))
     return _round(pm.select("run", "phase", "precision", "recall", "f1", "n_labels"), ("precision", "recall", "f1"))
 
 
@@ -187,7 +187,7 @@ def q_label_agreement(spark, sf_dir):
     lab = table(spark, sf_dir, "labels")
     res = M.label_results(lab, F.col("quality"), 1 - F.col("toxic"),
                           F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0), F.lit("labels"))
-    pm = M.phase_metrics(M.class_stats(M.phase_cube(M.outcome_cube(res))))
+    pm = M.phase_metrics(M.class_stats(M.outcome_cube(res)))
     cols = ["accuracy", "precision", "recall", "f1"]
     return _round(pm.select("run", "phase", *cols, "n_labels"), cols)
 

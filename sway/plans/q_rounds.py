@@ -178,7 +178,7 @@ select run, phase, round(sum(tp)::double / sum(sp), 6) as accuracy,
   round(avg(coalesce(2 * tp::double / nullif(pr + sp, 0), 0)), 6) as f1, count(*) as n_labels
 from cls group by run, phase""")
 def q_numeric_evaluate(spark, sf_dir):
-    pm = M.phase_metrics(M.class_stats(M.phase_cube(M.outcome_cube(numeric_results(spark, sf_dir)))))
+    pm = M.phase_metrics(M.class_stats(M.outcome_cube(numeric_results(spark, sf_dir))))
     cols = ["accuracy", "precision", "recall", "f1"]
     return pm.select("run", "phase", *[F.round(c, 6).alias(c) for c in cols], "n_labels")
 
