@@ -289,33 +289,36 @@ def _numpy_row(vals: Column, width: Column, n: Column) -> Column:
 def confusion_text(pcube: DataFrame, run_cols: RunCols = ("run",), max_labels: int = 64) -> DataFrame:
     """The confusion matrix of every ``(run, phase)`` as numpy prints it
     (``np.array2string(cm, separator=', ')``), rows and columns = predicted
-    labels in sorted order. Only groups with at most ``max_labels`` labels are
-    expanded (a proven bound of ``max_labels**2`` cells); larger ones get a
-    pointer to the long confusion table instead."""
+    labels in sorted order.
+
+    Only groups with at most ``max_labels`` labels are expanded, and the bound
+    is applied before anything is gathered: distinct labels are counted by
+    aggregation, cells are semi-joined to the labels of bounded groups (at most
+    ``max_labels**2`` per group), and one aggregation per group gathers its
+    labels and a cell map from which each dense row is built by ``transform``.
+    Larger groups get a pointer to the long confusion table. The phase cube
+    is read in several branches: pass a materialised (persisted or
+    checkpointed) cube, never one that still re-reads the raw results."""
     keys = [*run_cols, "phase"]
-    all_sizes = pcube.select(*keys, F.col("pred").alias("label")).distinct().groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_labels"))
-    # the bound is applied before anything is gathered or numbered: only groups
-    # with at most max_labels labels reach the window and the per-row collect
-    labels = predicted_labels(pcube, run_cols, max_labels)
-    small = labels.select(*keys, "n_labels").distinct()
-    sizes = all_sizes
-    cells = confusion_long(pcube, run_cols).join(small.select(*keys), keys, "left_semi")
-    gi = labels.select(*keys, F.col("label").alias("gt"), F.col("idx").alias("gi"))
-    pj = labels.select(*keys, F.col("label").alias("pred"), F.col("idx").alias("pj"))
-    indexed = cells.join(gi, [*keys, "gt"]).join(pj, [*keys, "pred"])
-    per_row = indexed.groupBy(*keys, "gi").agg(F.map_from_entries(F.collect_list(F.struct("pj", "n"))).alias("m"))
-    rows = gi.join(small, keys).join(per_row, [*keys, "gi"], "left").select(
-        *keys, "gi", "n_labels",
-        F.transform(F.sequence(F.lit(0), F.col("n_labels") - 1),
-                    lambda j: F.coalesce(F.col("m")[j], F.lit(0).cast("bigint"))).alias("vals"))
-    mats = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("gi", "vals"))).alias("rows"),
-                                   F.first("n_labels").alias("n_labels"),
-                                   F.max(F.array_max(F.transform("vals", lambda v: F.length(v.cast("string")))))
-                                   .alias("width"))
+    sep = F.lit("\u0000")
+    preds = pcube.select(*keys, F.col("pred").alias("label")).distinct()
+    sizes = preds.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_labels"))
+    small = sizes.filter(F.col("n_labels") <= max_labels)
+    labels = preds.join(small, keys)
+    cells = pcube.join(labels.select(*keys, F.col("label").alias("gt")), [*keys, "gt"], "left_semi")
+    cell_maps = cells.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.concat("gt", sep, "pred"), "n"))).alias("m"))
+    label_lists = labels.groupBy(*keys).agg(F.array_sort(F.collect_list("label")).alias("labels"),
+                                            F.first("n_labels").alias("n_labels"))
+    dense = label_lists.join(cell_maps, keys, "left").select(
+        *keys, "n_labels",
+        F.transform("labels", lambda g: F.transform(
+            "labels", lambda p: F.coalesce(F.col("m")[F.concat(g, sep, p)], F.lit(0).cast("bigint")))).alias("rows"))
+    dense = dense.withColumn("width", F.array_max(F.transform(
+        "rows", lambda r: F.array_max(F.transform(r, lambda v: F.length(v.cast("string")))))))
     text = F.concat(F.lit("["), F.array_join(
-        F.transform("rows", lambda r: _numpy_row(r["vals"], F.col("width"), F.col("n_labels"))), ",\n "), F.lit("]"))
-    expanded = mats.select(*keys, "n_labels", text.alias("text"))
+        F.transform("rows", lambda r: _numpy_row(r, F.col("width"), F.col("n_labels"))), ",\n "), F.lit("]"))
+    expanded = dense.select(*keys, "n_labels", text.alias("text"))
     big = sizes.filter(F.col("n_labels") > max_labels).select(
         *keys, "n_labels", F.format_string("(%d labels: see the confusion table)", F.col("n_labels")).alias("text"))
     return expanded.unionByName(big)

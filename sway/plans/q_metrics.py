@@ -206,5 +206,11 @@ rt as (select d.run, d.phase, d.gi,
 select rt.run, rt.phase, nl.n_labels, '[' || string_agg(t, ',' || chr(10) || ' ' order by gi) || ']' as text
 from rt join nl on rt.run = nl.run and rt.phase = nl.phase group by rt.run, rt.phase, nl.n_labels""")
 def q_confusion_text(spark, sf_dir):
-    """A7 as printed in the reference's report (numpy layout)."""
-    return M.confusion_text(M.phase_cube(M.outcome_cube(choice_results(spark, sf_dir))))
+    """A7 as printed in the reference's report (numpy layout). The small cube
+    is checkpointed to the shared folder first: the text builder reads it in
+    several branches, which must not each re-scan and re-parse the input."""
+    from sway.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    cube = M.outcome_cube(choice_results(spark, sf_dir)).checkpoint(eager=True)
+    return M.confusion_text(M.phase_cube(cube))
