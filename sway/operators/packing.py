@@ -162,10 +162,16 @@ def buffer_chars(seq_length: int = PACK_SEQ_LENGTH, num_of_sequences: int = PACK
     return seq_length * chars_per_token * num_of_sequences
 
 
+def text_chars(df: DataFrame, text_col: str) -> int:
+    """Total characters of a text column (one aggregation, a scalar result)."""
+    return int(df.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0)
+
+
 def shard_count(df: DataFrame, text_col: str, seq_length: int = PACK_SEQ_LENGTH,
-                num_of_sequences: int = PACK_NUM_SEQUENCES, chars_per_token: float = PACK_CHARS_PER_TOKEN) -> int:
+                num_of_sequences: int = PACK_NUM_SEQUENCES, chars_per_token: float = PACK_CHARS_PER_TOKEN,
+                total_chars: Optional[int] = None) -> int:
     """K2: number of shards so that each holds about one buffer of text."""
-    total = df.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0
+    total = text_chars(df, text_col) if total_chars is None else total_chars
     return max(1, math.ceil(total / buffer_chars(seq_length, num_of_sequences, chars_per_token)))
 
 
@@ -269,13 +275,17 @@ def pack_paired(df: DataFrame, key: str, text_col: str = "text", seq_length: int
     return a.join(b, ["shard", "chunk_id"], "inner")
 
 
-def chunk_order(packed: DataFrame, seed: int = DEFAULT_SEED, rank: bool = True) -> DataFrame:
+def chunk_order(packed: DataFrame, seed: int = DEFAULT_SEED, rank: bool = True,
+                est_chunks: Optional[int] = None) -> DataFrame:
     """O2: the second, seeded shuffle of finished chunks: an order key per
-    chunk and (optionally) its global position in that order."""
+    chunk and (optionally) its global position in that order. ``est_chunks``
+    (e.g. total characters / chars-per-token / seq_length) sizes the rank
+    buckets without a counting pass over the packed corpus; the rank is exact
+    for any estimate."""
     keyed = packed.withColumn("chunk_key", F.concat_ws(":", F.col("shard").cast("string"),
                                                        F.col("chunk_id").cast("string")))
     keyed = keyed.withColumn("order_key", order_key("chunk_key", seed))
-    return global_rank(keyed, "chunk_key", seed) if rank else keyed
+    return global_rank(keyed, "chunk_key", seed, n_rows=est_chunks) if rank else keyed
 
 
 def require_nonempty(packed: DataFrame) -> DataFrame:

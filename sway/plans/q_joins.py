@@ -61,9 +61,12 @@ select chunk_key, md5('{SEED}:' || chunk_key) as order_key,
   (row_number() over (order by md5('{SEED}:' || chunk_key), chunk_key) - 1)::BIGINT as rn from k""")
 def q_chunk_order(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"], spread_rows=True)
-    shards = PK.shard_count(docs, "text", PACK_L, PACK_NSEQ)
+    chars = PK.text_chars(docs, "text")
+    shards = PK.shard_count(docs, "text", PACK_L, PACK_NSEQ, total_chars=chars)
     packed = PK.pack(PK.tokenize(docs, "text", max_len=None), "doc_id", "input_ids", PACK_L, K.DEFAULT_EOS, shards, SEED)
-    return PK.chunk_order(packed.select("shard", "chunk_id"), SEED).select("chunk_key", "order_key", "rn")
+    est = max(1, int(chars / K.PACK_CHARS_PER_TOKEN / PACK_L))
+    return PK.chunk_order(packed.select("shard", "chunk_id"), SEED, est_chunks=est).select("chunk_key", "order_key",
+                                                                                         "rn")
 
 
 SPAN_SUFFIX = K.TASK_SUFFIX["squad_v2"]
