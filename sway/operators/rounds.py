@@ -35,7 +35,7 @@ from sway.functions.prompts import (
     wrap_challenge,
     wrap_first_turn,
 )
-from sway.functions.text import gold_number, py_strip, split_choice_answer
+from sway.functions.text import gold_number, split_choice_answer
 
 CHOICE_DATASETS = ("medqa", "openbookqa")
 
@@ -305,7 +305,3 @@ def numeric_results(records: DataFrame, run_col: str = "run") -> DataFrame:
 
     g, p, a = normalise_numbers("answer_val", "pred_val", "attack_pred_val")
     return records.select(F.col(run_col).alias("run"), g.alias("gt"), p.alias("pred"), a.alias("attack_pred"))
-
-
-def strip_col(c: str) -> Column:
-    return py_strip(c)

@@ -3,7 +3,6 @@ and single-round span records (R8)."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from sway.functions import constants as K
 from sway.functions.extract import extract_choice

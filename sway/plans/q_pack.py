@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sway.functions import constants as K
-from sway.functions.prompts import add_feedback, render_chat
+from sway.functions.prompts import render_chat
 from sway.operators import metrics as M
 from sway.operators import packing as PK
 from sway.operators import rounds as R
