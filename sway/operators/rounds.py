@@ -202,11 +202,20 @@ def generate(prompts: DataFrame, fn: Generator, prompt_col: str = "prompt", out:
     # a new StructType: DataFrame.schema is cached and .add() would mutate it
     schema = T.StructType([*prompts.schema.fields, T.StructField(out, T.StringType())])
 
+    import inspect
+
+    try:
+        params = inspect.signature(fn).parameters.values()
+        takes_limit = sum(p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD) for p in params) >= 2 or any(
+            p.kind == p.VAR_POSITIONAL for p in params)
+    except (TypeError, ValueError):  # builtins without a signature
+        takes_limit = False
+
     def call(batch: list[str]) -> list[str]:
-        try:
-            return list(fn(batch, max_new_tokens))
-        except TypeError:
-            return list(fn(batch))
+        out = list(fn(batch, max_new_tokens) if takes_limit else fn(batch))
+        if len(out) != len(batch):
+            raise ValueError(f"generator returned {len(out)} texts for {len(batch)} prompts")
+        return out
 
     def run(it):
         for pdf in it:
