@@ -118,3 +118,50 @@ def test_two_round_chat_matches_python(spark, items):
     assert len(got) == len(expected)
     for r in got:
         assert (r.pred_idx, r.attack_pred_idx, r.attack_pred_str) == expected[r.item_id]
+
+
+PIECES = ["The correct answer is", "the correct answer is", " ", ": ", "A", "B", "C", "D", "E", "\n", "\n\n", ".",
+          "\r", "<|eot_id|>", "x", "### Response:", "12", ",", "Answer:", "C:"]
+
+
+@pytest.mark.parametrize("fmt", ["alpaca", "sharegpt"])
+def test_two_round_random_responses_match_python(spark, items, fmt):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(11 if fmt == "alpaca" else 12)
+
+    def resp():
+        return "".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 12)))
+
+    picked = items[:300]
+    r = {it["item_id"]: (resp(), resp()) for it in picked}
+    rows = [(it["item_id"], rnd_round, text) for it in picked for rnd_round, text in ((1, r[it["item_id"]][0]),
+                                                                                       (2, r[it["item_id"]][1]))]
+    responses = spark.createDataFrame(rows, "item_id long, round int, response string")
+    corpus = medqa_corpus(spark, SF, fmt).join(responses.select("item_id").distinct(), "item_id", "left_semi")
+    got = {x.item_id: x for x in R.two_round(corpus, "medqa", fmt, responses=responses,
+                                              keys=("item_id",)).collect()}
+    suffix = K.TASK_SUFFIX["medqa"]
+    assert len(got) == len(picked)
+    for it in picked:
+        r1, r2 = r[it["item_id"]]
+        if fmt == "alpaca":
+            t1 = K.ALPACA_INFER.format(instruction=it["instruction"], input=it["input"] + "\n\n" + suffix,
+                                       response="") + K.DEFAULT_EOS
+            pred = parse_alpaca(K.BOS + t1 + r1)
+            rec = recall(it["input"], pred)
+            prev = rec + "\n\n" + suffix if rec else ""
+            t2 = K.CHALLENGE + "\n" + K.ALPACA_CHALLENGE.format(instruction=it["instruction"], input=it["input"],
+                                                                previous_response=prev, response="") + K.DEFAULT_EOS
+            attack = parse_alpaca(K.BOS + t2 + r2)
+        else:
+            human = it["instruction"] + " " + it["input"]
+            pred = parse_chat(chat_prompt(human + "\n\n" + suffix) + r1)
+            src = human[human.index("A:"):] if "A:" in human else ""
+            prev = recall(src, pred) if src else ""
+            content = K.CHALLENGE + "\n\n" + human + "\n\nYour previous response: " + prev + "\n\n" + suffix
+            attack = parse_chat(chat_prompt(content) + r2)
+        g = got[it["item_id"]]
+        assert (g.pred_idx, g.attack_pred_idx) == (pred, attack), (r1, r2)
