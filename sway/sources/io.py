@@ -62,6 +62,29 @@ def turns_to_sharegpt(turns: DataFrame, key: str = "conv_id", order: str = "turn
                                                                     m["value"].alias("value"))).alias("conversations"))
 
 
+def chat_pieces(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
+                text: str = "text", add_generation_prompt: bool = False) -> DataFrame:
+    """F10 in long form: one rendered piece per turn, ``(key, order, piece)``,
+    computed row by row with no grouping. In ``order`` the pieces concatenate
+    to ``render_chat`` of the conversation (the first turn carries the BOS).
+    Every piece starts and ends on a special token, so tokenising pieces and
+    concatenating the tokens equals tokenising the whole text: a conversation
+    of any length can be tokenised and packed without ever being gathered into
+    one row. ``add_generation_prompt`` appends the assistant header to the
+    last turn (found with a per-conversation max, an aggregate, not a gather)."""
+    from sway.functions.constants import BOS, END_HEADER, EOT, START_HEADER
+    from sway.functions.text import py_strip
+
+    bounds = turns.groupBy(key).agg(F.min(order).alias("_first"), F.max(order).alias("_last"))
+    t = turns.join(bounds, key)
+    piece = F.concat(F.when(F.col(order) == F.col("_first"), F.lit(BOS)).otherwise(F.lit("")),
+                     F.lit(START_HEADER), F.col(role), F.lit(END_HEADER + "\n\n"), py_strip(text), F.lit(EOT))
+    if add_generation_prompt:
+        piece = F.concat(piece, F.when(F.col(order) == F.col("_last"),
+                                       F.lit(START_HEADER + "assistant" + END_HEADER + "\n\n")).otherwise(F.lit("")))
+    return t.select(key, order, piece.alias("piece"))
+
+
 def write_corpus(df: DataFrame, root: str, split: str, fmt: str, mode: str = "overwrite") -> str:
     """SNK1: corpus writer (a directory named like the reference's file)."""
     cols = ["instruction", "input", "output"] if fmt == "alpaca" else ["conversations"]

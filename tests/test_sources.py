@@ -79,3 +79,27 @@ def test_reformat_dispatch_errors_and_strict(spark):
         reformat(raw, "medqa", "alpaca", strict=True)
     corpus, rejects = reformat(raw, "medqa", "alpaca")
     assert corpus.count() + rejects.count() == raw.count()
+
+
+def test_chat_pieces_concatenate_to_rendered_chat(spark):
+    from pyspark.sql import functions as F
+
+    from sway.functions.prompts import render_chat
+    from sway.operators import packing as PK
+
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    whole = {r.conv_id: r.t for r in io.turns_to_sharegpt(turns).select(
+        "conv_id", render_chat("conversations").alias("t")).collect()}
+    pieces = io.chat_pieces(turns).collect()
+    joined = {}
+    for r in sorted(pieces, key=lambda r: (r.conv_id, r.turn)):
+        joined[r.conv_id] = joined.get(r.conv_id, "") + r.piece
+    assert joined == whole
+    # token boundaries: tokens of the pieces, concatenated, equal the tokens of the whole text
+    tp = PK.tokenize(io.chat_pieces(turns).withColumnRenamed("piece", "text"), "text", max_len=None).collect()
+    toks = {}
+    for r in sorted(tp, key=lambda r: (r.conv_id, r.turn)):
+        toks.setdefault(r.conv_id, []).extend(r.input_ids)
+    wt = PK.tokenize(spark.createDataFrame(list(whole.items()), "conv_id long, text string"), "text",
+                     max_len=None).collect()
+    assert {r.conv_id: list(r.input_ids) for r in wt} == toks
