@@ -120,3 +120,13 @@ def q_conversation_prompts(spark, sf_dir):
     conv = conversations(spark, sf_dir)
     waiting = conv.filter(F.element_at("conversations", -1)["from"] == F.lit("human"))
     return waiting.select("conv_id", render_chat("conversations", add_generation_prompt=True).alias("prompt"))
+
+
+@register("chat_pieces", f"""with b as (select conv_id, min(turn) as f from conversations group by conv_id)
+select c.conv_id, c.turn, case when c.turn = b.f then '<|begin_of_text|>' else '' end || {_piece('c.role', 'c.text')}
+  as piece from conversations c join b on c.conv_id = b.conv_id""")
+def q_chat_pieces(spark, sf_dir):
+    """F10 in gather-free long form (one rendered piece per turn)."""
+    from sway.sources.io import chat_pieces
+
+    return chat_pieces(table(spark, sf_dir, "conversations"))
