@@ -1,0 +1,35 @@
+"""Adapters that turn a Hugging Face ``tokenizers`` definition into the batch
+tokenizer hook of ``packing.tokenize`` (T1 with a real vocabulary).
+
+The tokenizer travels as its JSON definition inside the UDF closure and is
+built once per Python worker; every Arrow batch is encoded with the Rust
+``encode_batch`` (no per-row Python work beyond list conversion)."""
+
+from __future__ import annotations
+
+from typing import Callable
+
+_CACHE: dict[int, object] = {}
+
+
+def hf_tokenizer(definition: str, add_special_tokens: bool = True) -> Callable[[list[str]], list[list[int]]]:
+    """``definition`` is a tokenizer JSON string (``Tokenizer.to_str()``, the
+    content of a ``tokenizer.json``). Returns ``fn(texts) -> list of id lists``
+    for ``packing.tokenize(tokenizer=fn)``."""
+    key = hash(definition)
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        tok = _CACHE.get(key)
+        if tok is None:
+            from tokenizers import Tokenizer  # imported on the worker
+
+            tok = _CACHE[key] = Tokenizer.from_str(definition)
+        return [e.ids for e in tok.encode_batch(texts, add_special_tokens=add_special_tokens)]
+
+    return encode
+
+
+def hf_tokenizer_file(path: str, add_special_tokens: bool = True) -> Callable[[list[str]], list[list[int]]]:
+    """Same, from a ``tokenizer.json`` path readable by the driver."""
+    with open(path, encoding="utf-8") as f:
+        return hf_tokenizer(f.read(), add_special_tokens)

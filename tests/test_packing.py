@@ -148,3 +148,28 @@ def test_pack_local_is_per_partition_and_shuffle_free(spark):
     got = packed.collect()
     assert sorted((r.shard, tuple(r.input_ids)) for r in got) == sorted(expected)
     assert all(r.labels == r.input_ids for r in got)
+
+
+def test_hf_tokenizer_adapter(spark):
+    import pytest
+
+    tokenizers = pytest.importorskip("tokenizers")
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import Whitespace
+
+    from sway.functions.tokenizers import hf_tokenizer
+
+    vocab = {"[UNK]": 0, "<|eot_id|>": 1}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for r in docs.limit(20).collect():
+        for w in r.text.split():
+            vocab.setdefault(w, len(vocab))
+    tok = tokenizers.Tokenizer(WordLevel(vocab, unk_token="[UNK]"))
+    tok.pre_tokenizer = Whitespace()
+    fn = hf_tokenizer(tok.to_str())
+    got = {r.doc_id: list(r.input_ids) for r in PK.tokenize(docs, "text", max_len=64, tokenizer=fn).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for k, ids in got.items():
+        assert ids == tok.encode(texts[k]).ids[:64]
+    packed = PK.pack(PK.tokenize(docs, "text", max_len=None, tokenizer=fn), "doc_id", "input_ids", 32, 1, shards=2)
+    assert packed.count() > 0 and all(len(r.input_ids) == 32 for r in packed.collect())
