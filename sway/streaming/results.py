@@ -57,3 +57,17 @@ def start_metrics(cube: DataFrame, sink: Callable[[DataFrame, int], None], check
     if trigger_available_now:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+def parse_transcripts_stream(spark: SparkSession, root: str, dataset: str, fmt: str,
+                             text_col: str = "pred_str", key: str = "item_id", out: str = "pred") -> DataFrame:
+    """R5 on a stream: generation logs (``key``, ``text_col`` JSON lines) that
+    land in ``root`` are parsed with exactly the batch operator — parsing is
+    stateless, so the streaming plan is the batch plan."""
+    from pyspark.sql import types as T
+
+    from sway.operators.rounds import with_parsed
+
+    schema = T.StructType([T.StructField(key, T.LongType()), T.StructField(text_col, T.StringType())])
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.json*").json(root)
+    return with_parsed(stream, text_col, dataset, fmt, out)

@@ -40,3 +40,23 @@ def test_streaming_cube_equals_batch(spark):
     # both part files belong to the same run folder but are separate files (one run per file)
     assert all(0 <= r.accuracy_before <= 1 for r in got.values())
     assert b.n_items == total
+
+
+def test_parse_transcripts_stream_equals_batch(spark):
+    from sway.functions import constants as K
+    from sway.operators import rounds as R
+    from sway.plans.q_rounds import WITH_RESP, medqa_corpus
+    from sway.streaming.results import parse_transcripts_stream
+
+    root = tempfile.mkdtemp(prefix="sway-tr-")
+    r1 = R.round1_prompts(medqa_corpus(spark, "/root/testdata/sf0.001", "sharegpt", WITH_RESP), "medqa", "sharegpt",
+                          keep=WITH_RESP)
+    logs = r1.select("item_id", R.transcript("prompt", F.concat("resp1", F.lit(K.EOT)), "sharegpt").alias("pred_str"))
+    logs.write.json(os.path.join(root, "in"))
+    batch = {r.item_id: r.pred for r in R.with_parsed(logs, "pred_str", "medqa", "sharegpt", "pred").collect()}
+    parsed = parse_transcripts_stream(spark, os.path.join(root, "in"), "medqa", "sharegpt")
+    q = (parsed.writeStream.format("memory").queryName("sway_parsed").outputMode("append")
+         .option("checkpointLocation", os.path.join(root, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = {r.item_id: r.pred for r in spark.sql("select item_id, pred from sway_parsed").collect()}
+    assert got == batch and len(got) == logs.count()
