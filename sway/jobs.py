@@ -4,6 +4,8 @@
                                       --data_format alpaca --output corpora/medqa
     spark-submit -m sway.jobs infer   --dataset medqa --corpus corpora/medqa --split test --data_format alpaca \\
                                       --responses responses/ --output outputs/medqa/run1 [--identity random]
+    spark-submit -m sway.jobs train-data --corpus corpora/medqa --split train --data_format sharegpt \
+                                      --output train/ [--challenged] [--packing] [--tokenizer_json tok.json]
     spark-submit -m sway.jobs analyze --results outputs/ --output reports/
 
 ``format`` turns raw QA records into an instruction corpus (rejects are
@@ -85,6 +87,51 @@ def infer_job(spark: SparkSession, dataset: str, corpus_root: str, split: str, f
     return path
 
 
+# -------------------------------------------------------------- train data
+def train_data_job(spark: SparkSession, corpus_root: str, split: str, fmt: str, output: str,
+                   challenged: bool = False, packing: bool = False, max_seq_length: int = 2048,
+                   seq_length: int = 1024, batch_size: int = 8, epochs: int = 10, seed: int = 3407,
+                   tokenizer_json: Optional[str] = None, eos: Optional[str] = None) -> dict[str, object]:
+    """E4 (the data part of training): corpus -> training text (plain R1, or
+    challenge-aware R2) -> tokenised and truncated rows (T1), or packed chunks
+    (K1; K3 paired chunks when ``challenged``) -> seeded batch manifest (O3)
+    and the step budget (A14). Writes Parquet under ``output``."""
+    from sway.functions.constants import DEFAULT_EOS
+    from sway.functions.tokenizers import hf_tokenizer_file
+    from sway.operators import packing as PK
+
+    eos = eos or DEFAULT_EOS
+    tok = hf_tokenizer_file(tokenizer_json) if tokenizer_json else None
+    sep = eos if tok is None else None
+    if tok is not None:  # the separator is the tokenizer's id of the EOS text
+        sep = tok([eos])[0][-1]
+    corpus = io.read_corpus(spark, corpus_root, split, fmt)
+    cols = ["instruction", "input", "output"] if fmt == "alpaca" else ["conversations"]
+    corpus = corpus.withColumn("item_id", item_key(corpus, cols))
+    out = output.rstrip("/")
+    budget = M.step_budget(corpus, epochs, batch_size).first()
+    if not packing:
+        text = (R.training_text_challenged if challenged else R.training_text)(corpus, fmt, eos)
+        rows = PK.tokenize(text.select("item_id", "text"), "text", max_len=max_seq_length, tokenizer=tok)
+        rows = rows.withColumn("labels", F.col("input_ids"))
+        manifest = PK.assign_batches(rows.select("item_id", "input_ids", "attention_mask", "labels"), "item_id",
+                                     batch_size, seed)
+    else:
+        text = R.training_text(corpus, fmt, eos).select("item_id", "text")
+        if challenged:
+            chunks = PK.pack_paired(text, "item_id", "text", seq_length, sep, seed=seed, tokenizer=tok)
+        else:
+            shards = PK.shard_count(text, "text", seq_length)
+            chunks = PK.pack(PK.tokenize(text, "text", max_len=None, tokenizer=tok), "item_id", "input_ids",
+                             seq_length, sep, shards, seed)
+        PK.require_nonempty(chunks)
+        keyed = chunks.withColumn("item_id", F.concat_ws(":", F.col("shard").cast("string"),
+                                                         F.col("chunk_id").cast("string")))
+        manifest = PK.assign_batches(keyed, "item_id", batch_size, seed)
+    manifest.write.mode("overwrite").parquet(f"{out}/{split}_{fmt}_train")
+    return {"path": f"{out}/{split}_{fmt}_train", "n_rows": budget.n_rows, "total_steps": budget.total_steps}
+
+
 # ----------------------------------------------------------------- analyze
 def result_outcomes(results: DataFrame) -> DataFrame:
     """Result records of any dataset -> ``(run, dataset, gt, pred,
@@ -145,6 +192,18 @@ def main(argv: Optional[Sequence[str]] = None) -> None:
     i.add_argument("--generator")
     i.add_argument("--identity", nargs="*", default=None)
     i.add_argument("--seed", type=int, default=3407)
+    t = sub.add_parser("train-data")
+    t.add_argument("--corpus", required=True)
+    t.add_argument("--split", required=True)
+    t.add_argument("--data_format", required=True)
+    t.add_argument("--output", required=True)
+    t.add_argument("--challenged", action="store_true")
+    t.add_argument("--packing", action="store_true")
+    t.add_argument("--max_seq_length", type=int, default=2048)
+    t.add_argument("--batch_size", type=int, default=8)
+    t.add_argument("--num_epoch", type=int, default=10)
+    t.add_argument("--seed", type=int, default=3407)
+    t.add_argument("--tokenizer_json")
     a = sub.add_parser("analyze")
     a.add_argument("--results", required=True)
     a.add_argument("--output", required=True)
@@ -155,6 +214,10 @@ def main(argv: Optional[Sequence[str]] = None) -> None:
     elif args.cmd == "infer":
         print(infer_job(spark, args.dataset, args.corpus, args.split, args.data_format, args.output,
                         args.responses, args.generator, args.identity, args.seed))
+    elif args.cmd == "train-data":
+        print(train_data_job(spark, args.corpus, args.split, args.data_format, args.output, args.challenged,
+                             args.packing, args.max_seq_length, batch_size=args.batch_size, epochs=args.num_epoch,
+                             seed=args.seed, tokenizer_json=args.tokenizer_json))
     else:
         print(analyze_job(spark, args.results, args.output))
 

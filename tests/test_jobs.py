@@ -52,3 +52,22 @@ def test_format_infer_analyze(spark):
     assert lines[0] == "Before questioning:" and lines[1] == "" and lines[2].startswith("accuracy: ")
     assert lines[6].startswith("confusion_matrix: [[") and "Latex table:" in lines
     assert lines[-3].startswith("latex:  ") and lines[-2:] == ["", ""]
+
+
+def test_train_data_job(spark):
+    root = tempfile.mkdtemp(prefix="sway-train-")
+    raw = raw_choice_map(spark, SF)
+    raw.select("question", "answer", "options", "answer_idx").write.json(os.path.join(root, "raw", "train.jsonl"))
+    jobs.format_job(spark, "medqa", os.path.join(root, "raw", "train.jsonl"), "train", "sharegpt",
+                    os.path.join(root, "corpus"))
+    n = io.read_corpus(spark, os.path.join(root, "corpus"), "train", "sharegpt").count()
+    plain = jobs.train_data_job(spark, os.path.join(root, "corpus"), "train", "sharegpt", os.path.join(root, "a"),
+                                challenged=True, max_seq_length=64)
+    rows = spark.read.parquet(plain["path"])
+    assert rows.count() == n and plain["total_steps"] == 10 * -(-n // 8)
+    first = rows.orderBy("rn").first()
+    assert first.input_ids[0] == "<|begin_of_text|>" and len(first.input_ids) <= 64 and first.batch == 0
+    packed = jobs.train_data_job(spark, os.path.join(root, "corpus"), "train", "sharegpt", os.path.join(root, "b"),
+                                 challenged=True, packing=True)
+    chunks = spark.read.parquet(packed["path"]).collect()
+    assert chunks and all(len(c.input_ids) == 1024 == len(c.input_ids_followup) for c in chunks)
