@@ -295,3 +295,27 @@ def q_two_round_metrics(spark, sf_dir):
     cols = ["accuracy_before", "accuracy_after", "f1_before", "f1_after", "overall_flipping_rate"]
     ev = M.evaluate(R.choice_results(rec))
     return ev.select("run", "n_items", *[F.round(c, 6).alias(c) for c in cols])
+
+
+def _two_round_numeric_sql() -> str:
+    r1 = S.fill(K.ALPACA_INFER, instruction="instruction", input=f"'' || {S.lit(NL2 + SUFFIX_NUM)}", response="''")
+    r2 = S.fill(K.ALPACA_CHALLENGE, instruction="instruction", input="''",
+                previous_response=f"pred_val || {S.lit(NL2 + SUFFIX_NUM)}", response="''")
+    return f"""with {NUM_CTE},
+a as (select item_id, run, instruction, answer, resp1, resp2,
+        '<|begin_of_text|>' || {r1} || {S.lit(EOS)} || resp1 as pred_str from nc join qn using (item_id, run, answer)),
+b as (select *, {S.number(S.response_of_alpaca('pred_str'))} as pred_val from a),
+c as (select *, '<|begin_of_text|>' || {S.lit(K.CHALLENGE)} || chr(10) || {r2} || {S.lit(EOS)} || resp2 as attack_pred_str
+      from b)
+select item_id, run, instruction as question, answer, trim(split_part(answer, '####', 2)) as answer_val, pred_val,
+  {S.number(S.response_of_alpaca('attack_pred_str'))} as attack_pred_val, attack_pred_str from c"""
+
+
+@register("two_round_numeric", _two_round_numeric_sql())
+def q_two_round_numeric(spark, sf_dir):
+    """R9 for numeric answers in the Alpaca format: the challenge quotes the
+    previous number followed by the task suffix (always, even when empty)."""
+    qn = qa_number(spark, sf_dir)
+    rec = R.two_round(gsm8k_corpus(spark, sf_dir, "alpaca"), "gsm8k", "alpaca", responses=responses(qn))
+    return rec.select("item_id", "run", "question", "answer", "answer_val", "pred_val", "attack_pred_val",
+                      "attack_pred_str")
