@@ -319,3 +319,33 @@ def q_two_round_numeric(spark, sf_dir):
     rec = R.two_round(gsm8k_corpus(spark, sf_dir, "alpaca"), "gsm8k", "alpaca", responses=responses(qn))
     return rec.select("item_id", "run", "question", "answer", "answer_val", "pred_val", "attack_pred_val",
                       "attack_pred_str")
+
+
+def _two_round_lists_sql() -> str:
+    from sway.plans.q_format import LISTS_CTE
+
+    suffix = K.TASK_SUFFIX["openbookqa"]
+    r1 = S.fill(K.ALPACA_INFER, instruction="head", input=f"choice_text || {S.lit(NL2 + suffix)}", response="''")
+    r2 = S.fill(K.ALPACA_CHALLENGE, instruction="head", input="choice_text",
+                previous_response=f"case when rec <> '' then rec || {S.lit(NL2 + suffix)} else '' end", response="''")
+    return f"""with {LISTS_CTE},
+v as (select l.item_id, l.run, head, choice_text, answer_key || ': ' || {S.format_sent('key_text')} as output,
+        qa.resp1, qa.resp2 from l join qa on l.item_id = qa.item_id where answer_key in ('A', 'B', 'C', 'D')),
+a as (select *, '<|begin_of_text|>' || {r1} || {S.lit(EOS)} || resp1 as pred_str from v),
+b as (select *, {S.choice(S.response_of_alpaca('pred_str'))} as pred_idx from a),
+c as (select *, {S.recall('choice_text', 'pred_idx')} as rec from b),
+d as (select *, '<|begin_of_text|>' || {S.lit(K.CHALLENGE)} || chr(10) || {r2} || {S.lit(EOS)} || resp2
+        as attack_pred_str from c)
+select item_id, run, head as question, choice_text as options, {S.strip("split_part(output, ':', 1)")} as answer_idx,
+  pred_idx, {S.choice(S.response_of_alpaca('attack_pred_str'))} as attack_pred_idx from d"""
+
+
+@register("two_round_lists", _two_round_lists_sql())
+def q_two_round_lists(spark, sf_dir):
+    """R9 for multiple choice given as parallel label/text lists (Alpaca)."""
+    from sway.plans.fixtures import raw_choice_lists
+
+    qa = qa_choice(spark, sf_dir)
+    corpus, _ = P.reformat(raw_choice_lists(spark, sf_dir), "openbookqa", "alpaca")
+    rec = R.two_round(corpus, "openbookqa", "alpaca", responses=responses(qa))
+    return rec.select("item_id", "run", "question", "options", "answer_idx", "pred_idx", "attack_pred_idx")
