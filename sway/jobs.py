@@ -1,4 +1,4 @@
-"""Batch jobs for the three pipeline stages, one Spark job each.
+"""Batch jobs for the pipeline stages (format, infer, train-data, analyze), one Spark job each.
 
     spark-submit -m sway.jobs format  --dataset medqa --input data/US/train.jsonl --split train \\
                                       --data_format alpaca --output corpora/medqa
