@@ -349,3 +349,32 @@ def q_two_round_lists(spark, sf_dir):
     corpus, _ = P.reformat(raw_choice_lists(spark, sf_dir), "openbookqa", "alpaca")
     rec = R.two_round(corpus, "openbookqa", "alpaca", responses=responses(qa))
     return rec.select("item_id", "run", "question", "options", "answer_idx", "pred_idx", "attack_pred_idx")
+
+
+def _two_round_lists_chat_sql() -> str:
+    from sway.plans.q_format import LISTS_CTE
+
+    suffix = K.TASK_SUFFIX["openbookqa"]
+    content = (f"{S.lit(K.CHALLENGE)} || {S.lit(NL2)} || human || {S.lit(NL2 + K.PREVIOUS_RESPONSE_LABEL)} || rec"
+               f" || {S.lit(NL2 + suffix)}")
+    return f"""with {LISTS_CTE},
+v as (select l.item_id, l.run, head || ' ' || choice_text as human,
+        answer_key || ': ' || {S.format_sent('key_text')} as gold, qa.resp1, qa.resp2
+      from l join qa on l.item_id = qa.item_id where answer_key in ('A', 'B', 'C', 'D')),
+b as (select *, {S.choice(S.response_of_chat(S.user_prompt(f"human || {S.lit(NL2 + suffix)}") + " || resp1"))}
+        as pred_idx from v),
+c as (select *, {S.recall('human', 'pred_idx', from_first_a=True)} as rec from b),
+d as (select *, {S.user_prompt(content)} || resp2 as attack_pred_str from c)
+select item_id, run, human as question, {S.strip("split_part(gold, ':', 1)")} as answer_idx, pred_idx,
+  {S.choice(S.response_of_chat('attack_pred_str'))} as attack_pred_idx, attack_pred_str from d"""
+
+
+@register("two_round_lists_chat", _two_round_lists_chat_sql())
+def q_two_round_lists_chat(spark, sf_dir):
+    """R9 for multiple choice given as parallel label/text lists (chat)."""
+    from sway.plans.fixtures import raw_choice_lists
+
+    qa = qa_choice(spark, sf_dir)
+    corpus, _ = P.reformat(raw_choice_lists(spark, sf_dir), "openbookqa", "sharegpt")
+    rec = R.two_round(corpus, "openbookqa", "sharegpt", responses=responses(qa))
+    return rec.select("item_id", "run", "question", "answer_idx", "pred_idx", "attack_pred_idx", "attack_pred_str")
