@@ -87,7 +87,10 @@ def extract_span(response: ColumnOrName, pattern: str = ANSWER_PATTERN) -> Colum
     def attempt(p: str) -> Column:
         return F.regexp_extract(tail_from_last(r, p), "(?dU)" + p + SPAN_AFTER_MARKER, 1)
 
-    return F.coalesce(_nz(py_strip(attempt(pattern))), _nz(py_strip(attempt(pattern.lower()))), F.lit(""))
+    # a match always captures at least one character; whether it matched is
+    # decided on the raw capture, and only then stripped (a whitespace-only
+    # span is a match that yields '', not a reason to try the next pattern)
+    return F.coalesce(py_strip(_nz(attempt(pattern))), py_strip(_nz(attempt(pattern.lower()))), F.lit(""))
 
 
 def extract_number(response: ColumnOrName, pattern: str = NUMBER_PATTERN, *, dot_only_fallback: bool = False) -> Column:

@@ -48,7 +48,7 @@ def choice(e: str, p: str = ANSWER_PATTERN) -> str:
 
 def span(e: str, p: str = ANSWER_PATTERN) -> str:
     def attempt(q: str) -> str:
-        return f"nullif({strip(f'regexp_extract({tail(e, q)}, {lit(q + SPAN_AFTER_MARKER)}, 1)')}, '')"
+        return strip(f"nullif(regexp_extract({tail(e, q)}, {lit(q + SPAN_AFTER_MARKER)}, 1), '')")
 
     return f"coalesce({attempt(p)}, {attempt(p.lower())}, '')"
 

@@ -142,3 +142,10 @@ def test_normalise_numbers_matches_python(spark, triples):
     g, p, a = normalise_numbers("g", "p", "a")
     got = [tuple(r) for r in df.select(g, p, a).collect()]
     assert got == [py_normalise(*t) for t in triples]
+
+
+def test_span_whitespace_capture_is_a_match(spark):
+    # the marker matches with a whitespace-only span: '' and no fallback to
+    # the lower-case marker (found by the generated-string test)
+    texts = ["the correct answer isThe correct answer is ", "The correct answer is  ."]
+    assert _eval(spark, texts, extract_span) == [py_span(t) for t in texts] == ["", ""]
