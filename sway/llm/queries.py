@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sway.llm.exact_dedup import exact_dedup
+from sway.llm.mixing import mix
+from sway.llm.sharding import fill, place
 from sway.llm.simhash import simhash_components
 
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
+SLOTS = 6553
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,3 +32,93 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(documents(spark, sf_dir), shingle=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup(spark, f"{sf_dir}/documents.parquet")
+    return found.select("doc_id", F.col("keep").alias("keep_id"), "group_size", "kept",
+                        F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLES["op4_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place(documents(spark, sf_dir), SHARDS, SLOTS).select("doc_id", "slot", "shard")
+
+
+ORACLES["op6_sharding"] = f"""
+SELECT doc_id, slot, CAST(list_extract({fill(SHARDS, SLOTS)}, slot + 1) AS INTEGER) AS shard
+FROM (SELECT doc_id, CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || text, '')), 15) AS BIGINT)
+             % {SLOTS} AS slot FROM documents)
+"""
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.try_element_at("positions", F.lit(1))
+    found = mix(documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", "taken", F.size("positions").alias("copies"),
+        F.round(first, 9).alias("first_position"))
+    # what isn't taken is spread over the end of the order
+    return found.orderBy(F.coalesce("first_position", F.lit(1) + F.rand(7)))
+
+
+#: the closed form of one linear piece from (t0, w0) to (t1, w1), at the share x of the whole integral
+def _piece(t0, w0, t1, w1, done, whole):
+    slope = (w1 - w0) / (t1 - t0)
+    left = f"(x * {whole!r} - {done!r})"
+    return f"{t0!r} + " + (f"{left} / {w0!r}" if slope == 0 else
+                           f"(sqrt(greatest(0.0, {w0 * w0!r} + {2 * slope!r} * {left})) - {w0!r}) / {slope!r}")
+
+
+ORACLES["op10_mixing"] = f"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0
+           ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn
+  FROM sized GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][turn % 3 + 1] AS w, 2 * source_size AS most FROM sources),
+ordered AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS heft,
+         coalesce(sum(most) OVER b, 0) AS most_before, coalesce(sum(w) OVER b, 0) AS heft_before
+  FROM weighed
+  WINDOW b AS (ORDER BY most / w, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+judged AS (SELECT *, (total * 3 - most_before * 2) * w >= most * 2 * (heft - heft_before) AS capped FROM ordered),
+levels AS (
+  SELECT *, sum(CASE WHEN capped THEN most ELSE 0 END) OVER () AS most_capped,
+         sum(CASE WHEN capped THEN w ELSE 0 END) OVER () AS heft_capped FROM judged),
+aims AS (
+  SELECT source, source_size, turn, CASE WHEN capped THEN CAST(most AS DOUBLE)
+         ELSE CAST(w * (total * 3 - most_capped * 2) AS DOUBLE) / CAST(2 * (heft - heft_capped) AS DOUBLE) END AS target
+  FROM levels),
+started AS (
+  SELECT s.doc_id, s.size, a.source_size, a.turn, a.target,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source
+           ORDER BY md5_order, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+         CASE WHEN a.source_size > 0 THEN CAST(floor(a.target / a.source_size) AS BIGINT) ELSE 1 END AS passes
+  FROM (SELECT *, CAST('0x' || left(h, 8) AS BIGINT) % 4096 AS md5_range,
+               lpad(CAST(CAST('0x' || left(h, 8) AS BIGINT) % 4096 AS VARCHAR), 4, '0') || h AS md5_order
+        FROM (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM sized)) s
+  JOIN aims a ON s.source IS NOT DISTINCT FROM a.source),
+counted AS (
+  SELECT *, passes + CASE WHEN size > 0 AND start + size / 2 < target - passes * source_size THEN 1 ELSE 0 END AS copies,
+         CASE WHEN target > 0 THEN least(1.0, (start + size / 2) / target) ELSE 0.0 END AS x
+  FROM started)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * copies AS BIGINT) AS taken,
+       CAST(copies AS INTEGER) AS copies,
+       round(CASE WHEN copies = 0 THEN NULL ELSE least(1.0, CASE turn % 3
+         WHEN 0 THEN CASE WHEN x * 1.25 < 0.75 THEN {_piece(0.0, 2.0, 0.5, 1.0, 0.0, 1.25)}
+                          WHEN x * 1.25 < 1.25 THEN {_piece(0.5, 1.0, 1.0, 1.0, 0.75, 1.25)} ELSE 1.0 END
+         WHEN 1 THEN CASE WHEN x < 1.0 THEN x ELSE 1.0 END
+         ELSE CASE WHEN x * 1.0 < 0.3 THEN {_piece(0.0, 0.5, 0.6, 0.5, 0.0, 1.0)}
+                   WHEN x * 1.0 < 1.0 THEN {_piece(0.6, 0.5, 1.0, 3.0, 0.3, 1.0)} ELSE 1.0 END END) END, 9) AS first_position
+FROM counted
+"""
