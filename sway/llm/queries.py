@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sway.llm.exact_dedup import exact_dedup
+from sway.llm.langid import held_out, identify, train
 from sway.llm.mixing import mix
 from sway.llm.sharding import fill, place
 from sway.llm.simhash import simhash_components
@@ -60,6 +61,14 @@ FROM (SELECT doc_id, CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), 'te
 """
 
 
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = held_out(F.col("doc_id"), 4, 2)
+    model = train(docs.where(~held))
+    return identify(docs.select("doc_id", held.alias("held_out"), "text"), model)
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.try_element_at("positions", F.lit(1))
