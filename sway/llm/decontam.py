@@ -197,26 +197,27 @@ def without(text: bytes, cuts) -> str:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", item: str = "item_id",
-         shard_words: int = 1 << 20, block_bytes: int = 1 << 24, clean: bool = False) -> DataFrame:
+         shard_words: int = 1 << 20, block_bytes: int = 1 << 24, clean: bool = False,
+         own: tuple[str, str, str] = ("n_words", "spans", "items")) -> DataFrame:
     """All columns of ``docs`` but ``text``, with ``n_words``, ``spans`` (removal
     spans ``(start, end)`` in words, end exclusive) and ``items`` (ids, as
     strings, of the benchmark items with a window in the text, each once); with
-    ``clean``, ``text`` too, without its spans. Columns of these names are replaced.
+    ``clean``, ``text`` too, without its spans. ``own`` names the new columns, which
+    replace columns of these names.
 
     A window is ``width`` consecutive words of an item; a shorter item is one
     window. Null and wordless texts have no words and no spans; null, empty and
     wordless items have no window; a null item id counts as the empty string;
     items that repeat an id count as one. A text of more than ``shard_words`` words
     is indexed in overlapping pieces. Either table may be empty."""
-    own = ("n_words", "spans", "items")
     rest = [c for c in docs.columns if c not in (*own, text)]
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"),
                              F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField("n_words", T.LongType()),
-                           T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType())),
+    schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField(own[0], T.LongType()),
+                           T.StructField(own[1], span), T.StructField(own[2], T.ArrayType(T.StringType())),
                            T.StructField(text, T.StringType())])
     empty = [F.lit(0).cast("long"), F.array().cast(span), F.array().cast("array<string>")]
     out = docs.select(*rest, *[c.alias(n) for c, n in zip(empty, own)], text)
@@ -238,8 +239,8 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "te
 
         return pd.Series([without(t.encode(), [(c["start"], c["end"]) for c in x]) for t, x in zip(texts, cuts)], dtype=object)
 
-    marked = F.size("spans") > 0
-    cut = cleaned(F.when(marked, F.col(text)).otherwise(""), F.col("spans"))
+    marked = F.size(own[1]) > 0
+    cut = cleaned(F.when(marked, F.col(text)).otherwise(""), F.col(own[1]))
     return out.withColumn(text, F.when(marked, cut).otherwise(F.col(text)))
 
 

@@ -173,9 +173,9 @@ def train(docs: DataFrame, sample: int = 2400, windows: int = 5, text: str = "te
 
 
 def identify(docs: DataFrame, model: ByteCNN, text: str = "text", label: str = "lang_pred",
-             score: str = "score") -> DataFrame:
-    """``docs`` without ``text``, with ``label`` (most likely language) and
-    ``score`` (its probability), which replace columns of these names.
+             score: str = "score", keep_text: bool = False) -> DataFrame:
+    """``docs`` without ``text`` (unless it is kept), with ``label`` (most likely
+    language) and ``score`` (its probability), which replace columns of these names.
 
     Null texts and texts without a letter, empty ones too, are ``und`` with score
     0, and so is every text if the model has no languages. Equal texts get equal
@@ -200,10 +200,11 @@ def identify(docs: DataFrame, model: ByteCNN, text: str = "text", label: str = "
                     for j, best, top in zip(part, p.argmax(axis=1), p.max(axis=1)):
                         found[j], scores[j] = model.labels[best], min(1.0, float(top))
                     part, size = [], 0
+            kept = batch.columns[:n + keep_text]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*rest, label, score])
+                [*kept, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    schema = docs.select(*rest).withColumn(label, F.lit("")).withColumn(score, F.lit(0.0)).schema
+    schema = docs.select(*rest, *[text] * keep_text).withColumn(label, F.lit("")).withColumn(score, F.lit(0.0)).schema
     return docs.select(*rest, text, letters.alias("__letters")).mapInArrow(run, schema)
 
 

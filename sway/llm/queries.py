@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sway.llm import decontam
 from sway.llm.exact_dedup import exact_dedup
 from sway.llm.langid import held_out, identify, train
@@ -14,8 +15,7 @@ from sway.llm.mixing import mix
 from sway.llm.sharding import fill, place
 from sway.llm.simhash import simhash_components
 
-SHARDS = [f"shard-{k:03d}" for k in range(64)]
-SLOTS = 6553
+SHARDS, SLOTS = corpus_pipeline.SHARDS, corpus_pipeline.SLOTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,12 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(si
                    WHEN x * 1.0 < 1.0 THEN {_piece(0.6, 0.5, 1.0, 3.0, 0.3, 1.0)} ELSE 1.0 END END) END, 9) AS first_position
 FROM counted
 """
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

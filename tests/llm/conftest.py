@@ -1,4 +1,6 @@
+import os
 import sys
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
