@@ -11,6 +11,7 @@ import corpus_pipeline
 from sway.llm import decontam
 from sway.llm.exact_dedup import exact_dedup
 from sway.llm.langid import held_out, identify, train
+from sway.llm.line_dedup import near_lines
 from sway.llm.mixing import mix
 from sway.llm.sharding import fill, place
 from sway.llm.simhash import simhash_components
@@ -72,6 +73,12 @@ FROM (SELECT doc_id, CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), 'te
 """
 
 
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_lines(documents(spark, sf_dir), threshold=2, shortest=10)
+    return found.select("doc_id", "line_no", "class_id", "links", "kept")
+
+
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
