@@ -13,6 +13,7 @@ from sway.llm.exact_dedup import exact_dedup
 from sway.llm.langid import held_out, identify, train
 from sway.llm.line_dedup import near_lines
 from sway.llm.mixing import mix
+from sway.llm.secret_scan import listed, scan
 from sway.llm.sharding import fill, place
 from sway.llm.simhash import simhash_components
 
@@ -37,6 +38,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(documents(spark, sf_dir))
+    of_kind = lambda name: F.size(F.filter("base", lambda s: s["name"] == name)).cast("long").alias(f"n_{name}")
+    return found.select(
+        "doc_id", *map(of_kind, ("assign", "access", "hex")), F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"))
+
+
 @query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
