@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sway.llm import decontam
+from sway.llm import decontam, toxicity
 from sway.llm.exact_dedup import exact_dedup
 from sway.llm.langid import held_out, identify, train
 from sway.llm.line_dedup import near_lines
@@ -83,6 +83,15 @@ FROM (SELECT doc_id, CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), 'te
 """
 
 
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = held_out(F.col("doc_id"), 5, 0)
+    scorer = toxicity.train(docs.where(~held), spark.read.parquet(f"{sf_dir}/labels.parquet"), every=docs)
+    found = toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), scorer)
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_lines(documents(spark, sf_dir), threshold=2, shortest=10)
