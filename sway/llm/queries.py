@@ -16,6 +16,7 @@ from sway.llm.mixing import mix
 from sway.llm.secret_scan import listed, scan
 from sway.llm.sharding import fill, place
 from sway.llm.simhash import simhash_components
+from sway.llm.suffix_dedup import suffix_dedup
 
 SHARDS, SLOTS = corpus_pipeline.SHARDS, corpus_pipeline.SLOTS
 
@@ -71,6 +72,12 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup(documents(spark, sf_dir), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(documents(spark, sf_dir), SHARDS, SLOTS).select("doc_id", "slot", "shard")
