@@ -59,7 +59,7 @@ def response_of(transcript: ColumnOrName, fmt: str) -> Column:
         return response_of_alpaca(transcript)
     if fmt == "sharegpt":
         return response_of_chat(transcript)
-    raise NotImplementedError(f"Data format {fmt} not supported.")
+    raise NotImplementedError(f"unknown corpus format {fmt!r}")
 
 
 def extract_choice(response: ColumnOrName, pattern: str = ANSWER_PATTERN) -> Column:
@@ -133,6 +133,12 @@ def recall_option(options_text: ColumnOrName, pred_idx: ColumnOrName, *, from_fi
     return F.coalesce(F.when(valid, hit), F.lit(""))
 
 
+def recall_by_key(options: ColumnOrName, pred_idx: ColumnOrName) -> Column:
+    """F14 for structured options: the text under the predicted label of an options
+    map, whole and by label instead of position; '' if there is none."""
+    return F.coalesce(F.try_element_at(col(options), col(pred_idx)), F.lit(""))
+
+
 _DECIMAL_RE = r"^[+-]?(\d+\.?\d*|\.\d+)$"
 
 

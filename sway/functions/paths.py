@@ -77,3 +77,12 @@ def train_path(root: ColumnOrName, dataset: ColumnOrName, model: ColumnOrName, f
         .otherwise(col(criterion))
     return F.concat_ws("/", col(root), F.lit("outputs"), col(dataset), F.when(q, F.lit("4bit")), F.lit(method_dir),
                        col(fmt), m, tail)
+
+
+def plain_train_path(root: ColumnOrName, dataset: ColumnOrName, model: ColumnOrName, fmt: ColumnOrName,
+                     lr: ColumnOrName, batch_size: ColumnOrName) -> Column:
+    """F23 (plain training): ``{root}/outputs/{dataset}[/4bit]/LLMs/{format}/{model}_{lr}_{batch}``."""
+    m = col(model)
+    tail = F.concat_ws("_", m, col(lr).cast("string"), col(batch_size).cast("string"))
+    return F.concat_ws("/", col(root), F.lit("outputs"), col(dataset), F.when(m.contains("4bit"), F.lit("4bit")),
+                       F.lit("LLMs"), col(fmt), tail)

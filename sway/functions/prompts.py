@@ -94,7 +94,7 @@ def task_suffix(dataset: str) -> str:
     try:
         return TASK_SUFFIX[dataset]
     except KeyError:
-        raise ValueError(f"Dataset {dataset} not supported.") from None
+        raise ValueError(f"no task suffix for dataset {dataset!r}") from None
 
 
 def seeded_pick(key: ColumnOrName, n: int, seed: int) -> Column:

@@ -55,23 +55,11 @@ def logsumexp(a: ColumnOrName) -> Column:
     return F.aggregate(as_double(a), init, step, lambda acc: acc["m"] + F.log(acc["s"]))
 
 
-def log_softmax(a: ColumnOrName) -> Column:
-    """Stable log-softmax. Callers over wide vectors should materialise the
-    ``logsumexp`` in its own column first (the lambda re-reads it per element)."""
-    lse = logsumexp(a)
-    return F.transform(as_double(a), lambda x: x - lse)
-
-
 def nll_of_max(a: ColumnOrName) -> Column:
     """``-max(log_softmax(v)) = logsumexp(v) - max(v)``."""
     return logsumexp(a) - F.array_max(as_double(a))
 
 
-def kl_log(input_log: ColumnOrName, target_log: ColumnOrName) -> Column:
-    """V3 core: ``sum(exp(t) * (t - i))`` for log-space input and target."""
-    return _sum(F.zip_with(col(input_log), col(target_log), lambda i, t: F.exp(t) * (t - i)))
-
-
 def kl(a: ColumnOrName, b: ColumnOrName) -> Column:
     """V3: KL(softmax(b) || softmax(a)) = sum p_b (b - a) - lse(b) + lse(a),
     folded in one pass with online max rescaling for both sides."""

@@ -5,7 +5,7 @@
     spark-submit -m sway.jobs infer   --dataset medqa --corpus corpora/medqa --split test --data_format alpaca \\
                                       --responses responses/ --output outputs/medqa/run1 [--identity random]
     spark-submit -m sway.jobs train-data --corpus corpora/medqa --split train --data_format sharegpt \
-                                      --output train/ [--challenged] [--packing] [--tokenizer_json tok.json]
+                                      --output train/ [--challenged] [--packing] [--tokenizer module:fn --sep id]
     spark-submit -m sway.jobs analyze --results outputs/ --output reports/
 
 ``format`` turns raw QA records into an instruction corpus (rejects are
@@ -20,18 +20,19 @@ from __future__ import annotations
 
 import argparse
 import importlib
+from collections.abc import Callable
 from typing import Optional, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sway.functions.extract import normalise_numbers
-from sway.functions.paths import dataset_of, run_dimensions
+from sway.functions.paths import run_dimensions
 from sway.operators import metrics as M
 from sway.operators import rounds as R
 from sway.operators.formatting import reformat
 from sway.session import get_spark
 from sway.sources import io
+from sway.sources import schemas as SC
 
 READERS = {
     "medqa": lambda spark, path: io.read_choice_map(spark, path, "json"),
@@ -40,17 +41,11 @@ READERS = {
 }
 
 
-def item_key(df: DataFrame, cols: Sequence[str]) -> F.Column:
-    """Stable item key for records without an id: md5 of the record's fields
-    (the reference aligns by row position, which a distributed job cannot)."""
-    return F.md5(F.to_json(F.struct(*cols)))
-
-
 # ------------------------------------------------------------------ format
 def format_job(spark: SparkSession, dataset: str, input_path: str, split: str, fmt: str, output: str,
                strict: bool = False) -> str:
     if dataset not in READERS:
-        raise ValueError(f"Dataset {dataset} not supported.")
+        raise ValueError(f"no reader for dataset {dataset!r}")
     raw = READERS[dataset](spark, input_path)
     corpus, rejects = reformat(raw, dataset, fmt, strict=strict, keep=())
     if rejects is not None and not strict:
@@ -68,15 +63,21 @@ def infer_job(spark: SparkSession, dataset: str, corpus_root: str, split: str, f
               responses_path: Optional[str] = None, generator: Optional[str] = None, identity=None,
               seed: int = 3407, max_new_tokens: int = 512) -> str:
     """R9 as a job. Corpus rows are keyed by ``item_id`` when present, else by
-    the md5 of their content; a responses table must carry the same key plus
-    ``round`` (1 or 2) and ``response``."""
+    the md5 of their content and, for repeated records, their number; a responses
+    table must carry the same key plus ``round`` (1 or 2) and ``response``, one
+    row for each. The number of prompts without a response, by round, is written
+    next to the records."""
     corpus = io.read_corpus(spark, corpus_root, split, fmt)
     cols = ["instruction", "input", "output"] if fmt == "alpaca" else ["conversations"]
     if "item_id" not in corpus.columns:
-        corpus = corpus.withColumn("item_id", item_key(corpus, cols))
+        corpus = R.with_item_key(corpus, cols)
     kw = dict(identity=identity, seed=seed, keys=("item_id",), max_new_tokens=max_new_tokens)
     if responses_path:
-        responses = spark.read.json(responses_path)
+        responses = spark.read.schema(SC.RESPONSE).json(responses_path)
+        if not R.duplicate_responses(responses, ("item_id",)).isEmpty():
+            raise ValueError("the responses hold more than one row for an item and round")
+        R.unmatched_prompts(corpus, responses, ("item_id",)).write.mode("overwrite").json(
+            f"{output.rstrip('/')}/{split}_unmatched")
         records = R.two_round(corpus, dataset, fmt, responses=responses, **kw)
     elif generator:
         records = R.two_round(corpus, dataset, fmt, generator=_load(generator), **kw)
@@ -91,83 +92,75 @@ def infer_job(spark: SparkSession, dataset: str, corpus_root: str, split: str, f
 def train_data_job(spark: SparkSession, corpus_root: str, split: str, fmt: str, output: str,
                    challenged: bool = False, packing: bool = False, max_seq_length: int = 2048,
                    seq_length: int = 1024, batch_size: int = 8, epochs: int = 10, seed: int = 3407,
-                   tokenizer_json: Optional[str] = None, eos: Optional[str] = None) -> dict[str, object]:
+                   tokenizer: Optional[Callable] = None, eos: Optional[str] = None, sep=None) -> dict[str, object]:
     """E4 (the data part of training): corpus -> training text (plain R1, or
-    challenge-aware R2) -> tokenised and truncated rows (T1), or packed chunks
-    (K1; K3 paired chunks when ``challenged``) -> seeded batch manifest (O3)
-    and the step budget (A14). Writes Parquet under ``output``."""
+    challenge-aware R2) -> tokenised and truncated rows (T1), split into the plain
+    and the challenged side (K4) when ``challenged``, or packed chunks (K1; K3
+    paired chunks when ``challenged``) -> seeded batch manifest (O3) and the step
+    budget (A14). Rows or chunks are written once under ``output``; the manifest
+    ranks their keys and is joined back. ``tokenizer`` is a batch function from
+    texts to ids and ``sep`` its id of the separator. Samples whose text lacks the
+    marker, so that both sides are the same, are counted."""
     from sway.functions.constants import DEFAULT_EOS
-    from sway.functions.tokenizers import hf_tokenizer_file
     from sway.operators import packing as PK
+    from sway.operators.formatting import missing_marker
 
     eos = eos or DEFAULT_EOS
-    tok = hf_tokenizer_file(tokenizer_json) if tokenizer_json else None
-    sep = eos if tok is None else None
-    if tok is not None:  # the separator is the tokenizer's id of the EOS text
-        sep = tok([eos])[0][-1]
+    if tokenizer is not None and sep is None:
+        raise ValueError("a tokenizer needs the id of its separator")
+    sep = eos if tokenizer is None else sep
     corpus = io.read_corpus(spark, corpus_root, split, fmt)
     cols = ["instruction", "input", "output"] if fmt == "alpaca" else ["conversations"]
-    corpus = corpus.withColumn("item_id", item_key(corpus, cols))
-    out = output.rstrip("/")
-    budget = M.step_budget(corpus, epochs, batch_size).first()
+    corpus = R.with_item_key(corpus, cols)
+    out = f"{output.rstrip('/')}/{split}_{fmt}"
+    unmarked = 0
     if not packing:
         text = (R.training_text_challenged if challenged else R.training_text)(corpus, fmt, eos)
-        rows = PK.tokenize(text.select("item_id", "text"), "text", max_len=max_seq_length, tokenizer=tok)
-        rows = rows.withColumn("labels", F.col("input_ids"))
-        manifest = PK.assign_batches(rows.select("item_id", "input_ids", "attention_mask", "labels"), "item_id",
-                                     batch_size, seed)
+        rows = PK.tokenize(text.select("item_id", "text"), "text", max_len=max_seq_length, tokenizer=tokenizer)
+        rows = rows.withColumn("labels", F.col("input_ids")).drop("text")
+        if challenged:
+            rows = PK.split_challenge_rows(rows, sep)
     else:
         text = R.training_text(corpus, fmt, eos).select("item_id", "text")
         if challenged:
-            chunks = PK.pack_paired(text, "item_id", "text", seq_length, sep, seed=seed, tokenizer=tok)
+            unmarked = missing_marker(text).count()
+            rows = PK.pack_paired(text, "item_id", "text", seq_length, sep, seed=seed, tokenizer=tokenizer)
         else:
             shards = PK.shard_count(text, "text", seq_length)
-            chunks = PK.pack(PK.tokenize(text, "text", max_len=None, tokenizer=tok), "item_id", "input_ids",
-                             seq_length, sep, shards, seed)
-        PK.require_nonempty(chunks)
-        keyed = chunks.withColumn("item_id", F.concat_ws(":", F.col("shard").cast("string"),
-                                                         F.col("chunk_id").cast("string")))
-        manifest = PK.assign_batches(keyed, "item_id", batch_size, seed)
-    manifest.write.mode("overwrite").parquet(f"{out}/{split}_{fmt}_train")
-    return {"path": f"{out}/{split}_{fmt}_train", "n_rows": budget.n_rows, "total_steps": budget.total_steps}
+            rows = PK.pack(PK.tokenize(text, "text", max_len=None, tokenizer=tokenizer), "item_id", "input_ids",
+                           seq_length, sep, shards, seed)
+        rows = rows.withColumn("item_id", F.concat_ws(":", F.col("shard").cast("string"),
+                                                      F.col("chunk_id").cast("string")))
+    rows.write.mode("overwrite").parquet(f"{out}_rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{out}_rows")
+    if packing:
+        PK.require_nonempty(rows)
+    budget = M.step_budget(corpus, epochs, batch_size).first()
+    manifest = rows.join(PK.assign_batches(rows.select("item_id"), "item_id", batch_size, seed), "item_id")
+    manifest.write.mode("overwrite").parquet(f"{out}_train")
+    return {"path": f"{out}_train", "n_rows": budget.n_rows, "total_steps": budget.total_steps, "unmarked": unmarked}
 
 
 # ----------------------------------------------------------------- analyze
-def result_outcomes(results: DataFrame) -> DataFrame:
-    """Result records of any dataset -> ``(run, dataset, gt, pred,
-    attack_pred)``. The run is the result file (a reference-style ``.jsonl``
-    file, or the folder of a Spark-written one); numeric runs are
-    canonicalised jointly (F20)."""
-    run = F.regexp_replace("path", r"/part-[^/]*$", "")
-    base = results.select(run.alias("run"), "answer_idx", "pred_idx", "attack_pred_idx", "answer_val", "pred_val",
-                          "attack_pred_val")
-    base = base.withColumn("dataset", dataset_of("run"))
-    g, p, a = normalise_numbers(F.coalesce("answer_val", F.lit("")), F.coalesce("pred_val", F.lit("")),
-                                F.coalesce("attack_pred_val", F.lit("")))
-    numeric = F.col("dataset") == "gsm8k"
-    return base.select(
-        "run", "dataset",
-        F.when(numeric, g).otherwise(F.col("answer_idx")).alias("gt"),
-        F.when(numeric, p).otherwise(F.col("pred_idx")).alias("pred"),
-        F.when(numeric, a).otherwise(F.col("attack_pred_idx")).alias("attack_pred"),
-    )
-
-
-def analyze_job(spark: SparkSession, results_root: str, output: str, glob: str = "*.json*") -> dict[str, str]:
-    """One scan of all result files, one outcome cube, every metric.
-    Run dimensions are parsed once per run, after aggregation."""
+def analyze_job(spark: SparkSession, results_root: str, output: str, glob: str = io.RESULT_GLOB) -> dict[str, str]:
+    """One scan of all result files, one outcome cube, every metric. The small
+    cube is written once and read by every step. Run dimensions are parsed once per
+    run, after aggregation. Records that can't be scored are counted by reason."""
     results = io.read_results(spark, results_root, glob=glob)
-    cube = M.outcome_cube(result_outcomes(results), run_cols=("run", "dataset")).persist()
-    board = M.evaluate_cube(cube, ("run", "dataset"))
-    board = board.withColumn("latex", M.latex_row(board)).withColumn("dims", run_dimensions("run"))
+    keys = ("run", "dataset")
     out = output.rstrip("/")
-    paths = {"metrics": f"{out}/metrics", "confusion": f"{out}/confusion", "report": f"{out}/report"}
+    paths = {name: f"{out}/{name}" for name in ("cube", "rejects", "metrics", "confusion", "report")}
+    cube = M.outcome_cube(R.result_outcomes(results), run_cols=keys)
+    cube.write.mode("overwrite").parquet(paths["cube"])
+    cube = spark.read.schema(cube.schema).parquet(paths["cube"])
+    R.outcome_rejects(results).write.mode("overwrite").json(paths["rejects"])
+    board = M.evaluate_cube(cube, keys)
+    board = board.withColumn("latex", M.latex_row(board)).withColumn("dims", run_dimensions("run"))
     board.write.mode("overwrite").parquet(paths["metrics"])
-    pcube = M.phase_cube(cube, ("run", "dataset"))
-    M.confusion_long(pcube, ("run", "dataset")).write.mode("overwrite").parquet(paths["confusion"])
-    confusion = M.confusion_text(pcube, ("run", "dataset")).drop("dataset", "n_labels")
-    io.write_report(M.report_long(board, ("run",), confusion), paths["report"])
-    cube.unpersist()
+    confusion = M.confusion_long(M.phase_cube(cube, keys), keys)
+    confusion.write.mode("overwrite").parquet(paths["confusion"])
+    confusion = spark.read.schema(confusion.schema).parquet(paths["confusion"])
+    io.write_report(M.report_long(board, ("run",), confusion.drop("dataset")), paths["report"])
     return paths
 
 
@@ -203,7 +196,8 @@ def main(argv: Optional[Sequence[str]] = None) -> None:
     t.add_argument("--batch_size", type=int, default=8)
     t.add_argument("--num_epoch", type=int, default=10)
     t.add_argument("--seed", type=int, default=3407)
-    t.add_argument("--tokenizer_json")
+    t.add_argument("--tokenizer", help="module:function, a batch tokenizer")
+    t.add_argument("--sep", type=int, help="its id of the separator")
     a = sub.add_parser("analyze")
     a.add_argument("--results", required=True)
     a.add_argument("--output", required=True)
@@ -217,7 +211,7 @@ def main(argv: Optional[Sequence[str]] = None) -> None:
     elif args.cmd == "train-data":
         print(train_data_job(spark, args.corpus, args.split, args.data_format, args.output, args.challenged,
                              args.packing, args.max_seq_length, batch_size=args.batch_size, epochs=args.num_epoch,
-                             seed=args.seed, tokenizer_json=args.tokenizer_json))
+                             seed=args.seed, tokenizer=_load(args.tokenizer) if args.tokenizer else None, sep=args.sep))
     else:
         print(analyze_job(spark, args.results, args.output))
 

@@ -1,25 +1,24 @@
 """Consistency between vectors before and after the challenge.
 
 Pairwise criteria (MSE, cosine, KL) are native per-row expressions followed by
-an ordinary aggregate. The Sinkhorn divergence compares two *clouds* of
-vectors; it needs all point pairs of a cloud, so clouds are cut into
-sub-clouds of at most about ``cloud_size`` points (the reference compares
-clouds of at most ``max_seq_length`` positions per example), every point is
-used, and each sub-cloud pair is solved in a grouped Arrow UDF with O(n^2)
-memory for n <= cloud_size. Group results are the mean over sub-clouds, like
-the reference's batch mean.
+an ordinary aggregate. The Sinkhorn divergence compares two *clouds* of vectors
+and needs all point pairs of a cloud. A cloud is one example, named by an
+explicit key; it is solved in a grouped Arrow UDF, and a group's value is the
+mean over its clouds, as the reference takes the mean over a batch. The number of
+solver steps is fixed, so a value depends on its cloud alone.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sway.functions.constants import CONSISTENCY_SCALE, CRITERIA, MAX_SEQ_LENGTH, SINKHORN_BLUR, SINKHORN_P
+from sway.functions.constants import CONSISTENCY_SCALE, CRITERIA, SINKHORN_BLUR, SINKHORN_P
 from sway.functions.vectors import cosine, kl, mse
 
 
@@ -43,114 +42,89 @@ def pair_scores(pairs: DataFrame, left: str = "left", right: str = "right") -> D
 
 
 # --------------------------------------------------------------- sinkhorn
-def _softmin(eps: float, cost: np.ndarray, h: np.ndarray) -> np.ndarray:
-    z = h[None, :] - cost / eps
-    m = z.max(axis=1, keepdims=True)
-    return -eps * (m[:, 0] + np.log(np.exp(z - m).sum(axis=1)))
+def temperatures(blur: float = SINKHORN_BLUR, p: int = SINKHORN_P, reach: float = 8.0) -> list[float]:
+    """The fixed cooling plan: from ``reach ** p`` (``reach``: a distance that no
+    two points exceed by much) down by factors of ``2 ** p``, ending at ``blur ** p``."""
+    out = [reach ** p]
+    while out[-1] / 2 ** p > blur ** p:
+        out.append(out[-1] / 2 ** p)
+    return [*out, blur ** p]
 
 
-def _cost(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * x @ y.T
-    return np.maximum(d, 0.0) / 2.0
+def _half_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return 0.5 * ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2) if x.size * len(y) < 1 << 22 else np.stack(
+        [0.5 * ((row - y) ** 2).sum(axis=1) for row in x])
+
+
+def _soft_minimum(costs: np.ndarray, potential: np.ndarray, t: float) -> np.ndarray:
+    """For each row i: -t log mean_j exp((potential_j - costs_ij) / t)."""
+    scores = (potential - costs) / t
+    top = scores.max(axis=1)
+    return -t * (top + np.log(np.exp(scores - top[:, None]).mean(axis=1)))
+
+
+def _potentials(costs: np.ndarray, plan: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Dual potentials of entropic transport between uniform clouds: at each
+    temperature both move half the way to the soft minimum of the other, and at the
+    last one all the way."""
+    rows, cols = np.zeros(costs.shape[0]), np.zeros(costs.shape[1])
+    for t in plan:
+        rows, cols = (0.5 * (rows + _soft_minimum(costs, cols, t)), 0.5 * (cols + _soft_minimum(costs.T, rows, t)))
+    return _soft_minimum(costs, cols, plan[-1]), _soft_minimum(costs.T, rows, plan[-1])
 
 
 def sinkhorn_divergence(x: np.ndarray, y: np.ndarray, blur: float = SINKHORN_BLUR, p: int = SINKHORN_P,
-                        scaling: float = 0.5) -> float:
-    """Debiased Sinkhorn divergence between uniform clouds ``x`` (n, d) and
-    ``y`` (m, d) with cost |x-y|^2/2, entropic blur ``blur`` (eps = blur^p),
-    log-domain iterations with eps-annealing and symmetric averaging
-    (Feydy et al., 2019)."""
+                        reach: float = 8.0) -> float:
+    """Debiased Sinkhorn divergence of two uniform clouds (n, d) and (m, d) for the
+    cost |x-y|^2/2 and temperature ``blur ** p``: the dual value of the pair less
+    half of that of each cloud with itself."""
     if p != 2:
         raise NotImplementedError("only p=2 is supported")
-    x = np.asarray(x, dtype=np.float64)
-    y = np.asarray(y, dtype=np.float64)
-    n, m = len(x), len(y)
-    if n == 0 or m == 0:
-        return float("nan")
-    a_log = np.full(n, -math.log(n))
-    b_log = np.full(m, -math.log(m))
-    cxy, cyx, cxx, cyy = _cost(x, y), None, _cost(x, x), _cost(y, y)
-    cyx = cxy.T
-    lo = np.minimum(x.min(0), y.min(0))
-    hi = np.maximum(x.max(0), y.max(0))
-    diameter = max(float(np.sqrt(((hi - lo) ** 2).sum())), blur)
-    eps_list = [diameter ** p]
-    e = p * math.log(diameter)
-    while e > p * math.log(blur):
-        eps_list.append(math.exp(e))
-        e += p * math.log(scaling)
-    eps_list.append(blur ** p)
-
-    eps = eps_list[0]
-    f_ba = _softmin(eps, cxy, b_log)
-    g_ab = _softmin(eps, cyx, a_log)
-    f_aa = _softmin(eps, cxx, a_log)
-    g_bb = _softmin(eps, cyy, b_log)
-    for eps in eps_list:
-        ft_ba = _softmin(eps, cxy, b_log + g_ab / eps)
-        gt_ab = _softmin(eps, cyx, a_log + f_ba / eps)
-        ft_aa = _softmin(eps, cxx, a_log + f_aa / eps)
-        gt_bb = _softmin(eps, cyy, b_log + g_bb / eps)
-        f_ba, g_ab = 0.5 * (f_ba + ft_ba), 0.5 * (g_ab + gt_ab)
-        f_aa, g_bb = 0.5 * (f_aa + ft_aa), 0.5 * (g_bb + gt_bb)
-    eps = eps_list[-1]
-    f_ba, g_ab = _softmin(eps, cxy, b_log + g_ab / eps), _softmin(eps, cyx, a_log + f_ba / eps)
-    f_aa = _softmin(eps, cxx, a_log + f_aa / eps)
-    g_bb = _softmin(eps, cyy, b_log + g_bb / eps)
-    return float(np.exp(a_log) @ (f_ba - f_aa) + np.exp(b_log) @ (g_ab - g_bb))
-
-
-SINKHORN_SCHEMA = "grp long, cloud int, n_left long, n_right long, sinkhorn double"
-
-
-def group_sinkhorn(points: DataFrame, group: str, side_col: str = "side", vec_col: str = "embedding",
-                   pair_key: str = "pair_id", cloud_size: int = MAX_SEQ_LENGTH, blur: float = SINKHORN_BLUR,
-                   p: int = SINKHORN_P) -> DataFrame:
-    """V4: Sinkhorn divergence between the left (``side`` 0) and right
-    (``side`` 1) clouds of every group, as the mean over sub-clouds of at most
-    ~``cloud_size`` points per side.
-
-    Points go to sub-clouds by a hash of ``pair_key`` (both members of a pair
-    share a sub-cloud); the number of sub-clouds of a group follows from its
-    size, so no task ever holds more than about ``2 * cloud_size`` points and
-    every point is used. Returns ``(group, n_clouds, n_left, n_right,
-    sinkhorn)``."""
-    side = F.col(side_col)
-    sizes = points.groupBy(group).agg(
-        F.greatest(F.ceil(F.greatest(F.count(F.when(side == 0, 1)), F.count(F.when(side == 1, 1)))
-                          / F.lit(cloud_size)), F.lit(1)).cast("int").alias("_nc"))
-    cloud = F.pmod(F.xxhash64(F.col(pair_key)), F.col("_nc")).cast("int")
-    tagged = points.join(sizes, group).select(F.col(group).cast("long").alias("grp"), cloud.alias("cloud"),
-                                              side.alias("side"), F.col(vec_col).alias("v"))
+    x, y = np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64)
+    plan = temperatures(blur, p, reach)
+    from_x, from_y = _potentials(_half_squares(x, y), plan)
+    own_x, own_y = (sum(_potentials(_half_squares(z, z), plan)) / 2 for z in (x, y))
+    return float((from_x - own_x).mean() + (from_y - own_y).mean())
+
+
+def group_sinkhorn(points: DataFrame, group: str, cloud: str, side_col: str = "side", vec_col: str = "embedding",
+                   blur: float = SINKHORN_BLUR, p: int = SINKHORN_P, reach: float = 8.0) -> DataFrame:
+    """V4: the mean over a group's clouds of the Sinkhorn divergence between their
+    left (``side`` 0) and right (``side`` 1) points. ``cloud`` names the example
+    that a point belongs to (within its group); group and cloud may be of any type.
+    A cloud with one side only is counted in ``n_one_sided`` and has no value.
+    Returns ``(group, n_clouds, n_one_sided, n_left, n_right, sinkhorn)``."""
+    tagged = points.select(F.col(group).alias("grp"), F.col(cloud).alias("cloud"), F.col(side_col).alias("side"),
+                           F.col(vec_col).alias("v"))
+    schema = T.StructType([tagged.schema["grp"], T.StructField("n_left", T.LongType()), T.StructField("n_right", T.LongType()),
+                           T.StructField("sinkhorn", T.DoubleType())])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["side"] == 0]["v"].to_numpy()
-        right = pdf[pdf["side"] == 1]["v"].to_numpy()
-        if len(left) == 0 or len(right) == 0:
-            s = float("nan")
-        else:
-            s = sinkhorn_divergence(np.vstack(left), np.vstack(right), blur, p)
-        return pd.DataFrame({"grp": [int(pdf["grp"].iloc[0])], "cloud": [int(pdf["cloud"].iloc[0])],
-                             "n_left": [len(left)], "n_right": [len(right)], "sinkhorn": [s]})
-
-    per_cloud = tagged.groupBy("grp", "cloud").applyInPandas(solve, SINKHORN_SCHEMA)
+        sides = [pdf.loc[pdf["side"] == k, "v"].to_numpy() for k in (0, 1)]
+        value = sinkhorn_divergence(*map(np.vstack, sides), blur, p, reach) if all(map(len, sides)) else None
+        return pd.DataFrame({"grp": pdf["grp"].iloc[:1].to_numpy(), "n_left": len(sides[0]), "n_right": len(sides[1]),
+                             "sinkhorn": pd.Series([value], dtype="float64")})
+
+    per_cloud = tagged.groupBy("grp", "cloud").applyInPandas(solve, schema)
+    value = F.nanvl("sinkhorn", F.lit(None).cast("double"))
     return per_cloud.groupBy(F.col("grp").alias(group)).agg(
-        F.count(F.lit(1)).alias("n_clouds"), F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"),
-        F.avg("sinkhorn").alias("sinkhorn"))
+        F.count(F.lit(1)).alias("n_clouds"), F.count_if((F.col("n_left") == 0) | (F.col("n_right") == 0)).alias("n_one_sided"),
+        F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"), F.avg(value).alias("sinkhorn"))
 
 
 # ---------------------------------------------------------------- dispatch
 def consistency(pairs: DataFrame, criterion: str = "ot", left: str = "left", right: str = "right",
-                group: str = "label", cloud_size: int = MAX_SEQ_LENGTH) -> DataFrame:
+                group: str = "label", cloud: str = "pair_id", reach: float = 8.0) -> DataFrame:
     """V5: criterion ``ot | mse | cossim | kl`` -> one row per group with the
-    batch-mean consistency value (the selection is honoured, Q15)."""
+    batch-mean consistency value (the selection is honoured, Q15). For ``ot``,
+    ``cloud`` names the example of each pair."""
     if criterion not in CRITERIA:
         raise ValueError(f"unknown consistency criterion {criterion}")
     if criterion == "ot":
-        pts = pairs.select("pair_id", group, F.inline(F.array(
+        pts = pairs.select(F.col(cloud).alias("_cloud"), group, F.inline(F.array(
             F.struct(F.lit(0).alias("side"), F.col(left).alias("embedding")),
             F.struct(F.lit(1).alias("side"), F.col(right).alias("embedding")))))
-        return group_sinkhorn(pts, group, cloud_size=cloud_size).select(group, F.col("sinkhorn").alias("consistency"))
+        return group_sinkhorn(pts, group, "_cloud", reach=reach).select(group, F.col("sinkhorn").alias("consistency"))
     fn = {"mse": mse, "cossim": cosine, "kl": kl}[criterion]
     return pairs.groupBy(group).agg(F.avg(fn(left, right)).alias("consistency"))
 

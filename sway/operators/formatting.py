@@ -105,9 +105,9 @@ def reformat(df: DataFrame, dataset: str, fmt: str, strict: bool = False,
     raises like the reference when any record fails its integrity check
     (this runs one extra count job)."""
     if dataset not in ("medqa", "openbookqa", "gsm8k"):
-        raise ValueError(f"Dataset {dataset} not supported.")
+        raise ValueError(f"no formatter for dataset {dataset!r}")
     if fmt not in ("alpaca", "sharegpt"):
-        raise NotImplementedError(f"Data format {fmt} not supported.")
+        raise NotImplementedError(f"unknown corpus format {fmt!r}")
     check, to_corpus = _FORMATTERS[(dataset, fmt)]
     rejects = None
     if check is not None:
@@ -120,3 +120,14 @@ def reformat(df: DataFrame, dataset: str, fmt: str, strict: bool = False,
 def missing_marker(df: DataFrame, text_col: str = "text", marker: str = USER_MARKER) -> DataFrame:
     """Rows where the challenge cannot be inserted (marker absent)."""
     return df.filter(~F.coalesce(F.instr(F.col(text_col), marker) > 0, F.lit(False)))
+
+
+def missing_marker_pieces(pieces: DataFrame, key: str = "conv_id", piece: str = "piece",
+                          marker: str = USER_MARKER) -> DataFrame:
+    """P11 over rendered pieces (one per turn): conversations without the marker
+    and the length of their text, ``(key, n_chars)``, by sums alone. The marker can't
+    lie across two pieces: it begins with the text's first token, which a piece
+    holds whole, and every piece ends with an end-of-turn token."""
+    has = F.coalesce(F.instr(F.col(piece), marker) > 0, F.lit(False))
+    return (pieces.groupBy(key).agg(F.sum(F.length(piece)).cast("int").alias("n_chars"), F.bool_or(has).alias("_has"))
+            .filter("not _has").drop("_has"))

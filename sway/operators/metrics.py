@@ -20,7 +20,8 @@ FLIPS = ("overall_flipping_rate", "correct_flipping_rate", "incorrect_flipping_r
 
 
 def _eq(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+    """Equal and known: a missing outcome is never a hit."""
+    return F.coalesce(a == b, F.lit(False))
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -111,19 +112,9 @@ def confusion_long(pcube: DataFrame, run_cols: RunCols = ("run",)) -> DataFrame:
     return pcube.join(labels, on=[*keys, "gt"], how="left_semi").select(*keys, "gt", "pred", "n")
 
 
-def predicted_labels(pcube: DataFrame, run_cols: RunCols = ("run",), max_labels: int = 4096) -> DataFrame:
-    """Distinct predicted labels per ``(run, phase)`` with their matrix index
-    (code-point order, as numpy sorts strings) and the label count. Indices
-    exist to print dense matrices, so they are assigned only where a group has
-    at most ``max_labels`` labels: the numbering window then never holds more
-    than that many rows, however large a numeric run's label set grows."""
-    from pyspark.sql import Window
-
-    keys = [*run_cols, "phase"]
-    labels = pcube.select(*keys, F.col("pred").alias("label")).distinct()
-    sizes = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_labels")).filter(F.col("n_labels") <= max_labels)
-    bounded = labels.join(sizes, keys)
-    return bounded.withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("label")) - 1)
+def predicted_labels(pcube: DataFrame, run_cols: RunCols = ("run",)) -> DataFrame:
+    """The distinct predicted labels ``(run, phase, label)`` of every run."""
+    return pcube.select(*run_cols, "phase", F.col("pred").alias("label")).distinct()
 
 
 def evaluate(results: DataFrame, run_cols: RunCols = ("run",), gt: str = "gt", pred: str = "pred",
@@ -226,8 +217,9 @@ def report_entries() -> list[tuple[str, int, str, str]]:
 
 def report_long(board: DataFrame, run_cols: RunCols = ("run",), confusion: DataFrame | None = None) -> DataFrame:
     """SNK3 content: ``(run, section, ordinal, key, value, text)`` rows — the
-    report as a long table (value for numbers, text for the LaTeX row and, if
-    ``confusion`` (from ``confusion_text``) is given, the matrices)."""
+    report as a long table (value for numbers, text for the LaTeX row). With
+    ``confusion`` (the cells of ``confusion_long``) there is one row per non-zero
+    cell, ``gold -> predicted = n``, however many labels a run has."""
     entries = []
     for section, o, key, src in report_entries():
         if src == "@latex":
@@ -243,12 +235,23 @@ def report_long(board: DataFrame, run_cols: RunCols = ("run",), confusion: DataF
         return rows
     where = {src[1:]: (section, o) for section, o, key, src in report_entries() if src in ("@before", "@after")}
     ph = F.col("phase")
-    cm = confusion.join(board.select(*run_cols), list(run_cols), "left_semi").select(
+    cells = confusion.join(board.select(*run_cols), list(run_cols), "left_semi").select(
         *run_cols,
         F.when(ph == "before", F.lit(where["before"][0])).otherwise(F.lit(where["after"][0])).alias("section"),
         F.when(ph == "before", F.lit(where["before"][1])).otherwise(F.lit(where["after"][1])).alias("ordinal"),
-        F.lit("confusion_matrix").alias("key"), F.lit(None).cast("double").alias("value"), F.col("text"))
-    return rows.unionByName(cm)
+        F.lit("confusion_matrix").alias("key"), F.lit(None).cast("double").alias("value"), cell_text().alias("text"))
+    return rows.unionByName(cells)
+
+
+def cell_text() -> Column:
+    """A confusion cell as a line of text."""
+    return F.format_string("%s -> %s = %d", F.col("gt"), F.col("pred"), F.col("n"))
+
+
+def confusion_lines(pcube: DataFrame, run_cols: RunCols = ("run",)) -> DataFrame:
+    """A7 for print: a line ``(run, phase, text)`` for each non-zero cell of every
+    run, whatever its number of labels."""
+    return confusion_long(pcube, run_cols).select(*run_cols, "phase", cell_text().alias("text"))
 
 
 def label_results(df: DataFrame, gt: Column, pred: Column, attack_pred: Column, run: Column) -> DataFrame:
@@ -261,64 +264,3 @@ def step_budget(df: DataFrame, epochs: int, batch_size: int) -> DataFrame:
     """Corpus size and the training step budget ``epochs * ceil(n / batch)``."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
         "n_rows", (F.lit(epochs) * F.ceil(F.col("n_rows") / F.lit(batch_size))).cast("bigint").alias("total_steps"))
-
-
-# numpy's default print width for ``array2string`` (fixed value): rows of a
-# 2-D matrix wrap once a line would pass 75 - 2 characters.
-NUMPY_LINE_WIDTH = 75
-
-
-def _numpy_row(vals: Column, width: Column, n: Column) -> Column:
-    """One matrix row as numpy prints it: right-aligned cells, ', ' between
-    them, continuation lines indented by two spaces."""
-    limit = NUMPY_LINE_WIDTH - 2
-    words = F.transform(vals, lambda v, i: F.concat(F.lpad(v.cast("string"), width, " "),
-                                                    F.when(i < n - 1, F.lit(", ")).otherwise(F.lit(""))))
-    init = F.struct(F.lit("").alias("text"), F.lit(2).alias("len"))
-
-    def step(acc, w):
-        core = F.rtrim(w)  # the word without the trailing separator space
-        wrap = (acc["len"] + F.length(core) > limit) & (acc["len"] > 2)
-        text = F.when(wrap, F.concat(F.rtrim(acc["text"]), F.lit("\n  "), w)).otherwise(F.concat(acc["text"], w))
-        length = F.when(wrap, F.lit(2) + F.length(w)).otherwise(acc["len"] + F.length(w))
-        return F.struct(text.alias("text"), length.alias("len"))
-
-    return F.concat(F.lit("["), F.aggregate(words, init, step, lambda acc: acc["text"]), F.lit("]"))
-
-
-def confusion_text(pcube: DataFrame, run_cols: RunCols = ("run",), max_labels: int = 64) -> DataFrame:
-    """The confusion matrix of every ``(run, phase)`` as numpy prints it
-    (``np.array2string(cm, separator=', ')``), rows and columns = predicted
-    labels in sorted order.
-
-    Only groups with at most ``max_labels`` labels are expanded, and the bound
-    is applied before anything is gathered: distinct labels are counted by
-    aggregation, cells are semi-joined to the labels of bounded groups (at most
-    ``max_labels**2`` per group), and one aggregation per group gathers its
-    labels and a cell map from which each dense row is built by ``transform``.
-    Larger groups get a pointer to the long confusion table. The phase cube
-    is read in several branches: pass a materialised (persisted or
-    checkpointed) cube, never one that still re-reads the raw results."""
-    keys = [*run_cols, "phase"]
-    sep = F.lit("\u0000")
-    preds = pcube.select(*keys, F.col("pred").alias("label")).distinct()
-    sizes = preds.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_labels"))
-    small = sizes.filter(F.col("n_labels") <= max_labels)
-    labels = preds.join(small, keys)
-    cells = pcube.join(labels.select(*keys, F.col("label").alias("gt")), [*keys, "gt"], "left_semi")
-    cell_maps = cells.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat("gt", sep, "pred"), "n"))).alias("m"))
-    label_lists = labels.groupBy(*keys).agg(F.array_sort(F.collect_list("label")).alias("labels"),
-                                            F.first("n_labels").alias("n_labels"))
-    dense = label_lists.join(cell_maps, keys, "left").select(
-        *keys, "n_labels",
-        F.transform("labels", lambda g: F.transform(
-            "labels", lambda p: F.coalesce(F.col("m")[F.concat(g, sep, p)], F.lit(0).cast("bigint")))).alias("rows"))
-    dense = dense.withColumn("width", F.array_max(F.transform(
-        "rows", lambda r: F.array_max(F.transform(r, lambda v: F.length(v.cast("string")))))))
-    text = F.concat(F.lit("["), F.array_join(
-        F.transform("rows", lambda r: _numpy_row(r, F.col("width"), F.col("n_labels"))), ",\n "), F.lit("]"))
-    expanded = dense.select(*keys, "n_labels", text.alias("text"))
-    big = sizes.filter(F.col("n_labels") > max_labels).select(
-        *keys, "n_labels", F.format_string("(%d labels: see the confusion table)", F.col("n_labels")).alias("text"))
-    return expanded.unionByName(big)

@@ -13,7 +13,7 @@ Scale notes
   exploded into one row per (document, chunk) they touch — never one row per
   token — and chunks are re-assembled by a grouped, ordered ``collect_list``
   whose groups hold at most ``seq_length`` tokens.
-* Global ranks (batch manifest) use a two-level prefix sum: rows are range-
+* Global ranks (batch manifest) use a two-level prefix sum over keys: they are range-
   bucketed on their hash-based order key, numbered inside their bucket, and
   the per-bucket counts (one row per bucket; the bucket count is derived from
   the row count, so buckets stay bounded) are prefix-summed and joined back.
@@ -125,7 +125,9 @@ def _bucket_of(okey: Column, n_buckets: int) -> Column:
 def global_rank(df: DataFrame, key: str, seed: int = DEFAULT_SEED, rows_per_bucket: int = 1_000_000,
                 n_rows: Optional[int] = None, out: str = "rn") -> DataFrame:
     """Zero-based rank of every row in the seeded order ``(md5(seed:key), key)``
-    without a single-partition window. ``key`` must be unique."""
+    without a single-partition window. ``key`` must be unique. Pass keys alone
+    (``df.select(key)``) and join the rank back: whatever else a row holds would
+    travel through the window."""
     if n_rows is None:
         n_rows = df.count()
     n_buckets = max(1, math.ceil(n_rows / rows_per_bucket))
@@ -134,12 +136,11 @@ def global_rank(df: DataFrame, key: str, seed: int = DEFAULT_SEED, rows_per_buck
     w = Window.partitionBy("_bucket").orderBy("_okey", key)
     numbered = tagged.withColumn("_in", F.row_number().over(w) - 1)
     counts = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
-    # One row per bucket, n_buckets <= n_rows / rows_per_bucket + 1: a proven
-    # small table, prefix-summed in one tiny window and broadcast back.
+    # one row per bucket (a millionth of the rows), prefix-summed in one small window
     offsets = counts.select(
         "_bucket", (F.sum("_cnt").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
                     - F.col("_cnt")).alias("_off"))
-    joined = numbered.join(F.broadcast(offsets), "_bucket") if n_buckets <= 100_000 else numbered.join(offsets, "_bucket")
+    joined = numbered.join(offsets, "_bucket")
     return joined.withColumn(out, (F.col("_off") + F.col("_in")).cast("bigint")).drop("_okey", "_bucket", "_in", "_off")
 
 
@@ -180,99 +181,133 @@ def shard_of(key: ColumnOrName, shards: int, seed: int = DEFAULT_SEED) -> Column
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(shards)).cast("int")
 
 
-def pack(df: DataFrame, key: str, ids_col: str = "input_ids", seq_length: int = PACK_SEQ_LENGTH, sep=None,
-         shards: int = 1, seed: int = DEFAULT_SEED, append_concat_token: bool = True,
-         order: str = "seeded", shard_col: Optional[str] = None) -> DataFrame:
+def _with_separator(df: DataFrame, ids_col: str, sep, append: bool) -> Column:
+    ids = F.col(ids_col)
+    if not append:
+        return ids
+    return F.concat(ids, F.array(F.lit(sep).cast(df.schema[ids_col].dataType.elementType)))
+
+
+def _pieces(ids: Column, off: Column, length: Column, seq_length: int, side: int) -> Column:
+    """The parts of a sample at offset ``off`` of its shard, one for each chunk that
+    it touches, as structs ``(chunk_id, side, off, piece)``."""
+    L = F.lit(seq_length).cast("bigint")
+    none = F.array().cast("array<bigint>")
+    touched = F.when(length > 0, F.sequence(F.floor(off / L), F.floor((off + length - 1) / L))).otherwise(none)
+
+    def piece(chunk):
+        lo, hi = F.greatest(chunk * L, off), F.least((chunk + 1) * L, off + length)
+        return F.struct(chunk.alias("chunk_id"), F.lit(side).alias("side"), off.alias("off"),
+                        F.slice(ids, (lo - off + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
+
+    return F.transform(touched, piece)
+
+
+def _joined(pieces: Column) -> Column:
+    return F.flatten(F.transform(F.array_sort(pieces), lambda x: x["piece"]))
+
+
+def pack(df: DataFrame, key: str, ids_col: str, seq_length: int, sep, shards: int, seed: int = DEFAULT_SEED,
+         append_concat_token: bool = True, order: str = "seeded", shard_col: Optional[str] = None) -> DataFrame:
     """K1: constant-length packing. Each sample gets the separator appended,
     samples are concatenated per shard in seeded order (``order='key'`` keeps
     key order), cut into ``seq_length`` pieces, and the incomplete tail of
-    every shard is dropped. Returns ``(shard, chunk_id, input_ids, labels)``."""
-    ids = F.col(ids_col)
-    if append_concat_token:
-        ids = F.concat(ids, F.array(F.lit(sep).cast(df.schema[ids_col].dataType.elementType)))
+    every shard is dropped. Returns ``(shard, chunk_id, input_ids, labels)``.
+    ``shards`` bounds what one task holds: see ``shard_count``."""
     shard = F.col(shard_col) if shard_col else shard_of(key, shards, seed)
     okey = order_key(key, seed) if order == "seeded" else F.lit("")
-    base = df.select(shard.alias("shard"), okey.alias("_okey"), F.col(key).alias("_key"), ids.alias("_ids"))
+    base = df.select(shard.alias("shard"), okey.alias("_okey"), F.col(key).alias("_key"),
+                     _with_separator(df, ids_col, sep, append_concat_token).alias("_ids"))
     base = base.withColumn("_len", F.size("_ids").cast("bigint"))
     w = Window.partitionBy("shard").orderBy("_okey", "_key").rowsBetween(Window.unboundedPreceding, 0)
-    L = F.lit(seq_length).cast("bigint")
     placed = base.withColumn("_off", F.sum("_len").over(w) - F.col("_len")).filter(F.col("_len") > 0)
-    first = F.floor(F.col("_off") / L)
-    last = F.floor((F.col("_off") + F.col("_len") - 1) / L)
-    touched = placed.select("shard", "_off", "_len", "_ids", F.explode(F.sequence(first, last)).alias("chunk_id"))
-    lo = F.greatest(F.col("chunk_id") * L, F.col("_off"))
-    hi = F.least((F.col("chunk_id") + 1) * L, F.col("_off") + F.col("_len"))
-    pieces = touched.select("shard", "chunk_id", "_off",
-                            F.slice("_ids", (lo - F.col("_off") + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
-    chunks = pieces.groupBy("shard", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("_off", "piece"))).alias("_p"))
-    packed = chunks.select("shard", "chunk_id", F.flatten(F.transform("_p", lambda x: x["piece"])).alias("input_ids"))
+    pieces = placed.select("shard", F.inline(_pieces(F.col("_ids"), F.col("_off"), F.col("_len"), seq_length, 0)))
+    chunks = pieces.groupBy("shard", "chunk_id").agg(F.collect_list(F.struct("off", "piece")).alias("_p"))
+    packed = chunks.select("shard", "chunk_id", _joined(F.col("_p")).alias("input_ids"))
     packed = packed.filter(F.size("input_ids") == seq_length)
     return packed.withColumn("labels", F.col("input_ids"))
 
 
-def pack_local(df: DataFrame, key: str, ids_col: str = "input_ids", seq_length: int = PACK_SEQ_LENGTH, sep=None,
-               seed: int = DEFAULT_SEED, append_concat_token: bool = True) -> DataFrame:
-    """K1 without any shuffle: every input partition is one packing buffer.
-
-    Rows are sorted inside their partition by the seeded order key
-    (``sortWithinPartitions``, no exchange) and streamed through an Arrow
-    packer that carries the unfinished chunk from batch to batch, so memory
-    stays at one batch plus one chunk. Each partition's incomplete tail is
-    dropped, like a buffer's in the reference. Chunk boundaries depend on the
-    input split layout (files, ``spark.sql.files.maxPartitionBytes``), which
-    is fixed for a given input and configuration; use ``pack`` when shards
-    must not depend on it. Returns ``(shard, chunk_id, input_ids, labels)``
-    with ``shard`` = input partition."""
-    etype = df.schema[ids_col].dataType
-    out_schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("chunk_id", T.LongType()),
-                               T.StructField("input_ids", etype), T.StructField("labels", etype)])
-    src = df.select(F.spark_partition_id().alias("_part"), order_key(key, seed).alias("_okey"), F.col(key).alias("_key"),
-                    F.col(ids_col).alias("_ids")).sortWithinPartitions("_okey", "_key")
-
-    def run(batches):
-        carry: list = []
-        part, chunk = None, 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            part = int(pdf["_part"].iloc[0])
-            shards, ids, stream = [], [], carry
-            for toks in pdf["_ids"]:
-                stream.extend(list(toks) if toks is not None else [])
-                if append_concat_token:
-                    stream.append(sep)
-                while len(stream) >= seq_length:
-                    ids.append(stream[:seq_length])
-                    shards.append(chunk)
-                    chunk += 1
-                    stream = stream[seq_length:]
-            carry = stream
-            if ids:
-                yield pd.DataFrame({"shard": part, "chunk_id": shards, "input_ids": ids, "labels": ids})
-
-    return src.mapInPandas(run, out_schema)
+def pack_pairs(df: DataFrame, key: str, plain_col: str, followup_col: str, seq_length: int, sep, shards: int,
+               seed: int = DEFAULT_SEED, align: str = "chunk", part: Optional[str] = None,
+               last: Optional[str] = None) -> DataFrame:
+    """K3 over token arrays: both sides of a sample travel in one row, one window
+    sums both lengths, and one grouping by ``(shard, chunk_id)`` builds both
+    chunks: one exchange, by shard, and no join.
+
+    ``align='chunk'`` cuts each side at its own offsets and pairs chunks by index;
+    chunks beyond the shorter side drop out (J4). ``align='sample'`` cuts both
+    sides at common sample boundaries: a chunk of either side holds the same
+    samples, as many as fit ``seq_length`` tokens of the longer side by a running
+    sum, each side at most ``seq_length`` tokens long.
+
+    A sample may come in several rows, ordered by ``part``, the one marked by
+    ``last`` being the end that gets the separator (chunk alignment only)."""
+    if align == "sample" and part:
+        raise ValueError("samples in parts have no common boundaries of rows")
+
+    def ids(c: str) -> Column:
+        whole = _with_separator(df, c, sep, True)
+        return F.when(F.col(last), whole).otherwise(F.col(c)) if last else whole
+
+    both = df.select(shard_of(key, shards, seed).alias("shard"), order_key(key, seed).alias("_okey"), F.col(key).alias("_key"),
+                     (F.col(part) if part else F.lit(0)).alias("_part"), ids(plain_col).alias("_a"),
+                     ids(followup_col).alias("_b"))
+    both = both.withColumn("_la", F.size("_a").cast("bigint")).withColumn("_lb", F.size("_b").cast("bigint"))
+    w = Window.partitionBy("shard").orderBy("_okey", "_key", "_part").rowsBetween(Window.unboundedPreceding, 0)
+    if align == "sample":
+        longer = F.greatest("_la", "_lb")
+        placed = both.withColumn("_end", F.sum(longer).over(w)).withColumn(
+            "chunk_id", F.floor((F.col("_end") - 1) / F.lit(seq_length)))
+        rows = placed.groupBy("shard", "chunk_id").agg(
+            F.count(F.lit(1)).alias("n_samples"),
+            F.collect_list(F.struct(F.col("_end").alias("off"), F.col("_a").alias("piece"))).alias("_pa"),
+            F.collect_list(F.struct(F.col("_end").alias("off"), F.col("_b").alias("piece"))).alias("_pb"))
+        cut = lambda c: F.slice(_joined(F.col(c)), 1, seq_length)  # noqa: E731 - a sample may be longer than a chunk
+        out = rows.select("shard", "chunk_id", "n_samples", cut("_pa").alias("input_ids"), cut("_pb").alias("input_ids_followup"))
+    else:
+        placed = (both.withColumn("_oa", F.sum("_la").over(w) - F.col("_la"))
+                  .withColumn("_ob", F.sum("_lb").over(w) - F.col("_lb")))
+        pieces = placed.select("shard", F.inline(F.concat(
+            _pieces(F.col("_a"), F.col("_oa"), F.col("_la"), seq_length, 0),
+            _pieces(F.col("_b"), F.col("_ob"), F.col("_lb"), seq_length, 1))))
+        side = lambda k: F.collect_list(F.when(F.col("side") == k, F.struct("off", "piece")))
+        rows = pieces.groupBy("shard", "chunk_id").agg(side(0).alias("_pa"), side(1).alias("_pb"))
+        out = rows.select("shard", "chunk_id", _joined(F.col("_pa")).alias("input_ids"),
+                          _joined(F.col("_pb")).alias("input_ids_followup"))
+        out = out.filter((F.size("input_ids") == seq_length) & (F.size("input_ids_followup") == seq_length))
+    return out.withColumn("labels", F.col("input_ids"))
 
 
 def pack_paired(df: DataFrame, key: str, text_col: str = "text", seq_length: int = PACK_SEQ_LENGTH, sep=DEFAULT_EOS,
                 shards: Optional[int] = None, seed: int = DEFAULT_SEED, feedback: Optional[str] = None,
                 marker: str = USER_MARKER, num_of_sequences: int = PACK_NUM_SEQUENCES,
-                chars_per_token: float = PACK_CHARS_PER_TOKEN, tokenizer: Optional[Tokenizer] = None) -> DataFrame:
+                chars_per_token: float = PACK_CHARS_PER_TOKEN, tokenizer: Optional[Tokenizer] = None,
+                align: str = "chunk", part: Optional[str] = None, last: Optional[str] = None) -> DataFrame:
     """K3: the same samples with and without the challenge (inserted after the
-    marker, F7) packed with identical shards and order, then zipped by chunk
-    index; chunks beyond the shorter side drop out (inner join, J4). The shard
-    count follows the challenged text length, as in the reference."""
+    marker, F7), packed by ``pack_pairs``. The shard count follows the challenged
+    text length, as in the reference; ``shards`` saves that counting pass. Samples
+    may come in parts (``part``, ``last``), such as the pieces of a conversation."""
     from sway.functions.constants import TRAIN_FEEDBACK
 
     fb = TRAIN_FEEDBACK if feedback is None else feedback
-    both = df.select(F.col(key), F.col(text_col).alias("_plain"), add_feedback(text_col, fb, marker).alias("_followup"))
+    both = df.select(F.col(key), *[F.col(c) for c in (part, last) if c], F.col(text_col).alias("_plain"),
+                     add_feedback(text_col, fb, marker).alias("_followup"))
     if shards is None:
         shards = shard_count(both, "_followup", seq_length, num_of_sequences, chars_per_token)
-    plain = tokenize(both, "_plain", max_len=None, tokenizer=tokenizer)
-    follow = tokenize(both, "_followup", max_len=None, tokenizer=tokenizer)
-    a = pack(plain, key, "input_ids", seq_length, sep, shards, seed)
-    b = pack(follow, key, "input_ids", seq_length, sep, shards, seed).select(
-        "shard", "chunk_id", F.col("input_ids").alias("input_ids_followup"))
-    return a.join(b, ["shard", "chunk_id"], "inner")
+    toks = tokenize(both, "_plain", max_len=None, tokenizer=tokenizer, out="_plain_ids")
+    toks = tokenize(toks, "_followup", max_len=None, tokenizer=tokenizer, out="_followup_ids")
+    return pack_pairs(toks, key, "_plain_ids", "_followup_ids", seq_length, sep, shards, seed, align, part, last)
+
+
+def chunk_ids(df: DataFrame, key: str, ids_col: str, seq_length: int, shards: int, seed: int = DEFAULT_SEED,
+              append_concat_token: bool = True) -> DataFrame:
+    """The ``(shard, chunk_id)`` that ``pack`` would return, from the samples'
+    lengths alone: a shard of n tokens has ``floor(n / seq_length)`` whole chunks."""
+    length = F.size(ids_col).cast("bigint") + F.lit(1 if append_concat_token else 0)
+    sizes = df.groupBy(shard_of(key, shards, seed).alias("shard")).agg(F.sum(length).alias("_n"))
+    whole = F.floor(F.col("_n") / F.lit(seq_length))
+    return sizes.filter(whole > 0).select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1)).alias("chunk_id"))
 
 
 def chunk_order(packed: DataFrame, seed: int = DEFAULT_SEED, rank: bool = True,
@@ -291,27 +326,50 @@ def chunk_order(packed: DataFrame, seed: int = DEFAULT_SEED, rank: bool = True,
 def require_nonempty(packed: DataFrame) -> DataFrame:
     """K5: fail like the reference when not a single chunk results."""
     if packed.isEmpty():
-        raise ValueError("Error occurred while packing the dataset. Make sure that your dataset has enough samples "
-                         "to at least yield one packed sequence.")
+        raise ValueError("packing gave no chunk: the samples hold fewer tokens than one sequence")
     return packed
 
 
 # ---------------------------------------------------------- split challenge
-def split_challenge(ids: ColumnOrName, sep) -> tuple[Column, Column]:
+def split_challenge(ids: ColumnOrName, sep, of: ColumnOrName | None = None) -> tuple[Column, Column]:
     """K4: per row, with the first two separator positions p0 < p1:
     plain = ids without the whole span [p0..p1]; challenged = ids without just
-    the two separators. Fewer than two separators leave the row unchanged."""
+    the two separators. Fewer than two separators leave the row unchanged. ``of``
+    is an array cut at the places of ``ids``, such as its mask or labels."""
+    first, second = separators(ids, sep)
+    return split_at(of if of is not None else ids, first, second)
+
+
+def separators(ids: ColumnOrName, sep) -> tuple[Column, Column]:
+    """1-based positions of the first two separators, 0 where there is none."""
     a = col(ids)
-    n = F.size(a)
-    p0 = F.array_position(a, F.lit(sep))  # 1-based, 0 if absent
-    rest = F.slice(a, (p0 + 1).cast("int"), F.greatest(n - p0, F.lit(1)).cast("int"))
+    p0 = F.array_position(a, F.lit(sep))
+    rest = F.slice(a, (p0 + 1).cast("int"), F.greatest(F.size(a) - p0, F.lit(1)).cast("int"))
     q = F.array_position(rest, F.lit(sep))
-    p1 = p0 + q  # 1-based position of the second separator
     two = (p0 > 0) & (q > 0)
+    return F.when(two, p0).otherwise(0), F.when(two, p0 + q).otherwise(0)
+
 
+def split_at(values: ColumnOrName, p0: ColumnOrName, p1: ColumnOrName) -> tuple[Column, Column]:
+    """The plain and the challenged form of an array, cut at ``p0`` and ``p1``."""
+    a, p0, p1 = col(values), col(p0), col(p1)
     head = F.slice(a, 1, F.greatest(p0 - 1, F.lit(0)).cast("int"))
     middle = F.slice(a, (p0 + 1).cast("int"), F.greatest(p1 - p0 - 1, F.lit(0)).cast("int"))
-    tail = F.slice(a, (p1 + 1).cast("int"), F.greatest(n - p1, F.lit(0)).cast("int"))
-    plain = F.when(two, F.concat(head, tail)).otherwise(a)
-    challenged = F.when(two, F.concat(head, middle, tail)).otherwise(a)
-    return plain, challenged
+    tail = F.slice(a, (p1 + 1).cast("int"), F.greatest(F.size(a) - p1, F.lit(0)).cast("int"))
+    plain = F.when(p1 > 0, F.concat(head, tail)).otherwise(a)
+    return plain, F.when(p1 > 0, F.concat(head, middle, tail)).otherwise(a)
+
+
+def split_challenge_rows(df: DataFrame, sep, ids_col: str = "input_ids",
+                         cols: tuple[str, ...] = ("input_ids", "attention_mask", "labels")) -> DataFrame:
+    """K4 over a tokenised table: ``ids``, mask and labels are cut at the same two
+    separators into ``<col>`` (plain) and ``<col>_challenged``. The positions are
+    computed once per row, in a projection of their own."""
+    p0, p1 = separators(ids_col, sep)
+    placed = df.withColumn("_p", F.struct(p0.alias("p0"), p1.alias("p1"))).withColumns(
+        {"_p0": F.col("_p.p0"), "_p1": F.col("_p.p1")}).drop("_p")
+    out = {}
+    for c in cols:
+        plain, challenged = split_at(c, "_p0", "_p1")
+        out[c], out[f"{c}_challenged"] = plain, challenged
+    return placed.withColumns(out).drop("_p0", "_p1")

@@ -47,9 +47,9 @@ def _c(x: ColumnLike) -> Column:
 
 def _check(dataset: str, fmt: str) -> None:
     if dataset not in ("medqa", "openbookqa", "gsm8k", "squad_v2"):
-        raise ValueError(f"Dataset {dataset} not supported.")
+        raise ValueError(f"no two-round evaluation for dataset {dataset!r}")
     if fmt not in ("alpaca", "sharegpt"):
-        raise NotImplementedError(f"Data format {fmt} not supported.")
+        raise NotImplementedError(f"unknown corpus format {fmt!r}")
 
 
 # ----------------------------------------------------------- training text
@@ -59,7 +59,7 @@ def training_text(corpus: DataFrame, fmt: str, eos: str = DEFAULT_EOS, out: str
         return corpus.withColumn(out, render_alpaca("instruction", "input", "output", eos, phase="train"))
     if fmt == "sharegpt":
         return corpus.withColumn(out, render_chat("conversations"))
-    raise NotImplementedError(f"Data format {fmt} not supported.")
+    raise NotImplementedError(f"unknown corpus format {fmt!r}")
 
 
 def training_text_challenged(corpus: DataFrame, fmt: str, eos: str = DEFAULT_EOS, out: str = "text") -> DataFrame:
@@ -69,7 +69,7 @@ def training_text_challenged(corpus: DataFrame, fmt: str, eos: str = DEFAULT_EOS
         return corpus.withColumn(out, wrap_challenge(render_alpaca("instruction", "input", "output", eos, "train"), eos))
     if fmt == "sharegpt":
         return corpus.withColumn(out, render_chat(wrap_first_turn("conversations", eos)))
-    raise NotImplementedError(f"Data format {fmt} not supported.")
+    raise NotImplementedError(f"unknown corpus format {fmt!r}")
 
 
 # ------------------------------------------------------------- round one
@@ -118,7 +118,7 @@ def extractor(dataset: str, fmt: str, compat: bool = False):
         return lambda r: extract_number(r, NUMBER_PATTERN, dot_only_fallback=(compat and fmt == "sharegpt"))
     if dataset == "squad_v2":
         return extract_span
-    raise ValueError(f"Dataset {dataset} not supported.")
+    raise ValueError(f"no answer parser for dataset {dataset!r}")
 
 
 def with_parsed(df: DataFrame, text_col: str, dataset: str, fmt: str, out: str, compat: bool = False) -> DataFrame:
@@ -176,7 +176,7 @@ def prediction_records(df: DataFrame, dataset: str, fmt: str, keep: Sequence[str
         return df.select(*k, "question", F.col("gold").alias("answer"), gold_number("gold").alias("answer_val"),
                          "pred_str", "attack_pred_str", F.col("pred").alias("pred_val"),
                          F.col("attack_pred").alias("attack_pred_val"))
-    raise ValueError(f"Dataset {dataset} not supported.")
+    raise ValueError(f"no answer parser for dataset {dataset!r}")
 
 
 def span_records(df: DataFrame, fmt: str, keep: Sequence[str] = ("item_id", "run")) -> DataFrame:
@@ -300,15 +300,88 @@ def assert_aligned(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
     return both.select(*k, side.alias("side")).filter(F.col("side").isNotNull())
 
 
+def duplicate_responses(responses: DataFrame, keys: Sequence[str], round_col: str = "round") -> DataFrame:
+    """J2 guard: ``(keys..., round, n)`` that have more than one response; such a
+    table would multiply items in ``attach_responses``."""
+    return responses.groupBy(*keys, round_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def unmatched_prompts(prompts: DataFrame, responses: DataFrame, keys: Sequence[str], round_col: str = "round") -> DataFrame:
+    """The number of prompts without a response, ``(round, n)``, for both rounds."""
+    rounds = prompts.select(*keys, F.explode(F.array(F.lit(1), F.lit(2))).alias(round_col))
+    known = responses.select(*keys, F.col(round_col).cast("int").alias(round_col))
+    return rounds.join(known, [*keys, round_col], "left_anti").groupBy(round_col).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_item_key(df: DataFrame, cols: Sequence[str], out: str = "item_id") -> DataFrame:
+    """A key for records without one: the md5 of the fields ``cols``; the second
+    and later records with equal fields get their number appended, so a key names
+    one record."""
+    from pyspark.sql import Window
+
+    content = F.md5(F.to_json(F.struct(*cols)))
+    # records of one content are interchangeable, so any order numbers them alike
+    number = F.row_number().over(Window.partitionBy("_content").orderBy("_content")) - 1
+    keyed = df.withColumn("_content", content).withColumn("_number", number)
+    key = F.when(F.col("_number") == 0, F.col("_content")).otherwise(F.concat_ws(":", "_content", F.col("_number").cast("string")))
+    return keyed.withColumn(out, key).drop("_content", "_number")
+
+
 def choice_results(records: DataFrame, run_col: str = "run") -> DataFrame:
     """SRC6: ``answer_idx, pred_idx, attack_pred_idx`` -> ``gt, pred, attack_pred``."""
     return records.select(F.col(run_col).alias("run"), F.col("answer_idx").alias("gt"),
                           F.col("pred_idx").alias("pred"), F.col("attack_pred_idx").alias("attack_pred"))
 
 
-def numeric_results(records: DataFrame, run_col: str = "run") -> DataFrame:
-    """SRC7: numeric records -> normalised ``gt, pred, attack_pred``."""
+def numeric_results(records: DataFrame, keep: Sequence[str] = ("run",)) -> DataFrame:
+    """SRC7: ``answer_val, pred_val, attack_pred_val`` -> canonical ``gt, pred,
+    attack_pred`` (F20). The values should be plain columns: each is read often."""
     from sway.functions.extract import normalise_numbers
 
     g, p, a = normalise_numbers("answer_val", "pred_val", "attack_pred_val")
-    return records.select(F.col(run_col).alias("run"), g.alias("gt"), p.alias("pred"), a.alias("attack_pred"))
+    return records.select(*keep, g.alias("gt"), p.alias("pred"), a.alias("attack_pred"))
+
+
+NUMERIC_DATASETS = ("gsm8k",)
+
+
+def judged_results(results: DataFrame) -> DataFrame:
+    """Result records of any dataset -> ``(run, dataset, gt, pred, attack_pred,
+    reject)``. ``reject`` says why a record can't be scored: its dataset has no
+    two-round score, its gold answer or one of its predictions is missing. It is
+    null for the others. An unparsed answer is the empty prediction, not a missing
+    one. The run is the result file (or the folder of a Spark-written one)."""
+    from sway.functions.extract import normalise_numbers
+    from sway.functions.paths import dataset_of
+
+    run = F.regexp_replace("path", r"/part-[^/]*$", "")
+    named = F.col("dataset") if "dataset" in results.columns else F.lit(None).cast("string")
+    dataset = dataset_of(F.coalesce(named, run))
+    numeric, choice = F.col("dataset").isin(*NUMERIC_DATASETS), F.col("dataset").isin(*CHOICE_DATASETS)
+    base = results.withColumn("dataset", dataset)
+    values = [F.when(numeric, F.col(f"{c}_val")).when(choice, F.col(f"{c}_idx")).alias(name)
+              for c, name in (("answer", "a"), ("pred", "p"), ("attack_pred", "q"))]
+    # a generator of one row: what stands before it is computed once, however
+    # often the expressions after it read the values
+    base = base.select(run.alias("run"), "dataset", F.inline(F.array(F.struct(*values))))
+    canonical = [F.when(numeric, n).otherwise(F.col(c)).alias(name)
+                 for n, c, name in zip(normalise_numbers("a", "p", "q"), "apq", ("gt", "pred", "attack_pred"))]
+    scored = base.select("run", "dataset", F.inline(F.array(F.struct(*canonical))))
+    known = F.col("dataset").isin(*NUMERIC_DATASETS, *CHOICE_DATASETS)
+    reason = (F.when(~known, "unknown dataset").when(F.col("gt").isNull(), "missing gold")
+              .when(F.col("pred").isNull() | F.col("attack_pred").isNull(), "missing prediction"))
+    return scored.withColumn("reject", reason)
+
+
+def result_outcomes(results: DataFrame) -> DataFrame:
+    """The records that can be scored: ``(run, dataset, gt, pred, attack_pred)``."""
+    return judged_results(results).filter("reject is null").drop("reject")
+
+
+def outcome_rejects(results: DataFrame) -> DataFrame:
+    """``(run, dataset, reason, n)``: records that are left out of the score, and
+    ``unparsed answer``: records that are scored with an empty prediction."""
+    judged = judged_results(results)
+    unparsed = F.when((F.col("pred") == "") | (F.col("attack_pred") == ""), F.lit("unparsed answer"))
+    return (judged.select("run", "dataset", F.coalesce("reject", unparsed).alias("reason")).filter("reason is not null")
+            .groupBy("run", "dataset", "reason").agg(F.count(F.lit(1)).alias("n")))

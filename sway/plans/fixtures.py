@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sway.session import spread
-
 QA_CHOICE_SQL = """
 select item_id, run, question, opt_a, opt_b, opt_c, opt_d, answer_idx,
   case v1 when 0 then concat('Let us think. The correct answer is ', l1, ': nation.')
@@ -92,9 +90,11 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order keys, spread over the cores when the scan is too coarse
-    (everything downstream is per-row string work)."""
-    return spread(orders(spark, sf_dir).select("o_orderkey"))
+    """The order keys, dealt out over the cores: 8 bytes a row are exchanged, and
+    the string work on the records made from them runs in parallel however the
+    table is stored."""
+    keys = orders(spark, sf_dir).select("o_orderkey")
+    return keys.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
 
 
 def qa_choice(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,12 +45,9 @@ def q_alignment_check(spark, sf_dir):
     return R.assert_aligned(corpus, qa_choice(spark, sf_dir).select("item_id"), ["item_id"])
 
 
-@register("predicted_labels", f"""with {RES_CTE}
-select run, phase, label, (row_number() over (partition by run, phase order by label) - 1)::INTEGER as idx
-from (select distinct run, phase, pred as label from ph2) d""")
+@register("predicted_labels", f"with {RES_CTE} select distinct run, phase, pred as label from ph2")
 def q_predicted_labels(spark, sf_dir):
-    pl = M.predicted_labels(M.phase_cube(M.outcome_cube(choice_results(spark, sf_dir))))
-    return pl.select("run", "phase", "label", "idx")
+    return M.predicted_labels(M.phase_cube(M.outcome_cube(choice_results(spark, sf_dir))))
 
 
 @register("chunk_order", f"""with {_pack_sql('documents', 'doc_id', 'text', PACK_L, PACK_NSEQ, 'text')},
@@ -59,13 +56,12 @@ k as (select shard, chunk_id, cast(shard as varchar) || ':' || cast(chunk_id as
 select chunk_key, md5('{SEED}:' || chunk_key) as order_key,
   (row_number() over (order by md5('{SEED}:' || chunk_key), chunk_key) - 1)::BIGINT as rn from k""")
 def q_chunk_order(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", ["doc_id", "text"], spread_rows=True)
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     chars = PK.text_chars(docs, "text")
     shards = PK.shard_count(docs, "text", PACK_L, PACK_NSEQ, total_chars=chars)
-    packed = PK.pack(PK.tokenize(docs, "text", max_len=None), "doc_id", "input_ids", PACK_L, K.DEFAULT_EOS, shards, SEED)
+    chunks = PK.chunk_ids(PK.tokenize(docs, "text", max_len=None), "doc_id", "input_ids", PACK_L, shards, SEED)
     est = max(1, int(chars / K.PACK_CHARS_PER_TOKEN / PACK_L))
-    return PK.chunk_order(packed.select("shard", "chunk_id"), SEED, est_chunks=est).select("chunk_key", "order_key",
-                                                                                         "rn")
+    return PK.chunk_order(chunks, SEED, est_chunks=est).select("chunk_key", "order_key", "rn")
 
 
 SPAN_SUFFIX = K.TASK_SUFFIX["squad_v2"]

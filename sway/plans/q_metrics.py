@@ -193,24 +193,9 @@ def q_label_agreement(spark, sf_dir):
 
 
 @register("confusion_text", f"""with {RES_CTE},
-labs as (select run, phase, label, (row_number() over (partition by run, phase order by label) - 1) as idx
-         from (select distinct run, phase, pred as label from ph2) d),
-nl as (select run, phase, count(*) as n_labels from labs group by run, phase),
-dense as (select r.run, r.phase, r.idx as gi, c.idx as pj, coalesce(p.n, 0) as n
-          from labs r join labs c on r.run = c.run and r.phase = c.phase
-          left join ph2 p on p.run = r.run and p.phase = r.phase and p.gt = r.label and p.pred = c.label),
-w as (select run, phase, max(length(cast(n as varchar))) as width from dense group by run, phase),
-rt as (select d.run, d.phase, d.gi,
-         '[' || string_agg(lpad(cast(d.n as varchar), w.width::INTEGER, ' '), ', ' order by d.pj) || ']' as t
-       from dense d join w on d.run = w.run and d.phase = w.phase group by d.run, d.phase, d.gi)
-select rt.run, rt.phase, nl.n_labels, '[' || string_agg(t, ',' || chr(10) || ' ' order by gi) || ']' as text
-from rt join nl on rt.run = nl.run and rt.phase = nl.phase group by rt.run, rt.phase, nl.n_labels""")
+labs as (select distinct run, phase, pred as label from ph2)
+select run, phase, gt || ' -> ' || pred || ' = ' || n as text from ph2
+where exists (select 1 from labs where labs.run = ph2.run and labs.phase = ph2.phase and labs.label = ph2.gt)""")
 def q_confusion_text(spark, sf_dir):
-    """A7 as printed in the reference's report (numpy layout). The small cube
-    is checkpointed to the shared folder first: the text builder reads it in
-    several branches, which must not each re-scan and re-parse the input."""
-    from sway.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    cube = M.outcome_cube(choice_results(spark, sf_dir)).checkpoint(eager=True)
-    return M.confusion_text(M.phase_cube(cube))
+    """A7 as printed in the report: a line for each non-zero cell of every run."""
+    return M.confusion_lines(M.phase_cube(M.outcome_cube(choice_results(spark, sf_dir))))

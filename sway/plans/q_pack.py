@@ -14,6 +14,7 @@ from sway.plans import sqlgen as S
 from sway.plans.q_rounds import medqa_corpus
 from sway.plans.q_text import CONV_CTE, TRAIN_CTE, _piece, conversations
 from sway.plans.registry import register, table
+from sway.sources.io import chat_pieces
 
 EOS = K.DEFAULT_EOS
 SEED = K.DEFAULT_SEED
@@ -39,7 +40,7 @@ def md5_join(arr) -> F.Column:
 select doc_id, len(ids)::INTEGER as n_tokens, len(ids)::BIGINT as mask_sum, md5(array_to_string(ids, ' ')) as ids_md5
 from d""")
 def q_tokenize_truncate(spark, sf_dir):
-    docs = PK.tokenize(table(spark, sf_dir, "documents", ["doc_id", "text"], spread_rows=True), "text",
+    docs = PK.tokenize(table(spark, sf_dir, "documents", ["doc_id", "text"]), "text",
                        max_len=K.MAX_SEQ_LENGTH)
     return docs.select("doc_id", F.size("input_ids").alias("n_tokens"),
                        F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_sum"),
@@ -65,7 +66,7 @@ c{sfx} as (select shard, ((off + i - 1) // {L})::BIGINT as chunk_id, count(*) as
 @register("pack_chunks", f"""with {_pack_sql('documents', 'doc_id', 'text', PACK_L, PACK_NSEQ, 'text')}
 select shard, chunk_id, n::INTEGER as n_tokens, chunk_md5 from c where n = {PACK_L}""")
 def q_pack_chunks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", ["doc_id", "text"], spread_rows=True)
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     shards = PK.shard_count(docs, "text", PACK_L, PACK_NSEQ)
     toks = PK.tokenize(docs, "text", max_len=None)
     packed = PK.pack(toks, "doc_id", "input_ids", PACK_L, EOS, shards, SEED)
@@ -88,24 +89,87 @@ where c.n = {PAIR_L} and c_f.n = {PAIR_L}"""
 
 @register("pack_paired", _pair_sql())
 def q_pack_paired(spark, sf_dir):
-    chat = conversations(spark, sf_dir).select("conv_id", render_chat("conversations").alias("text"))
-    paired = PK.pack_paired(chat, "conv_id", "text", PAIR_L, EOS, seed=SEED, num_of_sequences=PAIR_NSEQ)
+    """K3 over the pieces of conversations: none is gathered into one row."""
+    pieces = chat_pieces(table(spark, sf_dir, "conversations"), with_last=True)
+    paired = PK.pack_paired(pieces, "conv_id", "piece", PAIR_L, EOS, seed=SEED, num_of_sequences=PAIR_NSEQ, part="turn",
+                            last="last")
     return paired.select("shard", "chunk_id", md5_join("input_ids").alias("chunk_md5"),
                          md5_join("input_ids_followup").alias("followup_md5"))
 
 
-@register("split_challenge", f"""with {TRAIN_CTE},
-s as (select item_id, {toks_sql('text')} as plain, {toks_sql(S.lit(K.TRAIN_FEEDBACK) + ' || text')} as chal from tt)
+def _pair_sample_sql() -> str:
+    bound = PAIR_L * K.PACK_CHARS_PER_TOKEN * PAIR_NSEQ
+    return f"""with {CONV_CTE}, cs as {_CHAT_SRC},
+sh as (select ceil(sum(length(ftext)) / {bound})::BIGINT as shards from cs),
+s as (select conv_id as k, (('0x' || substr(md5('{SEED}:shard:' || cast(conv_id as varchar)), 1, 8))::BIGINT % shards)::INTEGER as shard,
+        md5('{SEED}:' || cast(conv_id as varchar)) as okey, list_append({toks_sql('text')}, {S.lit(EOS)}) as a,
+        list_append({toks_sql('ftext')}, {S.lit(EOS)}) as b from cs, sh),
+o as (select *, sum(greatest(len(a), len(b))) over (partition by shard order by okey, k
+        rows between unbounded preceding and current row) as e from s)
+select shard, ((e - 1) // {PAIR_L})::BIGINT as chunk_id, count(*) as n_samples,
+  md5(array_to_string(list_slice(flatten(list(a order by e)), 1, {PAIR_L}), ' ')) as chunk_md5,
+  md5(array_to_string(list_slice(flatten(list(b order by e)), 1, {PAIR_L}), ' ')) as followup_md5
+from o group by shard, (e - 1) // {PAIR_L}"""
+
+
+@register("pack_paired_samples", _pair_sample_sql())
+def q_pack_paired_samples(spark, sf_dir):
+    """K3 cut at common sample boundaries: both chunks hold the same conversations."""
+    chat = conversations(spark, sf_dir).select("conv_id", render_chat("conversations").alias("text"))
+    paired = PK.pack_paired(chat, "conv_id", "text", PAIR_L, EOS, seed=SEED, num_of_sequences=PAIR_NSEQ, align="sample")
+    return paired.select("shard", "chunk_id", "n_samples", md5_join("input_ids").alias("chunk_md5"),
+                         md5_join("input_ids_followup").alias("followup_md5"))
+
+
+_SPLIT_CTE = f"""{TRAIN_CTE},
+s as (select item_id, {toks_sql('text')} as plain, {toks_sql(S.lit(K.TRAIN_FEEDBACK) + ' || text')} as chal from tt)"""
+
+
+def challenged_tokens(spark, sf_dir):
+    tt = R.training_text_challenged(medqa_corpus(spark, sf_dir, "alpaca"), "alpaca")
+    return PK.tokenize(tt, "text", max_len=None).withColumn("labels", F.col("input_ids"))
+
+
+@register("split_challenge", f"""with {_SPLIT_CTE}
 select item_id, len(plain)::INTEGER as n_plain, md5(array_to_string(plain, ' ')) as plain_md5,
   len(chal)::INTEGER as n_challenged, md5(array_to_string(chal, ' ')) as challenged_md5 from s""")
 def q_split_challenge(spark, sf_dir):
-    tt = R.training_text_challenged(medqa_corpus(spark, sf_dir, "alpaca"), "alpaca")
-    toks = PK.tokenize(tt, "text", max_len=None)
-    plain, chal = PK.split_challenge("input_ids", EOS)
-    return toks.select("item_id", F.size(plain).alias("n_plain"), md5_join(plain).alias("plain_md5"),
+    rows = PK.split_challenge_rows(challenged_tokens(spark, sf_dir), EOS, cols=("input_ids",))
+    ids, chal = F.col("input_ids"), F.col("input_ids_challenged")
+    return rows.select("item_id", F.size(ids).alias("n_plain"), md5_join(ids).alias("plain_md5"),
                        F.size(chal).alias("n_challenged"), md5_join(chal).alias("challenged_md5"))
 
 
+@register("split_challenge_labels", f"""with {_SPLIT_CTE}
+select item_id, len(plain)::BIGINT as mask, len(chal)::BIGINT as mask_challenged, md5(array_to_string(plain, ' ')) as labels_md5,
+  md5(array_to_string(chal, ' ')) as labels_challenged_md5 from s""")
+def q_split_challenge_labels(spark, sf_dir):
+    """K4 for the attention mask and the labels, cut with the ids."""
+    rows = PK.split_challenge_rows(challenged_tokens(spark, sf_dir), EOS)
+    ones = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return rows.select("item_id", ones("attention_mask").alias("mask"), ones("attention_mask_challenged").alias("mask_challenged"),
+                       md5_join("labels").alias("labels_md5"), md5_join("labels_challenged").alias("labels_challenged_md5"))
+
+
+@register("prepare_rows", f"""select doc_id, len(list_slice({toks_sql('lower(text)')}, 1, 64))::INTEGER as n_tokens,
+  md5(array_to_string(list_slice({toks_sql('lower(text)')}, 1, 64), ' ')) as ids_md5 from documents""")
+def q_prepare_rows(spark, sf_dir):
+    """T2 without packing, K6: the text comes from a formatting function; a table
+    that is tokenised already passes through."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    rows = PK.prepare(docs, formatting_func=lambda df: F.lower("text"), max_len=64)
+    return PK.prepare(rows).select("doc_id", F.size("input_ids").alias("n_tokens"), md5_join("input_ids").alias("ids_md5"))
+
+
+@register("prepare_packed", f"""with {_pack_sql('documents', 'doc_id', 'text', PACK_L, PACK_NSEQ, 'text')}
+select shard, chunk_id, chunk_md5 as labels_md5 from c where n = {PACK_L}""")
+def q_prepare_packed(spark, sf_dir):
+    """T2 with packing, T3, K5: chunks with their labels; no chunk is an error."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    rows = PK.prepare(docs, "text", packing=True, key="doc_id", seq_length=PACK_L, num_of_sequences=PACK_NSEQ)
+    return rows.select("shard", "chunk_id", md5_join("labels").alias("labels_md5"))
+
+
 # ------------------------------------------------------------ order, batches
 @register("seeded_order", f"select doc_id, md5('{SEED}:' || cast(doc_id as varchar)) as order_key from documents")
 def q_seeded_order(spark, sf_dir):

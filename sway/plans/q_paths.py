@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sway.functions.constants import ALPHA_DIR
-from sway.functions.paths import INFER_RE, infer_path, run_dimensions, train_path
+from sway.functions.paths import INFER_RE, infer_path, plain_train_path, run_dimensions, train_path
 from sway.plans.registry import register, table
 
 RUNS_SQL = """
@@ -48,7 +48,7 @@ select k, path,
   {_g(6)} as model_str, {_g(7)} as model, nullif(regexp_extract(path, '{_ALPHA}', 1), '') as alpha, {_g(9)} as split
 from p""")
 def q_run_dimensions(spark, sf_dir):
-    runs = spark.sql(RUNS_SQL, orders=table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"], spread_rows=True))
+    runs = spark.sql(RUNS_SQL, orders=table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"]))
     folder = infer_path(F.lit("/data/runs"), "dataset", "model", "model_str", "identity", "fmt", "alpha")
     paths = runs.select("k", F.concat(folder, F.lit("/"), F.col("split"), F.lit(".jsonl")).alias("path"))
     return paths.select("k", "path", run_dimensions("path").alias("d")).select("k", "path", "d.*")
@@ -58,6 +58,16 @@ def q_run_dimensions(spark, sf_dir):
 select k, concat_ws('/', '.', 'outputs', dataset, case when model like '%4bit%' then '4bit' end, 'consistency_sft', fmt, model,
   case when model like '%4bit%' then 'ot_0.0001_8' else 'ot' end) as train_path from runs""")
 def q_run_path(spark, sf_dir):
-    runs = spark.sql(RUNS_SQL, orders=table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"], spread_rows=True))
+    runs = spark.sql(RUNS_SQL, orders=table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"]))
     return runs.select("k", train_path(F.lit("."), "dataset", "model", "fmt", F.lit("ot"), F.lit("0.0001"),
                                        F.lit(8)).alias("train_path"))
+
+
+@register("plain_run_path", f"""with runs as ({RUNS_SQL.format(orders='orders')})
+select k, './outputs/' || dataset || case when model like '%4bit%' then '/4bit' else '' end || '/LLMs/' || fmt || '/'
+  || model || '_0.0001_8' as train_path from runs""")
+def q_plain_run_path(spark, sf_dir):
+    """the folder of a plain training run."""
+    runs = spark.sql(RUNS_SQL, orders=table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"]))
+    return runs.select("k", plain_train_path(F.lit("."), "dataset", "model", "fmt", F.lit("0.0001"),
+                                             F.lit(8)).alias("train_path"))

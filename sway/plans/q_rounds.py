@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sway.functions import constants as K
-from sway.functions.extract import extract_choice, extract_number, extract_span, normalise_numbers, recall_option
+from sway.functions.extract import extract_choice, extract_number, extract_span, recall_by_key, recall_option
 from sway.functions.prompts import challenge_prefix
 from sway.functions.text import gold_number
 from sway.operators import formatting as P
@@ -16,7 +16,7 @@ from sway.plans import sqlgen as S
 from sway.plans.fixtures import QA_CHOICE_SQL, QA_NUMBER_SQL, duck, qa_choice, qa_number, raw_choice_map, raw_numeric
 from sway.plans.q_format import MAP_CTE
 from sway.plans.q_metrics import metrics_ctes
-from sway.plans.registry import register
+from sway.plans.registry import register, table
 
 EOS = K.DEFAULT_EOS
 NL2 = "\n\n"
@@ -151,13 +151,12 @@ nn as (select item_id, run, {_norm_sql('answer_val', 'pred_val', 'attack_pred_va
 
 
 def numeric_results(spark, sf_dir) -> DataFrame:
-    qn = qa_number(spark, sf_dir)
     # extracted values first, in their own projection: the canonicalisation
     # reads each of them several times
-    vals = qn.select("item_id", "run", gold_number("answer").alias("answer_val"),
-                     extract_number("resp1").alias("pred_val"), extract_number("resp2").alias("attack_pred_val"))
-    g, p, a = normalise_numbers("answer_val", "pred_val", "attack_pred_val")
-    return vals.select("item_id", "run", g.alias("gt"), p.alias("pred"), a.alias("attack_pred"))
+    vals = qa_number(spark, sf_dir).select(
+        "item_id", "run", gold_number("answer").alias("answer_val"), extract_number("resp1").alias("pred_val"),
+        extract_number("resp2").alias("attack_pred_val"))
+    return R.numeric_results(vals, keep=("item_id", "run"))
 
 
 @register("normalise_numbers", f"with {NUMRES_CTE} select item_id, run, gt, pred, attack_pred from nn")
@@ -183,6 +182,54 @@ def q_numeric_evaluate(spark, sf_dir):
     return pm.select("run", "phase", *[F.round(c, 6).alias(c) for c in cols], "n_labels")
 
 
+_NUM_PH = f"""with {NUMRES_CTE},
+ph as (select run, 'before' as phase, gt, pred, count(*) as n from nn group by all
+       union all select run, 'after', gt, attack_pred, count(*) from nn group by all)"""
+
+
+@register("numeric_predicted_labels", f"{_NUM_PH} select distinct run, phase, pred as label from ph")
+def q_numeric_predicted_labels(spark, sf_dir):
+    """A8 with as many labels as items: every distinct predicted number."""
+    return M.predicted_labels(M.phase_cube(M.outcome_cube(numeric_results(spark, sf_dir))))
+
+
+@register("numeric_confusion", f"""{_NUM_PH},
+labs as (select distinct run, phase, pred as label from ph)
+select run, phase, gt, pred, n::BIGINT as n from ph
+where exists (select 1 from labs where labs.run = ph.run and labs.phase = ph.phase and labs.label = ph.gt)""")
+def q_numeric_confusion(spark, sf_dir):
+    """A7 with as many labels as items: the non-zero cells of every run."""
+    return M.confusion_long(M.phase_cube(M.outcome_cube(numeric_results(spark, sf_dir))))
+
+
+def mixed_records(qa: DataFrame) -> DataFrame:
+    """Result records as a folder of runs holds them: some of a dataset without a
+    two-round score, some without a gold answer or a prediction."""
+    k = F.col("item_id")
+    folder = F.when(k % 5 == 0, "squad_v2").when(k % 5 == 1, "gsm8k").otherwise("medqa")
+    none = F.lit(None).cast("string")
+    numeric = folder == "gsm8k"
+    gold = F.when(k % 7 != 0, F.when(numeric, k.cast("string")).otherwise(F.col("answer_idx")))
+    first, second = extract_choice("resp1"), F.when(k % 11 != 0, extract_choice("resp2"))
+    pick = lambda c, on: F.when(on, c).otherwise(none)
+    return qa.select(
+        F.concat(F.lit("/runs/"), folder, F.lit("/"), F.col("run"), F.lit(".jsonl")).alias("path"),
+        pick(gold, ~numeric).alias("answer_idx"), pick(first, ~numeric).alias("pred_idx"), pick(second, ~numeric).alias("attack_pred_idx"),
+        pick(gold, numeric).alias("answer_val"), pick(first, numeric).alias("pred_val"), pick(second, numeric).alias("attack_pred_val"))
+
+
+@register("outcome_rejects", f"""with qa as ({duck(QA_CHOICE_SQL, orders='orders')}),
+r as (select run, item_id, case item_id % 5 when 0 then 'squad_v2' when 1 then 'gsm8k' else 'medqa' end as folder,
+        {S.choice('resp1')} as first, case when item_id % 11 <> 0 then {S.choice('resp2')} end as second from qa),
+j as (select '/runs/' || folder || '/' || run || '.jsonl' as run, case when folder = 'squad_v2' then 'unknown' else folder end as dataset,
+        case when folder = 'squad_v2' then 'unknown dataset' when item_id % 7 = 0 then 'missing gold'
+             when second is null then 'missing prediction' when first = '' or second = '' then 'unparsed answer' end as reason from r)
+select run, dataset, reason, count(*) as n from j where reason is not null group by run, dataset, reason""")
+def q_outcome_rejects(spark, sf_dir):
+    """Records that can't be scored, by reason, and those scored as unparsed."""
+    return R.outcome_rejects(mixed_records(qa_choice(spark, sf_dir)))
+
+
 # ------------------------------------------------------------- round two
 @register("recall_option", f"""with {CORPUS_CTE},
 p as (select a.item_id, a.input, c.question, {S.choice('a.resp1')} as pred from r1a a join r1c c on a.item_id = c.item_id)
@@ -196,6 +243,27 @@ def q_recall_option(spark, sf_dir):
                     recall_option(question, "pred", from_first_a=True).alias("recall_chat"))
 
 
+@register("recall_option_compat", f"""with {CORPUS_CTE},
+p as (select a.item_id, a.input, c.question, {S.choice('a.resp1')} as pred from r1a a join r1c c on a.item_id = c.item_id)
+select item_id, pred, {S.recall('input', 'pred', compat=True)} as recall_alpaca,
+  {S.recall('question', 'pred', from_first_a=True, compat=True)} as recall_chat from p""")
+def q_recall_option_compat(spark, sf_dir):
+    """F14 as the reference does it: an unparsed answer recalls option A."""
+    t = medqa_corpus(spark, sf_dir, "alpaca", WITH_RESP).withColumn("pred", extract_choice("resp1"))
+    question = F.concat(F.col("instruction"), F.lit(" "), F.col("input"))
+    return t.select("item_id", "pred", recall_option("input", "pred", compat=True).alias("recall_alpaca"),
+                    recall_option(question, "pred", from_first_a=True, compat=True).alias("recall_chat"))
+
+
+@register("recall_by_key", f"""with qa as ({duck(QA_CHOICE_SQL, orders='orders')}), p as (select *, {S.choice('resp1')} as pred from qa)
+select item_id, pred, case pred when 'A' then opt_a when 'B' then opt_b when 'C' then opt_c when 'D' then opt_d else '' end as recalled
+from p""")
+def q_recall_by_key(spark, sf_dir):
+    """F14 for structured options: by label, the text uncut."""
+    raw = raw_choice_map(spark, sf_dir).withColumn("pred", extract_choice("resp1"))
+    return raw.select("item_id", "pred", recall_by_key("options", "pred").alias("recalled"))
+
+
 @register("identity_choice", f"""with qa as ({duck(QA_CHOICE_SQL, orders='orders')})
 select item_id, {_prefix_sql('item_id')} as prefix from qa""")
 def q_identity_choice(spark, sf_dir):
@@ -203,10 +271,10 @@ def q_identity_choice(spark, sf_dir):
     return qa.select("item_id", challenge_prefix("random", "medqa", "item_id", SEED).alias("prefix"))
 
 
-def r2a_sql(extra: str = "") -> str:
+def r2a_sql(extra: str = "", compat: bool = False) -> str:
     return f"""with {CORPUS_CTE},
 p as (select *, {S.choice(S.response_of_alpaca("'<|begin_of_text|>' || prompt || resp1"))} as pred from r1a),
-q as (select *, {S.recall('input', 'pred')} as rec from p)
+q as (select *, {S.recall('input', 'pred', compat=compat)} as rec from p)
 select item_id, run, {extra} {_prefix_sql('item_id')} || chr(10) ||
   {S.fill(K.ALPACA_CHALLENGE, instruction='instruction', input='input',
           previous_response=f"case when rec <> '' then rec || {S.lit(NL2 + SUFFIX_CHOICE)} else '' end",
@@ -239,8 +307,8 @@ def q_round2_prompts_chat(spark, sf_dir):
     return t.select("item_id", "run", R.round2_prompt(t, "medqa", "sharegpt", identity=None).alias("prompt2"))
 
 
-def _two_round_sql() -> str:
-    inner = r2a_sql("instruction, input, output, resp1, resp2,")
+def _two_round_sql(compat: bool = False) -> str:
+    inner = r2a_sql("instruction, input, output, resp1, resp2,", compat)
     return f"""with r2 as ({inner}),
 t as (select *, '<|begin_of_text|>' || prompt2 || resp2 as attack_pred_str from r2),
 u as (select t.*, {S.choice(S.response_of_alpaca('attack_pred_str'))} as attack_pred_idx from t)
@@ -258,6 +326,57 @@ def q_two_round(spark, sf_dir):
                       "attack_pred_idx")
 
 
+@register("two_round_compat", _two_round_sql(compat=True))
+def q_two_round_compat(spark, sf_dir):
+    """R9 with the reference's recall: an unparsed answer quotes option A."""
+    qa = qa_choice(spark, sf_dir)
+    rec = R.two_round(medqa_corpus(spark, sf_dir, "alpaca"), "medqa", "alpaca", responses=responses(qa),
+                      identity="random", seed=SEED, compat=True)
+    return rec.select("item_id", "run", "question", "options", "answer", "answer_idx", "attack_pred_str",
+                      "attack_pred_idx")
+
+
+@register("two_round_duplicates", f"""with {CORPUS_CTE},
+p as (select *, {S.choice(S.response_of_alpaca("'<|begin_of_text|>' || prompt || resp1"))} as pred from r1a),
+d as (select p.*, unnest(range(case when item_id % 9 = 0 then 3 else 1 end)) as copy from p)
+select instruction as question, output, copy::INTEGER as copy, pred as pred_idx from d""")
+def q_two_round_duplicates(spark, sf_dir):
+    """R9 over a corpus without ids in which every ninth item stands three times:
+    the content key and the number of the copy name one record each, so responses
+    attach one to one."""
+    corpus = medqa_corpus(spark, sf_dir, "alpaca", WITH_RESP)
+    times = F.when(F.col("item_id") % 9 == 0, 2).otherwise(0)
+    corpus = corpus.withColumn("copy", F.explode(F.sequence(F.lit(0), times)))
+    keyed = R.with_item_key(corpus.drop("item_id"), ["instruction", "input", "output"])
+    recorded = keyed.selectExpr("item_id", "stack(2, 1, resp1, 2, resp2) as (round, response)")
+    rec = R.two_round(keyed.drop("resp1", "resp2", "copy"), "medqa", "alpaca", responses=recorded, keys=("item_id",))
+    copy = F.coalesce(F.nullif(F.split_part("item_id", F.lit(":"), F.lit(2)), F.lit("")).cast("int"), F.lit(0))
+    return rec.select("question", F.concat_ws(": ", "answer_idx", "answer").alias("output"), copy.alias("copy"), "pred_idx")
+
+
+# --------------------------------------------------------- extraction from the supplied texts
+def _texts_sql(keys: str, source: str) -> str:
+    return (f"select {keys}, {S.choice('text', 'The')} as choice, {S.span('text', 'The')} as span, "
+            f"{S.number('text', '###')} as number from {source}")
+
+
+def _extracted(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, extract_choice("text", "The").alias("choice"), extract_span("text", "The").alias("span"),
+                     extract_number("text", "###").alias("number"))
+
+
+@register("extract_from_conversations", _texts_sql("conv_id, turn", "conversations"))
+def q_extract_from_conversations(spark, sf_dir):
+    """F17-F19 over every turn of the supplied conversations."""
+    return _extracted(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+@register("extract_from_documents", _texts_sql("doc_id", "documents"))
+def q_extract_from_documents(spark, sf_dir):
+    """F17-F19 over the whole text of every document."""
+    return _extracted(table(spark, sf_dir, "documents"), "doc_id")
+
+
 @register("prediction_records", f"""with {NUM_CTE},
 t as (select *, prompt || resp1 as pred_str from nt),
 u as (select *, {S.number(S.response_of_chat('pred_str'))} as pred_val from t),

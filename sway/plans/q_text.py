@@ -13,7 +13,7 @@ from sway.plans import sqlgen as S
 from sway.plans.q_format import MAP_CTE
 from sway.plans.q_rounds import medqa_corpus
 from sway.plans.registry import register, table
-from sway.sources.io import turns_to_sharegpt
+from sway.sources.io import chat_pieces, turns_to_sharegpt
 
 EOS = K.DEFAULT_EOS
 NL2 = "\n\n"
@@ -78,8 +78,7 @@ c as (select conv_id, '<|begin_of_text|>' || string_agg({_piece('role', 'text')}
       from t group by conv_id)
 select conv_id, length(text)::INTEGER as n_chars from c where position({FEEDBACK_MARKER} in text) = 0""")
 def q_missing_marker(spark, sf_dir):
-    c = conversations(spark, sf_dir).select("conv_id", render_chat("conversations").alias("text"))
-    return P.missing_marker(c).select("conv_id", F.length("text").alias("n_chars"))
+    return P.missing_marker_pieces(chat_pieces(table(spark, sf_dir, "conversations")))
 
 
 TRAIN_CTE = f"""{MAP_CTE},
@@ -127,6 +126,4 @@ select c.conv_id, c.turn, case when c.turn = b.f then '<|begin_of_text|>' else '
   as piece from conversations c join b on c.conv_id = b.conv_id""")
 def q_chat_pieces(spark, sf_dir):
     """F10 in gather-free long form (one rendered piece per turn)."""
-    from sway.sources.io import chat_pieces
-
     return chat_pieces(table(spark, sf_dir, "conversations"))

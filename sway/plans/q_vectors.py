@@ -11,6 +11,7 @@ from sway.plans.registry import register, table
 
 ALPHA = 0.1  # consistency weight of the shipped training script
 BATCH = 8
+CLOUD = 8  # pairs of an example: the block of 8 consecutive pair ids
 
 PAIRS_CTE = """e as (select vec_id // 2 as pair_id, vec_id % 2 as side, label, embedding from embeddings),
 p as (select l.pair_id, l.label, l.embedding as a, r.embedding as b
@@ -73,14 +74,72 @@ def q_combined_score(spark, sf_dir):
     return out.select("batch", *[F.round(c, 6).alias(c) for c in ("loss", "loss_followup", "consistency", "objective")])
 
 
-@register("group_sinkhorn")
+def _sinkhorn_sql() -> str:
+    """V4 unrolled: the fixed cooling plan as a chain of CTEs over all point pairs
+    of a cloud, for the three problems (left-right, left-left, right-right)."""
+    plan = C.temperatures()
+    points = f"""{PAIRS_CTE.split('u as (')[0].rstrip().rstrip(',')},
+pt as (select label, pair_id // {CLOUD} as cloud, pair_id, 0 as side, a as v from p
+       union all select label, pair_id // {CLOUD}, pair_id, 1, b from p),
+c as (select x.label, x.cloud, k.prob, x.pair_id as i, y.pair_id as j,
+        0.5 * list_sum(list_transform(list_zip(x.v, y.v), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))) as cost
+      from (values ('xy', 0, 1), ('xx', 0, 0), ('yy', 1, 1)) k(prob, sx, sy)
+      join pt x on x.side = k.sx join pt y on y.side = k.sy and y.label = x.label and y.cloud = x.cloud),
+f0 as (select distinct label, cloud, prob, i, 0.0::double as f from c),
+g0 as (select distinct label, cloud, prob, j, 0.0::double as g from c)"""
+
+    def soft(side: str, other: str, value: str, src: str, t: float) -> str:
+        score = f"(o.{value} - c.cost) / {t!r}"
+        return (f"select label, cloud, prob, {side}, -{t!r} * (any_value(top) + ln(avg(exp(s - top)))) as v from ("
+                f"select c.label, c.cloud, c.prob, c.{side}, {score} as s, "
+                f"max({score}) over (partition by c.label, c.cloud, c.prob, c.{side}) as top "
+                f"from c join {src} o using (label, cloud, prob, {other})) z group by label, cloud, prob, {side}")
+
+    ctes = [points]
+    for n, t in enumerate(plan):
+        ctes.append(f"f{n + 1} as (select o.label, o.cloud, o.prob, o.i, 0.5 * (o.f + n.v) as f from f{n} o "
+                    f"join ({soft('i', 'j', 'g', f'g{n}', t)}) n using (label, cloud, prob, i))")
+        ctes.append(f"g{n + 1} as (select o.label, o.cloud, o.prob, o.j, 0.5 * (o.g + n.v) as g from g{n} o "
+                    f"join ({soft('j', 'i', 'f', f'f{n}', t)}) n using (label, cloud, prob, j))")
+    n, t = len(plan), plan[-1]
+    ctes.append(f"fe as (select label, cloud, prob, avg(v) as f from ({soft('i', 'j', 'g', f'g{n}', t)}) z group by label, cloud, prob)")
+    ctes.append(f"ge as (select label, cloud, prob, avg(v) as g from ({soft('j', 'i', 'f', f'f{n}', t)}) z group by label, cloud, prob)")
+    ctes.append("d as (select label, cloud, sum(case prob when 'xy' then f + g else -(f + g) / 2 end) as s "
+                "from fe join ge using (label, cloud, prob) group by label, cloud)")
+    return "with " + ",\n".join(ctes)
+
+
+def clouds(spark, sf_dir):
+    return C.pair_vectors(table(spark, sf_dir, "embeddings")).withColumn(
+        "example", F.floor(F.col("pair_id") / CLOUD).cast("bigint"))
+
+
+@register("group_sinkhorn", f"""{_sinkhorn_sql()}
+select d.label, count(*) as n_clouds, sum(n.n)::BIGINT as n_left, round(avg(s), 6) as sinkhorn
+from d join (select label, pair_id // {CLOUD} as cloud, count(*) as n from p group by all) n using (label, cloud)
+group by d.label""")
 def q_group_sinkhorn(spark, sf_dir):
-    """V4: debiased Sinkhorn divergence between the even ("before") and odd
-    ("after") embedding clouds of every label (rows-only check; unit tests pin
-    S(a,a)=0, symmetry and the translation cost)."""
-    emb = table(spark, sf_dir, "embeddings")
-    side = F.pmod(F.col("vec_id"), F.lit(2))
-    base = emb.select(F.floor(F.col("vec_id") / 2).cast("bigint").alias("pair_id"), "label", side.alias("side"),
-                      as_double("embedding").alias("embedding"))
-    out = C.group_sinkhorn(base, "label")
-    return out.select("label", "n_clouds", "n_left", "n_right", F.round("sinkhorn", 6).alias("sinkhorn"))
+    """V4: debiased Sinkhorn divergence between the "before" and "after" vectors of
+    every example (a label's pairs in one block of 8 pair ids), mean by label."""
+    pts = clouds(spark, sf_dir).select("label", "example", F.inline(F.array(
+        F.struct(F.lit(0).alias("side"), as_double("left").alias("embedding")),
+        F.struct(F.lit(1).alias("side"), as_double("right").alias("embedding")))))
+    out = C.group_sinkhorn(pts, "label", "example")
+    return out.select("label", "n_clouds", "n_left", F.round("sinkhorn", 6).alias("sinkhorn"))
+
+
+@register("consistency_criteria", f"""{_sinkhorn_sql()},
+{PAIRS_CTE[PAIRS_CTE.index('u as ('):].replace('c as', 'c_ as')}
+select 'mse' as criterion, label, round(avg(mse), 6) as consistency from ps group by label
+union all select 'cossim', label, round(avg(cosine), 6) from ps group by label
+union all select 'kl', label, round(avg(kl), 6) from ps group by label
+union all select 'ot', label, round(avg(s), 6) from d group by label""")
+def q_consistency_criteria(spark, sf_dir):
+    """V5: the criterion dispatch, every criterion by label."""
+    pairs_ = clouds(spark, sf_dir)
+    out = None
+    for criterion in ("mse", "cossim", "kl", "ot"):
+        got = C.consistency(pairs_, criterion, cloud="example").select(
+            F.lit(criterion).alias("criterion"), "label", F.round("consistency", 6).alias("consistency"))
+        out = got if out is None else out.unionByName(got)
+    return out

@@ -25,12 +25,7 @@ def register(name: str, oracle: Optional[str] = None):
     return deco
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, cols=None, spread_rows: bool = False) -> DataFrame:
-    """A supplied table, optionally pruned to ``cols`` and spread over the
-    cores (for per-row CPU work ahead of the first shuffle)."""
-    from sway.session import spread
-
+def table(spark: SparkSession, sf_dir: str, name: str, cols=None) -> DataFrame:
+    """A supplied table, optionally pruned to ``cols``."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if cols:
-        df = df.select(*cols)
-    return spread(df) if spread_rows else df
+    return df.select(*cols) if cols else df

@@ -3,20 +3,20 @@
 These restate the operator semantics in a second dialect (RE2 regex, no
 look-behind, ``string_split`` instead of ``substring_index``) so that the
 oracle is an independent formulation, not a transcription of the Spark plan.
-Only the fixed strings are shared.
+Patterns are spelled out here once more.
 """
 
 from __future__ import annotations
 
-from sway.functions.constants import (
-    ANSWER_PATTERN,
-    CHOICE_AFTER_MARKER,
-    LEADING_CHOICE,
-    NUMBER_AFTER_MARKER,
-    NUMBER_PATTERN,
-    OPTION_HIT,
-    SPAN_AFTER_MARKER,
-)
+# the answer grammar, spelled out in RE2 form
+ANSWER = "The correct answer is"
+NUMBER = "####"
+CHOICE_TAIL = "[:]?[ \\t\\n\\r\\f\\v]+([A-Z])[:]?"
+CHOICE_HEAD = "^([A-Z])[:]"
+SPAN_TAIL = "(?:[^A-Za-z0-9]+)?[ \\t\\n\\r\\f\\v]*([^\\n]+?)(?:[.]|$)"
+NUMBER_TAIL = "[^\\n]*?([-+]?[0-9]+(?:[,.][0-9]+)?|[.][0-9]+)"
+NUMBER_TAIL_DOT = "[^\\n]*?([-+]?[0-9]+(?:[.][0-9]+)?|[.][0-9]+)"
+OPTION = "[A-Z][:] [^,.]+"
 
 
 def lit(s: str) -> str:
@@ -39,23 +39,23 @@ def tail(e: str, p: str) -> str:
     return f"(case when position({lit(p)} in {e}) > 0 then {lit(p)} || string_split({e}, {lit(p)})[-1] else '' end)"
 
 
-def choice(e: str, p: str = ANSWER_PATTERN) -> str:
+def choice(e: str, p: str = ANSWER) -> str:
     def attempt(q: str) -> str:
-        return f"nullif(regexp_extract({tail(e, q)}, {lit(q + CHOICE_AFTER_MARKER)}, 1), '')"
+        return f"nullif(regexp_extract({tail(e, q)}, {lit(q + CHOICE_TAIL)}, 1), '')"
 
-    return f"coalesce({attempt(p)}, {attempt(p.lower())}, nullif(regexp_extract({e}, {lit(LEADING_CHOICE)}, 1), ''), '')"
+    return f"coalesce({attempt(p)}, {attempt(p.lower())}, nullif(regexp_extract({e}, {lit(CHOICE_HEAD)}, 1), ''), '')"
 
 
-def span(e: str, p: str = ANSWER_PATTERN) -> str:
+def span(e: str, p: str = ANSWER) -> str:
     def attempt(q: str) -> str:
-        return strip(f"nullif(regexp_extract({tail(e, q)}, {lit(q + SPAN_AFTER_MARKER)}, 1), '')")
+        return strip(f"nullif(regexp_extract({tail(e, q)}, {lit(q + SPAN_TAIL)}, 1), '')")
 
     return f"coalesce({attempt(p)}, {attempt(p.lower())}, '')"
 
 
-def number(e: str, p: str = NUMBER_PATTERN) -> str:
-    rx = lit(p + NUMBER_AFTER_MARKER)
-    return f"coalesce(nullif(regexp_extract({tail(e, p)}, {rx}, 1), ''), nullif(regexp_extract({e}, {rx}, 1), ''), '')"
+def number(e: str, p: str = NUMBER, dot_only_fallback: bool = False) -> str:
+    last, any_ = lit(p + NUMBER_TAIL), lit(p + (NUMBER_TAIL_DOT if dot_only_fallback else NUMBER_TAIL))
+    return f"coalesce(nullif(regexp_extract({tail(e, p)}, {last}, 1), ''), nullif(regexp_extract({e}, {any_}, 1), ''), '')"
 
 
 def response_of_alpaca(e: str) -> str:
@@ -85,12 +85,14 @@ def fill(template: str, **exprs: str) -> str:
     return "(" + " || ".join(parts) + ")"
 
 
-def recall(options: str, pred: str, from_first_a: bool = False) -> str:
+def recall(options: str, pred: str, from_first_a: bool = False, compat: bool = False) -> str:
     src = options
     if from_first_a:
         src = f"(case when position('A:' in {options}) > 0 then substr({options}, position('A:' in {options})) end)"
-    return (f"coalesce(case when {pred} <> '' and length({pred}) = 1 and position({pred} in 'ABCDEFGH') > 0 "
-            f"then regexp_extract_all({src}, {lit(OPTION_HIT)})[position({pred} in 'ABCDEFGH')] end, '')")
+    hits = f"regexp_extract_all({src}, {lit(OPTION)})"
+    empty = f"when {pred} = '' then {hits}[1] " if compat else f"when {pred} = '' then '' "
+    return (f"coalesce(case {empty}when length({pred}) = 1 and position({pred} in 'ABCDEFGH') > 0 "
+            f"then {hits}[position({pred} in 'ABCDEFGH')] end, '')")
 
 
 def user_prompt(content: str) -> str:

@@ -38,36 +38,17 @@ def get_spark(master: Optional[str] = None, app: str = "sway", shuffle_partition
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``. Only when it is unset on a local master (tests,
-    a laptop) a private folder is created; on a cluster a machine-local
-    folder would not survive executor loss, so an unset setting is an error."""
+    ``spark.checkpoint.dir``. Where it is unset on a local master (tests, a laptop)
+    a private folder is created; on a cluster a machine-local folder would not
+    survive executor loss, so an unset setting is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS / object storage)")
     path = tempfile.mkdtemp(prefix="sway-ckpt-")
     sc.setCheckpointDir(path)
     return path
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the checkpoint location for intermediate tables that
-    must survive executor loss."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}" if "://" in base else os.path.join(base, name)
-
-
-def spread(df, min_partitions: Optional[int] = None):
-    """Give row-wise CPU work (regex, rendering, tokenising) one partition per
-    core at least. When a scan yields fewer partitions than the default
-    parallelism (a small file, one row group, an unsplittable file) the rows
-    are spread round-robin; a large input already has more partitions than
-    cores and is returned untouched, so this never adds a shuffle at scale."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df

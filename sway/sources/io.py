@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sway.functions.constants import ROLE_TO_SHAREGPT
 from sway.sources import schemas as SC
 
 
+#: result files: those of Spark's JSON writer (``part-*.json``) and single ``*.jsonl`` files
+RESULT_GLOB = "*.json*"
+
+
 def _read(spark: SparkSession, path: str, schema, fmt: str = "json") -> DataFrame:
     reader = spark.read.schema(schema)
     return reader.parquet(path) if fmt == "parquet" else reader.json(path)
@@ -38,16 +42,28 @@ def corpus_path(root: str, split: str, fmt: str) -> str:
 def read_corpus(spark: SparkSession, root: str, split: str, fmt: str) -> DataFrame:
     """SRC4: corpus addressed by split and format (file or directory)."""
     if fmt not in SC.CORPUS:
-        raise NotImplementedError(f"Data format {fmt} not supported.")
+        raise NotImplementedError(f"unknown corpus format {fmt!r}")
     return spark.read.schema(SC.CORPUS[fmt]).json(corpus_path(root, split, fmt))
 
 
-def read_results(spark: SparkSession, root: str, schema=SC.PREDICTION, glob: str = "*.jsonl") -> DataFrame:
-    """SRC5: every result file under ``root`` (``*.jsonl`` by default) in one
-    scan, with its path as ``path`` (provenance for the run dimensions)."""
+def with_origin(results: DataFrame) -> DataFrame:
+    """Result records with ``path`` (their file) and, where the path has them as
+    partitions (``dataset=...``, ``split=...``), ``dataset`` and ``split``."""
+    path = F.col("_metadata.file_path")
+
+    def partition(name: str):
+        value = F.regexp_extract(path, rf"/{name}=([^/]*)/", 1)
+        return F.try_url_decode(F.try_url_decode(F.nullif(value, F.lit("")))).alias(name)
+
+    return results.select("*", path.alias("path"), partition("dataset"), partition("split"))
+
+
+def read_results(spark: SparkSession, root: str, schema=SC.PREDICTION, glob: str = RESULT_GLOB) -> DataFrame:
+    """SRC5: every result file under ``root`` in one scan, with its path and the
+    partition columns that ``write_predictions`` put into it."""
     df = (spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
           .json(root))
-    return df.select("*", F.col("_metadata.file_path").alias("path"))
+    return with_origin(df)
 
 
 def turns_to_sharegpt(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
@@ -63,7 +79,7 @@ def turns_to_sharegpt(turns: DataFrame, key: str = "conv_id", order: str = "turn
 
 
 def chat_pieces(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
-                text: str = "text", add_generation_prompt: bool = False) -> DataFrame:
+                text: str = "text", add_generation_prompt: bool = False, with_last: bool = False) -> DataFrame:
     """F10 in long form: one rendered piece per turn, ``(key, order, piece)``,
     computed row by row with no grouping. In ``order`` the pieces concatenate
     to ``render_chat`` of the conversation (the first turn carries the BOS).
@@ -71,7 +87,8 @@ def chat_pieces(turns: DataFrame, key: str = "conv_id", order: str = "turn", rol
     concatenating the tokens equals tokenising the whole text: a conversation
     of any length can be tokenised and packed without ever being gathered into
     one row. ``add_generation_prompt`` appends the assistant header to the
-    last turn (found with a per-conversation max, an aggregate, not a gather)."""
+    last turn (found with a per-conversation max, an aggregate, not a gather);
+    ``with_last`` adds a column that marks it."""
     from sway.functions.constants import BOS, END_HEADER, EOT, START_HEADER
     from sway.functions.text import py_strip
 
@@ -82,7 +99,8 @@ def chat_pieces(turns: DataFrame, key: str = "conv_id", order: str = "turn", rol
     if add_generation_prompt:
         piece = F.concat(piece, F.when(F.col(order) == F.col("_last"),
                                        F.lit(START_HEADER + "assistant" + END_HEADER + "\n\n")).otherwise(F.lit("")))
-    return t.select(key, order, piece.alias("piece"))
+    last = [(F.col(order) == F.col("_last")).alias("last")] if with_last else []
+    return t.select(key, order, piece.alias("piece"), *last)
 
 
 def write_corpus(df: DataFrame, root: str, split: str, fmt: str, mode: str = "overwrite") -> str:
@@ -104,23 +122,40 @@ def write_predictions(df: DataFrame, path: str, partition_by: Sequence[str] = ("
     w.json(path)
 
 
+def plain_decimal(value) -> F.Column:
+    """A double as plain decimal text (no exponent): 18 places, trailing zeros
+    dropped, one kept after the point."""
+    text = F.col(value).cast("decimal(38,18)").cast("string")
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
+
+
 def render_report(report: DataFrame, run_cols: Sequence[str] = ("run",)) -> DataFrame:
     """SNK3: report text lines ``(run, ordinal, line)`` in the reference's
-    layout: ``"{section}:\\n\\n"`` before a section's first entry, one
-    ``"key: value"`` line per entry, ``"\\n\\n"`` after its last entry.
-    Numbers use Spark's double-to-string (shortest round-trip digits)."""
-    value_text = F.coalesce(F.col("text"), F.col("value").cast("string"))
-    line = F.concat(F.col("key"), F.lit(": "), value_text)
-    w = Window.partitionBy(*run_cols, "section")
-    first, last = F.min("ordinal").over(w), F.max("ordinal").over(w)
-    body = report.select(*run_cols, "section", "ordinal", line.alias("line"), (F.col("ordinal") == first).alias("_h"),
-                         (F.col("ordinal") == last).alias("_t"))
-    text = F.concat(F.when(F.col("_h"), F.concat(F.col("section"), F.lit(":\n\n"))).otherwise(F.lit("")),
-                    F.col("line"), F.when(F.col("_t"), F.lit("\n\n")).otherwise(F.lit("")))
-    return body.select(*run_cols, "ordinal", text.alias("line"))
+    layout: ``"{section}:\n\n"`` before a section's first entry, one
+    ``"key: value"`` line per entry, two empty lines after its last entry. Which
+    entry is first and last follows from the fixed order of the report, so no run's
+    lines are gathered to find out; the empty lines come as a row of their own."""
+    from sway.operators.metrics import report_entries
+
+    ordinals: dict[str, list[int]] = {}
+    for section, o, _, src in report_entries():
+        ordinals.setdefault(section, []).append(o)
+    values = {section: [o for s, o, _, src in report_entries() if s == section and src not in ("@before", "@after")]
+              for section in ordinals}
+    first = F.col("ordinal").isin([v[0] for v in values.values()])
+    value_text = F.coalesce(F.col("text"), plain_decimal("value"))
+    head = F.when(first, F.concat(F.col("section"), F.lit(":\n\n"))).otherwise(F.lit(""))
+    line = F.concat(head, F.col("key"), F.lit(": "), value_text)
+    end = F.lit(None).cast("double")
+    for section, own in values.items():
+        end = F.when(F.col("ordinal") == own[-1], F.lit(ordinals[section][-1] + 0.5)).otherwise(end)
+    lines = F.array_compact(F.array(
+        F.struct(F.col("ordinal").cast("double").alias("ordinal"), line.alias("line")),
+        F.when(end.isNotNull(), F.struct(end.alias("ordinal"), F.lit("\n").alias("line")))))
+    return report.select(*run_cols, F.inline(lines))
 
 
 def write_report(report: DataFrame, path: str, run_cols: Sequence[str] = ("run",), mode: str = "overwrite") -> None:
     """SNK3: one text report per run (``partitionBy(run)``), lines in order."""
-    lines = render_report(report, run_cols).repartition(*run_cols).sortWithinPartitions(*run_cols, "ordinal")
+    lines = render_report(report, run_cols).repartition(*run_cols).sortWithinPartitions(*run_cols, "ordinal", "line")
     lines.select(*run_cols, "line").write.mode(mode).partitionBy(*run_cols).text(path)

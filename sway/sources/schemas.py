@@ -28,3 +28,6 @@ CORPUS = {"alpaca": ALPACA, "sharegpt": SHAREGPT}
 PREDICTION = T.StructType([T.StructField(n, S) for n in (
     "question", "options", "context", "answer", "answer_idx", "answer_val", "pred_str", "attack_pred_str",
     "pred_idx", "attack_pred_idx", "pred_val", "attack_pred_val", "pred_ans")])
+
+# recorded responses: the item's key, the round (1 or 2) and the generated text
+RESPONSE = T.StructType([T.StructField("item_id", S), T.StructField("round", T.IntegerType()), T.StructField("response", S)])

@@ -2,8 +2,8 @@
 
 The reference has no streaming logic; what streams for free here is the
 stateless part (parsing) and the outcome cube, which is an ordinary streaming
-aggregate. New ``*.jsonl`` result files dropped into a folder update the cube,
-and every micro-batch recomputes the (small) per-run metrics from it.
+aggregate. New result files dropped into a folder update the cube, and every
+micro-batch computes the metrics of the runs it changed.
 """
 
 from __future__ import annotations
@@ -15,25 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sway.functions.paths import dataset_of
 from sway.operators import metrics as M
+from sway.operators.rounds import result_outcomes
 from sway.sources import schemas as SC
+from sway.sources.io import RESULT_GLOB, with_origin
 
 
 def read_results_stream(spark: SparkSession, root: str, schema=SC.PREDICTION, max_files: int = 1000) -> DataFrame:
     """Streaming counterpart of ``read_results``: every new result file under
-    ``root`` (recursively) with its path."""
-    df = (spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+    ``root`` (recursively) with its path and partition columns."""
+    df = (spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", RESULT_GLOB)
           .option("maxFilesPerTrigger", max_files).json(root))
-    return df.select("*", F.col("_metadata.file_path").alias("path"))
+    return with_origin(df)
 
 
-def choice_outcomes(stream: DataFrame) -> DataFrame:
-    """Stateless: result records -> ``(run, gt, pred, attack_pred)`` with the
-    run keyed by the result file (one run per file, as in the reference)."""
-    return stream.select(F.col("path").alias("run"), dataset_of("path").alias("dataset"),
-                         F.col("answer_idx").alias("gt"), F.col("pred_idx").alias("pred"),
-                         F.col("attack_pred_idx").alias("attack_pred"))
+def stream_outcomes(stream: DataFrame) -> DataFrame:
+    """Stateless: result records -> ``(run, gt, pred, attack_pred)``, choice and
+    numeric, exactly as the batch operator; records without a gold answer or of an
+    unknown dataset are left out (``outcome_rejects`` counts them in batch)."""
+    return result_outcomes(stream).select("run", "gt", "pred", "attack_pred")
 
 
 def streaming_cube(outcomes: DataFrame, run_cols: Sequence[str] = ("run",)) -> DataFrame:
@@ -44,14 +44,22 @@ def streaming_cube(outcomes: DataFrame, run_cols: Sequence[str] = ("run",)) -> D
 def start_metrics(cube: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
                   trigger_available_now: bool = True, run_cols: Sequence[str] = ("run",),
                   query_name: Optional[str] = None) -> StreamingQuery:
-    """Run the streaming cube in ``complete`` mode and hand every micro-batch's
-    per-run metrics (A12) to ``sink(df, epoch)``. ``checkpoint`` must be a
-    folder in the shared checkpoint location so the query survives restarts."""
+    """Run the streaming cube in ``update`` mode: every micro-batch writes the
+    counters it changed under its own number next to ``checkpoint``, and hands the
+    metrics (A12) of the runs it changed to ``sink(df, epoch)``. A counter only
+    grows, so its latest value is its largest. ``checkpoint`` must be a folder in
+    the shared checkpoint location so the query survives restarts."""
+    store = f"{checkpoint.rstrip('/')}-cube"
+    triple = [*run_cols, "gt", "pred", "attack_pred"]
 
     def each(batch: DataFrame, epoch: int) -> None:
-        sink(M.evaluate_cube(batch, run_cols), epoch)
+        batch.write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
+        written = batch.sparkSession.read.schema(batch.schema).option("basePath", store)
+        changed = written.parquet(f"{store}/epoch={epoch}").select(*run_cols).distinct()
+        every = written.parquet(f"{store}/epoch=*").join(changed, list(run_cols), "left_semi")
+        sink(M.evaluate_cube(every.groupBy(*triple).agg(F.max("n").alias("n")), run_cols), epoch)
 
-    w = cube.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(each)
+    w = cube.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each)
     if query_name:
         w = w.queryName(query_name)
     if trigger_available_now:
@@ -69,5 +77,5 @@ def parse_transcripts_stream(spark: SparkSession, root: str, dataset: str, fmt:
     from sway.operators.rounds import with_parsed
 
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField(text_col, T.StringType())])
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.json*").json(root)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", RESULT_GLOB).json(root)
     return with_parsed(stream, text_col, dataset, fmt, out)

@@ -38,23 +38,54 @@ def test_pairwise_criteria_match_numpy(spark):
         consistency(pair_vectors(df), "nope")
 
 
-def test_group_sinkhorn_uses_every_point_in_bounded_clouds(spark):
+def exact_transport(x, y):
+    """Cost of the best matching of equally large clouds, by trying all of them."""
+    from itertools import permutations
+
+    c = ((x[:, None] - y[None]) ** 2).sum(2) / 2
+    return min(np.mean([c[i, j] for i, j in enumerate(p)]) for p in permutations(range(len(y))))
+
+
+def test_sinkhorn_is_near_the_exact_transport_cost():
+    rng = np.random.default_rng(5)
+    for _ in range(5):
+        x, y = rng.normal(size=(6, 2)), rng.normal(size=(6, 2)) + 1
+        assert sinkhorn_divergence(x, y, blur=0.01) == pytest.approx(exact_transport(x, y), rel=0.05)
+
+
+def test_group_sinkhorn_takes_clouds_as_given(spark):
     rng = np.random.default_rng(2)
     rows = []
-    for pid in range(300):
+    for pid in range(60):
         for side in (0, 1):
-            rows.append((pid, pid % 2, side, [float(x) for x in rng.normal(size=4) + side]))
-    df = spark.createDataFrame(rows, "pair_id long, label int, side int, embedding array<double>")
-    out = {r.label: r for r in group_sinkhorn(df, "label", cloud_size=40).collect()}
-    assert set(out) == {0, 1}
-    for r in out.values():
-        assert r.n_left == 150 and r.n_right == 150 and r.n_clouds >= 4
-        assert r.sinkhorn > 0
-    # one cloud per group reproduces the direct computation
-    single = {r.label: r.sinkhorn for r in group_sinkhorn(df, "label", cloud_size=1000).collect()}
-    pts = {(lab, s): [] for lab in (0, 1) for s in (0, 1)}
-    for pid, lab, s, v in rows:
-        pts[(lab, s)].append(v)
-    for lab in (0, 1):
-        direct = sinkhorn_divergence(np.array(pts[(lab, 0)]), np.array(pts[(lab, 1)]))
-        assert single[lab] == pytest.approx(direct, rel=1e-9)
+            rows.append((f"g{pid % 2}", pid // 10, side, [float(x) for x in rng.normal(size=4) + side]))
+    rows.append(("g0", 99, 0, [0.0] * 4))  # a cloud with one side
+    df = spark.createDataFrame(rows, "label string, example int, side int, embedding array<double>")
+    out = {r.label: r for r in group_sinkhorn(df, "label", "example").collect()}
+    assert set(out) == {"g0", "g1"}
+    for lab, r in out.items():
+        values = []
+        for e in range(6):
+            x, y = (np.array([v for g, c, s, v in rows if (g, c, s) == (lab, e, k)]) for k in (0, 1))
+            values.append(sinkhorn_divergence(x, y))
+        assert r.sinkhorn == pytest.approx(np.mean(values), rel=1e-9)
+    assert (out["g0"].n_clouds, out["g0"].n_one_sided, out["g1"].n_one_sided) == (7, 1, 0)
+    # more examples don't change what the others give
+    more = spark.createDataFrame([(g, c + 1000 * k, s, v) for k in range(3) for g, c, s, v in rows], df.schema)
+    again = {r.label: r.sinkhorn for r in group_sinkhorn(more, "label", "example").collect()}
+    assert again == pytest.approx({k: r.sinkhorn for k, r in out.items()})
+
+
+@pytest.mark.parametrize("criterion", ["mse", "cossim", "kl", "ot"])
+def test_criterion_dispatch(spark, criterion):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=3)], "a") for i in range(8)]
+    pairs = pair_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    got = consistency(pairs, criterion).first().consistency
+    x, y = (np.array([v for i, v, _ in rows if i % 2 == k]) for k in (0, 1))
+    soft = lambda v: np.exp(v) / np.exp(v).sum()
+    want = {"mse": [np.mean((a - b) ** 2) for a, b in zip(x, y)],
+            "cossim": [a @ b / np.linalg.norm(a) / np.linalg.norm(b) for a, b in zip(x, y)],
+            "kl": [np.sum(soft(b) * np.log(soft(b) / soft(a))) for a, b in zip(x, y)],
+            "ot": [np.sum((a - b) ** 2) / 2 for a, b in zip(x, y)]}[criterion]
+    assert got == pytest.approx(np.mean(want), rel=1e-6)

@@ -98,7 +98,7 @@ def test_require_nonempty_and_formatting_func(spark):
     tok = PK.tokenize(df, formatting_func=lambda d: F.concat_ws(" ", "x", "y"), max_len=None)
     assert tok.first().input_ids == ["a", "b", "c"]
     with pytest.raises(ValueError):
-        PK.require_nonempty(PK.pack(tok, "k", "input_ids", seq_length=100, sep="E"))
+        PK.require_nonempty(PK.pack(tok, "k", "input_ids", seq_length=100, sep="E", shards=1))
     with pytest.raises(ValueError):
         PK.prepare(df.select("k"))
 
@@ -130,46 +130,46 @@ def test_prepare_packing_switch(spark):
     assert all(len(r.input_ids) == 8 for r in plain.collect())
 
 
-def test_pack_local_is_per_partition_and_shuffle_free(spark):
-    rnd = random.Random(3)
-    docs = {k: [f"t{k}_{i}" for i in range(rnd.randint(0, 25))] for k in range(80)}
-    # hash partitioning: the assignment does not depend on which columns a
-    # query keeps (round-robin order does, as rows are sorted before dealing)
-    df = _tok_df(spark, docs).repartition(3, "k")
-    packed = PK.pack_local(df, "k", "ids", seq_length=10, sep="<s>", seed=9)
-    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(packed._jdf.queryExecution(), "simple")
-    assert plan.count("Exchange") == 1  # only the test's own repartition
-    parts = df.select(F.spark_partition_id().alias("p"), "k").collect()
-    okeys = {r.k: r.o for r in df.select("k", PK.order_key("k", 9).alias("o")).collect()}
-    expected = []
-    for p in {r.p for r in parts}:
-        order = sorted((r.k for r in parts if r.p == p), key=lambda k: (okeys[k], k))
-        expected += [(p, tuple(c)) for c in naive_pack(docs, 10, "<s>", order)]
-    got = packed.collect()
-    assert sorted((r.shard, tuple(r.input_ids)) for r in got) == sorted(expected)
-    assert all(r.labels == r.input_ids for r in got)
-
-
-def test_hf_tokenizer_adapter(spark):
-    import pytest
-
-    tokenizers = pytest.importorskip("tokenizers")
-    from tokenizers.models import WordLevel
-    from tokenizers.pre_tokenizers import Whitespace
+def test_caller_tokenizer(spark):
+    """T1 and K1 with a caller's batch tokenizer."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
 
-    from sway.functions.tokenizers import hf_tokenizer
+    def fn(texts):
+        return [[len(w) + 2 for w in t.split()] for t in texts]
 
-    vocab = {"[UNK]": 0, "<|eot_id|>": 1}
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    for r in docs.limit(20).collect():
-        for w in r.text.split():
-            vocab.setdefault(w, len(vocab))
-    tok = tokenizers.Tokenizer(WordLevel(vocab, unk_token="[UNK]"))
-    tok.pre_tokenizer = Whitespace()
-    fn = hf_tokenizer(tok.to_str())
     got = {r.doc_id: list(r.input_ids) for r in PK.tokenize(docs, "text", max_len=64, tokenizer=fn).collect()}
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    for k, ids in got.items():
-        assert ids == tok.encode(texts[k]).ids[:64]
-    packed = PK.pack(PK.tokenize(docs, "text", max_len=None, tokenizer=fn), "doc_id", "input_ids", 32, 1, shards=2)
+    assert got == {r.doc_id: fn([r.text])[0][:64] for r in docs.collect()}
+    packed = PK.pack(PK.tokenize(docs, "text", max_len=None, tokenizer=fn), "doc_id", "input_ids", 32, 1, 2)
     assert packed.count() > 0 and all(len(r.input_ids) == 32 for r in packed.collect())
+
+
+def test_chunk_ids_are_those_of_pack(spark):
+    rnd = random.Random(12)
+    df = _tok_df(spark, {k: [f"t{i}" for i in range(rnd.randint(0, 30))] for k in range(90)})
+    packed = PK.pack(df, "k", "ids", 16, "|", 5, seed=3)
+    ids = PK.chunk_ids(df, "k", "ids", 16, 5, seed=3)
+    assert sorted(map(tuple, ids.collect())) == sorted(map(tuple, packed.select("shard", "chunk_id").collect()))
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(ids._jdf.queryExecution(), "simple")
+    assert "collect_list" not in plan and "Window" not in plan
+
+
+def test_paired_packing_needs_no_join(spark):
+    df = spark.createDataFrame([(k, "<|begin_of_text|>" + "w " * (k % 40)) for k in range(50)], "k long, text string")
+    for align in ("chunk", "sample"):
+        paired = PK.pack_paired(df, "k", "text", 16, "|", shards=3, feedback=" why ", marker="<|begin_of_text|>", align=align)
+        plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(paired._jdf.queryExecution(), "simple")
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+        assert all(len(r.input_ids) <= 16 and len(r.input_ids_followup) <= 16 for r in paired.collect())
+
+
+def test_split_rows_cut_mask_and_labels_with_the_ids(spark):
+    rows = [(1, list("a|bc|de")), (2, list("|x|")), (3, list("no")), (4, list("one|two"))]
+    df = spark.createDataFrame(rows, "k int, input_ids array<string>").withColumn("labels", F.transform("input_ids", F.upper))
+    df = df.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
+    got = {r.k: r for r in PK.split_challenge_rows(df, "|").collect()}
+    want = {1: ("ade", "abcde"), 2: ("", "x"), 3: ("no", "no"), 4: ("one|two", "one|two")}
+    for k, (plain, challenged) in want.items():
+        r = got[k]
+        assert ("".join(r.input_ids), "".join(r.input_ids_challenged)) == (plain, challenged)
+        assert ("".join(r.labels), "".join(r.labels_challenged)) == (plain.upper(), challenged.upper())
+        assert (len(r.attention_mask), len(r.attention_mask_challenged)) == (len(plain), len(challenged))

@@ -39,14 +39,10 @@ def test_results_discovery_and_report(spark):
                     F.when(F.col("item_id") % 2 == 0, "medqa").otherwise("gsm8k_x").alias("dataset"),
                     F.lit("test").alias("split"))
     io.write_predictions(rec, os.path.join(root, "outputs"))
-    # the writer names files part-*.json; result discovery wants *.jsonl
-    for dirpath, _, files in os.walk(root):
-        for fn in files:
-            if fn.endswith(".json"):
-                os.rename(os.path.join(dirpath, fn), os.path.join(dirpath, fn + "l"))
-    res = io.read_results(spark, root)
+    res = io.read_results(spark, os.path.join(root, "outputs"))
     assert res.count() == qa.count()
-    assert res.filter(F.col("path").contains("dataset=medqa")).count() > 0
+    assert {tuple(r) for r in res.select("dataset", "split").distinct().collect()} == {("medqa", "test"), ("gsm8k_x", "test")}
+    assert res.filter("dataset = 'medqa'").count() == rec.filter("dataset = 'medqa'").count()
     board = M.leaderboard(res.select(F.col("path").alias("run"), F.col("answer_idx").alias("gt"),
                                      F.col("pred_idx").alias("pred"), F.col("attack_pred_idx").alias("attack_pred")))
     rep = M.report_long(board)
@@ -103,3 +99,53 @@ def test_chat_pieces_concatenate_to_rendered_chat(spark):
     wt = PK.tokenize(spark.createDataFrame(list(whole.items()), "conv_id long, text string"), "text",
                      max_len=None).collect()
     assert {r.conv_id: list(r.input_ids) for r in wt} == toks
+
+
+def test_choice_lists_and_numeric_sources(spark):
+    from sway.plans.fixtures import raw_choice_lists, raw_numeric
+
+    d = tempfile.mkdtemp(prefix="sway-lists-")
+    lists = raw_choice_lists(spark, "/root/testdata/sf0.001").select("fact1", "question_stem", "choices", "answerKey")
+    numbers = raw_numeric(spark, "/root/testdata/sf0.001").select("question", "answer")
+    for fmt in ("parquet", "json"):
+        lists.write.format(fmt).save(f"{d}/lists-{fmt}")
+        numbers.write.format(fmt).save(f"{d}/numbers-{fmt}")
+        for back, src in ((io.read_choice_lists(spark, f"{d}/lists-{fmt}", fmt), lists),
+                          (io.read_numeric_qa(spark, f"{d}/numbers-{fmt}", fmt), numbers)):
+            assert back.columns == src.columns
+            assert sorted(map(str, back.collect())) == sorted(map(str, src.collect()))
+
+
+def test_result_values_survive_the_partition_path(spark):
+    d = tempfile.mkdtemp(prefix="sway-parts-")
+    rec = spark.createDataFrame([("A", "A", "B", "med qa/x", "train=1"), ("B", "A", "B", "gsm8k", "dev")],
+                                "answer_idx string, pred_idx string, attack_pred_idx string, dataset string, split string")
+    io.write_predictions(rec, d)
+    back = io.read_results(spark, d).select(*rec.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rec.collect()))
+
+
+def test_small_rates_print_as_plain_decimals(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(0.0001,), (1e-7,), (1.0,), (0.0,), (1 / 3,), (0.25,)], "v double")
+    got = [r[0] for r in df.select(io.plain_decimal("v")).collect()]
+    assert got == ["0.0001", "0.0000001", "1.0", "0.0", "0.3333333333333333", "0.25"]
+    board = M.leaderboard(spark.createDataFrame([("r", "A", "A", "B")] + [("r", "A", "A", "A")] * 9999,
+                                                "run string, gt string, pred string, attack_pred string"))
+    lines = [r.line for r in io.render_report(M.report_long(board)).collect()]
+    assert any(x.endswith("incorrect_flipping_rate: 0.0001") for x in lines)
+    assert F is not None
+
+
+def test_report_text_layout(spark):
+    res = spark.createDataFrame([("r", "A", "A", "B"), ("r", "B", "A", "A")], "run string, gt string, pred string, attack_pred string")
+    cells = M.confusion_long(M.phase_cube(M.outcome_cube(res)))
+    d = tempfile.mkdtemp(prefix="sway-report-")
+    io.write_report(M.report_long(M.leaderboard(res), confusion=cells), d)
+    text = "".join(r.value + "\n" for r in spark.read.text(d, wholetext=False).select("value").collect())
+    assert text.startswith("Before questioning:\n\naccuracy: 0.5\n")
+    assert "confusion_matrix: A -> A = 1\nconfusion_matrix: B -> A = 1\n" not in text  # B is never predicted before
+    assert "confusion_matrix: A -> A = 1\n\n\nAfter questioning:\n\naccuracy: 0.0\n" in text
+    assert "confusion_matrix: A -> B = 1\nconfusion_matrix: B -> A = 1\n\n\nFlipping:\n\n" in text
+    assert text.endswith("\n\n\n")

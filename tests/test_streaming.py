@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from sway.operators import metrics as M
-from sway.streaming.results import choice_outcomes, read_results_stream, start_metrics, streaming_cube
+from sway.streaming.results import read_results_stream, start_metrics, stream_outcomes, streaming_cube
 
 
 def test_streaming_cube_equals_batch(spark):
@@ -19,17 +19,13 @@ def test_streaming_cube_equals_batch(spark):
     rec = qa.select("answer_idx", extract_choice("resp1").alias("pred_idx"),
                     extract_choice("resp2").alias("attack_pred_idx"))
     rec.coalesce(2).write.json(os.path.join(root, "medqa_run"))
-    for dirpath, _, files in os.walk(root):
-        for fn in files:
-            if fn.endswith(".json"):
-                os.rename(os.path.join(dirpath, fn), os.path.join(dirpath, fn + "l"))
     got = {}
 
     def sink(df, epoch):
         for r in df.collect():
             got[r.run] = r
 
-    q = start_metrics(streaming_cube(choice_outcomes(read_results_stream(spark, root))), sink,
+    q = start_metrics(streaming_cube(stream_outcomes(read_results_stream(spark, root, max_files=1))), sink,
                       os.path.join(tempfile.mkdtemp(prefix="sway-ckpt-"), "q"))
     q.awaitTermination(120)
     total = sum(r.n_items for r in got.values())
@@ -37,9 +33,22 @@ def test_streaming_cube_equals_batch(spark):
     batch = M.evaluate(rec.select(F.lit("x").alias("run"), F.col("answer_idx").alias("gt"),
                                   F.col("pred_idx").alias("pred"), F.col("attack_pred_idx").alias("attack_pred")))
     b = batch.first()
-    # both part files belong to the same run folder but are separate files (one run per file)
-    assert all(0 <= r.accuracy_before <= 1 for r in got.values())
-    assert b.n_items == total
+    # the part files of one folder are one run, however many batches they came in
+    assert len(got) == 1 and b.n_items == total
+    one = next(iter(got.values()))
+    assert one.accuracy_before == b.accuracy_before and one.f1_after == b.f1_after
+
+
+def test_numeric_records_stream(spark):
+    root = tempfile.mkdtemp(prefix="sway-num-")
+    rows = [("1000", "1,000", "999"), ("5", "7", "7"), (None, "", ""), ("2", "2.0", "2")]
+    df = spark.createDataFrame(rows, "answer_val string, pred_val string, attack_pred_val string")
+    df.coalesce(1).write.json(os.path.join(root, "gsm8k_run"))
+    got = []
+    q = start_metrics(streaming_cube(stream_outcomes(read_results_stream(spark, root))), lambda d, e: got.extend(d.collect()),
+                      os.path.join(tempfile.mkdtemp(prefix="sway-ckpt-"), "q"))
+    q.awaitTermination(120)
+    assert [(r.n_items, round(r.accuracy_before, 6), round(r.accuracy_after, 6)) for r in got] == [(3, 0.666667, 0.333333)]
 
 
 def test_parse_transcripts_stream_equals_batch(spark):
