@@ -58,6 +58,27 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op3_decontamination"] = f"""
+WITH items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS words FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item, least(len(words), 10) AS width, array_to_string(list_slice(words, p + 1, p + 10), ' ') AS phrase
+  FROM items, unnest(range(greatest(len(words) - 9, 1))) t(p) WHERE len(words) > 0),
+docs AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+places AS (
+  SELECT doc_id, p, width, array_to_string(list_slice(words, p + 1, p + width), ' ') AS phrase
+  FROM docs, unnest(range(len(words))) t(p), (SELECT DISTINCT width FROM phrases) w WHERE p + width <= len(words)),
+hits AS (SELECT doc_id, p, places.width, item FROM places JOIN phrases USING (phrase, width)),
+covered AS (SELECT doc_id, count(DISTINCT b) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + width)) AS b FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+          FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(spark, f"{sf_dir}/documents.parquet")
@@ -78,6 +99,22 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+ORACLES["op5_suffix_dedup"] = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS w FROM docs, unnest(range(greatest(n - 99, 0))) t(s)),
+later AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 100)) AS b FROM later),
+edges AS (SELECT doc_id, count(*) AS n_removed, sum(CASE WHEN before = b - 1 THEN 0 ELSE 1 END) AS n_spans
+          FROM (SELECT doc_id, b, lag(b) OVER (PARTITION BY doc_id ORDER BY b) AS before FROM gone) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * b + 1, 2), '' ORDER BY b) AS h
+         FROM (SELECT doc_id, h, b FROM docs, unnest(range(n)) t(b) WHERE doc_id IN (SELECT doc_id FROM edges)) x
+         ANTI JOIN gone USING (doc_id, b) GROUP BY doc_id)
+SELECT docs.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n_removed IS NULL THEN docs.h ELSE coalesce(kept.h, '') END)) AS kept_sha256
+FROM docs LEFT JOIN edges USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(documents(spark, sf_dir), SHARDS, SLOTS).select("doc_id", "slot", "shard")
