@@ -73,6 +73,15 @@ def _r(c: str) -> str:
 
 
 # ---------------------------------------------------------------- queries
+def written_cube(results: DataFrame) -> DataFrame:
+    """The outcome cube, written once to the shared checkpoint folder: what reads
+    it in two branches doesn't read and parse the results twice."""
+    from sway.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(results.sparkSession)
+    return M.outcome_cube(results).checkpoint(eager=True)
+
+
 @register("outcome_cube", f"with {RES_CTE} select run, gt, pred, attack_pred, n from cube")
 def q_outcome_cube(spark, sf_dir):
     return M.outcome_cube(choice_results(spark, sf_dir))
@@ -110,8 +119,7 @@ labs as (select distinct run, phase, pred as label from ph2)
 select run, phase, gt, pred, n::BIGINT as n from ph2
 where exists (select 1 from labs where labs.run = ph2.run and labs.phase = ph2.phase and labs.label = ph2.gt)""")
 def q_confusion_matrix(spark, sf_dir):
-    cube = M.outcome_cube(choice_results(spark, sf_dir))
-    return M.confusion_long(M.phase_cube(cube))
+    return M.confusion_long(M.phase_cube(written_cube(choice_results(spark, sf_dir))))
 
 
 @register("evaluate", f"with {RES_CTE} select run, n_items, {', '.join(_r(c) for c in EVAL_COLS)} from ev")
@@ -198,4 +206,4 @@ select run, phase, gt || ' -> ' || pred || ' = ' || n as text from ph2
 where exists (select 1 from labs where labs.run = ph2.run and labs.phase = ph2.phase and labs.label = ph2.gt)""")
 def q_confusion_text(spark, sf_dir):
     """A7 as printed in the report: a line for each non-zero cell of every run."""
-    return M.confusion_lines(M.phase_cube(M.outcome_cube(choice_results(spark, sf_dir))))
+    return M.confusion_lines(M.phase_cube(written_cube(choice_results(spark, sf_dir))))

@@ -15,7 +15,7 @@ from sway.operators import rounds as R
 from sway.plans import sqlgen as S
 from sway.plans.fixtures import QA_CHOICE_SQL, QA_NUMBER_SQL, duck, qa_choice, qa_number, raw_choice_map, raw_numeric
 from sway.plans.q_format import MAP_CTE
-from sway.plans.q_metrics import metrics_ctes
+from sway.plans.q_metrics import metrics_ctes, written_cube
 from sway.plans.registry import register, table
 
 EOS = K.DEFAULT_EOS
@@ -199,7 +199,7 @@ select run, phase, gt, pred, n::BIGINT as n from ph
 where exists (select 1 from labs where labs.run = ph.run and labs.phase = ph.phase and labs.label = ph.gt)""")
 def q_numeric_confusion(spark, sf_dir):
     """A7 with as many labels as items: the non-zero cells of every run."""
-    return M.confusion_long(M.phase_cube(M.outcome_cube(numeric_results(spark, sf_dir))))
+    return M.confusion_long(M.phase_cube(written_cube(numeric_results(spark, sf_dir))))
 
 
 def mixed_records(qa: DataFrame) -> DataFrame:
