@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from sway.llm.common import components, saved
 
-#: ids (8 bytes each) up to which a join may broadcast them
-BROADCAST_IDS = 4_000_000
+#: rows (a few longs each) up to which a join may broadcast a side
+BROADCAST_ROWS = 2_000_000
 
 
 def _segment(length, i: int, parts: int):
@@ -135,8 +135,16 @@ def near(a, b, threshold: int) -> F.Column:
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The lines ``(key, row, line_no, line, id, n)`` of all texts."""
     rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    lines = rows.where("text is not null").select("key", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.withColumns({"id": F.xxhash64("line"), "n": F.length("line")})
+    # measured where it is split off: what reads a line's length later reads a column
+    measured = F.transform(F.split("text", "\n"), lambda x: F.struct(
+        x.alias("line"), F.xxhash64(x).alias("id"), F.length(x).alias("n")))
+    return rows.where("text is not null").select("key", "row", F.posexplode(measured).alias("line_no", "x")).select(
+        "key", "row", "line_no", "x.line", "x.id", "x.n")
+
+
+def _shared(side: DataFrame) -> DataFrame:
+    """A side of a join, broadcast if its counted rows are few."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
 def links(lines: DataFrame, threshold: int, shortest: int, block: int = 64) -> DataFrame:
@@ -144,18 +152,17 @@ def links(lines: DataFrame, threshold: int, shortest: int, block: int = 64) -> D
     lines = lines.where(F.col("n") >= shortest).select("id", "line", "n")
     line, n = F.col("line"), F.col("n")
     # an index entry once, however often its line occurs
-    index = lines.select("id", F.explode(index_keys(line, n, threshold)).alias("key")).distinct()
+    index = saved(lines.select("id", F.explode(index_keys(line, n, threshold)).alias("key")).distinct(), "segments")
     probe = lines.select("id", F.explode(probe_keys(line, n, threshold)).alias("key"))
     other = index.select(F.col("key").alias("key2"), F.col("id").alias("id2"))
     probe = saved(probe.join(other, (F.col("key") == F.col("key2")) & (F.col("id") != F.col("id2")), "left_semi").distinct(),
                   "probes")
-    index = saved(index.join(probe.select("key").distinct(), "key", "left_semi"), "index")
+    index = saved(index.join(_shared(probe.select("key").distinct()), "key", "left_semi"), "index")
     both = index.withColumn("role", F.lit(0)).unionByName(probe.withColumn("role", F.lit(1)))
     blocks = both.groupBy("key", "role").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
     both = both.join(blocks, ["key", "role"]).withColumn("block", F.pmod(F.xxhash64(F.lit(7), "id"), "blocks"))
     ids = saved(both.select("id").distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = lines.join(F.broadcast(ids) if few else ids, "id").dropDuplicates(["id"])
+    texts = lines.join(_shared(ids), "id").dropDuplicates(["id"])
     grouped = saved(both.join(texts, "id").groupBy("key", "role", "block")
                     .agg(F.collect_list(F.struct("id", "line", "n")).alias("lines")), "blocks")
     side = lambda role, name: grouped.where(F.col("role") == role).select("key", F.col("lines").alias(name))
@@ -189,9 +196,12 @@ def near_lines(docs: DataFrame, threshold: int = 2, shortest: int = 10, block: i
     found = saved(links(lines, threshold, shortest, block), "links")
     degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     classes = components(found).withColumnsRenamed({"node": "id", "root": "class_id"}).join(degree, "id")
+    classes = _shared(saved(classes, "classes"))
     lines = lines.select("key", "row", "line_no", "id").join(classes, "id", "left").select(
         "key", "row", "line_no", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    first = lines.groupBy("class_id").agg(F.min(F.struct(F.col("key").isNull(), "key", "row", "line_no")).alias("first"))
+    # written, so that the join has two plain sides and can split a common line
+    first = saved(lines.groupBy("class_id").agg(
+        F.min(F.struct(F.col("key").isNull(), "key", "row", "line_no")).alias("first")), "first")
     return lines.join(first, "class_id").select(
         F.col("key").alias(key), "row", "line_no", "class_id", "links",
         ((F.col("row") == F.col("first.row")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"))
