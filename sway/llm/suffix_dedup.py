@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from sway.llm.common import byte_texts, saved
 
 GRAM = 24
-#: rows up to which a join may broadcast a side (16 bytes each, or little more)
+#: rows or spans up to which a join may broadcast a side (16 bytes each, or little more)
 BROADCAST_ROWS = 2_000_000
-#: bytes of contexts that a task sorts at once
-BATCH = 1 << 22
+#: bytes of contexts that a task sorts at once, and of texts that it looks for anchors in
+BATCH = 1 << 21
+#: contexts among which repeated ones are found before they are sent
+GATHERED = 100_000
 
 
 def gram_hashes(data):
@@ -128,12 +130,18 @@ def _anchor_rows(length: int):
 
         for batch in batches:
             rows = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [t or b"" for t in byte_texts(batch.column(1))]
-            ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-            text, start, windows, hashes = anchors(np.frombuffer(b"".join(texts), np.uint8), ends, length)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), pa.array(rows[text]), pa.array(start * 256 + windows)],
-                names=["hash", "row", "place"])
+            texts, size, at = [], 0, 0
+            for i, t in enumerate(byte_texts(batch.column(1)), 1):
+                texts.append(t or b"")
+                size += len(texts[-1])
+                if size < BATCH and i < len(rows):
+                    continue
+                ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+                text, start, windows, hashes = anchors(np.frombuffer(b"".join(texts), np.uint8), ends, length)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes.view(np.int64)), pa.array(rows[at:][text]), pa.array(start * 256 + windows)],
+                    names=["hash", "row", "place"])
+                texts, size, at = [], 0, i
 
     return run
 
@@ -146,11 +154,20 @@ def _context_rows(length: int, names: list):
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
+        def packed(found):
+            out = []
+            for (key, context), where in found.items():
+                earliest = min(where)
+                out.append((key, *earliest, 0, context))
+                out += [(key, *w, w[2] + len(context), None) for w in where if w != earliest]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
         for batch in batches:
-            found = {}
-            for first, row, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                                byte_texts(batch.column(2)), batch.column(3).to_pylist()):
-                for p in places:
+            found, many = {}, 0
+            for first, row, text, places in zip(*batch.columns):
+                first, row, text = first.as_py(), row.as_py(), text.as_py().encode()
+                for p in places.as_py():
                     start, windows = p["place"] >> 8, p["place"] & 255
                     if p["hot"]:
                         for s in range(start, start + windows):
@@ -159,14 +176,12 @@ def _context_rows(length: int, names: list):
                             found.setdefault((key - (key >> 63 << 64), window), []).append((first, row, s))
                     else:
                         found.setdefault((p["hash"], text[start:start + windows + length - 1]), []).append((first, row, start))
-            out = []
-            for (key, context), where in found.items():
-                earliest = min(where)
-                out.append((key, *earliest, 0, context))
-                out += [(key, *w, w[2] + len(context), None) for w in where if w != earliest]
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                    many += windows if p["hot"] else 1
+                if many >= GATHERED:
+                    yield packed(found)
+                    found, many = {}, 0
+            if found:
+                yield packed(found)
 
     return run
 
@@ -227,7 +242,8 @@ def covered(docs: DataFrame, length: int = 100, hot: int = 10_000) -> DataFrame:
     def anchor_rows():
         return docs.select("row", "text").mapInArrow(_anchor_rows(length), "hash long, row long, place long")
 
-    times = anchor_rows().groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
+    # written, so that the join below has two plain sides and can split a common anchor
+    times = saved(anchor_rows().groupBy("hash").agg(F.count("*").alias("times")).where("times > 1"), "times")
     again = (anchor_rows().join(times, "hash")
              .groupBy("row").agg(F.collect_list(F.struct("hash", "place", (F.col("times") > hot).alias("hot"))).alias("places")))
     names = ["key", "first", "row", "start", "end", "context"]
@@ -239,18 +255,38 @@ def covered(docs: DataFrame, length: int = 100, hot: int = 10_000) -> DataFrame:
             .mapInArrow(_covered_rows(length), "row long, start int, end int"))
 
 
-def _cut(text: bytes, ranges):
-    merged = []
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def _merge(ranges) -> list:
+    """Sorted (start, end) pairs, overlapping and adjoining ones as one."""
+    out = []
     for a, b in sorted(ranges):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
         else:
-            merged.append([a, b])
+            out.append([a, b])
+    return out
+
+
+def _merge_rows(batches):
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        spans = []
+        for ranges in batch.column(1):
+            starts, ends = (ranges.values.field(k).to_pylist() for k in ("start", "end"))
+            spans.append([{"start": a, "end": b} for a, b in _merge(zip(starts, ends))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["row", "spans"])
+
+
+def _cut(text: bytes, spans) -> bytes:
     kept, at = [], 0
-    for a, b in merged:
-        kept.append(text[at:a])
-        at = b
-    return b"".join([*kept, text[at:]]), merged
+    for s in spans:
+        kept.append(text[at:s["start"]])
+        at = s["end"]
+    return b"".join([*kept, text[at:]])
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, hot: int = 10_000, key: str = "doc_id", text: str = "text",
@@ -273,10 +309,11 @@ def suffix_dedup(docs: DataFrame, length: int = 100, hot: int = 10_000, key: str
     copies = saved(copies.join(earliest, "digest").where("row <> least.row").select("row", F.lit(0).alias("start"), F.col("n").cast("int").alias("end")), "copies")
     few = copies.count() <= BROADCAST_ROWS
     rest = rows.join(F.broadcast(copies) if few else copies, "row", "left_anti")
-    ranges = saved(covered(rest, length, hot).unionByName(copies), "ranges")
-    few = ranges.count() <= BROADCAST_ROWS
-    ranges = ranges.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    joined = rows.join(F.broadcast(ranges) if few else ranges, "row", "left").select("key", "text", "ranges")
+    ranges = covered(rest, length, hot).unionByName(copies)
+    spans = saved(ranges.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+                  .mapInArrow(_merge_rows, f"row long, spans {SPANS}"), "spans")
+    few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(spans) if few else spans, "row", "left").select("key", "text", "spans")
 
     def run(batches):
         import hashlib
@@ -285,14 +322,14 @@ def suffix_dedup(docs: DataFrame, length: int = 100, hot: int = 10_000, key: str
 
         for batch in batches:
             out = []
-            for t, ranges in zip(byte_texts(batch.column(1)), batch.column(2).to_pylist()):
-                kept, merged = _cut(t, ((r["start"], r["end"]) for r in ranges or ()))
-                out.append((len(t), len(t) - len(kept), [{"start": a, "end": b} for a, b in merged],
-                            hashlib.sha256(kept).hexdigest(), *([kept] * with_kept)))
+            for t, spans in zip(byte_texts(batch.column(1)), batch.column(2)):
+                spans = spans.as_py() or []
+                kept = _cut(t, spans)
+                out.append((len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), *([kept] * with_kept)))
             columns = zip(*out) if out else [()] * (4 + with_kept)
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
-    kinds = "n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string" + ", kept binary" * with_kept
+    kinds = f"n_bytes long, n_removed long, spans {SPANS}, kept_sha256 string" + ", kept binary" * with_kept
     names = [key, "n_bytes", "n_removed", "spans", "kept_sha256"] + ["kept"] * with_kept
     return joined.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {kinds}")
