@@ -10,7 +10,7 @@ jvm = spark.sparkContext._jvm
 sf = '/root/testdata/sf0.1'
 out = ["# PLANS — physical plans at sf0.1 (local[8], AQE on)", "",
        "Generated with `tools/plan_summary.py` / `DataFrame.explain`. Counts are of the initial (pre-AQE) physical plan.",
-       "Eager jobs are those that run while the query is built: scalar sizes, and tables written to the shared folder.",
+       "Eager jobs are those that run while the query is built: one for the schema of each table read, scalar sizes, and tables written to the shared folder.",
        "The fixtures deal their 8-byte order keys out over the cores, which is one exchange of every query over them.",
        "",
        "| query | scans | exchanges | broadcasts | sort-merge joins | windows | Python stages | eager jobs |",
