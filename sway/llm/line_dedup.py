@@ -59,11 +59,13 @@ def probe_keys(line, length, threshold: int) -> F.Column:
     return F.array_compact(F.array(*out))
 
 
+_HALVES = [1 << k for k in range(30, -1, -1)]
+
+
 def _common(a, b, most, reverse: bool = False) -> F.Column:
     """Length of the longest common prefix (or suffix) of at most ``most``
     characters, by halving steps."""
-    steps = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(most + 1.0)).cast("int"))),
-                        lambda k: F.pow(F.lit(2.0), F.ceil(F.log2(most + 1.0)) - k).cast("int"))
+    steps = F.filter(F.array(*map(F.lit, _HALVES)), lambda step: step <= most)
 
     def part(x, done, step):
         return F.substring(F.right(x, done + step), F.lit(1), step) if reverse else F.substring(x, done + 1, step)
@@ -133,13 +135,16 @@ def near(a, b, threshold: int) -> F.Column:
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The lines ``(key, row, line_no, line, id, n)`` of all texts."""
+    """The lines ``(key, row, line_no, line, id)`` of all texts that aren't blank."""
     rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    # measured where it is split off: what reads a line's length later reads a column
-    measured = F.transform(F.split("text", "\n"), lambda x: F.struct(
-        x.alias("line"), F.xxhash64(x).alias("id"), F.length(x).alias("n")))
-    return rows.where("text is not null").select("key", "row", F.posexplode(measured).alias("line_no", "x")).select(
-        "key", "row", "line_no", "x.line", "x.id", "x.n")
+    lines = rows.where("text is not null").select("key", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.where(F.regexp_like("line", F.lit(r"[^\x00-\x20]"))).withColumn("id", F.xxhash64("line"))
+
+
+def _measured(lines: DataFrame) -> DataFrame:
+    """``(id, line, n)``, ``n`` the length. It comes out of a generator of one row, so
+    that expressions which read it often read a column."""
+    return lines.select("id", "line", F.explode(F.array(F.length("line"))).alias("n"))
 
 
 def _shared(side: DataFrame) -> DataFrame:
@@ -149,7 +154,7 @@ def _shared(side: DataFrame) -> DataFrame:
 
 def links(lines: DataFrame, threshold: int, shortest: int, block: int = 64) -> DataFrame:
     """All pairs ``(a, b)``, a < b, of ids of different near lines, each once."""
-    lines = lines.where(F.col("n") >= shortest).select("id", "line", "n")
+    lines = _measured(lines).where(F.col("n") >= shortest)
     line, n = F.col("line"), F.col("n")
     # an index entry once, however often its line occurs
     index = saved(lines.select("id", F.explode(index_keys(line, n, threshold)).alias("key")).distinct(), "segments")
@@ -192,12 +197,12 @@ def near_lines(docs: DataFrame, threshold: int = 2, shortest: int = 10, block: i
     read. Lines are named by a 64-bit hash."""
     if shortest <= threshold:
         raise ValueError("lines that are compared must be longer than the threshold")
-    lines = lines_of(docs, key, text).where(F.regexp_like("line", F.lit(r"[^\x00-\x20]")))
+    lines = lines_of(docs, key, text)
     found = saved(links(lines, threshold, shortest, block), "links")
     degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     classes = components(found).withColumnsRenamed({"node": "id", "root": "class_id"}).join(degree, "id")
     classes = _shared(saved(classes, "classes"))
-    lines = lines.select("key", "row", "line_no", "id").join(classes, "id", "left").select(
+    lines = saved(lines.select("key", "row", "line_no", "id"), "lines").join(classes, "id", "left").select(
         "key", "row", "line_no", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     # written, so that the join has two plain sides and can split a common line
     first = saved(lines.groupBy("class_id").agg(
