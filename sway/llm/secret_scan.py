@@ -110,7 +110,7 @@ def ordinary(docs: DataFrame, text: str, shortest: int) -> DataFrame:
     pairs = runs.select(_folded(F.col("run")).alias("folded"), "run").select(F.explode(F.concat(
         F.transform(_pairs(F.col("run")), lambda p: F.struct(F.lit(False).alias("fold"), p.alias("pair"))),
         F.transform(_pairs(F.col("folded")), lambda p: F.struct(F.lit(True).alias("fold"), p.alias("pair"))))).alias("x"))
-    pairs = pairs.groupBy("x.fold", "x.pair").agg(F.count("*").alias("c"))
+    pairs = saved(pairs.groupBy("x.fold", "x.pair").agg(F.count("*").alias("c")), "pairs")
     every = []
     for name, alphabet, _, fold in ENCODINGS:
         k = len(alphabet)
@@ -120,7 +120,7 @@ def ordinary(docs: DataFrame, text: str, shortest: int) -> DataFrame:
     rows = every[0]
     for other in every[1:]:
         rows = rows.unionByName(other)
-    rows = saved(rows.where("x >= 0 and y >= 0"), "pairs")
+    rows = rows.where("x >= 0 and y >= 0")
     mid, var = (F.col("k") - 1) / 2, (F.col("k") ** 2 - 1) / 12
     product = (F.col("x") - mid) * (F.col("y") - mid) / var
     other_half = ((F.col("x") * 2 < F.col("k")) != (F.col("y") * 2 < F.col("k"))).cast("double")
