@@ -31,9 +31,9 @@ GRAM = 24
 #: rows or spans up to which a join may broadcast a side (16 bytes each, or little more)
 BROADCAST_ROWS = 2_000_000
 #: bytes of contexts that a task sorts at once, and of texts that it looks for anchors in
-BATCH = 1 << 21
+BATCH = 1 << 20
 #: contexts among which repeated ones are found before they are sent
-GATHERED = 100_000
+GATHERED = 40_000
 
 
 def gram_hashes(data):
