@@ -228,6 +228,45 @@ def pack(df: DataFrame, key: str, ids_col: str, seq_length: int, sep, shards: in
     return packed.withColumn("labels", F.col("input_ids"))
 
 
+def _sample_chunks(seq_length: int):
+    """Fold over samples ``(shard, a, b)`` in order of their shards, one chunk at a
+    time: as ``(shard, chunk_id, n_samples, a, b)``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def packed(rows, kind):
+            kinds = [pa.int32(), pa.int64(), pa.int64(), kind, kind]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                              names=["shard", "chunk_id", "n_samples", "input_ids", "input_ids_followup"])
+
+        shard, chunk, used, n, a, b = None, 0, 0, 0, [], []
+        kind = None
+        for batch in batches:
+            kind, done = batch.column(1).type, []
+            for s, x, y in zip(*batch.columns):
+                s, x, y = s.as_py(), x.as_py() or [], y.as_py() or []
+                longer = max(len(x), len(y))
+                if n and (s != shard or used + longer > seq_length):
+                    done.append((shard, chunk, n, a, b))
+                    chunk, used, n, a, b = chunk + 1, 0, 0, [], []
+                if s != shard:
+                    shard, chunk = s, 0
+                for at in range(0, longer, seq_length):
+                    if at:
+                        done.append((shard, chunk, n, a, b))
+                        chunk, used, n, a, b = chunk + 1, 0, 0, [], []
+                    a += x[at:at + seq_length]
+                    b += y[at:at + seq_length]
+                    used, n = used + min(seq_length, longer - at), n + 1
+            if done:
+                yield packed(done, kind)
+        if n:
+            yield packed([(shard, chunk, n, a, b)], kind)
+
+    return run
+
+
 def pack_pairs(df: DataFrame, key: str, plain_col: str, followup_col: str, seq_length: int, sep, shards: int,
                seed: int = DEFAULT_SEED, align: str = "chunk", part: Optional[str] = None,
                last: Optional[str] = None) -> DataFrame:
@@ -238,8 +277,10 @@ def pack_pairs(df: DataFrame, key: str, plain_col: str, followup_col: str, seq_l
     ``align='chunk'`` cuts each side at its own offsets and pairs chunks by index;
     chunks beyond the shorter side drop out (J4). ``align='sample'`` cuts both
     sides at common sample boundaries: a chunk of either side holds the same
-    samples, as many as fit ``seq_length`` tokens of the longer side by a running
-    sum, each side at most ``seq_length`` tokens long.
+    samples, the next ones of its shard as long as they fit ``seq_length`` tokens
+    of the longer side. A sample longer than that opens a chunk and goes on through
+    the next ones, both sides cut at the same places; ``n_samples`` counts the
+    samples with a part in the chunk. No token is dropped; a null side has none.
 
     A sample may come in several rows, ordered by ``part``, the one marked by
     ``last`` being the end that gets the separator (chunk alignment only)."""
@@ -256,15 +297,11 @@ def pack_pairs(df: DataFrame, key: str, plain_col: str, followup_col: str, seq_l
     both = both.withColumn("_la", F.size("_a").cast("bigint")).withColumn("_lb", F.size("_b").cast("bigint"))
     w = Window.partitionBy("shard").orderBy("_okey", "_key", "_part").rowsBetween(Window.unboundedPreceding, 0)
     if align == "sample":
-        longer = F.greatest("_la", "_lb")
-        placed = both.withColumn("_end", F.sum(longer).over(w)).withColumn(
-            "chunk_id", F.floor((F.col("_end") - 1) / F.lit(seq_length)))
-        rows = placed.groupBy("shard", "chunk_id").agg(
-            F.count(F.lit(1)).alias("n_samples"),
-            F.collect_list(F.struct(F.col("_end").alias("off"), F.col("_a").alias("piece"))).alias("_pa"),
-            F.collect_list(F.struct(F.col("_end").alias("off"), F.col("_b").alias("piece"))).alias("_pb"))
-        cut = lambda c: F.slice(_joined(F.col(c)), 1, seq_length)  # noqa: E731 - a sample may be longer than a chunk
-        out = rows.select("shard", "chunk_id", "n_samples", cut("_pa").alias("input_ids"), cut("_pb").alias("input_ids_followup"))
+        kind = both.schema["_a"].dataType.simpleString()
+        placed = (both.repartition("shard").sortWithinPartitions("shard", "_okey", "_key", "_a", "_b")
+                  .select("shard", "_a", "_b"))
+        out = placed.mapInArrow(_sample_chunks(seq_length), "shard int, chunk_id bigint, n_samples bigint, "
+                                f"input_ids {kind}, input_ids_followup {kind}")
     else:
         placed = (both.withColumn("_oa", F.sum("_la").over(w) - F.col("_la"))
                   .withColumn("_ob", F.sum("_lb").over(w) - F.col("_lb")))

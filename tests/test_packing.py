@@ -173,3 +173,42 @@ def test_split_rows_cut_mask_and_labels_with_the_ids(spark):
         assert ("".join(r.input_ids), "".join(r.input_ids_challenged)) == (plain, challenged)
         assert ("".join(r.labels), "".join(r.labels_challenged)) == (plain.upper(), challenged.upper())
         assert (len(r.attention_mask), len(r.attention_mask_challenged)) == (len(plain), len(challenged))
+
+
+def naive_sample_chunks(samples, L):
+    out, used = [], 0
+    for a, b in samples:
+        longer = max(len(a), len(b))
+        if not out or used + longer > L:
+            out.append([0, [], []])
+            used = 0
+        for at in range(0, longer, L):
+            if at:
+                out.append([0, [], []])
+                used = 0
+            out[-1][0] += 1
+            out[-1][1] += a[at:at + L]
+            out[-1][2] += b[at:at + L]
+            used += min(L, longer - at)
+    return out
+
+
+def test_sample_alignment_keeps_every_token(spark):
+    three = spark.createDataFrame([(k, [f"{k}_{i}" for i in range(599)]) for k in range(3)], "k long, a array<string>")
+    got = PK.pack_pairs(three, "k", "a", "a", 1000, "|", 1, align="sample").orderBy("chunk_id").collect()
+    assert [(r.chunk_id, r.n_samples, len(r.input_ids), len(r.input_ids_followup)) for r in got] == [
+        (c, 1, 600, 600) for c in range(3)]
+    rnd = random.Random(4)
+    sizes = [(rnd.randrange(12), rnd.randrange(12)) for _ in range(150)] + [(100, 3), (2, 47), (16, 16), (15, 15), (31, 64)]
+    data = {k: ([f"a{k}_{i}" for i in range(m)], [f"b{k}_{i}" for i in range(n)]) for k, (m, n) in enumerate(sizes)}
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in data.items()], "k long, a array<string>, b array<string>")
+    seed, shards, L = 3, 4, 16
+    got = PK.pack_pairs(df.repartition(5), "k", "a", "b", L, "|", shards, seed, align="sample").collect()
+    tags = sorted(df.select(PK.shard_of("k", shards, seed).alias("s"), PK.order_key("k", seed).alias("o"), "k").collect())
+    want = []
+    for s in range(shards):
+        samples = [(data[t.k][0] + ["|"], data[t.k][1] + ["|"]) for t in tags if t.s == s]
+        want += [(s, c, *chunk) for c, chunk in enumerate(naive_sample_chunks(samples, L))]
+    assert sorted((r.shard, r.chunk_id, r.n_samples, r.input_ids, r.input_ids_followup) for r in got) == sorted(want)
+    assert sum(len(r.input_ids) for r in got) == sum(len(a) + 1 for a, _ in data.values())
+    assert sum(len(r.input_ids_followup) for r in got) == sum(len(b) + 1 for _, b in data.values())
