@@ -5,7 +5,9 @@ may hide a word (leetspeak, symbols inside, spaced letters, repeated letters) ar
 read as a lattice: each character may stand for itself, for the letters it
 imitates, for nothing, or, between spaced letters, for a space. Viterbi decoding
 finds the reading that channel and character model like best; words that hide
-nothing have one reading and are taken as they are.
+nothing have one reading and are taken as they are. A word with a letter twice in a
+row counts both as it is and as decoded; so do the parts of a token of more than
+``LONG`` characters, which may be a text without white space.
 
 The restored words are scored by features, the word and its beginnings, whose
 weights are learned from a bounded sample of labelled documents: one half finds
@@ -30,8 +32,11 @@ READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g
             "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l"}
 #: log-probabilities of the channel
 AS_READ, DROPPED, DROPPED_READABLE, REPEATED, SPACE_KEPT, SPACE_DROPPED = -1.0, -1.0, -9.0, -1.0, -3.0, -0.3
-SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){3,}\S(?!\S)")
-THRICE = re.compile(r"(.)\1\1")
+SPACED = re.compile(r"(?<!\S)(?:\S(?:\s++|[.\-_*])){2,}\S(?!\S)")
+TWICE, THRICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: characters of a token above which its parts are read too, and what they consist of
+LONG, PART = 200, re.compile(r"[a-z0-9@$!|+(€£]+")
 ENDING = re.compile(r"""[.,;:?"')\]}*#%&!-]+$|([$@!+*#%&])\1+$""")
 BEGINNING = re.compile(r"""^[.,;:?"'(\[{*#%&-]+""")
 
@@ -117,19 +122,28 @@ def decode(token: str, model: list[float], spaced: bool = False) -> str:
 def restored(token: str, model: list[float]) -> tuple[str, ...]:
     """The words that a lower-case token without white space stands for."""
     bare = BEGINNING.sub("", ENDING.sub("", token))
-    if bare.isalpha() and not THRICE.search(bare):
+    if bare.isalpha() and not TWICE.search(bare):
         return (bare,)
-    if not any(c.isalpha() for c in bare) or len(bare) > 200:
-        return tuple(re.findall(r"[^\W\d_]+", bare))
-    return tuple(re.findall(r"[^\W\d_]+", decode(bare, model)))
+    words = LETTERS.findall(decode(bare, model))
+    if bare.isalpha() and not THRICE.search(bare):
+        words.append(bare)
+    if len(bare) > LONG:
+        words += LETTERS.findall(bare)
+        for part in set(PART.findall(bare)):
+            words += LETTERS.findall(decode(part, model))
+    return tuple(dict.fromkeys(words))
+
+
+def spaced_words(text: str, model: list[float]):
+    """The words of the runs of spaced letters of a lower-case text."""
+    for run in SPACED.findall(text):
+        yield from decode(" ".join(run.split()), model, spaced=True).split()
 
 
 def words_of(text: str, model: list[float], known: dict) -> set[str]:
     """The distinct restored words of a text. ``known`` remembers tokens."""
     text = text.lower()
-    out = set()
-    for run in SPACED.findall(text):
-        out.update(decode(run, model, spaced=True).split())
+    out = set(spaced_words(text, model))
     for token in set(text.split()):
         words = known.get(token)
         if words is None:
@@ -160,8 +174,7 @@ class Scorer:
         found = {}
         if text:
             text = text.lower()
-            for run in SPACED.findall(text):
-                found.update((w, s) for w in decode(run, self.model, spaced=True).split() if (s := self.strength(w)) > 0)
+            found.update((w, s) for w in spaced_words(text, self.model) if (s := self.strength(w)) > 0)
             for token in set(text.split()):
                 hits = known.get(token)
                 if hits is None:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sway.llm import toxicity
 from sway.llm.langid import held_out
 from sway.llm.toxicity import (AS_READ, CLASSES, DROPPED, DROPPED_READABLE, READINGS, REPEATED, Scorer, class_counts, class_of,
                                character_model, decode, fit_line, restored, score, train)
@@ -101,3 +102,17 @@ def test_line_fit():
     w = fit_line([[1, 0], [1, 0], [1, 4], [1, 4]], [0, 1, 1, 1], [3, 1, 1, 1], ridge=1e-9)
     s = Scorer([], {}, w)
     assert s.score([1, 0]) == pytest.approx(0.25, abs=1e-3) and s.score([1, 4]) > 0.9
+
+
+@pytest.mark.parametrize("text,word", [
+    ("s" * 150 + "tupi" + "d" * 150, "stupid"), ("1" + "_" * 300 + "d10t", "idiot"), ("1d10t" + "." * 210 + "x", "idiot"),
+    ("water,the-" * 30 + "1d10t,house", "idiot"), ("水火" * 150 + "m0r0n" + "木" * 9, "moron"), ("9" * 250 + "idiot", "idiot"),
+    ("iiddiioott", "idiot"), ("stuupid", "stupid"), ("moorron", "moron"), ("worthless", "worthless"), ("1010", "lolo"),
+    ("s t  u p i d", "stupid"), ("s\tt\n\nu p   i d", "stupid"), ("m  0  r  0  n", "moron"), ("a the o f", "the"), ("t h e", "the")])
+def test_every_token_is_decoded(text, word):
+    rnd = random.Random(1)
+    words = "idiot stupid loser moron clown trash worthless the and of that with from this house water people lolo".split()
+    counts = (class_counts([" ".join(rnd.choice(words) for _ in range(20000)).encode()]) + 0.1).reshape(CLASSES ** 2, CLASSES)
+    model = np.log(counts / counts.sum(axis=1, keepdims=True)).reshape(-1).tolist()
+    assert word in toxicity.words_of(text.upper(), model, {})
+    assert Scorer(model, {f"={word}": 1.0}).evidence(text, {})[1] == 1.0
