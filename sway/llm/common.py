@@ -25,6 +25,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, row: str) -> DataFrame:
+    """``df`` with ``row``, its number in the scan, written once: a second scan may be
+    split otherwise and number other rows so."""
+    path = shared_path(df.sparkSession, name)
+    df = df.withColumn(row, F.monotonically_increasing_id())
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def byte_texts(column) -> Iterator[Optional[bytes]]:
     """UTF-8 bytes of an Arrow string column, None for null."""
     import pyarrow as pa

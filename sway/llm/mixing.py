@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sway.llm.common import saved
+from sway.llm.common import numbered, saved
 
 #: (time, weight) points from time 0 to time 1; rising, level and falling in turn
 SCHEDULES = (((0.0, 2.0), (0.5, 1.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.6, 0.5), (1.0, 3.0)))
@@ -69,20 +69,19 @@ def time_of(part, schedule) -> F.Column:
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2,
         schedules=SCHEDULES, ranges: int = 4096, key: str = "doc_id", text: str = "text",
-        source: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: ``key``, ``row`` (its number in the
-    scan), ``size`` (words), ``source_size``, ``target`` (of its source),
+        source: str = "source", row: str | None = None) -> DataFrame:
+    """One row for each row of ``docs``: ``key``, ``row`` (its number: the column
+    named by ``row``, or else that of the one scan), ``size`` (words), ``source_size``, ``target`` (of its source),
     ``taken`` (words taken, repeats counted) and ``positions`` (ascending times
     in [0, 1], one for each copy; empty if none).
 
-    ``docs`` must be a scan that yields the same rows again, such as a table.
     Null and wordless texts have size 0 and are taken with whole passes only;
     documents without a source form one, the last; ties of the hashed order are
     broken by key, size and row; repeated rows count like any other; an empty
     table gives no rows. Other columns are not read."""
     copies = cap + 1
     rows = docs.select(
-        F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(source).alias("source"),
+        F.col(key).alias("key"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     place = F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")))
     # "s" and the name, or "": a join key that holds null sources too
@@ -117,9 +116,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, i
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken,
-    range-sorted by training position. Same columns as ``docs``."""
-    plan = mix(docs, **options).where(F.size("positions") > 0).select(
+    range-sorted by training position. Same columns as ``docs``. The rows are numbered
+    and written once."""
+    columns = docs.columns
+    docs = numbered(docs, "rows", "__row")
+    plan = mix(docs, row="__row", **options).where(F.size("positions") > 0).select(
         F.col("row").alias("__row"), F.col("positions").alias("__positions"))
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(plan, "__row")
-    return (rows.select(*docs.columns, "__row", F.explode("__positions").alias("__position"))
+    rows = docs.join(plan, "__row")
+    return (rows.select(*columns, "__row", F.explode("__positions").alias("__position"))
             .orderBy("__position", "__row").drop("__position", "__row"))

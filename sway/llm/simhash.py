@@ -21,7 +21,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sway.llm.common import byte_texts, components, saved
+from sway.llm.common import byte_texts, components, numbered, saved
 
 QUARTERS = 4
 
@@ -129,18 +129,18 @@ def links(fps: DataFrame, radius: int = 3, tile: int = 4096) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str = "doc_id",
-                       text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: ``key``, ``row`` (its number in the
-    scan), ``fp``, ``component_id`` (smallest key reachable over links of at most
+                       text: str = "text", row: str | None = None) -> DataFrame:
+    """One row for each row of ``docs``: ``key``, ``row`` (its number: the column
+    named by ``row``, or else that of the one scan), ``fp``, ``component_id`` (smallest key reachable over links of at most
     ``radius`` bits) and ``stays`` (true for one row of each component: the
     smallest key, then the smallest row number).
 
-    ``docs`` must be a scan that yields the same rows again, such as a table.
     Null and wordless texts have fingerprint 0 and link like any other; equal
     texts and repeated rows share a fingerprint; a component whose keys are all
     null has a null id and keeps one row; an empty table gives no rows. Other
     columns are not read, so their names can't clash."""
-    rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(F.col(key).alias("key"), number.alias("row"), F.col(text).alias("text"))
     fps = saved(fingerprints(rows, shingle), "fingerprints")
     # the smallest key, nulls last, then the smallest row
     first = F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("first")
@@ -157,7 +157,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, key:
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str = "doc_id",
                   text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, all columns."""
-    stays = simhash_components(docs, shingle, radius, key, text).where("stays").select(F.col("row").alias("__row"))
-    return (docs.withColumn("__row", F.monotonically_increasing_id())
-            .join(stays, "__row", "left_semi").drop("__row"))
+    """The rows of ``docs`` that stay, one of each component, all columns. They are
+    numbered and written once."""
+    docs = numbered(docs, "rows", "__row")
+    stays = simhash_components(docs, shingle, radius, key, text, "__row").where("stays").select(F.col("row").alias("__row"))
+    return docs.join(stays, "__row", "left_semi").drop("__row")

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sway.llm.common import byte_texts, saved
+from sway.llm.common import byte_texts, numbered, saved
 
 GRAM = 24
 #: rows or spans up to which a join may broadcast a side (16 bytes each, or little more)
@@ -295,14 +295,15 @@ def suffix_dedup(docs: DataFrame, length: int = 100, hot: int = 10_000, key: str
     (maximal removed ranges (start, end) in bytes, end exclusive), ``kept_sha256`` and,
     if wanted, ``kept`` (the bytes that stay; cuts may split a character).
 
-    ``docs`` must be a scan that yields the same rows again, such as a table; keys are
+    The rows are numbered and written once, and every step reads them there; keys are
     integers. Null texts are empty; texts shorter than ``length`` lose nothing; null keys
     come after all others and rows of one key in scan order, so of repeated rows the
     first stays; an empty table gives no rows. Other columns are not read."""
     if length < GRAM or length > GRAM + 254:
         raise ValueError(f"the length must lie between {GRAM} and {GRAM + 254}")
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("first"),
-                       F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+                       F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = numbered(rows, "rows", "row")
     copies = rows.select("first", "row", F.octet_length("text").alias("n"), F.unhex(F.sha2("text", 256)).alias("digest"))
     copies = copies.where(F.col("n") >= length)
     earliest = copies.groupBy("digest").agg(F.min(F.struct("first", "row")).alias("least"), F.count("*").alias("c")).where("c > 1")
