@@ -154,10 +154,10 @@ def q_split_challenge_labels(spark, sf_dir):
 @register("prepare_rows", f"""select doc_id, len(list_slice({toks_sql('lower(text)')}, 1, 64))::INTEGER as n_tokens,
   md5(array_to_string(list_slice({toks_sql('lower(text)')}, 1, 64), ' ')) as ids_md5 from documents""")
 def q_prepare_rows(spark, sf_dir):
-    """T2 without packing, K6: the text comes from a formatting function; a table
-    that is tokenised already passes through."""
+    """T2 without packing, K6: the whole text comes from a formatting function; a
+    table that is tokenised already passes through."""
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
-    rows = PK.prepare(docs, formatting_func=lambda df: F.lower("text"), max_len=64)
+    rows = PK.prepare(docs, formatting_func=lambda df: F.lower("text"), max_len=None)
     return PK.prepare(rows).select("doc_id", F.size("input_ids").alias("n_tokens"), md5_join("input_ids").alias("ids_md5"))
 
 

@@ -212,3 +212,13 @@ def test_sample_alignment_keeps_every_token(spark):
     assert sorted((r.shard, r.chunk_id, r.n_samples, r.input_ids, r.input_ids_followup) for r in got) == sorted(want)
     assert sum(len(r.input_ids) for r in got) == sum(len(a) + 1 for a, _ in data.values())
     assert sum(len(r.input_ids_followup) for r in got) == sum(len(b) + 1 for _, b in data.values())
+
+
+def test_prepare_rows_reads_whole_texts(spark):
+    from sway.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text.lower().split() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: (r.n_tokens, r.ids_md5) for r in QUERIES["prepare_rows"](spark, sf).collect()}
+    assert max(map(len, texts.values())) > 64
+    assert got == {d: (len(t), hashlib.md5(" ".join(t).encode()).hexdigest()) for d, t in texts.items()}
