@@ -19,7 +19,8 @@ SLOTS = 6553
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an identified language stay; those whose text is null or
-    has no letter go."""
+    has no letter go. Which label the network gives, and its score, has no effect on
+    what stays; if nothing could be learned, no document has a language."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"), 4, 2)))
     found = langid.identify(docs, model, label="__lang", score="__score", keep_text=True)
     return found.where(F.col("__lang") != langid.UNKNOWN).select(*docs.columns)
