@@ -13,10 +13,13 @@ from sway.llm.exact_dedup import exact_dedup
 from sway.llm.langid import held_out, identify, train
 from sway.llm.line_dedup import near_lines
 from sway.llm.mixing import mix
+from sway.llm.periodic import periodic_runs
+from sway.llm.resampling import resample
 from sway.llm.secret_scan import listed, scan
 from sway.llm.sharding import fill, place
 from sway.llm.simhash import simhash_components
 from sway.llm.suffix_dedup import suffix_dedup
+from sway.llm.url_filter import filter_urls
 
 SHARDS, SLOTS = corpus_pipeline.SHARDS, corpus_pipeline.SLOTS
 
@@ -214,6 +217,174 @@ FROM counted
 """
 
 
+#: rules of op11: blocked and allowed parts of hosts
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return filter_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"''\s>]*)"""
+_FOLDED = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_RULE_ROWS = ", ".join(f"('{v}', '{r}', '{r.split('/')[0]}', '{r[r.index('/'):]}')" for v, r in RULES)
+
+ORACLES["op11_url_filter"] = f"""
+WITH RECURSIVE parsed AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {_FOLDED}) AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         list_distinct(list_transform(regexp_extract_all(coalesce(html, ''), '{_LINK}', 1), lambda h: translate(h, {_FOLDED}))) AS targets
+  FROM pages),
+edges AS (
+  SELECT host AS source, target, count(*) AS n FROM (SELECT host, unnest(targets) AS target FROM parsed)
+  WHERE host <> '' AND target <> '' AND host <> target GROUP BY ALL),
+rules(verdict, rule, suffix, start) AS (VALUES {_RULE_ROWS}),
+places AS (
+  SELECT DISTINCT host, path FROM parsed
+  UNION SELECT DISTINCT target, '/' FROM edges WHERE target NOT IN (SELECT host FROM parsed)),
+ruled AS (
+  SELECT host, path, rule, verdict FROM places JOIN rules
+    ON (host = suffix OR ends_with(host, '.' || suffix)) AND starts_with(path, start)
+  QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, verdict DESC, rule) = 1),
+counted AS (
+  SELECT host, path FROM parsed WHERE host <> ''
+  UNION ALL SELECT DISTINCT target, '/' FROM edges WHERE target NOT IN (SELECT host FROM parsed)),
+seeds AS (
+  SELECT host, avg((verdict IS NOT DISTINCT FROM 'allow')::INT) AS trust, avg((verdict IS NOT DISTINCT FROM 'block')::INT) AS distrust
+  FROM counted LEFT JOIN ruled USING (host, path) GROUP BY host),
+moves AS (
+  SELECT 0 AS kind, source AS host, target AS towards, 0.85::DOUBLE * n / sum(n) OVER (PARTITION BY source) AS share FROM edges
+  UNION ALL SELECT 1, target, source, 0.85::DOUBLE * n / sum(n) OVER (PARTITION BY target) FROM edges),
+walk(step, kind, host, value) AS (
+  SELECT 0, kind, host, value FROM (SELECT 0 AS kind, host, trust AS value FROM seeds UNION ALL SELECT 1, host, distrust FROM seeds)
+  UNION ALL
+  SELECT step + 1, kind, towards, sum(value * share) FROM walk JOIN moves USING (kind, host)
+  WHERE step < 30 AND value > 0 GROUP BY step, kind, towards),
+scores AS (SELECT host, sum(CASE WHEN kind = 0 THEN -value ELSE value END) AS distrust FROM walk GROUP BY host)
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN coalesce(distrust, 0) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parsed LEFT JOIN ruled USING (host, path) LEFT JOIN scores USING (host)
+"""
+
+
+def _crc(bytes_: str) -> str:
+    """SQL for the CRC-32 of a list of bytes; ``crc_table`` must be in scope."""
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), "
+            "lambda c, b: xor(c >> 8, crc_table.t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)")
+
+
+_BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: ('0x' || x)::BIGINT)"
+#: the table of CRC-32, each entry from eight halving steps
+_CRC_TABLE = """crc_table AS (SELECT list(v ORDER BY k) AS t FROM (
+  SELECT k, list_reduce(list_prepend(k, range(8)), lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM range(256) r(k)))"""
+
+
+def looped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The texts of the contract of op12: for a tenth of the rows the words from ``a`` on
+    repeat the first ``p`` of them; the other texts are as they are."""
+    h = F.crc32(F.col(key).cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"), 0))
+    rows = docs.select(key, text, F.floor(h / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words").cast("long"))
+    a = F.when(F.col("n") > 0, F.col("g") % F.col("n"))
+    rows = rows.withColumn("a", a).withColumn(
+        "p", F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8)))
+    rest = (F.col("n") - F.col("a")).cast("int")
+    unit = F.array_join(F.slice("words", F.col("a").cast("int") + 1, F.col("p").cast("int")), " ")
+    times = F.ceil(rest / F.col("p")).cast("int")
+    tail = F.slice(F.split(F.array_join(F.array_repeat(unit, times), " "), " "), F.lit(1), rest)
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return rows.select(key, F.when(F.col("n") > 0, changed).otherwise(F.col(text)).alias(text))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(looped(documents(spark, sf_dir).select("doc_id", "text")), least=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed_runs = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed_runs = F.when(F.size("runs") > 0, F.concat(listed_runs, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(F.col("best.length") * 1000 / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed_runs, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
+
+
+ORACLES["op12_periodic_runs"] = f"""
+WITH {_CRC_TABLE},
+numbered AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+         {_crc(_BYTES.format("CAST(doc_id AS VARCHAR)"))} AS h FROM documents, crc_table),
+sized AS (SELECT *, len(words) AS n, h // 10 AS g FROM numbered),
+aimed AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM sized),
+stepped AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM aimed),
+placed AS (
+  SELECT r, doc_id, n, i, words[CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % p END + 1] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM stepped)),
+grams AS (
+  SELECT r, n, i, hash(word, lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w, lead(word, 5) OVER w) AS six
+  FROM placed WINDOW w AS (PARTITION BY r ORDER BY i)),
+-- six words in a row agree at the distance p wherever a run of twelve words or more has the period p
+pairs AS (
+  SELECT x.r, x.n, x.i, y.i - x.i AS p FROM grams x JOIN grams y ON x.r = y.r AND x.six = y.six AND x.i < y.i
+  WHERE y.i + 6 <= x.n),
+stretches AS (
+  SELECT r, p, min(i) AS start, max(i) + 6 + p - min(i) AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS stretch FROM pairs) GROUP BY r, p, stretch),
+runs AS (
+  SELECT r, start, length, min(p) AS period FROM stretches WHERE length >= greatest(12, 2 * p) GROUP BY r, start, length),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+collapsed AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM placed ANTI JOIN gone USING (r, i) GROUP BY r),
+listed AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS list,
+         arg_min({{'start': start, 'length': length, 'period': period}}, [-length, start, period]) AS best
+  FROM runs GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+       1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(list, '')) AS runs_sha256, sha256(coalesce(collapsed.text, '')) AS collapsed_sha256
+FROM numbered LEFT JOIN listed USING (r) LEFT JOIN collapsed USING (r)
+"""
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resample(documents(spark, sf_dir), target, percent=25, least=20, buckets=10_000, seed=7)
+
+
+ORACLES["op13_importance_resampling"] = f"""
+WITH {_CRC_TABLE},
+texts AS (
+  SELECT 's' AS side, row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents
+  UNION ALL SELECT 't', row_number() OVER (), NULL, {_WORDS} FROM benchmark),
+features AS (
+  SELECT side, r, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM texts),
+names AS (SELECT feature, {_crc(_BYTES.format("feature"))} % 10000 AS bucket FROM (SELECT DISTINCT feature FROM features), crc_table),
+held AS (SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM features JOIN names USING (feature) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+                                      / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM held),
+meant AS (
+  SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS whole
+  FROM features JOIN names USING (feature) JOIN gains USING (bucket) WHERE side = 's' GROUP BY r),
+weighed AS (
+  SELECT r, doc_id, coalesce(n_features, 0) AS n_features, len(words) AS n_words,
+         coalesce((whole - ((whole % n_features) + n_features) % n_features) // n_features, 0) AS weight
+  FROM texts LEFT JOIN meant USING (r) WHERE side = 's'),
+scored AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM weighed),
+ranked AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
