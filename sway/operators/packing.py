@@ -41,6 +41,9 @@ from sway.functions.constants import (
 )
 from sway.functions.prompts import add_feedback
 from sway.functions.text import ColumnOrName, col
+from sway.operators.buffers import greedy_buffers
+from sway.operators.ordering import with_positions, write_ordered
+from sway.operators.scratch import written
 
 # Special tokens of the chat layout (``<|name|>``) are kept as single tokens.
 SPECIAL_TOKEN_RE = r"(<\|[a-z_]+\|>)"
@@ -115,6 +118,14 @@ def seeded_order(df: DataFrame, key: str, seed: int = DEFAULT_SEED, out: str = "
     return df.withColumn(out, order_key(key, seed))
 
 
+def write_shuffled(df: DataFrame, key: str, path: str, seed: int = DEFAULT_SEED, ranges: Optional[int] = None) -> DataFrame:
+    """O1: write the rows below ``path`` in the seeded order ``(md5(seed:key), key)``, file
+    after file, and return them with ``order_key`` and ``position`` (from 0). One range
+    shuffle and a sort inside each range; positions come from one count a range."""
+    rows = seeded_order(df, key, seed)
+    return with_positions(write_ordered(rows, [F.col("order_key"), F.col(key)], path, ranges))
+
+
 def _bucket_of(okey: Column, n_buckets: int) -> Column:
     # Range bucket on the first 32 bits of the digest: monotone in the order
     # key, so bucket order + in-bucket order = global order.
@@ -207,62 +218,123 @@ def _joined(pieces: Column) -> Column:
     return F.flatten(F.transform(F.array_sort(pieces), lambda x: x["piece"]))
 
 
-def pack(df: DataFrame, key: str, ids_col: str, seq_length: int, sep, shards: int, seed: int = DEFAULT_SEED,
-         append_concat_token: bool = True, order: str = "seeded", shard_col: Optional[str] = None) -> DataFrame:
+def _chunks(placed: DataFrame, seq_length: int) -> DataFrame:
+    """Whole chunks of rows ``(shard, _ids, _off, _len)``."""
+    pieces = placed.filter(F.col("_len") > 0).select(
+        "shard", F.inline(_pieces(F.col("_ids"), F.col("_off"), F.col("_len"), seq_length, 0)))
+    chunks = pieces.groupBy("shard", "chunk_id").agg(F.collect_list(F.struct("off", "piece")).alias("_p"))
+    packed = chunks.select("shard", "chunk_id", _joined(F.col("_p")).alias("input_ids"))
+    packed = packed.filter(F.size("input_ids") == seq_length)
+    return packed.withColumn("labels", F.col("input_ids"))
+
+
+def pack(df: DataFrame, key: str, ids_col: str, seq_length: int, sep, shards: Optional[int] = None, seed: int = DEFAULT_SEED,
+         append_concat_token: bool = True, order: str = "seeded", shard_col: Optional[str] = None,
+         buffers: str = "hash", text_col: str = "text", num_of_sequences: int = PACK_NUM_SEQUENCES,
+         chars_per_token: float = PACK_CHARS_PER_TOKEN) -> DataFrame:
     """K1: constant-length packing. Each sample gets the separator appended,
     samples are concatenated per shard in seeded order (``order='key'`` keeps
     key order), cut into ``seq_length`` pieces, and the incomplete tail of
     every shard is dropped. Returns ``(shard, chunk_id, input_ids, labels)``.
-    ``shards`` bounds what one task holds: see ``shard_count``."""
-    shard = F.col(shard_col) if shard_col else shard_of(key, shards, seed)
+
+    K2: ``buffers='hash'`` spreads samples over ``shards`` shards by a seeded hash (see
+    ``shard_count``); ``buffers='greedy'`` fills buffers with samples in the order of
+    ``key``, which must be unique, and closes each as soon as its texts (``text_col``) hold
+    ``buffer_chars`` characters. Either bounds what one task holds."""
+    if buffers == "greedy":
+        bound = buffer_chars(seq_length, num_of_sequences, chars_per_token)
+        df = df.join(greedy_buffers(df, key, F.length(text_col), bound, "_buffer"), key)
+        shard = F.col("_buffer")
+    elif buffers == "hash":
+        shard = F.col(shard_col) if shard_col else shard_of(key, shards, seed)
+    else:
+        raise ValueError(f"unknown kind of buffers {buffers!r}")
     okey = order_key(key, seed) if order == "seeded" else F.lit("")
     base = df.select(shard.alias("shard"), okey.alias("_okey"), F.col(key).alias("_key"),
                      _with_separator(df, ids_col, sep, append_concat_token).alias("_ids"))
     base = base.withColumn("_len", F.size("_ids").cast("bigint"))
     w = Window.partitionBy("shard").orderBy("_okey", "_key").rowsBetween(Window.unboundedPreceding, 0)
-    placed = base.withColumn("_off", F.sum("_len").over(w) - F.col("_len")).filter(F.col("_len") > 0)
-    pieces = placed.select("shard", F.inline(_pieces(F.col("_ids"), F.col("_off"), F.col("_len"), seq_length, 0)))
-    chunks = pieces.groupBy("shard", "chunk_id").agg(F.collect_list(F.struct("off", "piece")).alias("_p"))
-    packed = chunks.select("shard", "chunk_id", _joined(F.col("_p")).alias("input_ids"))
-    packed = packed.filter(F.size("input_ids") == seq_length)
-    return packed.withColumn("labels", F.col("input_ids"))
-
-
-def _sample_chunks(seq_length: int):
-    """Fold over samples ``(shard, a, b)`` in order of their shards, one chunk at a
-    time: as ``(shard, chunk_id, n_samples, a, b)``."""
+    return _chunks(base.withColumn("_off", F.sum("_len").over(w) - F.col("_len")), seq_length)
+
+
+def text_pieces(df: DataFrame, key: str, text_col: str = "text", piece_chars: int = 1 << 20) -> DataFrame:
+    """``(key, part, piece, last)``: texts cut into pieces of ``piece_chars`` characters and
+    what follows up to the next white space. No token of ``whitespace_tokens`` holds white
+    space, so the pieces' tokens, one after the other, are the text's. A text without
+    white space is one piece; an empty one is one empty piece; a null one has none."""
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(rf"(?sU).{{1,{piece_chars}}}\S*|\A\z"), F.lit(0))
+    # the number of pieces in a projection of its own: no piece's row carries all of them
+    cut = df.select(F.col(key), pieces.alias("_pieces")).select(key, "_pieces", F.size("_pieces").alias("_n"))
+    return cut.select(key, "_n", F.posexplode("_pieces").alias("part", "piece")).select(
+        key, "part", "piece", (F.col("part") == F.col("_n") - 1).alias("last"))
+
+
+def pack_texts(df: DataFrame, key: str, text_col: str, seq_length: int, sep, shards: int, seed: int = DEFAULT_SEED,
+               tokenizer: Optional[Tokenizer] = None, piece_chars: int = 1 << 20) -> DataFrame:
+    """K1 for samples of any length: the chunks of ``pack`` over ``tokenize``, built from
+    pieces. Pieces are tokenised one by one and written once; the window that places
+    them reads their lengths, and the tokens meet their places in a join on (key, part).
+    No row holds the tokens of more than a piece, and no window holds any. ``key`` must be
+    unique. A caller's tokenizer must give the same tokens for a text cut before white
+    space."""
+    toks = tokenize(text_pieces(df, key, text_col, piece_chars), "piece", max_len=None, tokenizer=tokenizer, out="_ids")
+    whole = _with_separator(toks, "_ids", sep, True)
+    toks = toks.select(F.col(key).alias("_key"), "part", shard_of(key, shards, seed).alias("shard"),
+                       F.when(F.col("last"), whole).otherwise(F.col("_ids")).alias("_ids"))
+    toks = written(toks.withColumn("_len", F.size("_ids").cast("bigint")), "pieces")
+    w = (Window.partitionBy("shard").orderBy("_okey", "_key", "part").rowsBetween(Window.unboundedPreceding, 0))
+    places = toks.select("_key", "part", "shard", "_len", order_key("_key", seed).alias("_okey"))
+    places = places.select("_key", "part", (F.sum("_len").over(w) - F.col("_len")).alias("_off"))
+    return _chunks(toks.join(places, ["_key", "part"]), seq_length)
+
+
+def _sample_chunks(seq_length: int, names: list[str]):
+    """Fold over samples ``(shard, la, lb, a, b)`` in order of their shards, one chunk at a
+    time. Only lengths are looked at: a chunk is a stretch of each side's tokens, which
+    stay Arrow values and are cut by offsets."""
 
     def run(batches):
         import pyarrow as pa
 
-        def packed(rows, kind):
-            kinds = [pa.int32(), pa.int64(), pa.int64(), kind, kind]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                              names=["shard", "chunk_id", "n_samples", "input_ids", "input_ids_followup"])
-
-        shard, chunk, used, n, a, b = None, 0, 0, 0, [], []
-        kind = None
+        shard, chunk, used = None, 0, 0
+        # chunks begun: shard, number, samples; and where they begin on either side
+        begun, starts, rest = [], ([], []), [None, None]
         for batch in batches:
-            kind, done = batch.column(1).type, []
-            for s, x, y in zip(*batch.columns):
-                s, x, y = s.as_py(), x.as_py() or [], y.as_py() or []
-                longer = max(len(x), len(y))
-                if n and (s != shard or used + longer > seq_length):
-                    done.append((shard, chunk, n, a, b))
-                    chunk, used, n, a, b = chunk + 1, 0, 0, [], []
-                if s != shard:
-                    shard, chunk = s, 0
+            kinds = [batch.column(k).type for k in (3, 4)]
+            sides = [batch.column(k).flatten() for k in (3, 4)]
+            held = [0 if r is None else len(r) for r in rest]
+            sides = [s if r is None else pa.concat_arrays([r, s]) for r, s in zip(rest, sides)]
+            for s, la, lb in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                longer = max(la, lb)
+                if s != shard or used + longer > seq_length and used:
+                    chunk = chunk + 1 if s == shard else 0
+                    shard, used = s, 0
                 for at in range(0, longer, seq_length):
+                    # a long sample goes on through the next chunks, its end shares the last
                     if at:
-                        done.append((shard, chunk, n, a, b))
-                        chunk, used, n, a, b = chunk + 1, 0, 0, [], []
-                    a += x[at:at + seq_length]
-                    b += y[at:at + seq_length]
-                    used, n = used + min(seq_length, longer - at), n + 1
-            if done:
-                yield packed(done, kind)
-        if n:
-            yield packed([(shard, chunk, n, a, b)], kind)
+                        chunk, used = chunk + 1, 0
+                    if not used:
+                        begun.append([shard, chunk, 0])
+                        for k, n in enumerate((la, lb)):
+                            starts[k].append(held[k] + min(at, n))
+                    begun[-1][2] += 1
+                    used += min(seq_length, longer - at)
+                held = [held[0] + la, held[1] + lb]
+            yield from packed(begun[:-1], starts, sides, kinds)
+            rest = [v.slice(k[-1]) for v, k in zip(sides, starts)] if begun else [None, None]
+            begun, starts = begun[-1:], tuple([0] * len(begun[-1:]) for _ in starts)
+        if begun:
+            yield from packed(begun, [[*k, len(r)] for k, r in zip(starts, rest)], rest, kinds)
+
+    def packed(done, starts, sides, kinds):
+        import pyarrow as pa
+
+        if done:
+            shards, chunks, samples = zip(*done)
+            lists = [pa.ListArray.from_arrays(pa.array(k[:len(done) + 1], pa.int32()), v).cast(t)
+                     for k, v, t in zip(starts, sides, kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(chunks, pa.int64()),
+                                              pa.array(samples, pa.int64()), *lists], names=names)
 
     return run
 
@@ -297,10 +369,15 @@ def pack_pairs(df: DataFrame, key: str, plain_col: str, followup_col: str, seq_l
     both = both.withColumn("_la", F.size("_a").cast("bigint")).withColumn("_lb", F.size("_b").cast("bigint"))
     w = Window.partitionBy("shard").orderBy("_okey", "_key", "_part").rowsBetween(Window.unboundedPreceding, 0)
     if align == "sample":
-        kind = both.schema["_a"].dataType.simpleString()
-        placed = (both.repartition("shard").sortWithinPartitions("shard", "_okey", "_key", "_a", "_b")
-                  .select("shard", "_a", "_b"))
-        out = placed.mapInArrow(_sample_chunks(seq_length), "shard int, chunk_id bigint, n_samples bigint, "
+        kind = both.schema["_a"].dataType
+        both = both.withColumns({c: F.coalesce(c, F.array().cast(kind)) for c in ("_a", "_b")})
+        both = both.select("shard", F.size("_a").alias("_la"), F.size("_b").alias("_lb"), "_a", "_b", "_okey", "_key",
+                           F.xxhash64("_a", "_b").alias("_tie"))
+        placed = (both.repartition("shard").sortWithinPartitions("shard", "_okey", "_key", "_tie")
+                  .select("shard", "_la", "_lb", "_a", "_b"))
+        names = ["shard", "chunk_id", "n_samples", "input_ids", "input_ids_followup"]
+        kind = kind.simpleString()
+        out = placed.mapInArrow(_sample_chunks(seq_length, names), "shard int, chunk_id bigint, n_samples bigint, "
                                 f"input_ids {kind}, input_ids_followup {kind}")
     else:
         placed = (both.withColumn("_oa", F.sum("_la").over(w) - F.col("_la"))

@@ -10,6 +10,7 @@ from sway.functions.prompts import render_chat
 from sway.operators import metrics as M
 from sway.operators import packing as PK
 from sway.operators import rounds as R
+from sway.operators.scratch import scratch_path
 from sway.plans import sqlgen as S
 from sway.plans.q_rounds import medqa_corpus
 from sway.plans.q_text import CONV_CTE, TRAIN_CTE, _piece, conversations
@@ -73,6 +74,44 @@ def q_pack_chunks(spark, sf_dir):
     return packed.select("shard", "chunk_id", F.size("input_ids").alias("n_tokens"), md5_join("input_ids").alias("chunk_md5"))
 
 
+_GREEDY_BOUND = int(-(-PACK_L * K.PACK_CHARS_PER_TOKEN * PACK_NSEQ // 1))
+
+
+@register("pack_greedy", f"""with recursive r as (
+  select doc_id, text, row_number() over (order by doc_id) as rn, coalesce(length(text), 0) as l,
+         coalesce(sum(length(text)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as before from documents),
+buffers(buffer, first_rn, place) as (
+  select 0::BIGINT, 1::BIGINT, 0::HUGEINT
+  union all
+  select buffer + 1, rn + 1, done from (
+    select buffer, min(rn) as rn, min(before + l) as done from buffers b join r on r.rn >= b.first_rn and r.before + r.l >= b.place + {_GREEDY_BOUND}
+    group by buffer) z where rn < (select max(rn) from r)),
+d2 as (select r.doc_id as k, max(b.buffer) as shard, md5('{SEED}:' || cast(r.doc_id as varchar)) as okey,
+         list_append({toks_sql('any_value(r.text)')}, {S.lit(EOS)}) as ids
+       from r join buffers b on b.first_rn <= r.rn where r.text is not null group by r.doc_id),
+d3 as (select *, sum(len(ids)) over (partition by shard order by okey, k rows between unbounded preceding and current row) - len(ids) as off from d2),
+u as (select shard, off, unnest(ids) as tok, generate_subscripts(ids, 1) as i from d3),
+c as (select shard, ((off + i - 1) // {PACK_L})::BIGINT as chunk_id, count(*) as n, md5(string_agg(tok, ' ' order by off + i)) as chunk_md5
+      from u group by shard, chunk_id)
+select shard, chunk_id, n::INTEGER as n_tokens, chunk_md5 from c where n = {PACK_L}""")
+def q_pack_greedy(spark, sf_dir):
+    """K2 as buffers filled in input order, each shuffled and packed by itself."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    toks = PK.tokenize(docs, "text", max_len=None)
+    packed = PK.pack(toks, "doc_id", "input_ids", PACK_L, EOS, seed=SEED, buffers="greedy", num_of_sequences=PACK_NSEQ)
+    return packed.select("shard", "chunk_id", F.size("input_ids").alias("n_tokens"), md5_join("input_ids").alias("chunk_md5"))
+
+
+@register("pack_pieces", f"""with {_pack_sql('documents', 'doc_id', 'text', PACK_L, PACK_NSEQ, 'text')}
+select shard, chunk_id, n::INTEGER as n_tokens, chunk_md5 from c where n = {PACK_L}""")
+def q_pack_pieces(spark, sf_dir):
+    """K1 with no text in one row: pieces of 4,096 characters are tokenised and placed."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    shards = PK.shard_count(docs, "text", PACK_L, PACK_NSEQ)
+    packed = PK.pack_texts(docs, "doc_id", "text", PACK_L, EOS, shards, SEED, piece_chars=4096)
+    return packed.select("shard", "chunk_id", F.size("input_ids").alias("n_tokens"), md5_join("input_ids").alias("chunk_md5"))
+
+
 _CHAT_SRC = f"""(select conv_id, text, replace(text, {S.lit(K.USER_MARKER)}, {S.lit(K.USER_MARKER + K.TRAIN_FEEDBACK)}) as ftext
   from (select conv_id, '<|begin_of_text|>' || string_agg({_piece('role', 'text')}, '' order by turn) as text
         from t group by conv_id) z)"""
@@ -98,18 +137,29 @@ def q_pack_paired(spark, sf_dir):
 
 
 def _pair_sample_sql() -> str:
+    """A walk over each shard's samples: the chunk where a sample begins, and what its
+    last chunk then holds."""
     bound = PAIR_L * K.PACK_CHARS_PER_TOKEN * PAIR_NSEQ
-    return f"""with {CONV_CTE}, cs as {_CHAT_SRC},
+    return f"""with recursive {CONV_CTE}, cs as {_CHAT_SRC},
 sh as (select ceil(sum(length(ftext)) / {bound})::BIGINT as shards from cs),
 s as (select conv_id as k, (('0x' || substr(md5('{SEED}:shard:' || cast(conv_id as varchar)), 1, 8))::BIGINT % shards)::INTEGER as shard,
         md5('{SEED}:' || cast(conv_id as varchar)) as okey, list_append({toks_sql('text')}, {S.lit(EOS)}) as a,
         list_append({toks_sql('ftext')}, {S.lit(EOS)}) as b from cs, sh),
-o as (select *, sum(greatest(len(a), len(b))) over (partition by shard order by okey, k
-        rows between unbounded preceding and current row) as e from s)
-select shard, ((e - 1) // {PAIR_L})::BIGINT as chunk_id, count(*) as n_samples,
-  md5(array_to_string(list_slice(flatten(list(a order by e)), 1, {PAIR_L}), ' ')) as chunk_md5,
-  md5(array_to_string(list_slice(flatten(list(b order by e)), 1, {PAIR_L}), ' ')) as followup_md5
-from o group by shard, (e - 1) // {PAIR_L}"""
+o as (select *, greatest(len(a), len(b)) as l, row_number() over (partition by shard order by okey, k) as rn from s),
+walk(shard, rn, chunk, used, next_chunk) as (
+  select shard, rn, 0::BIGINT, l - (l - 1) // {PAIR_L} * {PAIR_L}, (l - 1) // {PAIR_L} from o where rn = 1
+  union all
+  select o.shard, o.rn, c, case when fresh then 0 else w.used end + o.l - (o.l - 1) // {PAIR_L} * {PAIR_L}, c + (o.l - 1) // {PAIR_L}
+  from (select *, next_chunk as nc from walk) w join o on o.shard = w.shard and o.rn = w.rn + 1,
+       lateral (select w.used + o.l > {PAIR_L} as fresh) f, lateral (select case when fresh then nc + 1 else nc end as c) g),
+parts as (
+  select o.shard, o.rn, chunk + p as chunk_id, list_slice(a, p * {PAIR_L} + 1, (p + 1) * {PAIR_L}) as a,
+         list_slice(b, p * {PAIR_L} + 1, (p + 1) * {PAIR_L}) as b
+  from o join walk using (shard, rn), unnest(range((l - 1) // {PAIR_L} + 1)) t(p))
+select shard, chunk_id::BIGINT as chunk_id, count(*) as n_samples,
+  md5(array_to_string(flatten(list(a order by rn)), ' ')) as chunk_md5,
+  md5(array_to_string(flatten(list(b order by rn)), ' ')) as followup_md5
+from parts group by shard, chunk_id"""
 
 
 @register("pack_paired_samples", _pair_sample_sql())
@@ -151,8 +201,8 @@ def q_split_challenge_labels(spark, sf_dir):
                        md5_join("labels").alias("labels_md5"), md5_join("labels_challenged").alias("labels_challenged_md5"))
 
 
-@register("prepare_rows", f"""select doc_id, len(list_slice({toks_sql('lower(text)')}, 1, 64))::INTEGER as n_tokens,
-  md5(array_to_string(list_slice({toks_sql('lower(text)')}, 1, 64), ' ')) as ids_md5 from documents""")
+@register("prepare_rows", f"""select doc_id, len({toks_sql('lower(text)')})::INTEGER as n_tokens,
+  md5(array_to_string({toks_sql('lower(text)')}, ' ')) as ids_md5 from documents""")
 def q_prepare_rows(spark, sf_dir):
     """T2 without packing, K6: the whole text comes from a formatting function; a
     table that is tokenised already passes through."""
@@ -176,6 +226,14 @@ def q_seeded_order(spark, sf_dir):
     return PK.seeded_order(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SEED)
 
 
+@register("shuffled_order", f"""select doc_id, md5('{SEED}:' || cast(doc_id as varchar)) as order_key,
+  row_number() over (order by md5('{SEED}:' || cast(doc_id as varchar)), doc_id) - 1 as position, md5(text) as text_md5 from documents""")
+def q_shuffled_order(spark, sf_dir):
+    """O1 as rows written in the seeded order, with their positions."""
+    rows = PK.write_shuffled(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", scratch_path(spark, "shuffled"), SEED)
+    return rows.select("doc_id", "order_key", "position", F.md5("text").alias("text_md5"))
+
+
 @register("batch_manifest", f"""with r as (select doc_id, (row_number() over (order by md5('{SEED}:' || cast(doc_id as varchar)), doc_id) - 1)::BIGINT as rn
            from documents), n as (select count(*) as n from documents)
 select doc_id, rn, (rn // {BATCH})::BIGINT as batch from r, n where rn < (n.n // {BATCH}) * {BATCH}""")
