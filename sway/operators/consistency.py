@@ -3,9 +3,10 @@
 Pairwise criteria (MSE, cosine, KL) are native per-row expressions followed by
 an ordinary aggregate. The Sinkhorn divergence compares two *clouds* of vectors
 and needs all point pairs of a cloud. A cloud is one example, named by an
-explicit key; it is solved in a grouped Arrow UDF, and a group's value is the
-mean over its clouds, as the reference takes the mean over a batch. The number of
-solver steps is fixed, so a value depends on its cloud alone.
+explicit key; small ones are solved whole, many in an Arrow batch, larger ones over
+tasks, block by block. A group's value is the mean over its clouds, as the reference
+takes the mean over a batch. The number of solver steps is fixed, so a value depends on
+its cloud alone.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sway.functions.constants import CONSISTENCY_SCALE, CRITERIA, SINKHORN_BLUR, SINKHORN_P
 from sway.functions.vectors import cosine, kl, mse
+from sway.operators.scratch import written
 
 
 # ------------------------------------------------------------------ pairs
@@ -87,31 +88,220 @@ def sinkhorn_divergence(x: np.ndarray, y: np.ndarray, blur: float = SINKHORN_BLU
     return float((from_x - own_x).mean() + (from_y - own_y).mean())
 
 
+def _batch_divergences(x: np.ndarray, y: np.ndarray, blur: float, p: int, reach: float) -> np.ndarray:
+    """``sinkhorn_divergence`` of many pairs of clouds (k, n, d) and (k, m, d) at once."""
+    def solve(a, b):
+        costs = 0.5 * ((a[:, :, None, :] - b[:, None, :, :]) ** 2).sum(axis=3)
+
+        def soft(costs, potential, t):
+            scores = (potential[:, None, :] - costs) / t
+            top = scores.max(axis=2)
+            return -t * (top + np.log(np.exp(scores - top[:, :, None]).mean(axis=2)))
+
+        turned = costs.transpose(0, 2, 1)
+        rows, cols = np.zeros(costs.shape[:2]), np.zeros(turned.shape[:2])
+        for t in plan:
+            rows, cols = 0.5 * (rows + soft(costs, cols, t)), 0.5 * (cols + soft(turned, rows, t))
+        return soft(costs, cols, plan[-1]), soft(turned, rows, plan[-1])
+
+    plan = temperatures(blur, p, reach)
+    from_x, from_y = solve(x, y)
+    own_x, own_y = (sum(solve(z, z)) / 2 for z in (x, y))
+    return (from_x - own_x).mean(axis=1) + (from_y - own_y).mean(axis=1)
+
+
+#: floats of cost matrices that a task holds at once
+BATCH_COSTS = 1 << 20
+
+
+def _solve_clouds(blur: float, p: int, reach: float):
+    """Values of small clouds ``(grp, n_left, n_right, left, right)``: those of one shape in
+    an Arrow batch are solved together."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            values = np.full(batch.num_rows, np.nan)
+            shapes: dict = {}
+            counts = [batch.column(k).to_numpy() for k in (1, 2)]
+            # points of all rows one after the other; a row's begin at the sum of those before
+            points, firsts = [], []
+            for k in (3, 4):
+                flat = batch.column(k).flatten()
+                dim = len(flat.flatten()) // len(flat) if len(flat) else 0
+                points.append(flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), dim))
+                firsts.append(np.cumsum(counts[k - 3]) - counts[k - 3])
+            for i, shape in enumerate(zip(*counts)):
+                if all(shape):
+                    shapes.setdefault(shape, []).append(i)
+            for (n, m), rows in shapes.items():
+                size = max(1, BATCH_COSTS // (max(n, m) ** 2 * points[0].shape[1]))
+                for at in range(0, len(rows), size):
+                    part = np.array(rows[at:at + size])
+                    x, y = (v[f[part][:, None] + np.arange(c)] for v, f, c in zip(points, firsts, (n, m)))
+                    values[part] = _batch_divergences(x, y, blur, p, reach)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values)], names=["grp", "n_left", "n_right", "sinkhorn"])
+
+    return run
+
+
 def group_sinkhorn(points: DataFrame, group: str, cloud: str, side_col: str = "side", vec_col: str = "embedding",
-                   blur: float = SINKHORN_BLUR, p: int = SINKHORN_P, reach: float = 8.0) -> DataFrame:
+                   blur: float = SINKHORN_BLUR, p: int = SINKHORN_P, reach: float = 8.0, largest: int = 2048) -> DataFrame:
     """V4: the mean over a group's clouds of the Sinkhorn divergence between their
     left (``side`` 0) and right (``side`` 1) points. ``cloud`` names the example
     that a point belongs to (within its group); group and cloud may be of any type.
     A cloud with one side only is counted in ``n_one_sided`` and has no value.
-    Returns ``(group, n_clouds, n_one_sided, n_left, n_right, sinkhorn)``."""
-    tagged = points.select(F.col(group).alias("grp"), F.col(cloud).alias("cloud"), F.col(side_col).alias("side"),
-                           F.col(vec_col).alias("v"))
-    schema = T.StructType([tagged.schema["grp"], T.StructField("n_left", T.LongType()), T.StructField("n_right", T.LongType()),
-                           T.StructField("sinkhorn", T.DoubleType())])
+    Returns ``(group, n_clouds, n_one_sided, n_left, n_right, sinkhorn)``.
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [pdf.loc[pdf["side"] == k, "v"].to_numpy() for k in (0, 1)]
-        value = sinkhorn_divergence(*map(np.vstack, sides), blur, p, reach) if all(map(len, sides)) else None
-        return pd.DataFrame({"grp": pdf["grp"].iloc[:1].to_numpy(), "n_left": len(sides[0]), "n_right": len(sides[1]),
-                             "sinkhorn": pd.Series([value], dtype="float64")})
-
-    per_cloud = tagged.groupBy("grp", "cloud").applyInPandas(solve, schema)
+    Clouds of at most ``largest`` points a side are solved whole, many in one Arrow batch;
+    larger ones by ``block_sinkhorn``, over tasks. ``points`` is read twice."""
+    if p != 2:
+        raise NotImplementedError("only p=2 is supported")
+    kind = "array<double>"
+    tagged = points.select(F.col(group).alias("grp"), F.col(cloud).alias("cloud"), F.col(side_col).alias("side"),
+                           F.col(vec_col).cast(kind).alias("v"))
+    of = lambda k: F.count_if(F.col("side") == k)
+    sizes = written(tagged.groupBy("grp", "cloud").agg(of(0).alias("n_left"), of(1).alias("n_right")), "clouds")
+    large = sizes.where((F.greatest("n_left", "n_right") > largest) & (F.least("n_left", "n_right") > 0))
+    small = tagged
+    if not large.isEmpty():
+        same = F.col("grp").eqNullSafe(F.col("_grp")) & F.col("cloud").eqNullSafe(F.col("_cloud"))
+        named = large.select(F.col("grp").alias("_grp"), F.col("cloud").alias("_cloud"))
+        small = tagged.join(named, same, "left_anti")
+        large = block_sinkhorn(tagged.join(named, same, "left_semi"), blur, reach, largest)
+    sides = [F.collect_list(F.when(F.col("side") == k, F.col("v"))) for k in (0, 1)]
+    gathered = small.groupBy("grp", "cloud").agg(sides[0].alias("left"), sides[1].alias("right")).select(
+        "grp", F.size("left").cast("bigint").alias("n_left"), F.size("right").cast("bigint").alias("n_right"), "left", "right")
+    per_cloud = gathered.mapInArrow(_solve_clouds(blur, p, reach), T.StructType([
+        tagged.schema["grp"], T.StructField("n_left", T.LongType()), T.StructField("n_right", T.LongType()),
+        T.StructField("sinkhorn", T.DoubleType())]))
+    if "sinkhorn" in large.columns:
+        per_cloud = per_cloud.unionByName(large.select("grp", "n_left", "n_right", "sinkhorn"))
     value = F.nanvl("sinkhorn", F.lit(None).cast("double"))
     return per_cloud.groupBy(F.col("grp").alias(group)).agg(
         F.count(F.lit(1)).alias("n_clouds"), F.count_if((F.col("n_left") == 0) | (F.col("n_right") == 0)).alias("n_one_sided"),
         F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"), F.avg(value).alias("sinkhorn"))
 
 
+# ------------------------------------------------- clouds beyond one task
+#: the problems of a divergence: left-right, left-left, right-right
+_PROBLEMS = ((0, 0, 1), (1, 0, 0), (2, 1, 1))
+_SUMS = "id bigint, problem int, axis int, block int, top array<double>, total array<double>"
+
+
+def _tile_sums(t: float):
+    """For each tile of costs, what it adds to the soft minima of its rows (axis 0) and of its
+    columns (axis 1): the largest score and the sum of all, scaled by it."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                x, y = (np.array(r[k], np.float64) for k in ("x", "y"))
+                costs = _half_squares(x, y)
+                for axis, block, other, c in ((0, r["i"], r["g"], costs), (1, r["j"], r["f"], costs.T)):
+                    scores = (np.array(other) - c) / t
+                    top = scores.max(axis=1)
+                    rows.append((r["id"], r["problem"], axis, block, top, np.exp(scores - top[:, None]).sum(axis=1)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (
+                pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64())))],
+                names=["id", "problem", "axis", "block", "top", "total"])
+
+    return run
+
+
+def _merge_sums(batches):
+    """Sums of one block that follow each other, as one: running maximum and scaled sum."""
+    import pyarrow as pa
+
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    names = ["id", "problem", "axis", "block", "top", "total"]
+    key, top, total = None, None, None
+    for batch in batches:
+        done = []
+        for r in batch.to_pylist():
+            mine = (r["id"], r["problem"], r["axis"], r["block"])
+            a, s = np.array(r["top"]), np.array(r["total"])
+            if mine == key:
+                high = np.maximum(top, a)
+                top, total = high, total * np.exp(top - high) + s * np.exp(a - high)
+            else:
+                if key:
+                    done.append((*key, top, total))
+                key, top, total = mine, a, s
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=names)
+    if key:
+        yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((*key, top, total), kinds)], names=names)
+
+
+def block_sinkhorn(points: DataFrame, blur: float = SINKHORN_BLUR, reach: float = 8.0, block: int = 2048) -> DataFrame:
+    """``(grp, cloud, n_left, n_right, sinkhorn)`` for clouds of any size, from ``points (grp,
+    cloud, side, v)``; both sides of a cloud must hold points.
+
+    Points are dealt into blocks of about ``block``; a tile of costs is made from two blocks
+    where it is needed. Potentials are a table with one row a block, written at every
+    temperature. A step joins the tiles' blocks with their potentials, adds up each
+    tile's largest score and scaled sum, and merges these by block in sorted streams: first
+    within the task, then after the shuffle. No task holds more than a tile."""
+    names = points.select("grp", "cloud").distinct().withColumn("id", F.monotonically_increasing_id())
+    names = written(names, "cloud-names")
+    same = points["grp"].eqNullSafe(names["grp"]) & points["cloud"].eqNullSafe(names["cloud"])
+    # numbered where they are written: a task that runs again writes its rows anew
+    rows = written(points.join(names, same).select("id", "side", "v").withColumn("row", F.monotonically_increasing_id()), "points")
+    sizes = written(rows.groupBy("id", "side").agg(F.count(F.lit(1)).alias("n")), "sides")
+    blocks = F.ceil(F.col("n") / F.lit(block))
+    dealt = rows.join(sizes, ["id", "side"]).select(
+        "id", "side", "n", F.pmod(F.xxhash64("row"), blocks).cast("int").alias("block"), "v")
+    dealt = written(dealt.groupBy("id", "side", "block").agg(F.collect_list("v").alias("v"), F.first("n").alias("n")), "blocks")
+    problems = points.sparkSession.createDataFrame(_PROBLEMS, "problem int, left_side int, right_side int")
+    left = dealt.select("id", F.col("side").cast("int").alias("left_side"), F.col("block").alias("i"), F.col("v").alias("x"))
+    right = dealt.select("id", F.col("side").cast("int").alias("right_side"), F.col("block").alias("j"), F.col("v").alias("y"))
+    ids = left.select("id", "left_side", "i").join(F.broadcast(problems), "left_side").join(
+        right.select("id", "right_side", "j"), ["id", "right_side"])
+    ids = written(ids, "tiles")
+    # potentials, zero at first: axis 0 for the rows' blocks of a problem, 1 for the columns'
+    axes = F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.col("left_side").alias("side")),
+                             F.struct(F.lit(1).alias("axis"), F.col("right_side").alias("side")))).alias("s")
+    sided = problems.select("problem", axes).select("problem", "s.axis", "s.side")
+    # a soft minimum over rows is a mean over the points of the other axis
+    other = sizes.join(F.broadcast(sided), "side").select("id", "problem", (1 - F.col("axis")).alias("axis"), F.col("n").alias("others"))
+    state = dealt.select("id", F.col("side").cast("int").alias("side"), "block", F.size("v").alias("size")).join(
+        F.broadcast(sided), "side").select("id", "problem", "axis", "block", F.array_repeat(F.lit(0.0), F.col("size")).alias("u"))
+    state = written(state, "potentials")
+    plan = temperatures(blur, 2, reach)
+    key = ["id", "problem", "axis", "block"]
+
+    def sums(state, t):
+        f = state.where("axis = 0").select("id", "problem", F.col("block").alias("i"), F.col("u").alias("f"))
+        g = state.where("axis = 1").select("id", "problem", F.col("block").alias("j"), F.col("u").alias("g"))
+        tiles = (ids.join(left, ["id", "left_side", "i"]).join(right, ["id", "right_side", "j"])
+                 .join(f, ["id", "problem", "i"]).join(g, ["id", "problem", "j"]).select("id", "problem", "i", "j", "x", "y", "f", "g"))
+        parts = tiles.mapInArrow(_tile_sums(t), _SUMS).sortWithinPartitions(*key).mapInArrow(_merge_sums, _SUMS)
+        return parts.repartition(*key).sortWithinPartitions(*key).mapInArrow(_merge_sums, _SUMS)
+
+    def soft(state, t):
+        found = sums(state, t).join(other, ["id", "problem", "axis"])
+        return found.select(*key, F.transform(F.arrays_zip("top", "total"), lambda z: F.lit(-t) * (
+            z["top"] + F.log(z["total"] / F.col("others")))).alias("soft"))
+
+    for t in plan:
+        moved = state.join(soft(state, t), key)
+        state = written(moved.select(*key, F.zip_with("u", "soft", lambda u, v: (u + v) / 2).alias("u")), "potentials")
+    last = soft(state, plan[-1])
+    mean = (F.aggregate("soft", F.lit(0.0), lambda a, x: a + x)).alias("sum")
+    own = sizes.join(F.broadcast(sided), "side").select("id", "problem", "axis", "n")
+    weight = F.when(F.col("problem") == 0, F.lit(1.0)).otherwise(F.lit(-0.5))
+    value = last.select("id", "problem", "axis", mean).join(own, ["id", "problem", "axis"]).groupBy("id").agg(
+        F.sum(weight * F.col("sum") / F.col("n")).alias("sinkhorn"))
+    n = lambda k: F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0))
+    counts = sizes.groupBy("id").agg(n(0).alias("n_left"), n(1).alias("n_right"))
+    return names.join(value, "id").join(counts, "id").select("grp", "cloud", "n_left", "n_right", "sinkhorn")
+
+
 # ---------------------------------------------------------------- dispatch
 def consistency(pairs: DataFrame, criterion: str = "ot", left: str = "left", right: str = "right",
                 group: str = "label", cloud: str = "pair_id", reach: float = 8.0) -> DataFrame:

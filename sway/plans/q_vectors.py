@@ -12,6 +12,8 @@ from sway.plans.registry import register, table
 ALPHA = 0.1  # consistency weight of the shipped training script
 BATCH = 8
 CLOUD = 8  # pairs of an example: the block of 8 consecutive pair ids
+#: pair ids of a cloud that is solved block by block
+LARGE_CLOUD = 1000
 
 PAIRS_CTE = """e as (select vec_id // 2 as pair_id, vec_id % 2 as side, label, embedding from embeddings),
 p as (select l.pair_id, l.label, l.embedding as a, r.embedding as b
@@ -74,13 +76,13 @@ def q_combined_score(spark, sf_dir):
     return out.select("batch", *[F.round(c, 6).alias(c) for c in ("loss", "loss_followup", "consistency", "objective")])
 
 
-def _sinkhorn_sql() -> str:
+def _sinkhorn_sql(size: int = CLOUD) -> str:
     """V4 unrolled: the fixed cooling plan as a chain of CTEs over all point pairs
     of a cloud, for the three problems (left-right, left-left, right-right)."""
     plan = C.temperatures()
     points = f"""{PAIRS_CTE.split('u as (')[0].rstrip().rstrip(',')},
-pt as (select label, pair_id // {CLOUD} as cloud, pair_id, 0 as side, a as v from p
-       union all select label, pair_id // {CLOUD}, pair_id, 1, b from p),
+pt as (select label, pair_id // {size} as cloud, pair_id, 0 as side, a as v from p
+       union all select label, pair_id // {size}, pair_id, 1, b from p),
 c as (select x.label, x.cloud, k.prob, x.pair_id as i, y.pair_id as j,
         0.5 * list_sum(list_transform(list_zip(x.v, y.v), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))) as cost
       from (values ('xy', 0, 1), ('xx', 0, 0), ('yy', 1, 1)) k(prob, sx, sy)
@@ -128,6 +130,18 @@ def q_group_sinkhorn(spark, sf_dir):
     return out.select("label", "n_clouds", "n_left", F.round("sinkhorn", 6).alias("sinkhorn"))
 
 
+@register("block_sinkhorn", f"""{_sinkhorn_sql(LARGE_CLOUD)}
+select label, cloud, round(s, 6) as sinkhorn from d""")
+def q_block_sinkhorn(spark, sf_dir):
+    """V4 for clouds that are split over tasks: blocks of 32 points of clouds with more."""
+    pts = C.pair_vectors(table(spark, sf_dir, "embeddings")).select(
+        F.col("label").alias("grp"), F.floor(F.col("pair_id") / LARGE_CLOUD).cast("bigint").alias("cloud"), F.inline(F.array(
+            F.struct(F.lit(0).alias("side"), as_double("left").alias("v")),
+            F.struct(F.lit(1).alias("side"), as_double("right").alias("v")))))
+    out = C.block_sinkhorn(pts, block=32)
+    return out.select(F.col("grp").alias("label"), "cloud", F.round("sinkhorn", 6).alias("sinkhorn"))
+
+
 @register("consistency_criteria", f"""{_sinkhorn_sql()},
 {PAIRS_CTE[PAIRS_CTE.index('u as ('):].replace('c as', 'c_ as')}
 select 'mse' as criterion, label, round(avg(mse), 6) as consistency from ps group by label

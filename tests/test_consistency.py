@@ -89,3 +89,44 @@ def test_criterion_dispatch(spark, criterion):
             "kl": [np.sum(soft(b) * np.log(soft(b) / soft(a))) for a, b in zip(x, y)],
             "ot": [np.sum((a - b) ** 2) / 2 for a, b in zip(x, y)]}[criterion]
     assert got == pytest.approx(np.mean(want), rel=1e-6)
+
+
+def points_of(clouds):
+    """Rows (g, c, side, embedding) of named clouds, and each one's divergence."""
+    rng = np.random.default_rng(1)
+    rows, value = [], {}
+    for name, (n, m) in clouds.items():
+        x, y = rng.normal(size=(n, 5)), rng.normal(size=(m, 5)) + 0.3
+        x[: n // 4] = x[:1]  # equal points are points of their own
+        rows += [("g", name, side, v.tolist()) for side, z in ((0, x), (1, y)) for v in z]
+        if n and m:
+            value[name] = sinkhorn_divergence(x, y)
+    return rows, value
+
+
+POINTS = "g string, c string, side int, embedding array<double>"
+
+
+def test_block_sinkhorn_equals_the_local_solver(spark):
+    from pyspark.sql import functions as F
+
+    from sway.operators.consistency import block_sinkhorn
+
+    rows, value = points_of({"a": (30, 50), "b": (70, 20), None: (40, 40), "one": (1, 1), "few": (2, 33)})
+    df = spark.createDataFrame(rows, POINTS).repartition(4)
+    points = df.select(F.col("g").alias("grp"), F.col("c").alias("cloud"), "side", F.col("embedding").alias("v"))
+    got = {r.cloud: (r.n_left, r.n_right, r.sinkhorn) for r in block_sinkhorn(points, block=16).collect()}
+    assert set(got) == set(value) and got["b"][:2] == (70, 20)
+    assert all(got[k][2] == pytest.approx(value[k], abs=1e-9) for k in value)
+
+
+def test_group_sinkhorn_of_small_and_large_clouds(spark):
+    rows, value = points_of({"a": (30, 20), "b": (5, 3), "c": (5, 3), None: (18, 33), "left only": (40, 0), "right only": (0, 2)})
+    df = spark.createDataFrame(rows, POINTS).repartition(4)
+    for largest in (2048, 16):
+        r = group_sinkhorn(df, "g", "c", largest=largest).first()
+        assert (r.n_clouds, r.n_one_sided, r.n_left, r.n_right) == (6, 2, 98, 61)
+        assert r.sinkhorn == pytest.approx(np.mean(list(value.values())), rel=1e-9)
+    assert group_sinkhorn(df.limit(0), "g", "c").count() == 0
+    with pytest.raises(NotImplementedError):
+        group_sinkhorn(df, "g", "c", p=1)
