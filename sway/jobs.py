@@ -29,15 +29,15 @@ from pyspark.sql import functions as F
 from sway.functions.paths import run_dimensions
 from sway.operators import metrics as M
 from sway.operators import rounds as R
-from sway.operators.formatting import reformat
+from sway.operators.formatting import IntegrityError, reformat
 from sway.session import get_spark
 from sway.sources import io
 from sway.sources import schemas as SC
 
 READERS = {
-    "medqa": lambda spark, path: io.read_choice_map(spark, path, "json"),
-    "openbookqa": lambda spark, path: io.read_choice_lists(spark, path, "parquet" if path.endswith(".parquet") else "json"),
-    "gsm8k": lambda spark, path: io.read_numeric_qa(spark, path, "parquet" if path.endswith(".parquet") else "json"),
+    "medqa": lambda spark, path, **kw: io.read_choice_map(spark, path, "json", **kw),
+    "openbookqa": lambda spark, path, **kw: io.read_choice_lists(spark, path, "parquet" if path.endswith(".parquet") else "json", **kw),
+    "gsm8k": lambda spark, path, **kw: io.read_numeric_qa(spark, path, "parquet" if path.endswith(".parquet") else "json", **kw),
 }
 
 
@@ -46,10 +46,13 @@ def format_job(spark: SparkSession, dataset: str, input_path: str, split: str, f
                strict: bool = False) -> str:
     if dataset not in READERS:
         raise ValueError(f"no reader for dataset {dataset!r}")
-    raw = READERS[dataset](spark, input_path)
+    raw, broken = READERS[dataset](spark, input_path, with_broken=True)
+    if strict and not broken.isEmpty():
+        raise IntegrityError(f"{dataset}: {broken.count()} lines that are no record")
     corpus, rejects = reformat(raw, dataset, fmt, strict=strict, keep=())
-    if rejects is not None and not strict:
+    if not strict:
         rejects.write.mode("overwrite").json(f"{output.rstrip('/')}/{split}_{fmt}_rejects.jsonl")
+        broken.write.mode("overwrite").json(f"{output.rstrip('/')}/{split}_{fmt}_broken.jsonl")
     return io.write_corpus(corpus, output, split, fmt)
 
 
@@ -80,7 +83,9 @@ def infer_job(spark: SparkSession, dataset: str, corpus_root: str, split: str, f
             f"{output.rstrip('/')}/{split}_unmatched")
         records = R.two_round(corpus, dataset, fmt, responses=responses, **kw)
     elif generator:
-        records = R.two_round(corpus, dataset, fmt, generator=_load(generator), **kw)
+        # responses stay beside the records: a job that is started again goes on with the missing ones
+        records = R.two_round(corpus, dataset, fmt, generator=_load(generator),
+                              store=f"{output.rstrip('/')}/{split}_{fmt}_responses", **kw)
     else:
         raise ValueError("infer needs --responses or --generator")
     path = f"{output.rstrip('/')}/{split}.jsonl"

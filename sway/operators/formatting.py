@@ -47,8 +47,9 @@ def choice_map_to_sharegpt(df: DataFrame, keep=("item_id", "run")) -> DataFrame:
 
 
 def check_choice_map(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``options[answer_idx] == answer``; returns (valid, rejects)."""
-    ok = F.coalesce(F.col("options")[F.col("answer_idx")].eqNullSafe(F.col("answer")), F.lit(False))
+    """``options[answer_idx] == answer``; returns (valid, rejects). A record without a
+    question, a key or an answer is a reject."""
+    ok = F.coalesce((F.col("options")[F.col("answer_idx")] == F.col("answer")) & F.col("question").isNotNull(), F.lit(False))
     return df.filter(ok), df.filter(~ok)
 
 
@@ -72,12 +73,19 @@ def choice_lists_to_sharegpt(df: DataFrame, keep=("item_id", "run")) -> DataFram
 
 
 def check_choice_lists(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The answer key must be one of the labels."""
-    ok = F.coalesce(F.array_position("choices.label", F.col("answerKey")) > 0, F.lit(False))
+    """The answer key must be one of the labels, and fact, question and choices there."""
+    asked = F.col("fact1").isNotNull() & F.col("question_stem").isNotNull() & F.col("choices.text").isNotNull()
+    ok = F.coalesce((F.array_position("choices.label", F.col("answerKey")) > 0) & asked, F.lit(False))
     return df.filter(ok), df.filter(~ok)
 
 
 # ---------------------------------------------------------- numeric answers
+def check_numeric(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Question and answer must be there; returns (valid, rejects)."""
+    ok = F.col("question").isNotNull() & F.col("answer").isNotNull()
+    return df.filter(ok), df.filter(~ok)
+
+
 def numeric_to_alpaca(df: DataFrame, keep=("item_id", "run")) -> DataFrame:
     """P5: ``question, answer`` -> Alpaca with empty input, answer verbatim."""
     return df.select(*_keep(df, keep), format_sent("question", "?").alias("instruction"),
@@ -94,13 +102,13 @@ _FORMATTERS = {
     ("medqa", "sharegpt"): (check_choice_map, choice_map_to_sharegpt),
     ("openbookqa", "alpaca"): (check_choice_lists, choice_lists_to_alpaca),
     ("openbookqa", "sharegpt"): (check_choice_lists, choice_lists_to_sharegpt),
-    ("gsm8k", "alpaca"): (None, numeric_to_alpaca),
-    ("gsm8k", "sharegpt"): (None, numeric_to_sharegpt),
+    ("gsm8k", "alpaca"): (check_numeric, numeric_to_alpaca),
+    ("gsm8k", "sharegpt"): (check_numeric, numeric_to_sharegpt),
 }
 
 
 def reformat(df: DataFrame, dataset: str, fmt: str, strict: bool = False,
-             keep=("item_id", "run")) -> tuple[DataFrame, DataFrame | None]:
+             keep=("item_id", "run")) -> tuple[DataFrame, DataFrame]:
     """Dataset x format dispatch. Returns (corpus, rejects). ``strict``
     raises like the reference when any record fails its integrity check
     (this runs one extra count job)."""
@@ -109,11 +117,9 @@ def reformat(df: DataFrame, dataset: str, fmt: str, strict: bool = False,
     if fmt not in ("alpaca", "sharegpt"):
         raise NotImplementedError(f"unknown corpus format {fmt!r}")
     check, to_corpus = _FORMATTERS[(dataset, fmt)]
-    rejects = None
-    if check is not None:
-        df, rejects = check(df)
-        if strict and not rejects.isEmpty():
-            raise IntegrityError(f"{dataset}: records whose answer does not match the keyed option")
+    df, rejects = check(df)
+    if strict and not rejects.isEmpty():
+        raise IntegrityError(f"{dataset}: records whose answer does not match the keyed option, or that lack a part")
     return to_corpus(df, keep=keep), rejects
 
 

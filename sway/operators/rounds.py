@@ -9,6 +9,7 @@ folder, because generation is expensive and not idempotent under task retry.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from typing import Optional
 
@@ -36,6 +37,7 @@ from sway.functions.prompts import (
     wrap_first_turn,
 )
 from sway.functions.text import gold_number, split_choice_answer
+from sway.operators.scratch import scratch_path, written
 
 CHOICE_DATASETS = ("medqa", "openbookqa")
 ColumnLike = Column | str
@@ -226,6 +228,54 @@ def generate(prompts: DataFrame, fn: Generator, prompt_col: str = "prompt", out:
     return prompts.mapInPandas(run, schema)
 
 
+def resume_generation(prompts: DataFrame, fn: Generator, store: str, keys: Sequence[str] = ("run", "item_id"),
+                      round_no: int = 1, prompt_col: str = "prompt", out: str = "response",
+                      max_new_tokens: int = MAX_NEW_TOKENS, rows_per_batch: int = 100_000) -> DataFrame:
+    """R4 that can be stopped and started again: ``prompts`` with ``out``, null where the
+    generator gave none.
+
+    Responses are appended to the Parquet table ``store`` under their item's ``keys``, the
+    round and the digest of the prompt, batch after batch. A start generates only the
+    prompts that the store doesn't hold; a prompt that changed is another one. The missing
+    prompts are written once, dealt into batches by a hash of their keys, and every batch
+    is a job of its own: one that fails, or a lost executor, costs at most a batch.
+    ``keys`` must identify a prompt of the round; null keys are values like others."""
+    spark = prompts.sparkSession
+    digest = F.md5(F.coalesce(F.col(prompt_col), F.lit("")))
+    asked = prompts.select(*keys, digest.alias("prompt_md5"), F.col(prompt_col).alias("_prompt"))
+    columns = [*keys, "prompt_md5", "response"]
+    kind = T.StructType([*[prompts.schema[k] for k in keys], T.StructField("prompt_md5", T.StringType()),
+                         T.StructField("response", T.StringType())])
+    path = f"{store.rstrip('/')}/round={round_no}"
+    spark.createDataFrame([], kind).write.mode("append").parquet(path)
+
+    def stored():
+        # a batch that was stopped while it was committed may be there twice
+        return spark.read.schema(kind).parquet(path).dropDuplicates([*keys, "prompt_md5"])
+
+    def same(left, right):
+        on = F.lit(True)
+        for k in (*keys, "prompt_md5"):
+            on = on & left[k].eqNullSafe(right[k])
+        return on
+
+    done = stored()
+    missing = asked.join(done, same(asked, done), "left_anti")
+    missing = written(missing.withColumn("_hash", F.xxhash64(*keys, "prompt_md5")), "missing")
+    batches = max(1, math.ceil(missing.count() / rows_per_batch))
+    dealt = scratch_path(spark, "batches")
+    missing.withColumn("_batch", F.pmod("_hash", F.lit(batches))).write.partitionBy("_batch").parquet(dealt)
+    for b in [r[0] for r in spark.read.schema("_batch long").parquet(dealt).select("_batch").distinct().orderBy("_batch").collect()]:
+        part = spark.read.schema(missing.schema).parquet(f"{dealt}/_batch={b}")
+        got = generate(part, fn, "_prompt", "response", max_new_tokens).select(*columns)
+        got.write.mode("append").parquet(path)
+    done = stored().select(*[F.col(c).alias(f"_{c}") for c in columns])
+    on = digest.eqNullSafe(F.col("_prompt_md5"))
+    for k in keys:
+        on = on & prompts[k].eqNullSafe(F.col(f"_{k}"))
+    return prompts.join(done, on, "left").withColumn(out, F.col("_response")).drop(*[f"_{c}" for c in columns])
+
+
 def pair_rounds(responses: DataFrame, keys: Sequence[str] = ("run", "item_id"), round_col: str = "round",
                 text_col: str = "response") -> DataFrame:
     """One row per item with ``response_1`` and ``response_2`` by a single
@@ -250,14 +300,21 @@ def attach_responses(df: DataFrame, responses: DataFrame, round_no: int, keys: S
 def two_round(corpus: DataFrame, dataset: str, fmt: str, *, responses: Optional[DataFrame] = None,
               generator: Optional[Generator] = None, identity=None, seed: int = 3407, eos: str = DEFAULT_EOS,
               keys: Sequence[str] = ("run", "item_id"), compat: bool = False,
-              max_new_tokens: int = MAX_NEW_TOKENS) -> DataFrame:
+              max_new_tokens: int = MAX_NEW_TOKENS, store: Optional[str] = None) -> DataFrame:
     """Round-1 prompt -> response -> parse -> challenge prompt -> response
     -> parse -> prediction records.
 
     With ``responses`` (``keys..., round, response``) each round is attached
     by a left join (J2); items without a response parse as ''. With a
-    ``generator`` each round is generated and checkpointed before use."""
+    ``generator`` each round is generated and checkpointed before use; with a ``store``
+    besides, responses are kept there and a stopped run goes on where it was."""
     _check(dataset, fmt)
+
+    def generated(df, prompt, out, round_no):
+        if store:
+            return resume_generation(df, generator, store, keys, round_no, prompt, out, max_new_tokens)
+        return generate(df, generator, prompt, out, max_new_tokens).checkpoint(eager=True)
+
     keep = list(keys)
     r1 = round1_prompts(corpus, dataset, fmt, eos, keep=keep)
     if responses is not None:
@@ -266,7 +323,7 @@ def two_round(corpus: DataFrame, dataset: str, fmt: str, *, responses: Optional[
         from sway.session import ensure_checkpoint_dir
 
         ensure_checkpoint_dir(corpus.sparkSession)  # reliable checkpoints go to the shared folder
-        df = generate(r1, generator, "prompt", "response_1", max_new_tokens).checkpoint(eager=True)
+        df = generated(r1, "prompt", "response_1", 1)
     else:
         raise ValueError("two_round needs recorded responses or a generator")
     df = df.withColumn("pred_str", transcript("prompt", "response_1", fmt))
@@ -275,7 +332,7 @@ def two_round(corpus: DataFrame, dataset: str, fmt: str, *, responses: Optional[
         return span_records(df, fmt, keep)
     df = df.withColumn("prompt2", round2_prompt(df, dataset, fmt, identity, seed, eos, "pred", compat, keys[-1]))
     if responses is None:
-        df = generate(df, generator, "prompt2", "response_2", max_new_tokens).checkpoint(eager=True)
+        df = generated(df, "prompt2", "response_2", 2)
     else:
         df = attach_responses(df, responses, 2, keys)
     df = df.withColumn("attack_pred_str", transcript("prompt2", "response_2", fmt))

@@ -6,3 +6,4 @@ from sway.plans import q_format, q_rounds  # noqa: F401,E402
 from sway.plans import q_pack, q_text, q_vectors  # noqa: F401,E402
 from sway.plans import q_paths  # noqa: F401,E402
 from sway.plans import q_joins  # noqa: F401,E402
+from sway.plans import q_files  # noqa: F401,E402

@@ -6,6 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sway.functions.constants import ROLE_TO_SHAREGPT
 from sway.sources import schemas as SC
@@ -15,41 +16,78 @@ from sway.sources import schemas as SC
 RESULT_GLOB = "*.json*"
 
 
-def _read(spark: SparkSession, path: str, schema, fmt: str = "json") -> DataFrame:
-    reader = spark.read.schema(schema)
-    return reader.parquet(path) if fmt == "parquet" else reader.json(path)
+#: column of a record's own text where it can't be read
+CORRUPT = "_corrupt_record"
 
 
-def read_choice_map(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """SRC1: JSON-lines multiple-choice records, options as an ordered map."""
-    return _read(spark, path, SC.CHOICE_MAP, fmt)
+def sound_and_broken(lines: DataFrame, schema) -> tuple[DataFrame, DataFrame]:
+    """JSON lines ``(value, ...)`` as records of ``schema`` (beside the other columns), and those
+    that are none, with ``reason`` and ``record`` (the line). Blank lines are neither."""
+    kind = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = lines.where(F.btrim("value", F.lit(" \t\r\n")) != "").withColumn(
+        "_r", F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    rest = [c for c in lines.columns if c != "value"]
+    nothing = F.col("_r").isNull() | ~F.startswith(F.ltrim("value"), F.lit("{"))
+    broken = F.col(f"_r.{CORRUPT}").isNotNull() | nothing
+    sound = parsed.where(~broken).select(*rest, *[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields])
+    reason = F.when(F.col(f"_r.{CORRUPT}").isNotNull(), "not a JSON record of the declared types").otherwise("no JSON object")
+    return sound, parsed.where(broken).select(*rest, reason.alias("reason"), F.col("value").alias("record"))
 
 
-def read_choice_lists(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """SRC2: multiple choice with parallel label/text lists and a fact."""
-    return _read(spark, path, SC.CHOICE_LISTS, fmt)
+def _lines(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The lines of text files with the path of their file."""
+    reader = spark.read
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("path"))
 
 
-def read_numeric_qa(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """SRC3: numeric-answer QA (answer ends in ``#### <number>``)."""
-    return _read(spark, path, SC.NUMERIC_QA, fmt)
+def _read(spark: SparkSession, path: str, schema, fmt: str = "json", with_broken: bool = False):
+    if fmt == "parquet":
+        records = spark.read.schema(schema).parquet(path)
+        none = records.limit(0).select(*[F.lit(None).cast("string").alias(c) for c in ("path", "reason", "record")])
+        return (records, none) if with_broken else records
+    if not with_broken:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    sound, broken = sound_and_broken(_lines(spark, path), schema)
+    return sound.drop("path"), broken
+
+
+def read_choice_map(spark: SparkSession, path: str, fmt: str = "json", with_broken: bool = False):
+    """SRC1: JSON-lines multiple-choice records, options as an ordered map. A line that is no
+    such record fails the job that reads it; ``with_broken`` returns a second table of
+    those lines instead, ``(path, reason, record)``."""
+    return _read(spark, path, SC.CHOICE_MAP, fmt, with_broken)
+
+
+def read_choice_lists(spark: SparkSession, path: str, fmt: str = "parquet", with_broken: bool = False):
+    """SRC2: multiple choice with parallel label/text lists and a fact; broken lines as for
+    ``read_choice_map``."""
+    return _read(spark, path, SC.CHOICE_LISTS, fmt, with_broken)
+
+
+def read_numeric_qa(spark: SparkSession, path: str, fmt: str = "parquet", with_broken: bool = False):
+    """SRC3: numeric-answer QA (answer ends in ``#### <number>``); broken lines as for
+    ``read_choice_map``."""
+    return _read(spark, path, SC.NUMERIC_QA, fmt, with_broken)
 
 
 def corpus_path(root: str, split: str, fmt: str) -> str:
     return f"{root.rstrip('/')}/{split}_{fmt}_sft.jsonl"
 
 
-def read_corpus(spark: SparkSession, root: str, split: str, fmt: str) -> DataFrame:
-    """SRC4: corpus addressed by split and format (file or directory)."""
+def read_corpus(spark: SparkSession, root: str, split: str, fmt: str, with_broken: bool = False):
+    """SRC4: corpus addressed by split and format (file or directory); broken lines as for
+    ``read_choice_map``."""
     if fmt not in SC.CORPUS:
         raise NotImplementedError(f"unknown corpus format {fmt!r}")
-    return spark.read.schema(SC.CORPUS[fmt]).json(corpus_path(root, split, fmt))
+    return _read(spark, corpus_path(root, split, fmt), SC.CORPUS[fmt], "json", with_broken)
 
 
-def with_origin(results: DataFrame) -> DataFrame:
+def with_origin(results: DataFrame, path=None) -> DataFrame:
     """Result records with ``path`` (their file) and, where the path has them as
     partitions (``dataset=...``, ``split=...``), ``dataset`` and ``split``."""
-    path = F.col("_metadata.file_path")
+    path = F.col("_metadata.file_path") if path is None else path
 
     def partition(name: str):
         value = F.regexp_extract(path, rf"/{name}=([^/]*)/", 1)
@@ -58,12 +96,15 @@ def with_origin(results: DataFrame) -> DataFrame:
     return results.select("*", path.alias("path"), partition("dataset"), partition("split"))
 
 
-def read_results(spark: SparkSession, root: str, schema=SC.PREDICTION, glob: str = RESULT_GLOB) -> DataFrame:
+def read_results(spark: SparkSession, root: str, schema=SC.PREDICTION, glob: str = RESULT_GLOB, with_broken: bool = False):
     """SRC5: every result file under ``root`` in one scan, with its path and the
-    partition columns that ``write_predictions`` put into it."""
-    df = (spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-          .json(root))
-    return with_origin(df)
+    partition columns that ``write_predictions`` put into it; broken lines as for
+    ``read_choice_map``."""
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": glob}
+    if with_broken:
+        sound, broken = sound_and_broken(_lines(spark, root, **options), schema)
+        return with_origin(sound.withColumnRenamed("path", "_path"), F.col("_path")).drop("_path"), broken
+    return with_origin(spark.read.schema(schema).options(mode="FAILFAST", **options).json(root))
 
 
 def turns_to_sharegpt(turns: DataFrame, key: str = "conv_id", order: str = "turn", role: str = "role",
@@ -114,9 +155,11 @@ def write_corpus(df: DataFrame, root: str, split: str, fmt: str, mode: str = "ov
 def write_predictions(df: DataFrame, path: str, partition_by: Sequence[str] = ("dataset", "split"),
                       mode: str = "overwrite") -> None:
     """SNK2: prediction records as JSON lines, partitioned (train split by
-    split index through an ordinary partition column)."""
+    split index through an ordinary partition column). ``mode='overwrite'`` replaces the
+    partitions that ``df`` holds and leaves the others below ``path`` as they are; without
+    a partition column it replaces all."""
     cols = [c for c in partition_by if c in df.columns]
-    w = df.write.mode(mode)
+    w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     if cols:
         w = w.partitionBy(*cols)
     w.json(path)
@@ -156,6 +199,8 @@ def render_report(report: DataFrame, run_cols: Sequence[str] = ("run",)) -> Data
 
 
 def write_report(report: DataFrame, path: str, run_cols: Sequence[str] = ("run",), mode: str = "overwrite") -> None:
-    """SNK3: one text report per run (``partitionBy(run)``), lines in order."""
+    """SNK3: one text report per run (``partitionBy(run)``), lines in order. Reports of runs
+    that ``report`` doesn't hold stay as they are."""
     lines = render_report(report, run_cols).repartition(*run_cols).sortWithinPartitions(*run_cols, "ordinal", "line")
-    lines.select(*run_cols, "line").write.mode(mode).partitionBy(*run_cols).text(path)
+    (lines.select(*run_cols, "line").write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*run_cols).text(path))
