@@ -13,6 +13,7 @@ from typing import Optional, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sway.operators import metrics as M
@@ -43,21 +44,43 @@ def streaming_cube(outcomes: DataFrame, run_cols: Sequence[str] = ("run",)) -> D
 
 def start_metrics(cube: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
                   trigger_available_now: bool = True, run_cols: Sequence[str] = ("run",),
-                  query_name: Optional[str] = None) -> StreamingQuery:
-    """Run the streaming cube in ``update`` mode: every micro-batch writes the
-    counters it changed under its own number next to ``checkpoint``, and hands the
-    metrics (A12) of the runs it changed to ``sink(df, epoch)``. A counter only
-    grows, so its latest value is its largest. ``checkpoint`` must be a folder in
-    the shared checkpoint location so the query survives restarts."""
+                  query_name: Optional[str] = None, buckets: int = 64) -> StreamingQuery:
+    """Run the streaming cube in ``update`` mode: every micro-batch adds the counters it
+    changed to a snapshot next to ``checkpoint``, and hands the metrics (A12) of the runs it
+    changed to ``sink(df, epoch)``. ``checkpoint`` must be a folder in the shared checkpoint
+    location so the query survives restarts.
+
+    The snapshot is kept by hash buckets of the runs. A micro-batch reads and writes the
+    buckets of the runs it changed, each under its own number, and an index with one
+    row a bucket says which number holds a bucket's latest state; so what a batch reads
+    depends on the counters of those buckets, not on the batches before it. A counter
+    only grows, so its latest value is its largest, and a batch that is run again writes
+    the same."""
     store = f"{checkpoint.rstrip('/')}-cube"
     triple = [*run_cols, "gt", "pred", "attack_pred"]
 
     def each(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
-        written = batch.sparkSession.read.schema(batch.schema).option("basePath", store)
-        changed = written.parquet(f"{store}/epoch={epoch}").select(*run_cols).distinct()
-        every = written.parquet(f"{store}/epoch=*").join(changed, list(run_cols), "left_semi")
-        sink(M.evaluate_cube(every.groupBy(*triple).agg(F.max("n").alias("n")), run_cols), epoch)
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(*run_cols), F.lit(buckets)).cast("int")
+        batch.withColumn("bucket", bucket).write.mode("overwrite").parquet(f"{store}/delta/epoch={epoch}")
+        kind = T.StructType([*batch.schema.fields, T.StructField("bucket", T.IntegerType())])
+        delta = spark.read.schema(kind).parquet(f"{store}/delta/epoch={epoch}")
+        latest = {}
+        if epoch:
+            latest = dict(map(tuple, spark.read.schema("bucket int, epoch long").parquet(f"{store}/index/epoch={epoch - 1}").collect()))
+        touched = [r.bucket for r in delta.select("bucket").distinct().collect()]
+        before = [f"{store}/snapshot/epoch={latest[b]}/bucket={b}" for b in touched if b in latest]
+        every = delta
+        if before:
+            held = spark.read.schema(batch.schema).parquet(*before).withColumn("bucket", bucket)
+            every = held.unionByName(delta)
+        every = every.groupBy("bucket", *triple).agg(F.max("n").alias("n"))
+        every.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/snapshot/epoch={epoch}")
+        index = [(b, e) for b, e in (latest | dict.fromkeys(touched, epoch)).items()]
+        spark.createDataFrame(index, "bucket int, epoch long").write.mode("overwrite").parquet(f"{store}/index/epoch={epoch}")
+        held = spark.read.schema(kind).parquet(f"{store}/snapshot/epoch={epoch}")
+        changed = delta.select(*run_cols).distinct()
+        sink(M.evaluate_cube(held.join(changed, list(run_cols), "left_semi").drop("bucket"), run_cols), epoch)
 
     w = cube.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each)
     if query_name:
@@ -72,8 +95,6 @@ def parse_transcripts_stream(spark: SparkSession, root: str, dataset: str, fmt:
     """R5 on a stream: generation logs (``key``, ``text_col`` JSON lines) that
     land in ``root`` are parsed with exactly the batch operator — parsing is
     stateless, so the streaming plan is the batch plan."""
-    from pyspark.sql import types as T
-
     from sway.operators.rounds import with_parsed
 
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField(text_col, T.StringType())])

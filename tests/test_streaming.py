@@ -69,3 +69,32 @@ def test_parse_transcripts_stream_equals_batch(spark):
     q.awaitTermination(120)
     got = {r.item_id: r.pred for r in spark.sql("select item_id, pred from sway_parsed").collect()}
     assert got == batch and len(got) == logs.count()
+
+
+def test_a_batch_touches_the_buckets_of_its_runs(spark):
+    root, ckpt = tempfile.mkdtemp(prefix="sway-runs-"), os.path.join(tempfile.mkdtemp(prefix="sway-ckpt-"), "q")
+    got = {}
+
+    def sink(df, epoch):
+        for r in df.collect():
+            got[epoch, r.run] = (r.n_items, round(r.accuracy_before, 6))
+
+    def land(run, *pred):
+        df = spark.createDataFrame([("A", p, "A") for p in pred], "answer_idx string, pred_idx string, attack_pred_idx string")
+        df.coalesce(1).write.mode("append").json(os.path.join(root, f"medqa_{run}"))
+        q = start_metrics(streaming_cube(stream_outcomes(read_results_stream(spark, root))), sink, ckpt, buckets=50)
+        q.awaitTermination(120)
+
+    land("one", "A", "B")
+    land("two", "A")
+    land("one", "A", "A")
+    land("three", "B")
+    epochs = sorted({e for e, _ in got})
+    by_name = lambda e: {run.rstrip("/").split("medqa_")[1].split("/")[0]: v for (k, run), v in got.items() if k == e}
+    assert [by_name(e) for e in epochs] == [{"one": (2, 0.5)}, {"two": (1, 1.0)}, {"one": (4, 0.75)}, {"three": (1, 0.0)}]
+    # every batch wrote one bucket, whatever the earlier ones held
+    latest = {}
+    for e in epochs:
+        [[bucket]] = spark.read.parquet(f"{ckpt}-cube/snapshot/epoch={e}").select("bucket").distinct().collect()
+        latest[bucket] = e
+    assert {r.bucket: r.epoch for r in spark.read.parquet(f"{ckpt}-cube/index/epoch={epochs[-1]}").collect()} == latest
