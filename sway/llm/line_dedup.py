@@ -1,10 +1,10 @@
 """Line deduplication by a segment-partition edit join.
 
-Two lines are near if they have at least ``shortest`` characters and their edit
-distance is at most the threshold t. A line is split into t + 1 segments; an edit
-touches one of them at most, so of two near lines the longer holds a segment of
-the shorter unchanged, not far from its place. The segments are indexed by
-length, number and content; a line probes the index of its own and the t next
+A line of n characters may differ by t(n) edits: one for every ``per`` characters, up to
+the threshold; two lines are near if their edit distance is at most that of the
+shorter. The shorter is split into t + 1 segments; an edit touches one of them at most,
+so the longer line holds one unchanged, not far from its place. The segments are
+indexed by length, number and content; a line probes the index of its own and the t next
 smaller lengths with the substrings at the places that can match (multi-match
 aware). Lines that meet are verified with a banded bit-parallel edit distance.
 
@@ -25,11 +25,11 @@ from sway.llm.common import components, saved
 BROADCAST_ROWS = 2_000_000
 
 
-def _segment(length, i: int, parts: int):
+def _segment(length, i: int, parts):
     """Start (from 0) and length of segment ``i`` of a line: as even as can be,
     the longer ones last."""
-    base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    start = base * i + F.greatest(F.lit(0), longer + (i - parts))
+    base, longer = F.call_function("div", length, parts).cast("int"), (length % parts).cast("int")
+    start = base * i + F.greatest(F.lit(0), longer + (F.lit(i) - parts))
     return start, base + (longer + i >= parts).cast("int")
 
 
@@ -37,26 +37,42 @@ def _key(length, i: int, text) -> F.Column:
     return F.xxhash64(length.cast("int"), F.lit(i), text)
 
 
-def index_keys(line, length, threshold: int) -> F.Column:
-    parts = threshold + 1
-    cuts = [_segment(length, i, parts) for i in range(parts)]
-    return F.array(*[_key(length, i, F.substring(line, s + 1, n)) for i, (s, n) in enumerate(cuts)])
-
-
-def probe_keys(line, length, threshold: int) -> F.Column:
-    """The keys under which the index holds lines that may be near: for each
-    length, segment and possible shift; null where the place lies outside."""
-    parts, out = threshold + 1, []
-    for shorter in range(parts):
-        other = length - shorter
-        for i in range(parts):
-            start, n = _segment(other, i, parts)
-            # as many edits before the segment as there are segments before it,
-            # and as many after as there are after
-            for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i) + 1):
-                at = start + shift
-                out.append(F.when((at >= 0) & (at + n <= length), _key(other, i, F.substring(line, at + 1, n))))
-    return F.array_compact(F.array(*out))
+def index_keys(line, length, threshold: int, per: int) -> F.Column:
+    """The keys of a line's segments; null for a line too short to differ."""
+    out = None
+    for edits in range(threshold, 0, -1):
+        cuts = [_segment(length, i, F.lit(edits + 1)) for i in range(edits + 1)]
+        keys = F.array(*[_key(length, i, F.substring(line, s + 1, n)) for i, (s, n) in enumerate(cuts)])
+        out = F.when(length >= edits * per, keys) if out is None else out.when(length >= edits * per, keys)
+    return out
+
+
+def probe_rows(lines: DataFrame, threshold: int, per: int) -> DataFrame:
+    """``(id, key)``: the keys under which the index holds lines that may be near a line of
+    ``(id, line, n)``, for each length that the other may have, segment of it and possible
+    shift. A line becomes a row for each of these lengths first: one expression for
+    all keys would be too long to be compiled."""
+    of = lambda edits: [F.struct(F.lit(edits).alias("edits"), F.lit(s).alias("shorter"), (F.col("n") - s).alias("other"))
+                        for s in range(edits + 1)]
+    most, fewer = F.array(*of(threshold)), [x for e in range(1, threshold) for x in of(e)]
+    if fewer:
+        # a line little longer than those that may differ less is near some of them
+        most = F.when(F.col("n") < threshold * per + threshold - 1, F.concat(most, F.array(*fewer))).otherwise(most)
+    rows = lines.select("id", "line", F.explode(most).alias("x")).select("id", "line", "x.edits", "x.shorter", "x.other")
+    edits, shorter, other = (F.col(c) for c in ("edits", "shorter", "other"))
+    rows = rows.where((other >= edits * per) & ((edits == threshold) | (other < (edits + 1) * per)))
+    keys = []
+    for i in range(threshold + 1):
+        start, n = _segment(other, i, edits + 1)
+        # as many edits before the segment as there are segments before it, and as many
+        # after as there are after
+        first = F.greatest(F.lit(-i), shorter - edits + i)
+        last = F.least(F.lit(i), shorter + edits - i)
+        widest = max(min(i, s + e - i) - max(-i, s - e + i) for e in range(max(i, 1), threshold + 1) for s in range(e + 1))
+        for k in range(widest + 1):
+            key = _key(other, i, F.substring("line", start + first + k + 1, n))
+            keys.append(F.when((first + k <= last) & (edits >= i), key))
+    return rows.select("id", F.explode(F.array(*keys)).alias("key")).where("key is not null")
 
 
 _HALVES = [1 << k for k in range(30, -1, -1)]
@@ -152,13 +168,13 @@ def _shared(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
-def links(lines: DataFrame, threshold: int, shortest: int, block: int = 64) -> DataFrame:
+def links(lines: DataFrame, threshold: int, per: int, block: int = 64) -> DataFrame:
     """All pairs ``(a, b)``, a < b, of ids of different near lines, each once."""
-    lines = _measured(lines).where(F.col("n") >= shortest)
+    lines = _measured(lines).where(F.col("n") >= per)
     line, n = F.col("line"), F.col("n")
     # an index entry once, however often its line occurs
-    index = saved(lines.select("id", F.explode(index_keys(line, n, threshold)).alias("key")).distinct(), "segments")
-    probe = lines.select("id", F.explode(probe_keys(line, n, threshold)).alias("key"))
+    index = saved(lines.select("id", F.explode(index_keys(line, n, threshold, per)).alias("key")).distinct(), "segments")
+    probe = probe_rows(lines, threshold, per)
     other = index.select(F.col("key").alias("key2"), F.col("id").alias("id2"))
     probe = saved(probe.join(other, (F.col("key") == F.col("key2")) & (F.col("id") != F.col("id2")), "left_semi").distinct(),
                   "probes")
@@ -173,15 +189,23 @@ def links(lines: DataFrame, threshold: int, shortest: int, block: int = 64) -> D
     side = lambda role, name: grouped.where(F.col("role") == role).select("key", F.col("lines").alias(name))
     found = side(1, "p").join(side(0, "q"), "key").select(F.explode("p").alias("p"), "q")
     # of two lines of one length, both probe: one of the probes is enough
+    close = lambda x, edits: near(x["line"], F.col("p.line"), edits)
+
+    def verified(x):  # the line of the index is the shorter one
+        out = F.when(x["n"] >= threshold * per, close(x, threshold))
+        for edits in range(threshold - 1, 0, -1):
+            out = out.when(x["n"] >= edits * per, close(x, edits))
+        return out
+
     hits = F.filter("q", lambda x: (
         (x["id"] != F.col("p.id")) & ((x["n"] < F.col("p.n")) | ((x["n"] == F.col("p.n")) & (x["id"] < F.col("p.id"))))
-        & near(x["line"], F.col("p.line"), threshold)))
+        & verified(x)))
     hits = found.select(F.col("p.id").alias("a"), F.transform(hits, lambda x: x["id"]).alias("hits"))
     hits = hits.select("a", F.explode("hits").alias("b"))
     return hits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_lines(docs: DataFrame, threshold: int = 2, shortest: int = 10, block: int = 64, key: str = "doc_id",
+def near_lines(docs: DataFrame, threshold: int = 2, per: int = 5, block: int = 64, key: str = "doc_id",
                text: str = "text") -> DataFrame:
     """One row for each line that isn't blank: ``key``, ``row`` (of ``docs``, in
     scan order), ``line_no`` (from 0), ``class_id`` (of the near-duplicate class: the
@@ -189,16 +213,19 @@ def near_lines(docs: DataFrame, threshold: int = 2, shortest: int = 10, block: i
     it) and ``kept``: true for one line of a class, the first by key (nulls last),
     row and number.
 
+    Lines are near if they differ by at most one edit for every ``per`` characters of the
+    shorter one, and by ``threshold`` edits at most: with 5, four fifths of a line stay as
+    they are. Lines of fewer than ``per`` characters are near none; like all lines they
+    share a class with equal ones.
+
     ``docs`` must be a scan that yields the same rows again, such as a table. Lines
-    end at line feeds. Lines with fewer than ``shortest`` characters are near none;
-    like all lines they share a class with equal ones. Null texts have no lines,
-    blank lines (spaces and control characters only) no class; rows that repeat
-    are lines of their own; an empty table gives no rows. Other columns are not
-    read. Lines are named by a 64-bit hash."""
-    if shortest <= threshold:
-        raise ValueError("lines that are compared must be longer than the threshold")
+    end at line feeds. Null texts have no lines, blank lines (spaces and control
+    characters only) no class; rows that repeat are lines of their own; an empty table
+    gives no rows. Other columns are not read. Lines are named by a 64-bit hash."""
+    if threshold < 1 or per <= threshold:
+        raise ValueError("a line that may differ needs more characters for each edit than there are edits")
     lines = lines_of(docs, key, text)
-    found = saved(links(lines, threshold, shortest, block), "links")
+    found = saved(links(lines, threshold, per, block), "links")
     degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     classes = components(found).withColumnsRenamed({"node": "id", "root": "class_id"}).join(degree, "id")
     classes = _shared(saved(classes, "classes"))

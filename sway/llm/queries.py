@@ -141,7 +141,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_lines(documents(spark, sf_dir), threshold=2, shortest=10)
+    found = near_lines(documents(spark, sf_dir), threshold=2, per=5)
     return found.select("doc_id", "line_no", "class_id", "links", "kept")
 
 

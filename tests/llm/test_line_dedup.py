@@ -57,15 +57,16 @@ def documents():
     return docs
 
 
-def brute(docs, threshold, shortest):
+def brute(docs, threshold, per):
     lines = [(d, i, k, l) for i, (d, t) in enumerate(docs) if t is not None for k, l in enumerate(t.split("\n"))
              if any(ord(c) > 32 for c in l)]
     texts = sorted({l for *_, l in lines})
     near_by = {l: set() for l in texts}
     for i, a in enumerate(texts):
         for b in texts[i + 1:]:
-            if min(len(a), len(b)) >= shortest and abs(len(a) - len(b)) <= threshold and (
-                    distance(a, b) <= threshold if len(a) < 1000 else a.strip() in b.strip() or b in a):
+            edits = min(threshold, min(len(a), len(b)) // per)
+            if edits and abs(len(a) - len(b)) <= edits and (
+                    distance(a, b) <= edits if len(a) < 1000 else a.strip() in b.strip() or b in a):
                 near_by[a].add(b)
                 near_by[b].add(a)
     group = {}
@@ -83,14 +84,18 @@ def brute(docs, threshold, shortest):
     return [(i, k, group[l], len(near_by[l]), first[group[l]] == (i, k)) for _, i, k, l in lines]
 
 
-@pytest.mark.parametrize("threshold,block", [(2, 64), (1, 7), (3, 64)])
-def test_against_brute_force(spark, tmp_path, threshold, block):
+@pytest.mark.parametrize("threshold,block,per", [(2, 64, 5), (1, 7, 10), (3, 64, 5), (2, 64, 3), (2, 5, 4)])
+def test_against_brute_force(spark, tmp_path, threshold, block, per):
     docs = documents()
+    rnd = random.Random(per)
+    # short lines of all lengths around those at which the number of edits changes
+    docs += [(400 + i, "\n".join("".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 16))) for _ in range(4))) for i in range(30)]
+    docs += [(500, "Read more"), (501, "Read more."), (502, "a\nab\nabc")]
     spark.createDataFrame([(d, t, 1, "k") for d, t in docs], "doc_id long, text string, n int, key string").coalesce(1).write.parquet(str(tmp_path / "d"))
     table = spark.read.parquet(str(tmp_path / "d"))
-    got = near_lines(table, threshold=threshold, shortest=10, block=block).collect()
+    got = near_lines(table, threshold=threshold, per=per, block=block).collect()
     order = {r.row: i for i, r in enumerate(table.select(F.monotonically_increasing_id().alias("row")).collect())}
-    want = brute(docs, threshold, 10)
+    want = brute(docs, threshold, per)
     assert sorted((order[r.row], r.line_no, r.links, r.kept) for r in got) == sorted((i, k, n, f) for i, k, _, n, f in want)
     name = {(i, k): g for i, k, g, *_ in want}
     pairs = {(r.class_id, name[order[r.row], r.line_no]) for r in got}
@@ -100,7 +105,7 @@ def test_against_brute_force(spark, tmp_path, threshold, block):
 def test_empty_table(spark):
     assert near_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
-        near_lines(spark.createDataFrame([], "doc_id long, text string"), threshold=3, shortest=3)
+        near_lines(spark.createDataFrame([], "doc_id long, text string"), threshold=3, per=3)
 
 
 def test_no_python_in_the_plan(spark):
