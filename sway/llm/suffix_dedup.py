@@ -17,7 +17,8 @@ a document with a smaller key or earlier in its own.
    ``length`` bytes: buckets of 8-grams, then buckets refined by the bucket pointers
    at later offsets (8, 16, 32 bytes on, ...), each round using the pointers of the
    last one. Suffixes alone in their bucket leave the race. Of the windows in one
-   bucket at full depth all but the earliest go.
+   bucket at full depth all but the earliest go. Contexts that are equal are sorted
+   once, and go but for the earliest.
 5. The covered bytes of a document are merged and cut."""
 
 from __future__ import annotations
@@ -108,10 +109,16 @@ def repeated_windows(data, left, length: int):
             return np.sort(places[many & (places != earliest)])
         pointer[:] = -1
         pointer[places[many]] = bucket[many]
-        deeper = min(2 * depth, length)
+        # two later pointers at once, where three of them fit into a key
+        steps = 2 if n < 1 << 21 else 1
+        deeper = min((steps + 1) * depth, length)
         places = np.flatnonzero((pointer[:n] >= 0) & (left >= deeper))
-        places = places[pointer[places + deeper - depth] >= 0]
-        keys = pointer[places] * n + pointer[places + deeper - depth]
+        offsets = [min(k * depth, deeper - depth) for k in range(1, steps + 1)]
+        for offset in offsets:
+            places = places[pointer[places + offset] >= 0]
+        keys = pointer[places]
+        for offset in offsets:
+            keys = keys * n + pointer[places + offset]
         depth = deeper
 
 
@@ -151,37 +158,41 @@ def _context_rows(length: int, names: list):
     without bytes: a context that is known to repeat, and the end of its cover."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        def packed(found):
-            out = []
-            for (key, context), where in found.items():
-                earliest = min(where)
-                out.append((key, *earliest, 0, context))
-                out += [(key, *w, w[2] + len(context), None) for w in where if w != earliest]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-
         for batch in batches:
-            found, many = {}, 0
-            for first, row, text, places in zip(*batch.columns):
-                first, row, text = first.as_py(), row.as_py(), text.as_py().encode()
-                for p in places.as_py():
-                    start, windows = p["place"] >> 8, p["place"] & 255
-                    if p["hot"]:
-                        for s in range(start, start + windows):
-                            window = text[s:s + length]
-                            key = xxh64_intdigest(window)
-                            found.setdefault((key - (key >> 63 << 64), window), []).append((first, row, s))
-                    else:
-                        found.setdefault((p["hash"], text[start:start + windows + length - 1]), []).append((first, row, start))
-                    many += windows if p["hot"] else 1
-                if many >= GATHERED:
-                    yield packed(found)
-                    found, many = {}, 0
-            if found:
-                yield packed(found)
+            first, row = (batch.column(k).to_numpy() for k in (0, 1))
+            texts, places = list(byte_texts(batch.column(2))), batch.column(3)
+            parent = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
+            anchor, place, hot = (c.to_numpy(zero_copy_only=False) for c in places.flatten().flatten())
+            start, windows = place >> 8, place & 255
+            # one context for an anchor, but one for each window of a hot one
+            upto = np.cumsum(np.where(hot, windows, 1))
+            at = 0
+            while at < len(place):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + GATHERED, side="right")))
+                n = np.where(hot[at:to], windows[at:to], 1)
+                which = at + np.repeat(np.arange(to - at), n)
+                begin = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                end = begin + np.where(hot[which], 1, windows[which]) + length - 1
+                of = parent[which]
+                contexts = [texts[t][a:b] for t, a, b in zip(of.tolist(), begin.tolist(), end.tolist())]
+                key = anchor[which]
+                for k in np.flatnonzero(hot[which]).tolist():
+                    h = xxh64_intdigest(contexts[k])
+                    key[k] = h - (h >> 63 << 64)
+                names_of = {}
+                name = np.array([names_of.setdefault(c, len(names_of)) for c in contexts])
+                order = np.lexsort((begin, row[of], first[of], name))
+                known = np.append(False, name[order[1:]] == name[order[:-1]])
+                contexts = [None if k else contexts[i] for i, k in zip(order.tolist(), known.tolist())]
+                of, begin, end = of[order], begin[order], end[order]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[order]), pa.array(first[of]), pa.array(row[of]), pa.array(begin.astype(np.int32)),
+                     pa.array(np.where(known, end, 0).astype(np.int32)), pa.array(contexts, pa.binary())], names=names)
+                at = to
 
     return run
 
@@ -194,6 +205,14 @@ def _covered_rows(length: int):
         import numpy as np
 
         contexts.sort(key=lambda c: c[:3])  # earlier documents and places come first
+        seen, different = set(), []
+        for c in contexts:
+            if c[3] in seen:
+                yield c[1], c[2], c[2] + len(c[3])
+            else:
+                seen.add(c[3])
+                different.append(c)
+        contexts = different
         lengths = np.array([len(c[3]) for c in contexts], np.int64)
         ends = np.cumsum(lengths)
         data = np.frombuffer(b"".join(c[3] for c in contexts), np.uint8)
@@ -216,11 +235,10 @@ def _covered_rows(length: int):
 
         waiting, size, last = [], 0, None
         for batch in batches:
-            rows = []
-            for key, first, row, start, end, context in zip(*(c.to_pylist() for c in batch.columns)):
-                if context is None:
-                    rows.append((row, start, end))
-                    continue
+            known = batch.column(5).is_null()
+            yield pa.RecordBatch.from_arrays([c.filter(known) for c in batch.columns[2:5]], names=["row", "start", "end"])
+            batch, rows = batch.filter(batch.column(5).is_valid()), []
+            for key, first, row, start, context in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 5))):
                 if size > BATCH and key != last:
                     rows += solve(waiting)
                     waiting, size = [], 0
@@ -307,6 +325,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, hot: int = 10_000, key: str
     copies = rows.select("first", "row", F.octet_length("text").alias("n"), F.unhex(F.sha2("text", 256)).alias("digest"))
     copies = copies.where(F.col("n") >= length)
     earliest = copies.groupBy("digest").agg(F.min(F.struct("first", "row")).alias("least"), F.count("*").alias("c")).where("c > 1")
+    # written, so that the join has two plain sides and can split a common text
+    earliest = saved(earliest, "earliest")
     copies = saved(copies.join(earliest, "digest").where("row <> least.row").select("row", F.lit(0).alias("start"), F.col("n").cast("int").alias("end")), "copies")
     few = copies.count() <= BROADCAST_ROWS
     rest = rows.join(F.broadcast(copies) if few else copies, "row", "left_anti")
