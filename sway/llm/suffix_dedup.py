@@ -34,7 +34,7 @@ BROADCAST_ROWS = 2_000_000
 #: bytes of contexts that a task sorts at once, and of texts that it looks for anchors in
 BATCH = 1 << 20
 #: contexts among which repeated ones are found before they are sent
-GATHERED = 40_000
+GATHERED = 150_000
 
 
 def gram_hashes(data):
@@ -267,9 +267,10 @@ def covered(docs: DataFrame, length: int = 100, hot: int = 10_000) -> DataFrame:
     names = ["key", "first", "row", "start", "end", "context"]
     contexts = docs.join(again, "row").select("first", "row", "text", "places").mapInArrow(
         _context_rows(length, names), "key long, first long, row long, start int, end int, context binary")
-    # what is known to go needn't meet its key
-    spread = F.when(F.col("context").isNull(), F.xxhash64("row", "start")).otherwise(F.col("key"))
-    return (contexts.withColumn("key", spread).repartition("key").sortWithinPartitions("key")
+    # what is known to go needn't meet its key: it is spread by few numbers, which pack well
+    known = F.col("context").isNull()
+    spread = F.when(known, F.pmod(F.xxhash64("row"), F.lit(1 << 16))).otherwise(F.col("key"))
+    return (contexts.withColumn("key", spread).withColumn("first", F.when(~known, F.col("first"))).repartition("key").sortWithinPartitions("key")
             .mapInArrow(_covered_rows(length), "row long, start int, end int"))
 
 
