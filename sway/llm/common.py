@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from typing import Optional
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,16 @@ def numbered(df: DataFrame, name: str, row: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared(spark: SparkSession, value):
+    """A broadcast of ``value``, pickled with the classes of this package, so that workers
+    need no copy of it; ``unshared`` reads it in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def unshared(broadcast):
+    return cloudpickle.loads(broadcast.value)
+
+
 def byte_texts(column) -> Iterator[Optional[bytes]]:
     """UTF-8 bytes of an Arrow string column, None for null."""
     import pyarrow as pa

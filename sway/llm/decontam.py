@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sway.llm.common import byte_texts, saved
+from sway.llm.common import byte_texts, saved, shared, unshared
 
 #: every byte but 0-9, a-z and those of non-ASCII characters separates words
 SEPARATORS = bytes(b if b >= 0x80 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" else 0x20 for b in range(256))
@@ -212,7 +212,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "te
     is indexed in overlapping pieces. Either table may be empty."""
     rest = [c for c in docs.columns if c not in (*own, text)]
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"),
-                             F.coalesce(F.col("text"), F.lit("")).alias("text"))
+                             F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -225,8 +225,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "te
         items = saved(items, "items")
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        phrases = docs.sparkSession.sparkContext.broadcast(
-            Phrases.of(((r.item, r.text.encode()) for r in part.collect()), width))
+        phrases = shared(docs.sparkSession, Phrases.of(((r.item, r.text.encode()) for r in part.collect()), width))
         out = out.mapInArrow(_search(phrases, len(rest), schema.names, width, shard_words), schema)
         if blocks > 1:  # one block's index and workers at a time
             out = saved(out, "searched")
@@ -252,7 +251,7 @@ def _search(broadcast, rest: int, names: list, width: int, shard_words: int):
         import numpy as np
         import pyarrow as pa
 
-        phrases = broadcast.value
+        phrases = unshared(broadcast)
         get = phrases.vocabulary.get
         for batch in batches:
             texts = batch.column(rest + 3)
