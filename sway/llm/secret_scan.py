@@ -134,6 +134,28 @@ def ordinary(docs: DataFrame, text: str, shortest: int) -> DataFrame:
     return by_pair.join(by_symbol, "encoding")
 
 
+#: fixed values: letters of English prose, in percent, from a to z
+LETTER_SHARES = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4,
+                 0.15, 2.0, 0.07)
+
+
+def prior(spark) -> DataFrame:
+    """What ``ordinary`` returns, for text of which nothing is known: letters as in prose, a
+    twentieth of them in upper case where there are two cases, few other symbols, and
+    neighbours that don't depend on each other."""
+    rows = []
+    for name, alphabet, *_ in ENCODINGS:
+        k, cases = len(alphabet), any("a" <= c <= "z" for c in alphabet)
+        shares = [LETTER_SHARES[ord(c.lower()) - 97] / (20 if cases and c.isupper() else 1) if c.isalpha() else 0.5 for c in alphabet]
+        shares = [q / sum(shares) for q in shares]
+        centred = [i - (k - 1) / 2 for i in range(k)]
+        var, low = (k * k - 1) / 12, sum(q for i, q in enumerate(shares) if i * 2 < k)
+        r1 = sum(q * x for q, x in zip(shares, centred)) ** 2 / var
+        r2 = (sum(q * x * x for q, x in zip(shares, centred)) / var) ** 2
+        rows.append((name, 2 * low * (1 - low), r1, r2, *(sum(q ** e for q in shares) for e in (2, 3))))
+    return spark.createDataFrame(rows, "encoding string, w double, r1 double, r2 double, s2 double, s3 double")
+
+
 def _minus_log_tail(z) -> F.Column:
     """-ln of the upper tail of the normal distribution: a closed form that is
     right to about one percent (1.98 and 1.135 are its constants)."""
@@ -145,7 +167,7 @@ def _minus_log_tail(z) -> F.Column:
 def battery(runs: DataFrame, null: DataFrame) -> DataFrame:
     """``runs`` with a column ``run``, plus ``encoding``, ``length_class`` (power of
     two) and ``bin`` (-20 log10 of the combined p-value, rounded down). ``null`` is
-    what ``ordinary`` returns; runs of an encoding that it doesn't know are left out."""
+    what ``ordinary`` returns; an encoding that it doesn't know is judged by ``prior``."""
     plain = _plain(F.col("run"))
     encoding, number = F.lit(None).cast("string"), F.lit(None).cast("array<int>")
     for name, alphabet, pattern, fold in reversed(ENCODINGS):
@@ -158,7 +180,8 @@ def battery(runs: DataFrame, null: DataFrame) -> DataFrame:
     rows = runs.withColumn("plain", plain).where(F.length("plain") > 2).withColumn("encoding", encoding)
     rows = rows.withColumn("codes", number).withColumn("k", sizes[F.col("encoding")])
     # one row an encoding
-    rows = rows.join(F.broadcast(null), "encoding")
+    unknown = prior(runs.sparkSession).join(F.broadcast(null), "encoding", "left_anti")
+    rows = rows.join(F.broadcast(null.unionByName(unknown)), "encoding")
     codes, k = F.col("codes"), F.col("k")
     n = F.size(codes).cast("double")
     counts = F.transform(F.sequence(F.lit(0), k - 1), lambda s: F.size(F.filter(codes, lambda c: c == s)))

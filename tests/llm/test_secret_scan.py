@@ -121,3 +121,18 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert "Python" not in scan(docs)._jdf.queryExecution().toString()
     assert "Python" not in ordinary(docs.select(F.col("text")), "text", 20)._jdf.queryExecution().toString()
+
+
+def test_a_secret_is_found_whatever_the_table_holds(spark):
+    import random
+    import string
+
+    from sway.llm.secret_scan import listed, scan
+
+    rng = random.Random(11)
+    key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(64))
+    alone = spark.createDataFrame([(1, f"the word {key} x"), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in scan(alone).select("doc_id", listed("spans").alias("spans")).collect()}
+    assert got == {1: "random:9:73", 2: "", 3: ""}
+    words = spark.createDataFrame([(1, "antidisestablishmentarianism " * 3)], "doc_id long, text string")
+    assert scan(words).select(listed("spans").alias("spans")).first().spans == ""
