@@ -163,7 +163,9 @@ def train(docs: DataFrame, sample: int = 2400, windows: int = 5, text: str = "te
     # many long documents' windows stay small: only the cuts reach the driver
     cuts = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.substring(
         F.col(text), (i * F.length(text) / windows).cast("int") + 1, F.lit(WINDOW)))
-    rows = (known.where(hashed_unit(F.col(key), F.col(text)) < share[F.col(lang)]).limit(sample)
+    place = hashed_unit(F.col(key), F.col(text))
+    # the smallest hashes, wherever their rows lie
+    rows = (known.where(place < share[F.col(lang)]).withColumn("__place", place).orderBy("__place").limit(sample)
             .select(lang, F.array_distinct(cuts).alias("cuts"), F.xxhash64(key, text).alias("at")).collect())
     place = {k: i for i, k in enumerate(model.labels)}
     pairs = [(cut(c, model.window), place[r[0]]) for r in sorted(rows, key=lambda r: (r["at"], r[0])) for c in r["cuts"] if c]

@@ -6,8 +6,8 @@ read as a lattice: each character may stand for itself, for the letters it
 imitates, for nothing, or, between spaced letters, for a space. Viterbi decoding
 finds the reading that channel and character model like best; words that hide
 nothing have one reading and are taken as they are. A word with a letter twice in a
-row counts both as it is and as decoded; so do the parts of a token of more than
-``LONG`` characters, which may be a text without white space.
+row counts both as it is and as decoded; so do the parts of a token, which may be
+words without white space between them.
 
 The restored words are scored by features, the word and its beginnings, whose
 weights are learned from a bounded sample of labelled documents: one half finds
@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sway.llm.common import byte_texts, hashed_unit
+from sway.llm.common import byte_texts, hashed_unit, saved, shared, unshared
 
 #: classes of the character model: a-z, any other letter, no letter
 OTHER, EDGE, CLASSES = 26, 27, 28
@@ -35,8 +35,8 @@ AS_READ, DROPPED, DROPPED_READABLE, REPEATED, SPACE_KEPT, SPACE_DROPPED = -1.0,
 SPACED = re.compile(r"(?<!\S)(?:\S(?:\s++|[.\-_*])){2,}\S(?!\S)")
 TWICE, THRICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 LETTERS = re.compile(r"[^\W\d_]+")
-#: characters of a token above which its parts are read too, and what they consist of
-LONG, PART = 200, re.compile(r"[a-z0-9@$!|+(€£]+")
+#: what the parts of a token consist of
+PART = re.compile(r"[a-z0-9@$!|+(€£]+")
 ENDING = re.compile(r"""[.,;:?"')\]}*#%&!-]+$|([$@!+*#%&])\1+$""")
 BEGINNING = re.compile(r"""^[.,;:?"'(\[{*#%&-]+""")
 
@@ -127,10 +127,13 @@ def restored(token: str, model: list[float]) -> tuple[str, ...]:
     words = LETTERS.findall(decode(bare, model))
     if bare.isalpha() and not THRICE.search(bare):
         words.append(bare)
-    if len(bare) > LONG:
-        words += LETTERS.findall(bare)
-        for part in set(PART.findall(bare)):
-            words += LETTERS.findall(decode(part, model))
+    # what hides a word may split it into short runs of letters: longer ones are words too,
+    # and what stands between other signs is read by itself
+    if not bare.isalpha():
+        words += [w for w in LETTERS.findall(bare) if len(w) > 3]
+        for part in set(PART.findall(bare)) - {bare}:
+            if len(part) > 2:
+                words += [part] if part.isalpha() and not TWICE.search(part) else LETTERS.findall(decode(part, model))
     return tuple(dict.fromkeys(words))
 
 
@@ -227,8 +230,11 @@ def train(docs: DataFrame, labels: DataFrame, every: DataFrame, sample: int = 60
         return scorer
     rate = {k: min(1.0, sample / 2 / n) for k, n in sizes.items()}
     part = hashed_unit(F.lit("half"), F.col("key"), F.col("text")) < 0.5
-    chosen = (known.where(hashed_unit(F.col("key"), F.col("text")) < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
-              .select("text", "toxic", part.alias("first")).limit(2 * sample))
+    place = hashed_unit(F.col("key"), F.col("text"))
+    # the smallest hashes, wherever their rows lie; bounded, so read from one table from here on
+    chosen = (known.where(place < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
+              .select("text", "toxic", part.alias("first"), place.alias("place")).orderBy("place").limit(2 * sample))
+    chosen = saved(chosen.drop("place"), "sample")
     model = scorer.model
 
     def spread(batches):
@@ -279,12 +285,12 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text", name: str = "scor
     without evidence; equal texts score alike; whole texts are read."""
     rest = [c for c in docs.columns if c not in (text, name)]
     schema = docs.select(*rest).withColumn(name, F.lit(0.0)).schema
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # the character model and the features: bounded
+    model = shared(docs.sparkSession, scorer)  # the character model and the features: bounded
 
     def run(batches):
         import pyarrow as pa
 
-        mine, seen = shared.value, {}
+        mine, seen = unshared(model), {}
         for batch in batches:
             texts = (t.decode() if t else t for t in byte_texts(batch.column(len(rest))))
             scores = [mine.score(mine.evidence(t, seen)) for t in texts]

@@ -116,3 +116,8 @@ def test_every_token_is_decoded(text, word):
     model = np.log(counts / counts.sum(axis=1, keepdims=True)).reshape(-1).tolist()
     assert word in toxicity.words_of(text.upper(), model, {})
     assert Scorer(model, {f"={word}": 1.0}).evidence(text, {})[1] == 1.0
+
+
+def test_parts_are_read_at_every_length(model):
+    for n in (1, 10, 11, 12, 200):
+        assert {"water", "idiot", "house"} <= set(restored(",".join(["water", "1d10t", "house"] * n), model))
