@@ -8,15 +8,17 @@ Patterns are spelled out here once more.
 
 from __future__ import annotations
 
-# the answer grammar, spelled out in RE2 form
+# The answer grammar. As in the constants of the library but for what RE2 needs:
+# white space is written out, for \s lacks the vertical tab there, and a dot that stays on
+# its line is written as [^\n], for DuckDB's dot does not.
 ANSWER = "The correct answer is"
 NUMBER = "####"
-CHOICE_TAIL = "[:]?[ \\t\\n\\r\\f\\v]+([A-Z])[:]?"
-CHOICE_HEAD = "^([A-Z])[:]"
-SPAN_TAIL = "(?:[^A-Za-z0-9]+)?[ \\t\\n\\r\\f\\v]*([^\\n]+?)(?:[.]|$)"
-NUMBER_TAIL = "[^\\n]*?([-+]?[0-9]+(?:[,.][0-9]+)?|[.][0-9]+)"
-NUMBER_TAIL_DOT = "[^\\n]*?([-+]?[0-9]+(?:[.][0-9]+)?|[.][0-9]+)"
-OPTION = "[A-Z][:] [^,.]+"
+CHOICE_TAIL = ":?[ \\t\\n\\r\\f\\v]+([A-Z]):?"
+CHOICE_HEAD = "^([A-Z]):"
+SPAN_TAIL = "(?:[^A-Za-z0-9]+)?[ \\t\\n\\r\\f\\v]*([^\\n]+?)(?:\\.|$)"
+NUMBER_TAIL = "[^\\n]*?([+-]?\\d+(?:[,\\.]\\d+)?|\\.\\d+)"
+NUMBER_TAIL_DOT = "[^\\n]*?([+-]?\\d+(?:[.\\.]\\d+)?|\\.\\d+)"
+OPTION = "[A-Z]: [^,.]+"
 
 
 def lit(s: str) -> str:
