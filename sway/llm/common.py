@@ -35,6 +35,17 @@ def numbered(df: DataFrame, name: str, row: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A name like each of ``names`` that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared(spark: SparkSession, value):
     """A broadcast of ``value``, pickled with the classes of this package, so that workers
     need no copy of it; ``unshared`` reads it in a task."""

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sway.llm.common import numbered, saved
+from sway.llm.common import fresh, numbered, saved
 
 #: (time, weight) points from time 0 to time 1; rising, level and falling in turn
 SCHEDULES = (((0.0, 2.0), (0.5, 1.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.6, 0.5), (1.0, 3.0)))
@@ -116,12 +116,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, i
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken,
-    range-sorted by training position. Same columns as ``docs``. The rows are numbered
-    and written once."""
-    columns = docs.columns
-    docs = numbered(docs, "rows", "__row")
-    plan = mix(docs, row="__row", **options).where(F.size("positions") > 0).select(
-        F.col("row").alias("__row"), F.col("positions").alias("__positions"))
-    rows = docs.join(plan, "__row")
-    return (rows.select(*columns, "__row", F.explode("__positions").alias("__position"))
-            .orderBy("__position", "__row").drop("__position", "__row"))
+    range-sorted by training position. Same columns as ``docs``, whatever their names. The
+    rows are numbered and written once."""
+    columns, (row, places, place) = docs.columns, fresh(docs, "__row", "__positions", "__position")
+    docs = numbered(docs, "rows", row)
+    plan = mix(docs, row=row, **options).where(F.size("positions") > 0).select(
+        F.col("row").alias(row), F.col("positions").alias(places))
+    rows = docs.join(plan, row)
+    return rows.select(*columns, row, F.explode(places).alias(place)).orderBy(place, row).select(*columns)

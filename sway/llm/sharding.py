@@ -14,6 +14,8 @@ from hashlib import md5
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sway.llm.common import fresh
+
 #: a table beyond this many slots isn't broadcast
 LARGEST_TABLE = 1 << 20
 
@@ -68,8 +70,9 @@ def place(docs: DataFrame, shards: Sequence[str], slots: int = 6553, key: str =
     Equal keys, repeated rows too, go to one shard. An empty table stays empty."""
     if slots > LARGEST_TABLE:
         raise ValueError(f"at most {LARGEST_TABLE} slots")
-    table = lookup_table(docs.sparkSession, shards, slots).select(F.col("slot").cast("long").alias("__slot"),
-                                                                  F.col("shard").alias("__shard"))
+    own, owner = fresh(docs, "__slot", "__shard")
+    table = lookup_table(docs.sparkSession, shards, slots).select(F.col("slot").cast("long").alias(own),
+                                                                  F.col("shard").alias(owner))
     rest = [F.col(c) for c in docs.columns if c not in (slot, shard)]
-    placed = docs.withColumn("__slot", slot_of(F.col(key), F.col(text), slots)).join(F.broadcast(table), "__slot")
-    return placed.select(*rest, F.col("__slot").alias(slot), F.col("__shard").alias(shard))
+    placed = docs.withColumn(own, slot_of(F.col(key), F.col(text), slots)).join(F.broadcast(table), own)
+    return placed.select(*rest, F.col(own).alias(slot), F.col(owner).alias(shard))

@@ -21,7 +21,7 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sway.llm.common import byte_texts, components, numbered, saved
+from sway.llm.common import byte_texts, components, fresh, numbered, saved
 
 QUARTERS = 4
 
@@ -157,8 +157,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, key:
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str = "doc_id",
                   text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component, all columns. They are
-    numbered and written once."""
-    docs = numbered(docs, "rows", "__row")
-    stays = simhash_components(docs, shingle, radius, key, text, "__row").where("stays").select(F.col("row").alias("__row"))
-    return docs.join(stays, "__row", "left_semi").drop("__row")
+    """The rows of ``docs`` that stay, one of each component, all columns, whatever their
+    names. They are numbered and written once."""
+    columns, (row,) = docs.columns, fresh(docs, "__row")
+    docs = numbered(docs, "rows", row)
+    stays = simhash_components(docs, shingle, radius, key, text, row).where("stays").select(F.col("row").alias(row))
+    return docs.join(stays, row, "left_semi").select(*columns)
