@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sway.llm import decontam, langid, mixing, sharding, simhash
-from sway.llm.common import saved
+from sway.llm.common import fresh, saved
 
 #: shards of the last stage, and slots of its lookup table
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -22,8 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     has no letter go. Which label the network gives, and its score, has no effect on
     what stays; if nothing could be learned, no document has a language."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"), 4, 2)))
-    found = langid.identify(docs, model, label="__lang", score="__score", keep_text=True)
-    return found.where(F.col("__lang") != langid.UNKNOWN).select(*docs.columns)
+    label, score = fresh(docs, "__lang", "__score")
+    found = langid.identify(docs, model, label=label, score=score, keep_text=True)
+    return found.where(F.col(label) != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +36,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Passages of the benchmark are cut from the texts. A document goes if more
     of its words are cut than stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontam.find(docs, benchmark, width=10, clean=True, own=("__words", "__spans", "__items"))
-    cut = decontam.n_hit(F.col("__spans"))
-    found = found.where(cut * 2 <= F.col("__words"))
+    words, spans, items = fresh(docs, "__words", "__spans", "__items")
+    found = decontam.find(docs, benchmark, width=10, clean=True, own=(words, spans, items))
+    cut = decontam.n_hit(F.col(spans))
+    found = found.where(cut * 2 <= F.col(words))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(
+        found = found.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(
             docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)
 
