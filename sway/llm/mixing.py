@@ -8,8 +8,10 @@ Its integral, scaled to the target, is the source's cumulative demand; a copy
 stands at the time at which the demand reaches the middle of its words.
 
 The running sum of a source's words is split by ranges of the hashed order, so
-no task holds a whole source: sums of ranges, a prefix sum over at most
-``ranges`` of them for each source, and a window inside each range."""
+no task holds a whole source: sums of ranges, a prefix sum over them for each
+source, and a window inside each range. The ranges hold about equally many rows
+and their number follows from that of all rows; rows that share a key, or have
+none, are told apart by size and row, so they spread over ranges too."""
 
 from __future__ import annotations
 
@@ -23,6 +25,8 @@ from sway.llm.common import fresh, numbered, saved
 #: (time, weight) points from time 0 to time 1; rising, level and falling in turn
 SCHEDULES = (((0.0, 2.0), (0.5, 1.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.6, 0.5), (1.0, 3.0)))
 WORD = r"[^\x20\x09-\x0D]+"
+#: the hashed order goes by a remainder of the hash first, then by the hash
+BUCKETS = 4096
 
 
 def targets(sizes: DataFrame, weights: Sequence[int], share: tuple[int, int], cap: int) -> DataFrame:
@@ -67,8 +71,15 @@ def time_of(part, schedule) -> F.Column:
     return F.least(F.lit(1.0), F.coalesce(out, F.lit(1.0)))
 
 
+def ranged(rows: DataFrame, order: Sequence[str], range_rows: int) -> DataFrame:
+    """``rows`` with ``range``: the number, ascending with ``order``, of a stretch
+    of about ``range_rows`` rows. Written, so that the stretches stay as they are."""
+    ranges = rows.count() // range_rows + 1
+    return saved(rows.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "ranges")
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2,
-        schedules=SCHEDULES, ranges: int = 4096, key: str = "doc_id", text: str = "text",
+        schedules=SCHEDULES, range_rows: int = 1 << 18, key: str = "doc_id", text: str = "text",
         source: str = "source", row: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: ``key``, ``row`` (its number: the column
     named by ``row``, or else that of the one scan), ``size`` (words), ``source_size``, ``target`` (of its source),
@@ -86,16 +97,17 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, i
     place = F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")))
     # "s" and the name, or "": a join key that holds null sources too
     rows = rows.select("*", place.alias("place"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("origin"),
-                       (F.conv(F.substring(place, 1, 8), 16, 10).cast("long") % ranges).cast("int").alias("range"))
-    rows = saved(rows, "sizes")
-    sums = saved(rows.groupBy("origin", "source", "range").agg(F.sum("size").alias("words")), "ranges")
+                       (F.conv(F.substring(place, 1, 8), 16, 10).cast("long") % BUCKETS).cast("int").alias("bucket"))
+    order = ["bucket", "place", "key", "size", "row"]
+    rows = ranged(saved(rows, "sizes"), ["origin", *order], range_rows)
+    sums = saved(rows.groupBy("origin", "source", "range").agg(F.sum("size").alias("words")), "sums")
     wanted = targets(sums.groupBy("origin", "source").agg(F.sum("words").alias("source_size"))
                      .select("source", "source_size"), weights, share, cap)
     wanted = wanted.withColumn("origin", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")
     before = Window.partitionBy("origin").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0)))
     offsets = offsets.drop("source", "words").join(wanted, "origin")
-    inside = (Window.partitionBy("origin", "range").orderBy("place", "key", "size", "row")
+    inside = (Window.partitionBy("origin", "range").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
     out = rows.join(offsets, ["origin", "range"]).withColumn(
         "start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))

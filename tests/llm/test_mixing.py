@@ -3,7 +3,9 @@ from hashlib import md5
 
 import pytest
 
-from sway.llm.mixing import SCHEDULES, mix, mixed, time_of
+from pyspark.sql import functions as F
+
+from sway.llm.mixing import SCHEDULES, mix, mixed, ranged, time_of
 
 
 def brute_targets(sizes):
@@ -93,3 +95,20 @@ def test_time_inverts_the_integral(spark, schedule):
     whole = integral(1.0)
     for r in spark.range(0, 11).select((F.col("id") / 10).alias("x")).withColumn("t", time_of(F.col("x"), schedule)).collect():
         assert integral(r.t) / whole == pytest.approx(r.x, abs=1e-4)
+
+
+def test_a_hot_key_spreads_over_ranges(spark, tmp_path):
+    docs = spark.range(6000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS doc_id",
+        "repeat('w ', cast(id % 11 AS int)) AS text", "'hot' AS source")
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    order = ["doc_id", "text", "row"]
+    rows = ranged(docs.withColumn("row", F.monotonically_increasing_id()), order, 500)
+    counts = [r["count"] for r in rows.groupBy("range").count().collect()]
+    assert sum(counts) == 6000 and len(counts) >= 10 and max(counts) <= 1500
+    # range by range, the order goes on
+    got = [tuple(r) for r in rows.orderBy("range", *order).select(*order).collect()]
+    assert got == [tuple(r) for r in rows.orderBy(*order).select(*order).collect()]
+    one = sorted(map(str, mix(docs, range_rows=10 ** 9).collect()))
+    assert sorted(map(str, mix(docs, range_rows=500).collect())) == one
