@@ -151,11 +151,13 @@ def train(docs: DataFrame, sample: int = 2400, windows: int = 5, text: str = "te
           key: str = "doc_id", **options) -> ByteCNN:
     """Fit the network on at most ``sample`` labelled rows of ``docs``, spread
     evenly over the languages and chosen by a hash, ``windows`` evenly spaced
-    windows of each. Null languages and texts are left out."""
+    windows of each. Null languages and texts are left out; rows with the same key,
+    text and language count once, so copies crowd nothing out."""
     import numpy as np
 
     known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
-    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().orderBy(lang).limit(sample).collect()}
+    place = hashed_unit(F.col(key), F.col(text))
+    sizes = {r[0]: r[1] for r in known.groupBy(lang).agg(F.count_distinct(place)).orderBy(lang).limit(sample).collect()}
     model = ByteCNN(sorted(sizes), **options)
     if not sizes:
         return model
@@ -163,10 +165,11 @@ def train(docs: DataFrame, sample: int = 2400, windows: int = 5, text: str = "te
     # many long documents' windows stay small: only the cuts reach the driver
     cuts = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.substring(
         F.col(text), (i * F.length(text) / windows).cast("int") + 1, F.lit(WINDOW)))
-    place = hashed_unit(F.col(key), F.col(text))
     # the smallest hashes, wherever their rows lie
-    rows = (known.where(place < share[F.col(lang)]).withColumn("__place", place).orderBy("__place").limit(sample)
-            .select(lang, F.array_distinct(cuts).alias("cuts"), F.xxhash64(key, text).alias("at")).collect())
+    rows = (known.where(place < share[F.col(lang)])
+            .select(F.col(lang).alias("lang"), F.array_distinct(cuts).alias("cuts"), F.xxhash64(key, text).alias("at"),
+                    place.alias("place")).dropDuplicates(["lang", "place"])
+            .orderBy("place", "lang").limit(sample).select("lang", "cuts", "at").collect())
     place = {k: i for i, k in enumerate(model.labels)}
     pairs = [(cut(c, model.window), place[r[0]]) for r in sorted(rows, key=lambda r: (r["at"], r[0])) for c in r["cuts"] if c]
     data = np.frombuffer(b"".join(p[0] for p in pairs), np.uint8).reshape(-1, model.window)

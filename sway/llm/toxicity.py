@@ -215,14 +215,16 @@ def train(docs: DataFrame, labels: DataFrame, every: DataFrame, sample: int = 60
     them, half of each label, chosen by a hash. ``every`` is what the character model
     is counted over. ``most`` features are kept, those whose log-likelihood ratio is
     ``least`` or more. A document with several labels is toxic if one says so;
-    without documents of both labels all scores are the share of toxic ones."""
+    rows with the same key and text count once, so copies crowd nothing out; without
+    documents of both labels all scores are the share of toxic ones."""
     marks = (labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
              .groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("toxic")))
     # 16 bytes a label; beyond the bound the join shuffles
     marks = F.broadcast(marks) if marks.count() <= broadcast_rows else marks
     known = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(marks, "key")
     scorer = Scorer(character_model(every, text))
-    sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    place = hashed_unit(F.col("key"), F.col("text"))
+    sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count_distinct(place).alias("n")).collect()}
     total = sum(sizes.values())
     share = sizes.get(1, 0) / total if total else 0.0
     if len(sizes) < 2:
@@ -230,10 +232,10 @@ def train(docs: DataFrame, labels: DataFrame, every: DataFrame, sample: int = 60
         return scorer
     rate = {k: min(1.0, sample / 2 / n) for k, n in sizes.items()}
     part = hashed_unit(F.lit("half"), F.col("key"), F.col("text")) < 0.5
-    place = hashed_unit(F.col("key"), F.col("text"))
     # the smallest hashes, wherever their rows lie; bounded, so read from one table from here on
     chosen = (known.where(place < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
-              .select("text", "toxic", part.alias("first"), place.alias("place")).orderBy("place").limit(2 * sample))
+              .select("text", "toxic", part.alias("first"), place.alias("place"))
+              .dropDuplicates(["place"]).orderBy("place").limit(2 * sample))
     chosen = saved(chosen.drop("place"), "sample")
     model = scorer.model
 

@@ -68,3 +68,41 @@ def test_gradients():
             down = loss()
             flat[i] = keep
             assert (up - down) / (2 * eps) == pytest.approx(grads[name].reshape(-1)[i], abs=5e-3)
+
+
+def test_scores_are_those_of_a_plain_convolution():
+    model = ByteCNN(["a", "b", "c"], window=24, embedding=3, filters=4)
+    model.start(seed=2)
+    w = model.weights
+    draw = np.random.default_rng(5)
+    for k in model.widths:
+        w[f"b{k}"] = draw.standard_normal(model.filters).astype(np.float32)
+
+    def window_probabilities(window):
+        hidden = []
+        for k in model.widths:
+            for f in range(model.filters):
+                hidden.append(max(0.0, w[f"b{k}"][f] + max(
+                    sum(float(w["embed"][window[at + j], e]) * float(w[f"w{k}"][j * model.embedding + e, f])
+                        for j in range(k) for e in range(model.embedding))
+                    for at in range(model.window - k + 1))))
+        logits = [sum(h * float(w["out"][i, c]) for i, h in enumerate(hidden)) + float(w["out_bias"][c]) for c in range(3)]
+        parts = [np.exp(x - max(logits)) for x in logits]
+        return [x / sum(parts) for x in parts]
+
+    texts = [bytes(draw.integers(1, 256, n, dtype=np.uint8)) for n in (1, 23, 24, 25, 100, 24 * 70 + 5)]
+    got = model.document_probabilities(texts)
+    for text, found in zip(texts, got):
+        padded = [text[i:i + 24].ljust(24, b"\0") for i in range(0, len(text), 24)]
+        held = [sum(b != 0 for b in x) for x in padded]
+        each = [window_probabilities(x) for x in padded]
+        want = [sum(p[c] * n for p, n in zip(each, held)) / sum(held) for c in range(3)]
+        assert found == pytest.approx(want, abs=1e-5)
+
+
+def test_repeated_rows_are_learned_like_others(spark):
+    rows = [(i % 5, "der und die das ist" if i % 2 else "the and of that is", "de" if i % 2 else "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs, sample=100)
+    got = {r.text: r.lang_pred for r in identify(docs.withColumn("again", F.col("text")), model, text="again").collect()}
+    assert got == {"der und die das ist": "de", "the and of that is": "en"}

@@ -121,3 +121,38 @@ def test_every_token_is_decoded(text, word):
 def test_parts_are_read_at_every_length(model):
     for n in (1, 10, 11, 12, 200):
         assert {"water", "idiot", "house"} <= set(restored(",".join(["water", "1d10t", "house"] * n), model))
+
+
+def test_scores_against_a_plain_reading(spark, model):
+    weights = {"=idiot": 3.0, "idi": 1.0, "=stupid": 2.0, "stup": 2.5, "loser": 4.0, "=house": -1.0}
+    scorer = Scorer(model, weights, [-4.0, 1.0, 0.5, 0.25])
+    texts = [None, "", "the house", "an 1d10t", "1d10t idiot IDIOT", "you $tup1d l0$ers, idiots", "s t u p i d idiot",
+             "losers stupidity idiocy " * 500, "42 !!"]
+    meant = [[], [], [], ["idiot"], ["idiot"], ["stupid", "losers", "idiots"], ["stupid", "idiot"],
+             ["losers", "stupidity", "idiocy"], []]
+
+    def probability(words):
+        found = []
+        for word in words:
+            parts = [f"={word}"] + [word[:n] for n in (3, 4, 5, 6, 7, 8) if n <= len(word)]
+            best = max(weights.get(p, 0.0) for p in parts)
+            found += [best] if best > 0 else []
+        found = sorted(found, reverse=True)
+        first, second = (found + [0.0, 0.0])[:2]
+        return 1 / (1 + np.exp(-(-4.0 + first + 0.5 * second + 0.25 * np.log(1 + len(found)))))
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score(docs, scorer).collect()}
+    for i, words in enumerate(meant):
+        assert got[i] == pytest.approx(probability(words)), texts[i]
+
+
+def test_copies_crowd_nothing_out(spark):
+    # five texts of each label; one of them makes up most rows
+    toxic = [(k, f"you idiot number {'abcde'[k]}", 1) for k in range(5)]
+    clean = [(k + 5, f"the water number {'abcde'[k]}", 0) for k in range(5)]
+    docs = spark.createDataFrame([r[:2] for r in toxic + clean + [toxic[0]] * 600 + [clean[0]] * 900], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in toxic + clean], "doc_id long, toxic int")
+    few = train(docs.distinct(), labels, every=docs, sample=40, least=0.5)
+    many = train(docs, labels, every=docs, sample=40, least=0.5)
+    assert many.weights == few.weights and many.line == pytest.approx(few.line)
