@@ -50,11 +50,14 @@ SPECIAL_TOKEN_RE = r"(<\|[a-z_]+\|>)"
 
 
 # ----------------------------------------------------------------- tokenise
-def whitespace_tokens(text: ColumnOrName) -> Column:
+def whitespace_tokens(text: ColumnOrName, most: Optional[int] = None) -> Column:
     """Default tokenizer: special tokens stand alone, everything else splits on
-    Unicode whitespace; empty pieces are dropped."""
+    Unicode whitespace; empty pieces are dropped. With ``most`` the first so many."""
     spaced = F.regexp_replace(col(text), SPECIAL_TOKEN_RE, " $1 ")
-    return F.filter(F.split(spaced, r"(?U)\s+"), lambda t: t != F.lit(""))
+    # an empty piece before the first token, and what is left after the last one needed
+    pieces = F.split(spaced, r"(?U)\s+", -1 if most is None else most + 2)
+    tokens = F.filter(pieces, lambda t: t != F.lit(""))
+    return tokens if most is None else F.slice(tokens, 1, most)
 
 
 Tokenizer = Callable[[list[str]], list[list[int]]]
@@ -78,9 +81,11 @@ def tokenize(df: DataFrame, text_col: str = "text", max_len: Optional[int] = MAX
     (no padding). ``formatting_func`` (K6) maps the DataFrame to the text
     Column to tokenise instead of ``text_col``."""
     text = formatting_func(df) if formatting_func is not None else F.col(text_col)
-    ids = tokenizer_udf(tokenizer)(text) if tokenizer is not None else whitespace_tokens(text)
-    if max_len is not None:
-        ids = F.slice(ids, 1, max_len)
+    if tokenizer is None:
+        ids = whitespace_tokens(text, max_len)
+    else:
+        ids = tokenizer_udf(tokenizer)(text)
+        ids = ids if max_len is None else F.slice(ids, 1, max_len)
     return df.withColumn(out, ids).withColumn("attention_mask", F.array_repeat(F.lit(1), F.size(F.col(out))))
 
 

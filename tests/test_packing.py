@@ -70,6 +70,15 @@ def test_tokenize_truncates_and_masks(spark):
     assert r.input_ids == ["a", "b", "c", "d", "<|eot_id|>"] and r.attention_mask == [1] * 5
 
 
+def test_first_tokens_are_those_of_the_whole_text(spark):
+    texts = ["", "  ", "a", " a b c ", "a b c d e", "\n<|end|>a<|end|> <|x|>b  c", "<|a|><|b|><|c|><|d|>", None, "w\u3000x y z"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = PK.whitespace_tokens("text")
+    for most in (0, 1, 2, 3, 9):
+        rows = df.select(PK.whitespace_tokens("text", most).alias("some"), F.slice(whole, 1, most).alias("want")).collect()
+        assert all(r.some == r.want for r in rows)
+
+
 def test_custom_tokenizer_via_arrow(spark):
     df = spark.createDataFrame([("abc",), ("hello",)], "text string")
     out = PK.tokenize(df, "text", max_len=3, tokenizer=lambda texts: [[ord(c) for c in t] for t in texts]).collect()
