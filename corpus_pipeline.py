@@ -19,12 +19,13 @@ SLOTS = 6553
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an identified language stay; those whose text is null or
-    has no letter go. Which label the network gives, and its score, has no effect on
-    what stays; if nothing could be learned, no document has a language."""
+    has no letter go. A document without a language gets the one found; a given one
+    stays. If nothing could be learned, no document has a language."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"), 4, 2)))
     label, score = fresh(docs, "__lang", "__score")
     found = langid.identify(docs, model, label=label, score=score, keep_text=True)
-    return found.where(F.col(label) != langid.UNKNOWN).select(*docs.columns)
+    found = found.where(F.col(label) != langid.UNKNOWN).withColumn("lang", F.coalesce("lang", label))
+    return found.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
