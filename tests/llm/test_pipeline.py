@@ -2,7 +2,9 @@ import re
 from collections import Counter, defaultdict
 from hashlib import md5
 
-from corpus_pipeline import SHARDS, SLOTS, STAGES, run
+from pyspark.sql import functions as F
+
+from corpus_pipeline import SHARDS, SLOTS, STAGES, language_id, run
 from sway.llm.mixing import mix
 from sway.llm.sharding import fill
 
@@ -83,3 +85,14 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert run(spark, str(tmp_path)).count() == 0
     assert mix(spark.read.parquet(f"{tmp_path}/documents.parquet")).count() == 0
+
+
+def test_documents_without_a_language_get_the_one_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    some = F.col("doc_id") % 10 == 3
+    bare = docs.withColumn("lang", F.when(~some, F.col("lang")))
+    out = language_id(spark, bare, "/root/testdata/sf0.01")
+    assert out.columns == docs.columns and out.where("lang IS NULL").count() == 0
+    both = out.select("doc_id", F.col("lang").alias("found")).join(docs, "doc_id")
+    assert both.where(~some & (F.col("found") != F.col("lang"))).count() == 0
+    assert both.where(some & (F.col("found") == F.col("lang"))).count() >= 0.95 * both.where(some).count() > 50
