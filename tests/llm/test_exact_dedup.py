@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from sway.llm import exact_dedup as module
 from sway.llm.exact_dedup import exact_dedup
 
 
@@ -56,3 +58,41 @@ def test_single_file_and_empty_table(spark, tmp_path):
     assert got == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True)}
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none"))
     assert exact_dedup(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_state_that_is_not_there_is_an_error(spark, tmp_path, monkeypatch):
+    write(spark, str(tmp_path / "docs"))
+
+    def gone(spark, *args):
+        return spark.read.parquet(str(tmp_path / "no state"))
+
+    monkeypatch.setattr(module, "digest_state", gone)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        exact_dedup(spark, str(tmp_path / "docs"))
+
+
+def test_a_stream_that_missed_rows_is_an_error(spark, tmp_path, monkeypatch):
+    write(spark, str(tmp_path / "docs"))
+    whole = module.digest_state
+
+    def short(*args):
+        return whole(*args).where("stays.key is null or stays.key <> 104")
+
+    def none(*args):
+        return whole(*args).limit(0)
+
+    def other(*args):
+        return whole(*args).withColumn("digest", F.when(F.col("copies") == 1, F.lit(b"x")).otherwise(F.col("digest")))
+
+    def elsewhere(*args):
+        return whole(*args).withColumn("stays", F.col("stays").withField("line", F.col("stays.line") + 1000))
+
+    for wrong in (short, none, other, elsewhere):
+        monkeypatch.setattr(module, "digest_state", wrong)
+        with pytest.raises(Exception, match="the state|not in the state"):
+            exact_dedup(spark, str(tmp_path / "docs")).collect()
+
+
+def test_a_pattern_is_streamed(spark, tmp_path):
+    write(spark, str(tmp_path / "docs"))
+    check(exact_dedup(spark, str(tmp_path / "doc[s]")).collect())
