@@ -190,52 +190,89 @@ _PROBLEMS = ((0, 0, 1), (1, 0, 0), (2, 1, 1))
 _SUMS = "id bigint, problem int, axis int, block int, top array<double>, total array<double>"
 
 
+#: floats of sums that a task holds before it passes them on
+_HELD_SUMS = 1 << 17
+
+
+def _arrays(column):
+    """The rows of an Arrow column of lists of doubles, as views of its buffer."""
+    at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    for a, b in zip(at[:-1], at[1:]):
+        yield values[a:b]
+
+
+def _clouds(column):
+    """The rows of an Arrow column of lists of equally long vectors, as views (points, dimensions)."""
+    at, ends = column.offsets.to_numpy(), column.values.offsets.to_numpy()
+    values = column.values.values.to_numpy(zero_copy_only=False)
+    for a, b in zip(at[:-1], at[1:]):
+        dims = np.diff(ends[a:b + 1])
+        if (dims != dims[0]).any():
+            raise ValueError("vectors of one cloud differ in length")
+        yield values[ends[a]:ends[b]].reshape(b - a, dims[0])
+
+
+def _sums_batch(rows):
+    import pyarrow as pa
+
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                      names=["id", "problem", "axis", "block", "top", "total"])
+
+
+def _sums_batches(rows):
+    """``rows`` of sums as Arrow batches of bounded size."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 2 * len(row[4])
+        if size >= _HELD_SUMS:
+            yield _sums_batch(held)
+            held, size = [], 0
+    if held:
+        yield _sums_batch(held)
+
+
 def _tile_sums(t: float):
     """For each tile of costs, what it adds to the soft minima of its rows (axis 0) and of its
-    columns (axis 1): the largest score and the sum of all, scaled by it."""
-
-    def run(batches):
-        import pyarrow as pa
+    columns (axis 1): the largest score and the sum of all, scaled by it. Tiles are read one
+    at a time from the Arrow buffers; besides these a task holds one tile."""
 
+    def rows(batches):
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                x, y = (np.array(r[k], np.float64) for k in ("x", "y"))
+            names = [batch.column(k).to_pylist() for k in ("id", "problem", "i", "j")]
+            points = (_clouds(batch.column(k)) for k in ("x", "y"))
+            potentials = (_arrays(batch.column(k)) for k in ("f", "g"))
+            for id_, problem, i, j, x, y, f, g in zip(*names, *points, *potentials):
                 costs = _half_squares(x, y)
-                for axis, block, other, c in ((0, r["i"], r["g"], costs), (1, r["j"], r["f"], costs.T)):
-                    scores = (np.array(other) - c) / t
+                for axis, block, other, c in ((0, i, g, costs), (1, j, f, costs.T)):
+                    scores = (other - c) / t
                     top = scores.max(axis=1)
-                    rows.append((r["id"], r["problem"], axis, block, top, np.exp(scores - top[:, None]).sum(axis=1)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (
-                pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64())))],
-                names=["id", "problem", "axis", "block", "top", "total"])
+                    yield id_, problem, axis, block, top, np.exp(scores - top[:, None]).sum(axis=1)
 
-    return run
+    return lambda batches: _sums_batches(rows(batches))
 
 
 def _merge_sums(batches):
     """Sums of one block that follow each other, as one: running maximum and scaled sum."""
-    import pyarrow as pa
 
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-    names = ["id", "problem", "axis", "block", "top", "total"]
-    key, top, total = None, None, None
-    for batch in batches:
-        done = []
-        for r in batch.to_pylist():
-            mine = (r["id"], r["problem"], r["axis"], r["block"])
-            a, s = np.array(r["top"]), np.array(r["total"])
-            if mine == key:
-                high = np.maximum(top, a)
-                top, total = high, total * np.exp(top - high) + s * np.exp(a - high)
-            else:
-                if key:
-                    done.append((*key, top, total))
-                key, top, total = mine, a, s
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=names)
-    if key:
-        yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((*key, top, total), kinds)], names=names)
+    def rows():
+        key, top, total = None, None, None
+        for batch in batches:
+            names = [batch.column(k).to_pylist() for k in ("id", "problem", "axis", "block")]
+            for *mine, a, s in zip(*names, _arrays(batch.column("top")), _arrays(batch.column("total"))):
+                if mine == key:
+                    high = np.maximum(top, a)
+                    top, total = high, total * np.exp(top - high) + s * np.exp(a - high)
+                else:
+                    if key:
+                        yield (*key, top, total)
+                    # copies: a view would hold the batch
+                    key, top, total = mine, a.copy(), s.copy()
+        if key:
+            yield (*key, top, total)
+
+    return _sums_batches(rows())
 
 
 def block_sinkhorn(points: DataFrame, blur: float = SINKHORN_BLUR, reach: float = 8.0, block: int = 2048) -> DataFrame:

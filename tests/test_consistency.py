@@ -120,6 +120,42 @@ def test_block_sinkhorn_equals_the_local_solver(spark):
     assert all(got[k][2] == pytest.approx(value[k], abs=1e-9) for k in value)
 
 
+def test_tiles_are_solved_one_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sway.operators.consistency import _merge_sums, _tile_sums
+
+    rng = np.random.default_rng(4)
+    n, size, dim = 600, 32, 64
+    values = rng.normal(size=(2, n, size, dim))
+    at = pa.array(np.arange(n + 1) * size, pa.int32())
+    cloud = lambda v: pa.ListArray.from_arrays(at, pa.ListArray.from_arrays(
+        pa.array(np.arange(n * size + 1) * dim, pa.int32()), pa.array(v.ravel())))
+    flat = pa.ListArray.from_arrays(at, pa.array(np.zeros(n * size)))
+    number = lambda kind: pa.array(np.arange(n), kind)
+    batch = pa.RecordBatch.from_arrays(
+        [number(pa.int64()), pa.array([0] * n, pa.int32()), number(pa.int32()), number(pa.int32()), cloud(values[0]),
+         cloud(values[1]), flat, flat], names=["id", "problem", "i", "j", "x", "y", "f", "g"])
+    # a slice: rows do not begin where the buffers do
+    whole, batch = batch, batch.slice(100)
+    for run, source in ((_tile_sums(0.5), batch), (_merge_sums, pa.Table.from_batches(_tile_sums(0.5)([whole])).combine_chunks().to_batches()[0])):
+        tracemalloc.start()
+        rows = largest = 0
+        for out in run([source]):
+            rows, largest = rows + out.num_rows, max(largest, out.num_rows)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == (1000 if source is batch else 1200)
+        # the points of the batch alone are 16 MB, as Python objects four times that
+        assert peak < 8e6
+    first = next(iter(_tile_sums(0.5)([batch])))
+    costs = 0.5 * ((values[0, 100][:, None] - values[1, 100][None]) ** 2).sum(axis=2)
+    assert first.column("id")[0].as_py() == 100
+    assert first.column("top")[0].as_py() == pytest.approx((-costs / 0.5).max(axis=1))
+
+
 def test_group_sinkhorn_of_small_and_large_clouds(spark):
     rows, value = points_of({"a": (30, 20), "b": (5, 3), "c": (5, 3), None: (18, 33), "left only": (40, 0), "right only": (0, 2)})
     df = spark.createDataFrame(rows, POINTS).repartition(4)
