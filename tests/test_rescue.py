@@ -161,3 +161,15 @@ def test_two_rounds_with_a_store_equal_those_without(spark, tmp_path):
     assert rows(kept) == rows(plain)
     again = R.two_round(corpus, "medqa", "alpaca", generator=lambda p: 1 / 0, store=str(tmp_path / "s"))
     assert rows(again) == rows(plain)
+
+
+def test_rendered_texts_are_not_joined(spark):
+    from sway.operators.formatting import reformat
+    from sway.plans.fixtures import qa_number
+
+    qn = qa_number(spark, SF)
+    corpus, _ = reformat(qn.select("item_id", "run", "question", "answer"), "gsm8k", "sharegpt")
+    recorded = qn.selectExpr("run", "item_id", "stack(2, 1, resp1, 2, resp2) as (round, response)")
+    plan = R.two_round(corpus, "gsm8k", "sharegpt", responses=recorded)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "start_header_id" in plan[:plan.index("Join")]
+    assert "start_header_id" not in plan[plan.index("Join"):]
