@@ -173,3 +173,20 @@ def test_rendered_texts_are_not_joined(spark):
     plan = R.two_round(corpus, "gsm8k", "sharegpt", responses=recorded)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 2 and "start_header_id" in plan[:plan.index("Join")]
     assert "start_header_id" not in plan[plan.index("Join"):]
+
+
+def test_batches_have_few_files_however_many_tasks_write(spark, tmp_path):
+    prompts = spark.range(400).selectExpr("'r' as run", "id as item_id", "concat('p', id) as prompt").repartition(40)
+    out = R.resume_generation(prompts, lambda texts: [p.upper() for p in texts], str(tmp_path / "s"), rows_per_batch=50)
+    assert sorted(r.response for r in out.collect()) == sorted(f"P{i}" for i in range(400))
+    files = [f for _, _, names in os.walk(tmp_path / "s") for f in names if f.endswith(".parquet")]
+    assert len(files) <= 8 * -(-spark.sparkContext.defaultParallelism // 2) + 1
+
+
+def test_responses_beside_the_batches_are_known(spark, tmp_path):
+    prompts = spark.range(6).selectExpr("'r' as run", "id as item_id", "concat('p', id) as prompt")
+    kept = prompts.where("item_id < 2").selectExpr("run", "item_id", "md5(prompt) as prompt_md5", "'kept' as response")
+    kept.write.parquet(str(tmp_path / "s" / "round=1"))
+    for _ in range(2):
+        out = R.resume_generation(prompts, lambda texts: [p.upper() for p in texts], str(tmp_path / "s"), rows_per_batch=2)
+        assert sorted(r.response for r in out.collect()) == ["P2", "P3", "P4", "P5", "kept", "kept"]
