@@ -23,56 +23,56 @@ from sway.llm.common import components, saved
 
 #: rows (a few longs each) up to which a join may broadcast a side
 BROADCAST_ROWS = 2_000_000
+#: characters up to which the built-in distance is cheaper than the automaton
+BUILT_IN_CHARS = 1000
 
 
-def _segment(length, i: int, parts):
+def _segment(length: int, i: int, parts: int) -> tuple[int, int]:
     """Start (from 0) and length of segment ``i`` of a line: as even as can be,
     the longer ones last."""
-    base, longer = F.call_function("div", length, parts).cast("int"), (length % parts).cast("int")
-    start = base * i + F.greatest(F.lit(0), longer + (F.lit(i) - parts))
-    return start, base + (longer + i >= parts).cast("int")
-
-
-def _key(length, i: int, text) -> F.Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), text)
-
-
-def index_keys(line, length, threshold: int, per: int) -> F.Column:
-    """The keys of a line's segments; null for a line too short to differ."""
-    out = None
-    for edits in range(threshold, 0, -1):
-        cuts = [_segment(length, i, F.lit(edits + 1)) for i in range(edits + 1)]
-        keys = F.array(*[_key(length, i, F.substring(line, s + 1, n)) for i, (s, n) in enumerate(cuts)])
-        out = F.when(length >= edits * per, keys) if out is None else out.when(length >= edits * per, keys)
-    return out
-
-
-def probe_rows(lines: DataFrame, threshold: int, per: int) -> DataFrame:
-    """``(id, key)``: the keys under which the index holds lines that may be near a line of
-    ``(id, line, n)``, for each length that the other may have, segment of it and possible
-    shift. A line becomes a row for each of these lengths first: one expression for
-    all keys would be too long to be compiled."""
-    of = lambda edits: [F.struct(F.lit(edits).alias("edits"), F.lit(s).alias("shorter"), (F.col("n") - s).alias("other"))
-                        for s in range(edits + 1)]
-    most, fewer = F.array(*of(threshold)), [x for e in range(1, threshold) for x in of(e)]
-    if fewer:
-        # a line little longer than those that may differ less is near some of them
-        most = F.when(F.col("n") < threshold * per + threshold - 1, F.concat(most, F.array(*fewer))).otherwise(most)
-    rows = lines.select("id", "line", F.explode(most).alias("x")).select("id", "line", "x.edits", "x.shorter", "x.other")
-    edits, shorter, other = (F.col(c) for c in ("edits", "shorter", "other"))
-    rows = rows.where((other >= edits * per) & ((edits == threshold) | (other < (edits + 1) * per)))
-    keys = []
-    for i in range(threshold + 1):
-        start, n = _segment(other, i, edits + 1)
-        # as many edits before the segment as there are segments before it, and as many
-        # after as there are after
-        first = F.greatest(F.lit(-i), shorter - edits + i)
-        last = F.least(F.lit(i), shorter + edits - i)
-        widest = max(min(i, s + e - i) - max(-i, s - e + i) for e in range(max(i, 1), threshold + 1) for s in range(e + 1))
-        for k in range(widest + 1):
-            key = _key(other, i, F.substring("line", start + first + k + 1, n))
-            keys.append(F.when((first + k <= last) & (edits >= i), key))
-    return rows.select("id", F.explode(F.array(*keys)).alias("key")).where("key is not null")
+    base, longer = divmod(length, parts)
+    return base * i + max(0, longer + i - parts), base + (longer + i >= parts)
+
+
+def _spots(n: int, threshold: int, per: int, probe: bool) -> list[int]:
+    """Where a line of ``n`` characters is read for its keys, each place once: number of edits,
+    number of the segment, and by how much start and size are more than an even share's, in
+    16 bits each. The index has the line's own segments, a probe those of each length that
+    the other line may have, at each possible shift."""
+    out = []
+    for edits in range(1, threshold + 1):
+        for shorter in range(edits + 1 if probe else 1):
+            other, share = n - shorter, n // (edits + 1)
+            if other < edits * per or edits < threshold and other >= (edits + 1) * per:
+                continue
+            for i in range(edits + 1):
+                start, size = _segment(other, i, edits + 1)
+                # as many edits before the segment as there are segments before it, and as many
+                # after as there are after
+                shifts = range(max(-i, shorter - edits + i), min(i, shorter + edits - i) + 1) if probe else (0,)
+                out += [(edits << 16 | i) << 32 | start + shift - share * i + (1 << 15) << 16 | size - share + (1 << 15)
+                        for shift in shifts]
+    return list(dict.fromkeys(out))
+
+
+def key_rows(lines: DataFrame, threshold: int, per: int, probe: bool) -> DataFrame:
+    """``(id, key)`` of the lines ``(id, line, n)``: the keys of their segments, for the index,
+    or those under which it holds lines that may be near (``probe``). A key holds number
+    and content of a segment and the number of edits; the segment's size leaves
+    ``edits + 1`` lengths of its line. The places are a table by the length, or what the length
+    leaves by the number of segments; one expression reads them all. Characters of
+    one byte each are counted as bytes, so that none is read to find a place."""
+    parts, low = threshold + 1, threshold * per + threshold
+    table = F.array(*[F.array(*[F.lit(x).cast("long") for x in _spots(n, threshold, per, probe)]).cast("array<bigint>")
+                      for n in range(low + parts)])
+    n, line, spot = F.col("n"), F.col("line"), F.col("spot")
+    places = F.get(table, F.when(n < low, n).otherwise((n - low) % parts + low))
+    rows = lines.select("id", "line", "n", (F.octet_length("line") == n).alias("plain"), F.explode(places).alias("spot"))
+    part = lambda bits: F.shiftright(spot, bits).bitwiseAND(F.lit((1 << 16) - 1)).cast("int")
+    share = F.call_function("div", n, part(48) + 1).cast("int")
+    start, size = share * part(32) + part(16) - ((1 << 15) - 1), share + part(0) - (1 << 15)
+    text = F.when(F.col("plain"), F.substring(line.cast("binary"), start, size).cast("string")).otherwise(F.substring(line, start, size))
+    return rows.select("id", F.xxhash64(F.shiftright(spot, 32), text).alias("key"))
 
 
 _HALVES = [1 << k for k in range(30, -1, -1)]
@@ -150,6 +150,13 @@ def near(a, b, threshold: int) -> F.Column:
     return F.get(pair, F.lit(0))
 
 
+def possible(a, b, length, threshold: int) -> F.Column:
+    """False for most pairs of lines, ``a`` of ``length`` characters, that ``near`` says no
+    to, at a tenth of its cost: lines that share a segment mostly differ by words. The
+    built-in distance takes the square of the length, so long lines are left to ``near``."""
+    return (length > BUILT_IN_CHARS) | (F.levenshtein(a, b, threshold) >= 0)
+
+
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The lines ``(key, row, line_no, line, id)`` of all texts that aren't blank."""
     rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
@@ -171,10 +178,9 @@ def _shared(side: DataFrame) -> DataFrame:
 def links(lines: DataFrame, threshold: int, per: int, block: int = 64) -> DataFrame:
     """All pairs ``(a, b)``, a < b, of ids of different near lines, each once."""
     lines = _measured(lines).where(F.col("n") >= per)
-    line, n = F.col("line"), F.col("n")
     # an index entry once, however often its line occurs
-    index = saved(lines.select("id", F.explode(index_keys(line, n, threshold, per)).alias("key")).distinct(), "segments")
-    probe = probe_rows(lines, threshold, per)
+    index = saved(key_rows(lines, threshold, per, False).distinct(), "segments")
+    probe = key_rows(lines, threshold, per, True)
     other = index.select(F.col("key").alias("key2"), F.col("id").alias("id2"))
     probe = saved(probe.join(other, (F.col("key") == F.col("key2")) & (F.col("id") != F.col("id2")), "left_semi").distinct(),
                   "probes")
@@ -189,7 +195,7 @@ def links(lines: DataFrame, threshold: int, per: int, block: int = 64) -> DataFr
     side = lambda role, name: grouped.where(F.col("role") == role).select("key", F.col("lines").alias(name))
     found = side(1, "p").join(side(0, "q"), "key").select(F.explode("p").alias("p"), "q")
     # of two lines of one length, both probe: one of the probes is enough
-    close = lambda x, edits: near(x["line"], F.col("p.line"), edits)
+    close = lambda x, edits: possible(x["line"], F.col("p.line"), x["n"], edits) & near(x["line"], F.col("p.line"), edits)
 
     def verified(x):  # the line of the index is the shorter one
         out = F.when(x["n"] >= threshold * per, close(x, threshold))

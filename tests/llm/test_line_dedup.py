@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sway.llm.line_dedup import near, near_lines
+from sway.llm.line_dedup import key_rows, near, near_lines, possible
 
 
 def distance(a, b):
@@ -111,3 +111,31 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([], "a string, b string").select(near(F.col("a"), F.col("b"), 2))
     assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def test_keys_of_near_lines_meet_and_are_few(spark):
+    rnd = random.Random(4)
+    bases = ["".join(rnd.choice("abé日😀 ") for _ in range(n)) for n in range(5, 45) for _ in range(4)]
+    bases += ["".join(rnd.choice("ab ") for _ in range(n)) for n in range(5, 45) for _ in range(4)]
+    pairs = [(a, changed(rnd, a, min(2, len(a) // 5), "abé日")) for a in bases]
+    pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
+    lines = lambda k: spark.createDataFrame([(i, p[k]) for i, p in enumerate(pairs)], "id long, line string").withColumn("n", F.length("line"))
+    index, probe = key_rows(lines(0), 2, 5, False), key_rows(lines(1), 2, 5, True)
+    want = {i for i, (a, b) in enumerate(pairs) if distance(a, b) <= min(2, len(a) // 5)}
+    assert want <= {r.id for r in index.join(probe, ["id", "key"]).collect()} and len(want) > 250
+    # lengths share their places: at most 9 of 12 are left
+    assert probe.groupBy("id").count().agg(F.max("count")).first()[0] <= 9
+
+
+def test_first_look_leaves_near_pairs(spark):
+    rnd = random.Random(6)
+    pairs = [("日本語x", "日本x"), ("😀b" * 4, "b😀" * 4), ("a" * 1200, "b" * 1200)]
+    for _ in range(600):
+        a = "".join(rnd.choice("abé😀") for _ in range(rnd.randrange(1, 30)))
+        pairs.append((a, changed(rnd, a, rnd.randrange(6), "abé😀")))
+    words = [(f"a line of words, with number {i} in it", f"a line of terms, with number {i + 1} in it") for i in range(0, 90, 10)]
+    df = spark.createDataFrame(pairs + words, "a string, b string")
+    for t in (1, 2, 3):
+        for r in df.withColumn("may", possible(F.col("a"), F.col("b"), F.length("a"), t)).collect():
+            assert r.may or distance(r.a, r.b) > t
+            assert not r.may or (r.a, r.b) not in words
