@@ -4,7 +4,7 @@ A line of n characters may differ by t(n) edits: one for every ``per`` character
 the threshold; two lines are near if their edit distance is at most that of the
 shorter. The shorter is split into t + 1 segments; an edit touches one of them at most,
 so the longer line holds one unchanged, not far from its place. The segments are
-indexed by length, number and content; a line probes the index of its own and the t next
+indexed by edits, number and content; a line probes the index of its own and the t next
 smaller lengths with the substrings at the places that can match (multi-match
 aware). Lines that meet are verified with a banded bit-parallel edit distance.
 
